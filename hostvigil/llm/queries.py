@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from hostvigil.llm.bpe import op6_bpe
 from hostvigil.llm.quality import op9_quality_rules
 from hostvigil.llm.sharding import op5_sharding
+from hostvigil.llm.simhash import op3_simhash
+from hostvigil.llm.suffix_dedup import op7_suffix_dedup
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_sharding, op6_bpe, op9_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_simhash, op5_sharding, op6_bpe, op7_suffix_dedup, op9_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ def partitions_for(df: DataFrame, column: str, target_bytes: int) -> int:
 def row_chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that each holds about `limit` bytes of text, or a single longer row."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(text)).to_pylist()
+        sizes = pc.binary_length(batch.column(text)).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
             if held and held + (n or 0) > limit:

@@ -11,7 +11,8 @@ from hostvigil.llm.quality import op9_quality_rules
 from hostvigil.llm.sharding import op5_sharding
 from hostvigil.llm.simhash import op3_simhash
 from hostvigil.llm.suffix_dedup import op7_suffix_dedup
+from hostvigil.llm.suffix_tree_lm import op8_suffix_tree_lm
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_simhash, op5_sharding, op6_bpe, op7_suffix_dedup, op9_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_simhash, op5_sharding, op6_bpe, op7_suffix_dedup, op8_suffix_tree_lm, op9_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -149,10 +149,10 @@ REMEDIATIONS = {
     "forget_rejoin": "Leave the network and join it again.",
     "flush_dns": "Clear the resolver cache.",
     "change_resolver": "Use another resolver.",
-    "sign_in_portal": "Sign in on the network's page.",
+    "sign_in_portal": "Sign in on the network page.",
     "restart_gateway": "Restart the router.",
     "check_gateway_load": "Look for large transfers in the local network.",
-    "check_cables": "Check the router's cables.",
+    "check_cables": "Check the router cables.",
     "wait_and_watch": "Wait; this often passes.",
     "contact_isp": "Report it to the provider.",
     "test_without_vpn": "Try without the tunnel.",
@@ -160,8 +160,8 @@ REMEDIATIONS = {
     "close_heavy_apps": "Close busy programs.",
     "restart_device_network": "Restart the network adapter.",
     "try_other_service": "Try another site.",
-    "check_service_status": "Read the service's status page.",
-    "update_adapter_driver": "Update the adapter's driver.",
+    "check_service_status": "Read the service status page.",
+    "update_adapter_driver": "Update the adapter driver.",
 }
 
 

@@ -1,4 +1,5 @@
 """Imports every module that registers queries."""
 
-from hostvigil.plans import probes, tables  # noqa: F401
+from hostvigil.operators import frames, incidents, models  # noqa: F401
+from hostvigil.plans import evaluation, probes, tables  # noqa: F401
 from hostvigil.sources import samples  # noqa: F401

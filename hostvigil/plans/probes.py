@@ -9,7 +9,6 @@ from hostvigil.registry import query, sql_query
 from hostvigil.sources.fixtures import fixture
 
 TIMEOUT_MS = 2000.0
-W_TICK = Window.partitionBy("host_id").orderBy("tick")
 
 
 def nearest_rank(sorted_values: Column, q: float) -> Column:
@@ -55,9 +54,9 @@ def https_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH b AS (SELECT host_id, trace_id, 1 - count(rtt_ms) / 4.0 AS loss, avg(rtt_ms) AS mean, list(rtt_ms) FILTER (WHERE rtt_ms IS NOT NULL) AS d FROM traces WHERE hop_index <= 4 GROUP BY 1, 2),
+    f"""SELECT * FROM (WITH b AS (SELECT host_id, trace_id, 1 - count(rtt_ms) / 4.0 AS loss, avg(rtt_ms) AS mean, list(rtt_ms) FILTER (WHERE rtt_ms IS NOT NULL) AS d FROM traces WHERE hop_index <= 4 GROUP BY 1, 2),
     c AS (SELECT *, coalesce(max(CASE WHEN mean IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY host_id ORDER BY trace_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS ever FROM b)
-    SELECT host_id, trace_id, round(loss, 6) AS loss_rate, round(coalesce(mean, {TIMEOUT_MS}), 6) AS rtt_ms, round(CASE WHEN mean IS NULL OR len(d) < 2 THEN 0.0 ELSE list_avg(list_transform(d, lambda x: abs(x - mean))) END, 6) AS jitter_ms FROM c WHERE ever = 1""",
+    SELECT host_id, trace_id, round(loss, 6) AS loss_rate, round(coalesce(mean, {TIMEOUT_MS}), 6) AS rtt_ms, round(CASE WHEN mean IS NULL OR len(d) < 2 THEN 0.0 ELSE list_avg(list_transform(d, lambda x: abs(x - mean))) END, 6) AS jitter_ms FROM c WHERE ever = 1)""",
     "traces",
 )
 def gateway_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +179,7 @@ sql_query(
     "traces",
     duck=_DUCK_TEXT | {"explode(split(output, chr(10)))": "unnest(string_split(output, chr(10)))"},
 )
-_WIFI = "concat('     agrCtlRSSI: ', CAST(CAST(wifi_rssi_dbm AS INT) AS VARCHAR(9)), chr(10), '  lastTxRate: ', CAST(CAST(wifi_link_mbps AS INT) AS VARCHAR(9)), chr(10), '  BSSID: aa:bb:', CAST(host_id AS VARCHAR(9)), chr(10), '  tx retries: ', CAST(tick % 40 AS VARCHAR(9)), ' failed: ', CAST(tick % 7 AS VARCHAR(9)), ' packets: ', CAST(tick % 90 AS VARCHAR(9)))"
+_WIFI = "concat('     agrCtlRSSI: ', CAST(CAST(round(wifi_rssi_dbm) AS INT) AS VARCHAR(9)), chr(10), '  lastTxRate: ', CAST(CAST(round(wifi_link_mbps) AS INT) AS VARCHAR(9)), chr(10), '  BSSID: aa:bb:', CAST(host_id AS VARCHAR(9)), chr(10), '  tx retries: ', CAST(tick % 40 AS VARCHAR(9)), ' failed: ', CAST(tick % 7 AS VARCHAR(9)), ' packets: ', CAST(tick % 90 AS VARCHAR(9)))"
 sql_query(
     "ingest_wifi_logs",
     f"""SELECT host_id, tick, CAST(regexp_extract(output, 'agrCtlRSSI: (-?[0-9]+)', 1) AS DOUBLE) AS rssi_dbm, CAST(regexp_extract(output, 'lastTxRate: ([0-9]+)', 1) AS DOUBLE) AS link_mbps, sha2(regexp_extract(output, 'BSSID: ([0-9a-f:]+)', 1), 256) AS ap,

@@ -222,3 +222,14 @@ _card_query("template_render", ["summary"])
 _card_query("remediation_lookup", ["template_id", "remediation"])
 _card_query("incident_cards", ["template_id", "summary", "remediation"])
 assert set(TEXTS) == {t[0] for t in TEMPLATES} and len(SEVERITIES) == 4 and SPARSE
+
+
+@query(f"SELECT host_id, CAST(incident AS BIGINT) AS incident, started_at FROM {_INCIDENTS_SQL} WHERE ended_at IS NULL", "score_series")
+def active_incident(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incidents_of(spark, sf_dir).filter("ended_at IS NULL").select("host_id", "incident", "started_at")
+
+
+@query(f"SELECT host_id, CAST(incident AS BIGINT) AS incident, started_at, ended_at FROM {_INCIDENTS_SQL} WHERE incident = 1", "score_series")
+def get_incident(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The incident of a given number, for every host."""
+    return incidents_of(spark, sf_dir).filter("incident = 1").select("host_id", "incident", "started_at", "ended_at")

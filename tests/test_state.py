@@ -1,0 +1,73 @@
+"""Step functions: invariants and hand-computed cases."""
+
+from __future__ import annotations
+
+import numpy as np
+from hypothesis import given
+from hypothesis import strategies as st
+
+from hostvigil.operators import state as S
+
+
+def test_first_value_sets_the_mean():
+    m = S.Moments()
+    m.update(5.0)
+    assert (m.mean, m.var) == (5.0, 0.0)
+    m.update(7.0)
+    assert m.mean == 5.0 + 0.05 * 2.0
+
+
+def test_baseline_is_quiet_on_steady_values_and_freezes_on_a_jump():
+    b = S.Baseline()
+    assert all(b.step(10.0 + 0.1 * (k % 3), 0) < 0.01 for k in range(100))
+    n = b.overall.count
+    for _ in range(20):
+        b.step(1000.0, 0)
+    assert b.smoothed > 3 and b.overall.count == n and b.high == S.CUSUM_LIMIT
+
+
+@given(st.lists(st.floats(0, 1), min_size=30, max_size=60))
+def test_risk_and_health_stay_in_range(raw):
+    r = S.Risk()
+    for p in raw:
+        risk = r.step(p, 0.0, 1.0)
+        assert 0 <= risk <= 1 and 0 <= r.step_health(p, p, risk, 0.0) <= 100
+
+
+def test_blind_frame_publishes_the_floor_but_keeps_smoothing():
+    r = S.Risk()
+    assert r.step(1.0, 0.2, 0.1) == 0.2 and r.risk == 0.35
+
+
+def test_psi_tells_shifts_apart():
+    rng = np.random.default_rng(0)
+    a = rng.normal(size=480)
+    assert S.psi(a, rng.normal(size=240)) < 0.1 < 0.25 < S.psi(a, rng.normal(2, 1, 240))
+    assert S.psi(a[:1], a) == 0.0
+
+
+def test_drift_relearns_once_per_cooldown():
+    d, hits = S.Drift(), []
+    for n in range(1, 1500):
+        x = float(n % 7) + (0 if n < 700 else 50)
+        if d.step(x, n, 1e6 + 15.0 * n) is not None:
+            hits.append(n)
+    assert hits and all(b - a >= 120 for a, b in zip(hits, hits[1:]))
+
+
+def test_autoencoder_settles_and_sees_a_break():
+    rng = np.random.default_rng(1)
+    m = S.Autoencoder(3, 1)
+    for _ in range(400):
+        t = rng.uniform()
+        m.step(np.array([t, 2 * t, 3 * t]))
+    assert m.trained >= S.WARM
+    usual = m.error
+    assert m.step(np.array([0.0, 2.0, 0.0])) > 1.5 * usual
+
+
+def test_cooldown_counts_from_the_last_kept_event():
+    c = S.Cooldown(100.0)
+    assert [c.step(t) for t in (0, 60, 120, 180, 230)] == [True, False, True, False, True]
+    c = S.Cooldown(100.0)
+    assert [c.step(0, 1, True), c.step(10, 1, True), c.step(20, 2, True)] == [True, False, True]

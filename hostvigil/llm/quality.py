@@ -78,7 +78,8 @@ def _measure(texts: pd.Series) -> pd.DataFrame:
 
 def with_stats(docs: DataFrame) -> DataFrame:
     """`docs` with a column `stats`; the other columns stay in the JVM."""
-    measure = F.pandas_udf(_measure, ", ".join(f"{n} long" for n in STATS))
+    # as if not deterministic: the plan must not measure twice
+    measure = F.pandas_udf(_measure, ", ".join(f"{n} long" for n in STATS)).asNondeterministic()
     return docs.withColumn("stats", measure(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 

@@ -16,7 +16,7 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hostvigil.llm.common import only, read_table, row_chunks
 
-#: Pieces in a task's cache; it starts anew beyond that.
-CACHE_PIECES = 300_000
+#: Pieces in each of a task's two cache generations: when the young one is full it becomes the old one.
+CACHE_PIECES = 120_000
 _BASE_RANK = -1
 _NEVER = 1 << 60
 
@@ -50,11 +50,11 @@ class Merges:
         self.made: dict[int, tuple[int, int, int]] = {}  # token: its rank, left part, right part
         for r, (a, b) in enumerate(pairs):
             self.made.setdefault(self.ids[a + b], (r, self.ids[a], self.ids[b]))
-        self.left_edge = {t: self._edge(t, 1) for t in self.text}
-        self.right_edge = {t: self._edge(t, 2) for t in self.text}
+        self.edges: dict[tuple[int, int], list[tuple[int, int]]] = {}  # bounded by the vocabulary
         self.apart: dict[int, bool] = {}
         # a token is of use only if its own text is encoded as itself
         self.usable = {s: t for s, t in self.ids.items() if t not in self.made or self.stay_apart(*self.made[t][1:], self.made[t][0])}
+        self.edges.clear()
         # every stretch of symbols inside a usable token: the token that it is, or -1
         self.parts: dict[str, int] = {}
         for t in self.usable:
@@ -64,6 +64,13 @@ class Merges:
             self.parts.update(dict.fromkeys((body[i:] + end for i in range(n)), -1))
         self.parts |= self.usable
 
+    def edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """As `_edge`, kept."""
+        found = self.edges.get((token, side))
+        if found is None:
+            found = self.edges[token, side] = self._edge(token, side)
+        return found
+
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """(piece, rank at which it is merged into the next) at one edge of a token, from the single symbol to the token."""
         out, until = [], _NEVER
@@ -75,7 +82,7 @@ class Merges:
 
     def stay_apart(self, left: int, right: int, below: int = _NEVER) -> bool:
         """No merge of a rank under `below` joins the two tokens across their border."""
-        a, b = self.right_edge[left], self.left_edge[right]
+        a, b = self.edge(left, 2), self.edge(right, 1)
         i = j = 0
         while True:
             (x, x_until), (y, y_until) = a[i], b[j]
@@ -91,9 +98,10 @@ class Merges:
 
 
 class TrieEncoder:
-    """Encodes texts a batch at a time."""
+    """Encodes texts a batch at a time; `show` makes what is kept of a piece from its ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, show: Callable[[TrieEncoder, tuple[int, ...]], object] = lambda self, ids: ids):
+        self.show = show
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.merges = Merges(spec)
@@ -103,7 +111,8 @@ class TrieEncoder:
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.space = regex.compile(r"\s+")
         self.map = str.maketrans({chr(b): c for b, c in enumerate(byte_alphabet())})
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, object] = {}
+        self.old: dict[str, object] = {}
 
     def words(self, piece: str) -> list[str]:
         """Normalised pre-tokens of a piece, in the byte alphabet."""
@@ -162,15 +171,23 @@ class TrieEncoder:
         return out
 
     def _fill(self, texts: list[list[str]]) -> None:
-        new = {p for t in texts for p in t if p not in self.pieces}
-        if len(self.pieces) + len(new) > CACHE_PIECES:
-            self.pieces.clear()
-            self.merges.apart.clear()
-            new = {p for t in texts for p in t}
-        split = {p: self.words(p) for p in new}
+        if len(self.pieces) > CACHE_PIECES:
+            self.old, self.pieces = self.pieces, {}
+            if len(self.merges.apart) > 4 * CACHE_PIECES:
+                self.merges.apart.clear()
+        pieces, old = self.pieces, self.old
+        split: dict[str, list[str]] = {}
+        for p in {p for t in texts for p in t}:
+            if p not in pieces:
+                if p in old:
+                    pieces[p] = old[p]
+                elif p not in self.special:
+                    split[p] = self.words(p)
         codes = self.encode_words({w for ws in split.values() for w in ws})
         for p, ws in split.items():
-            self.pieces[p] = codes[ws[0]] if len(ws) == 1 else tuple(i for w in ws for i in codes[w])
+            pieces[p] = self.show(self, codes[ws[0]] if len(ws) == 1 else tuple(i for w in ws for i in codes[w]))
+        for s, i in self.special.items():
+            pieces[s] = self.show(self, (i,))
 
     def _cut(self, text: str) -> list[str]:
         """White-space separated pieces and special tokens; str.split() also cuts at four controls that are no white space."""
@@ -184,14 +201,10 @@ class TrieEncoder:
                 out += part.split()
         return out
 
-    def encode_batch(self, texts: list[str]) -> list[list[tuple[int, ...]]]:
-        """Token ids of each text, as one tuple a piece."""
-        for s, i in self.special.items():
-            self.pieces[s] = (i,)
+    def encode_batch(self, texts: list[str]) -> list[list]:
+        """What is kept of each piece of each text: with the default `show`, its token ids."""
         cut = [self._cut(t) for t in texts]
         self._fill(cut)
-        for s, i in self.special.items():
-            self.pieces[s] = (i,)
         get = self.pieces.__getitem__
         return [list(map(get, c)) for c in cut]
 
@@ -200,13 +213,19 @@ class TrieEncoder:
         return " ".join(map(self.merges.text.__getitem__, ids))
 
 
-_encoders: dict[str, TrieEncoder] = {}
+def counted(encoder: TrieEncoder, ids: tuple[int, ...]) -> tuple[int, str, str]:
+    """Number of ids, the ids as text, and the decoded text."""
+    return len(ids), " ".join(map(str, ids)), encoder.decode(ids)
 
 
-def encoder(path: str) -> TrieEncoder:
-    if path not in _encoders:
-        _encoders[path] = TrieEncoder(path)
-    return _encoders[path]
+_encoders: dict[tuple, TrieEncoder] = {}
+
+
+def encoder(path: str, *show: Callable) -> TrieEncoder:
+    """One encoder for each worker process."""
+    if (path, *show) not in _encoders:
+        _encoders[path, *show] = TrieEncoder(path, *show)
+    return _encoders[path, *show]
 
 
 def default_tokenizer() -> str:
@@ -245,20 +264,13 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_tokenizer()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        said: dict[tuple[int, ...], tuple[str, str]] = {}  # of a piece: ids and decoded text
+        enc = encoder(path, counted)
         for b in row_chunks(batches):
             n, ids, decoded = [], [], []
-            if len(said) > CACHE_PIECES:
-                said.clear()
             for pieces in enc.encode_batch([t or "" for t in b.column("text").to_pylist()]):
-                for p in pieces:
-                    if p not in said:
-                        said[p] = (" ".join(map(str, p)), enc.decode(p))
-                both = list(map(said.__getitem__, pieces))
-                n.append(sum(map(len, pieces)))
-                ids.append(hashlib.sha256(" ".join([x for x, _ in both]).encode()).hexdigest())
-                decoded.append(hashlib.sha256(" ".join([x for _, x in both]).encode("utf-8")).hexdigest())
+                n.append(sum([k for k, _, _ in pieces]))
+                ids.append(hashlib.sha256(" ".join([x for _, x, _ in pieces]).encode()).hexdigest())
+                decoded.append(hashlib.sha256(" ".join([x for _, _, x in pieces]).encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

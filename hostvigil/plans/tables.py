@@ -29,7 +29,7 @@ def export_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for name, rows in parts.items():
         rows.write.partitionBy("host_id").json(f"{root}/{name}")
-        n = spark.read.json(f"{root}/{name}").agg(F.lit(name).alias("part"), F.count("*").alias("n"))
+        n = spark.read.schema(rows.schema).json(f"{root}/{name}").agg(F.lit(name).alias("part"), F.count("*").alias("n"))
         out = n if out is None else out.unionByName(n)
     return out
 

@@ -14,6 +14,7 @@ reached, or null. Repeated rows share a fingerprint. An empty table gives no row
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -191,29 +192,66 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFram
 
 def classes(marked: DataFrame, radius: int) -> DataFrame:
     """doc_id, code, component_id from doc_id and code."""
+    return marked.join(code_components(marked, radius), "code").select("doc_id", "code", "component_id")
+
+
+def code_components(marked: DataFrame, radius: int) -> DataFrame:
+    """code and component_id (smallest doc_id reachable) of every distinct fingerprint."""
     codes = materialize(marked.groupBy("code").agg(F.min("doc_id").alias("least")))
     found = components(linked(codes, radius))
     whole = codes.join(found, F.col("code") == F.col("node"), "left").select("code", "least", F.coalesce("label", "code").alias("label"))
     ids = whole.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = materialize(whole.join(ids, "label").select("code", "component_id"))
-    return marked.join(named, "code").select("doc_id", "code", "component_id")
+    return materialize(whole.join(ids, "label").select("code", "component_id", "label"))
+
+
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    grams = {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else ()
+    return np.sort(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)).view(np.int64))
 
 
-def keep_one(docs: DataFrame, size: int = 5, radius: int = 3) -> DataFrame:
-    """The row of the smallest doc_id of each component, with all its columns; one of them if rows repeat.
+def keep_one(docs: DataFrame, size: int = 5, radius: int = 8, similarity: float = 0.8, rounds: int = 3) -> DataFrame:
+    """The rows of `docs`, with all their columns, less near copies: one row of each group of copies stays.
 
-    Rows with a null doc_id stay only if their component has no other.
+    Fingerprints at `radius` or fewer bits only propose; a document goes if its text equals an earlier one's or if the
+    Jaccard similarity of its shingles with the document that stays is `similarity` or more. Of a component the
+    smallest (doc_id, hash) stays first; what is not like it goes through the next round, and what is left after
+    `rounds` stays. Null doc_ids come last in a group.
     """
-    id_ = F.col("doc_id").cast("long")
-    found = near_duplicates(docs, size, radius)
-    stay = materialize(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("code").alias("c")))
-    once = stay.filter((F.col("n") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"))
-    more = stay.filter((F.col("n") > 1) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("_id"))
-    unique = docs.join(once, id_ == F.col("_id"), "left_semi")
-    if more.isEmpty():
-        return unique
-    repeated = docs.join(more, id_.eqNullSafe(F.col("_id")), "left_semi").withColumn("_c", fingerprint_column(F.col("text"), size))
-    return unique.unionByName(repeated.dropDuplicates(["doc_id", "_c"]).drop("_c"))
+    text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    code = fingerprint_column(F.col("text"), size)
+    marked = materialize(docs.select(id_.alias("doc_id"), text_hash.alias("hash"), code.alias("code")))
+    first = materialize(marked.groupBy("code", "hash").agg(F.min("doc_id").alias("doc_id")))  # equal texts are one
+    named = first.join(code_components(first, radius), "code").select("doc_id", "hash", "label")
+    several = named.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1").select("label")
+    open_ = materialize(named.join(several, "label"))
+    single = named.join(several, "label", "left_anti").select("doc_id", "hash")
+    hashes = F.pandas_udf(lambda texts: pd.Series([shingle_hashes(t, size) for t in texts]), "array<long>")
+    texts = docs.select(id_.alias("doc_id"), text_hash.alias("hash"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    grams = texts.join(open_, ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).select("doc_id", "hash", "label", hashes("text").alias("grams"))
+    stay = [single]
+    for _ in range(rounds):
+        grams = materialize(grams)
+        head = grams.groupBy("label").agg(F.min(F.struct("doc_id", "hash")).alias("h"), F.min_by("grams", F.struct("doc_id", "hash")).alias("g"))
+        both = F.size(F.array_intersect("grams", "g"))
+        alike = F.when(F.size("grams") + F.size("g") > 0, both / (F.size("grams") + F.size("g") - both)).otherwise(1.0) >= similarity
+        judged = materialize(grams.join(head, "label").select("doc_id", "hash", "label", "grams", (F.struct("doc_id", "hash") == F.col("h")).alias("head"), alike.alias("alike")))
+        stay.append(judged.filter("head").select("doc_id", "hash"))
+        grams = judged.filter("NOT head AND NOT alike").select("doc_id", "hash", "label", "grams")
+        if grams.isEmpty():
+            break
+    else:
+        stay.append(grams.select("doc_id", "hash"))
+    kept = materialize(reduce(DataFrame.unionAll, stay))
+    times = marked.groupBy("doc_id", "hash").agg(F.count("*").alias("n"))
+    kept = materialize(kept.join(times, ["doc_id", "hash"]).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "n"))
+    same = (id_ == F.col("_id")) & (text_hash == F.col("_hash"))
+    once = docs.join(kept.filter("n = 1"), same, "left_semi")
+    if kept.filter("n > 1").isEmpty():
+        return once
+    return once.unionByName(docs.join(kept.filter("n > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

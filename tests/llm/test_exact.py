@@ -103,15 +103,34 @@ def test_index_links_what_brute_force_links(radius):
     assert [codes[i] for i in first] == [codes[i] for i in slow_components(range(len(codes)), codes, radius)]
 
 
+def slow_likeness(a, b, size=5):
+    grams = lambda t: {tuple(w[i : i + size]) for w in [WORD.findall((t or "").translate(LOW))] for i in range(max(1, len(w) - size + 1)) if w}
+    a, b = grams(a), grams(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
 def test_keep_one(make):
-    texts = ["one two three four five six seven eight"] * 2 + ["nine ten eleven twelve thirteen fourteen"]
-    docs = make([(4, texts[0]), (2, texts[1]), (2, texts[1]), (9, texts[2]), (None, None)])
+    rng = random.Random(2)
+    base = [rng.choice("abcdefghij") + str(k) for k in range(300)]
+    near = list(base)
+    near[150] = "other"
+    far = [w if k % 6 else w + "x" for k, w in enumerate(base)]
+    docs = make([(4, " ".join(base)), (2, " ".join(near)), (2, " ".join(near)), (7, " ".join(far)), (9, "nine ten eleven twelve thirteen"), (None, None), (8, "")])
     got = simhash.keep_one(docs)
     assert got.columns == docs.columns
-    assert sorted(r.doc_id for r in got.collect() if r.doc_id is not None) == [2, 9]
+    assert sorted(r.doc_id for r in got.collect()) == [2, 7, 8, 9]
     assert simhash.keep_one(make([])).count() == 0
 
 
+def test_keep_one_removes_only_near_copies(table, rows):
+    left = {r.doc_id for r in simhash.keep_one(table).select("doc_id").collect()}
+    texts = {d: t for d, t, *_ in rows}
+    for d in texts.keys() - left:
+        assert max(slow_likeness(texts[d], texts[k]) for k in left) >= 0.8
+    seen = collections.Counter(texts[d] for d in left)
+    assert max(seen.values()) == 1
+
+
 # --- sharding
 def test_sharding(table, rows):
     got = by_id(sharding.assign(table, sharding.layout(16)))

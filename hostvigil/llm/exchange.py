@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from hostvigil.llm.common import only, partitions_for
 
 #: Text of a part; a task needs about thirty times as much memory.
-PART_BYTES = 12 << 20
+PART_BYTES = 8 << 20
 MESSAGE = "part int, bucket int, kind int, body binary"
 _MESSAGE = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("body", pa.binary())])
 

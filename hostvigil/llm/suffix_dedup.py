@@ -31,7 +31,7 @@ from hostvigil.llm.exchange import MESSAGE, answer, meet, messages, parted, send
 LENGTH = 50
 TRIGGER = 24
 #: Bytes hashed at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 PHRASES, SUFFIXES = 0, 1
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)

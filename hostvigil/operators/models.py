@@ -468,7 +468,7 @@ sql_query("l3_predict", f"SELECT host_id, tick, round(1 / (1 + exp(-least(30e0,
 sql_query("training_set", f"SELECT host_id, tick, CASE WHEN host_id % 4 = 0 THEN 'holdout' ELSE 'train' END AS side, y, {', '.join(f'round({x} + 1.37e-8, 6) AS {x}' for x in _XS)} FROM ({_VECTOR}) WHERE tick > 120", "samples_dense")
 _PARTS = ", ".join(f"{w}e0 * {x}" for w, x in zip(_WEIGHTS, _XS))
 _PAIRS = " UNION ALL ".join(f"SELECT host_id, tick, '{x}' AS input, {w}e0 * {x} AS c FROM ({_VECTOR})" for w, x in zip(_WEIGHTS, _XS))
-sql_query("top_contributions", f"SELECT host_id, tick, rank, input FROM (SELECT host_id, tick, input, row_number() OVER (PARTITION BY host_id, tick ORDER BY round(abs(c), 9) DESC, input) AS rank FROM ({_PAIRS})) WHERE rank <= 5", "samples_dense")
+sql_query("top_contributions", f"SELECT host_id, tick, rank, input FROM (SELECT host_id, tick, input, CAST(row_number() OVER (PARTITION BY host_id, tick ORDER BY round(abs(c), 9) DESC, input) AS BIGINT) AS rank FROM ({_PAIRS})) WHERE rank <= 5", "samples_dense")
 sql_query(
     "evidence_topk",
     f"SELECT host_id, tick, count(*) AS n, round(sum(abs(c)) + 1.37e-8, 5) AS weight FROM (SELECT host_id, tick, c, row_number() OVER (PARTITION BY host_id, tick ORDER BY abs(c) DESC) AS rank FROM ({_PAIRS}) WHERE c > 1e-9) WHERE rank <= 4 GROUP BY host_id, tick",

@@ -9,7 +9,7 @@ FIXTURES: dict[str, str] = {
 WITH e AS (
   SELECT user_id % 16 AS host_id, event_type, value,
          CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS k,
-         row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id) AS tick
+         CAST(row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id) AS BIGINT) AS tick
   FROM events)
 SELECT host_id, tick, CAST(1704067200 + 15 * tick AS DOUBLE) AS ts,
   CASE WHEN event_type = 'click'    THEN value END               AS gw_rtt_ms,
@@ -33,8 +33,8 @@ FROM e
     "samples_dense": """
 WITH l AS (
   SELECT l_suppkey % 16 AS host_id, l_quantity AS q, l_extendedprice AS p, l_discount AS d, l_tax AS t,
-         row_number() OVER (PARTITION BY l_suppkey % 16
-           ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS tick
+         CAST(row_number() OVER (PARTITION BY l_suppkey % 16
+           ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS tick
   FROM lineitem)
 SELECT host_id, tick, CAST(1704067200 + 15 * tick AS DOUBLE) AS ts,
   q / 10 AS gw_rtt_ms, q / 100 AS gw_jitter_ms, d AS gw_loss_rate,
@@ -48,7 +48,7 @@ FROM l
     "bad_windows": """
 WITH e AS (
   SELECT user_id % 16 AS host_id,
-         row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id) AS tick
+         CAST(row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id) AS BIGINT) AS tick
   FROM events)
 SELECT host_id, CAST(floor(tick / 200.0) AS BIGINT) AS window_id,
        min(CAST(1704067200 + 15 * tick AS DOUBLE)) AS start_ts,
@@ -60,7 +60,7 @@ GROUP BY host_id, CAST(floor(tick / 200.0) AS BIGINT)
 WITH e AS (
   SELECT user_id % 16 AS host_id, event_type, value,
          CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS k,
-         row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id) AS tick
+         CAST(row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id) AS BIGINT) AS tick
   FROM events)
 SELECT host_id, tick, CAST(1704067200 + 15 * tick AS DOUBLE) AS ts,
   least(value / 250, 1.0) AS l1_anomaly, k / 99 AS l2_anomaly,
@@ -82,8 +82,8 @@ FROM events e LEFT JOIN documents d ON d.doc_id = e.event_id % 200
     "counters": """
 WITH l AS (
   SELECT l_suppkey % 16 AS host_id, CAST(l_quantity AS BIGINT) AS q, CAST(l_linenumber AS BIGINT) AS n,
-         row_number() OVER (PARTITION BY l_suppkey % 16
-           ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS tick
+         CAST(row_number() OVER (PARTITION BY l_suppkey % 16
+           ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS tick
   FROM lineitem)
 SELECT host_id, tick,
   sum(q * 10) OVER w AS packets_recv, sum(q * 8) OVER w AS packets_sent,
@@ -94,8 +94,8 @@ WINDOW w AS (PARTITION BY host_id, CAST(floor(tick / 500.0) AS BIGINT) ORDER BY
 """,
     "traces": """
 SELECT o_custkey % 16 AS host_id, l_orderkey AS trace_id, o_orderdate AS ts,
-       row_number() OVER (PARTITION BY l_orderkey
-         ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS hop_index,
+       CAST(row_number() OVER (PARTITION BY l_orderkey
+         ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS BIGINT) AS hop_index,
        CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_quantity END AS rtt_ms,
        CASE WHEN l_returnflag = 'R' THEN NULL ELSE concat('10.0.', CAST(l_suppkey % 8 AS VARCHAR(8)), '.', CAST(l_linenumber AS VARCHAR(8))) END AS address
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey

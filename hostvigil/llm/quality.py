@@ -160,3 +160,33 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read_table(spark, sf_dir, "documents"))
+
+
+def _oracle() -> str:
+    """DuckDB SQL for the rows of the query."""
+    share = {"word_len": ("word_chars", "n_words"), "symbol_share": ("n_symbols", "word_chars"), "dup_line_share": ("n_dup_lines", "n_lines"), "repeat_share": ("n_repeat_words", "n_words")}
+    m = {k: f"CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / {b} ELSE 0 END" for k, (a, b) in share.items()}
+    long = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, CASE WHEN ({x}) < {LEAST} THEN 0 ELSE CAST(ceil(ln(({x}) / {LEAST}) / {math.log(GAMMA)!r}) AS INT) + 1 END AS bucket FROM s" for k, x in m.items())
+    value = lambda q: f"(CASE WHEN min(bucket) FILTER (WHERE up >= total * {q}) <= 0 THEN 0 ELSE {LEAST} * pow({GAMMA!r}, min(bucket) FILTER (WHERE up >= total * {q}) - 1) * 2 / {1 + GAMMA!r} END)"
+    spread = "CASE measure " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SPREAD.items()) + " END"
+
+    def fences(keys: str) -> str:
+        by = f"{keys}, measure" if keys else "measure"
+        return f"SELECT {by}, any_value(total) AS total, {value(0.75)} + {FENCE} * greatest({value(0.75)} - {value(0.25)}, any_value({spread})) AS top FROM (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS up, sum(n) OVER (PARTITION BY {by}) AS total FROM (SELECT {by}, bucket, count(*) AS n FROM l GROUP BY {by}, bucket)) GROUP BY {by}"
+
+    inside = " AND ".join(f"({x}) <= max(CASE WHEN measure = '{k}' THEN top END)" for k, x in m.items())
+    word = r"[^\x20\x09-\x0D]"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '-') AS lang, coalesce(source, '-') AS source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}+') AS w FROM documents),
+    g AS (SELECT r, i, array_to_string(w[i:i+4], ' ') AS gram FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+    p AS (SELECT r, count(DISTINCT i + k) AS n FROM (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS c FROM g) WHERE c > 1), (SELECT unnest(range(0, 5)) AS k) GROUP BY r),
+    s AS (SELECT d.r, doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+      len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}'))) AS n_lines, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')))) AS n_dup_lines,
+      coalesce(p.n, 0) AS n_repeat_words FROM d LEFT JOIN p ON p.r = d.r),
+    l AS ({long}),
+    a AS (SELECT o.lang, o.source, o.measure, CASE WHEN o.total >= {MIN_ROWS} THEN o.top WHEN b.total >= {MIN_ROWS} THEN b.top ELSE e.top END AS top FROM ({fences("lang, source")}) o JOIN ({fences("lang")}) b ON b.lang = o.lang AND b.measure = o.measure JOIN ({fences("")}) e ON e.measure = o.measure)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND inside AS kept FROM (
+      SELECT any_value(doc_id) AS doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {inside} AS inside
+      FROM s JOIN a ON a.lang = s.lang AND a.source = s.source GROUP BY r, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words)"""
+
+
+ORACLE = _oracle()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hostvigil.llm.bpe import op6_bpe
 from hostvigil.llm.decontaminate import op1_decontamination
 from hostvigil.llm.html_text import op10_html_text
-from hostvigil.llm.quality import op9_quality_rules
+from hostvigil.llm.quality import ORACLE, op9_quality_rules
 from hostvigil.llm.sharding import op5_sharding
 from hostvigil.llm.simhash import op3_simhash
 from hostvigil.llm.suffix_dedup import op7_suffix_dedup
@@ -19,4 +19,4 @@ from hostvigil.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_simhash, op4_toxicity, op5_sharding, op6_bpe, op7_suffix_dedup, op8_suffix_tree_lm, op9_quality_rules, op10_html_text)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_quality_rules": ORACLE}

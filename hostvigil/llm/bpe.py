@@ -208,6 +208,11 @@ class TrieEncoder:
         get = self.pieces.__getitem__
         return [list(map(get, c)) for c in cut]
 
+    def release(self) -> None:
+        """Drop what is kept of pieces: idle worker processes should not hold it."""
+        self.pieces, self.old = {}, {}
+        self.merges.apart.clear()
+
     def decode(self, ids: Iterable[int]) -> str:
         """The file has no decoder: token texts joined by a space."""
         return " ".join(map(self.merges.text.__getitem__, ids))
@@ -272,6 +277,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ids.append(hashlib.sha256(" ".join([x for _, x, _ in pieces]).encode()).hexdigest())
                 decoded.append(hashlib.sha256(" ".join([x for _, _, x in pieces]).encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        enc.release()
 
     return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

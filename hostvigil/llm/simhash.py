@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hostvigil.llm.common import materialize, only, read_table
@@ -211,13 +211,73 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.sort(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)).view(np.int64))
 
 
-def keep_one(docs: DataFrame, size: int = 5, radius: int = 8, similarity: float = 0.8, rounds: int = 3) -> DataFrame:
+def alike_later(ids: np.ndarray, at: np.ndarray, similarity: float, heads: int | None = None) -> np.ndarray:
+    """Which of some shingle sets an earlier one that stays puts out, in order; set i is ids[at[i]:at[i + 1]].
+
+    With `heads` the first `heads` sets all stay and only they put others out; else every set that is still in does.
+    """
+    n, size = len(at) - 1, np.diff(at)
+    word = np.unique(ids, return_inverse=True)[1].astype(np.int64)
+    out, mark = np.zeros(n, bool), np.zeros(int(word.max()) + 1 if len(word) else 0, bool)
+    for i in range(n if heads is None else heads):
+        if out[i]:
+            continue
+        k = i + 1 if heads is None else heads
+        own = word[at[i] : at[i + 1]]
+        mark[own] = True
+        seen = np.concatenate(([0], np.cumsum(mark[word[at[k] :]])))
+        mark[own] = False
+        both = seen[at[k + 1 :] - at[k]] - seen[at[k:-1] - at[k]]
+        either = size[i] + size[k:] - both
+        out[k:] |= np.where(either > 0, both / np.maximum(either, 1), 1.0) >= similarity
+    return out
+
+
+def _flat(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Values and bounds of the column `grams`."""
+    grams = rows.column("grams")
+    grams = grams.combine_chunks() if isinstance(grams, pa.ChunkedArray) else grams
+    return grams.flatten().to_numpy(), np.concatenate(([0], np.cumsum(grams.value_lengths().to_numpy().astype(np.int64))))
+
+
+def _heads(similarity: float):
+    """The documents that stay of each label's block, from rows sorted by label and order."""
+
+    def judge(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, at = _flat(rows)
+        label = rows.column("label").to_numpy()
+        cut = np.flatnonzero(np.diff(label)) + 1
+        stays = np.ones(len(label), bool)
+        for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(label)], strict=True):
+            if e - s > 1:
+                stays[s:e] = ~alike_later(ids[at[s] : at[e]], at[s : e + 1] - at[s], similarity)
+        yield from rows.filter(pa.array(stays)).to_batches()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            label = batch.column("label").to_numpy()
+            whole = int(np.searchsorted(label == label[-1], True))  # the last label may go on
+            if whole or held and held[-1].column("label")[0].as_py() != label[0]:
+                yield from judge(pa.Table.from_batches([*held, batch.slice(0, whole)]))
+                held = []
+            held.append(batch.slice(whole))
+        if held:
+            yield from judge(pa.Table.from_batches(held))
+
+    return run
+
+
+def keep_one(docs: DataFrame, size: int = 5, radius: int = 8, similarity: float = 0.8, block: int = 1 << 20) -> DataFrame:
     """The rows of `docs`, with all their columns, less near copies: one row of each group of copies stays.
 
     Fingerprints at `radius` or fewer bits only propose; a document goes if its text equals an earlier one's or if the
-    Jaccard similarity of its shingles with the document that stays is `similarity` or more. Of a component the
-    smallest (doc_id, hash) stays first; what is not like it goes through the next round, and what is left after
-    `rounds` stays. Null doc_ids come last in a group.
+    Jaccard similarity of its shingles with an earlier document of its component that stays is `similarity` or more
+    (order: doc_id, hash; null doc_ids last). Components run side by side. One of more than `block` shingles is judged
+    block by block: its first open documents among themselves in one task, then the others against those that stay, in
+    parts of about `block` shingles, until none is open.
     """
     text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
@@ -231,19 +291,34 @@ def keep_one(docs: DataFrame, size: int = 5, radius: int = 8, similarity: float
     hashes = F.pandas_udf(lambda texts: pd.Series([shingle_hashes(t, size) for t in texts]), "array<long>")
     texts = docs.select(id_.alias("doc_id"), text_hash.alias("hash"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     grams = texts.join(open_, ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).select("doc_id", "hash", "label", hashes("text").alias("grams"))
+    place, columns, schema = F.struct("doc_id", "hash"), ["doc_id", "hash", "label", "grams"], "doc_id long, hash long, label long, grams array<long>"
+
+    def unlike(heads: pa.Table, rest: pa.Table) -> pa.Table:
+        """The documents of a part of a label that none of the label's heads puts out."""
+        both = pa.concat_tables([heads.select(columns), rest.select(columns).cast(heads.select(columns).schema)])
+        out = alike_later(*_flat(both), similarity, heads.num_rows)
+        return rest.select(columns).filter(pa.array(~out[heads.num_rows :]))
+
     stay = [single]
-    for _ in range(rounds):
+    while True:
         grams = materialize(grams)
-        head = grams.groupBy("label").agg(F.min(F.struct("doc_id", "hash")).alias("h"), F.min_by("grams", F.struct("doc_id", "hash")).alias("g"))
-        both = F.size(F.array_intersect("grams", "g"))
-        alike = F.when(F.size("grams") + F.size("g") > 0, both / (F.size("grams") + F.size("g") - both)).otherwise(1.0) >= similarity
-        judged = materialize(grams.join(head, "label").select("doc_id", "hash", "label", "grams", (F.struct("doc_id", "hash") == F.col("h")).alias("head"), alike.alias("alike")))
-        stay.append(judged.filter("head").select("doc_id", "hash"))
-        grams = judged.filter("NOT head AND NOT alike").select("doc_id", "hash", "label", "grams")
-        if grams.isEmpty():
+        sizes = grams.select("label", "doc_id", "hash", F.size("grams").cast("long").alias("n"))
+        large = materialize(sizes.groupBy("label").agg(F.sum("n").alias("n")).filter(F.col("n") > block).select("label", F.ceil(F.col("n") / block).alias("parts")))
+        if large.isEmpty():
+            stay.append(_in_order(grams).mapInArrow(_heads(similarity), schema).select("doc_id", "hash"))
             break
-    else:
-        stay.append(grams.select("doc_id", "hash"))
+        # the first documents of up to `block` shingles and one more, by salted parts first, so that no task sorts a whole label
+        ahead = sizes.join(F.broadcast(large), "label").withColumn("salt", F.pmod("hash", F.lit(64)))
+        for keys in (["label", "salt"], ["label"]):
+            before = Window.partitionBy(*keys).orderBy("doc_id", "hash").rowsBetween(Window.unboundedPreceding, -1)
+            ahead = ahead.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter(F.col("before") < block)
+        cuts = materialize(ahead.groupBy("label", "parts").agg(F.max(place).alias("cut")))
+        now = grams.join(F.broadcast(cuts), "label", "left")
+        heads = materialize(_in_order(now.filter(F.col("cut").isNull() | (place <= F.col("cut")))).mapInArrow(_heads(similarity), schema))
+        stay.append(heads.select("doc_id", "hash"))
+        rest = now.filter(place > F.col("cut")).select(*columns, F.pmod("hash", "parts").alias("salt"))
+        sent = heads.join(F.broadcast(cuts), "label").select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
+        grams = sent.groupBy("label", "salt").cogroup(rest.groupBy("label", "salt")).applyInArrow(unlike, schema)
     kept = materialize(reduce(DataFrame.unionAll, stay))
     times = marked.groupBy("doc_id", "hash").agg(F.count("*").alias("n"))
     kept = materialize(kept.join(times, ["doc_id", "hash"]).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "n"))
@@ -254,6 +329,10 @@ def keep_one(docs: DataFrame, size: int = 5, radius: int = 8, similarity: float
     return once.unionByName(docs.join(kept.filter("n > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
+def _in_order(grams: DataFrame) -> DataFrame:
+    return grams.select("doc_id", "hash", "label", "grams").repartition(F.col("label")).sortWithinPartitions("label", "doc_id", "hash")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")

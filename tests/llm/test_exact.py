@@ -131,6 +131,51 @@ def test_keep_one_removes_only_near_copies(table, rows):
     assert max(seen.values()) == 1
 
 
+def slow_keep_one(found, texts, size=5):
+    """doc_ids that stay in a plain run: in order of doc_id, less those like an earlier one of their component that stays."""
+    grams = {d: {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} for d, w in ((d, t.split()) for d, t in texts.items())}
+    stays = collections.defaultdict(list)
+    for d in sorted(grams):
+        near = stays[found[d]]
+        if all(len(grams[d] & grams[k]) < 0.8 * len(grams[d] | grams[k]) for k in near):
+            near.append(d)
+    return sorted(d for near in stays.values() for d in near), max(map(len, stays.values()))
+
+
+@pytest.mark.parametrize("block", [1 << 20, 4000])
+def test_keep_one_in_a_family_of_unlike_variants(make, block):
+    """Hundreds of mutually unlike variants of a text, then copies of each variant with the last word changed."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(120)]
+    texts = {}
+    for i in range(300):
+        variant = list(base)
+        for at in rng.sample(range(10, 110), 2):
+            variant[at] = f"x{i}y{at}"
+        texts[i] = " ".join(variant)
+        texts[1000 + i] = " ".join([*variant[:-1], f"z{i}"])
+    texts[5000], texts[5001] = "quite another text of few words", "quite another text of few words"
+    docs = make(list(texts.items()))
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, 5, 8).collect()}
+    want, most = slow_keep_one(found, texts)
+    assert most > 100
+    assert sorted(r.doc_id for r in simhash.keep_one(docs, block=block).collect()) == want
+
+
+def test_alike_later():
+    rng = random.Random(6)
+    sets = [sorted(rng.sample(range(12), rng.randrange(9))) for _ in range(60)]
+    ids, at = np.array([x for s in sets for x in s], np.int64), np.cumsum([0, *map(len, sets)])
+    like = lambda a, b: len({*a} & {*b}) >= 0.6 * len({*a} | {*b})
+    stays = []
+    for i, s in enumerate(sets):
+        if not any(like(s, sets[k]) for k in stays):
+            stays.append(i)
+    assert np.flatnonzero(~simhash.alike_later(ids, at, 0.6)).tolist() == stays
+    got = simhash.alike_later(ids, at, 0.6, 5)
+    assert got.tolist() == [False] * 5 + [any(like(s, sets[k]) for k in range(5)) for s in sets[5:]]
+
+
 # --- sharding
 def test_sharding(table, rows):
     got = by_id(sharding.assign(table, sharding.layout(16)))

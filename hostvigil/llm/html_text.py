@@ -2,7 +2,9 @@
 
 Markup is stripped so that each block of the page becomes a line. A line's weight is its text length, but zero for
 text in containers that hold no article text (menus, headers, footers, sidebars, notices, adverts, forms, reader
-comments), for text outside the page's <article> or <main> where it has one, and for lines that are mostly links. Over
+comments), for text outside the page's <article> or <main> where it has one, and for lines outside of them that are
+mostly links. A container is known by its element, its role or a whole class or id such as 'sidebar' or 'site-footer'
+('no-sidebar' says nothing), but <article> and <main> never go by their names, nor by those of what they stand in. Over
 the lines runs a window of WINDOW lines; where its sum of weights exceeds the page's threshold the text surges, and it
 goes on until a window of weight zero, where it dives. The weighted lines between surges and dives are the text.
 
@@ -28,24 +30,26 @@ SURGE = 60
 SHARE = 0.05
 LINK_SHARE = 0.6
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|itemtype|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+_ATTRIBUTE = re.compile(r"\b(class|id|role|itemtype|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 #: Elements whose content is no text of the page.
 _SILENT = {"script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "select", "option", "button", "title", "canvas", "audio", "video"}
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript")}
-_BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset", "figcaption"}
+_BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 _HEADER = {"header"}
 _MAIN = {"article", "main"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side|aside|widget|menu|nav|navbar|navigation|breadcrumbs?|pager|pagination|footer|foot|header|masthead|topbar|toolbar|"
-    r"cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|related|recommend\w*|comments?|respond|replies|reply|discussion|disqus|tags|copyright|legal|skip|hidden|complementary|contentinfo)(?:$|[\s_-])",
-    re.I,
+_NAMES = (
+    r"ad|ads|adv|advert[^\W_]*|adsense|sponsor[^\W_]*|promo[^\W_]*|banner|sidebar|side|aside|widget|menu|nav|navbar|navigation|breadcrumbs?|pager|pagination|footer|foot|header|masthead|topbar|toolbar|"
+    r"cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|related|recommend[^\W_]*|comments?|respond|replies|reply|discussion|disqus|tags|copyright|legal|skip|hidden|complementary|contentinfo"
 )
-
-
+#: Words that may stand beside a name in one class or id: where it is and what it is made of, never whether the page has it.
+_BESIDE = r"site|page|global|main|primary|secondary|left|right|top|bottom|upper|lower|post|entry|div|area|section|container|wrapper|wrap|box|block|bar|list|form|links?|body|inner|slot|unit|\d+"
+_NAME = re.compile(rf"(?:(?:{_BESIDE})[_-]+)*(?:{_NAMES})(?:[_-]+(?:{_NAMES}|{_BESIDE}))*[_-]*", re.I)
 _COMMENTS = re.compile(r"comment|respond|repl(?:y|ies)|discussion|disqus", re.I)
 _OUT = ("out", "comments")
+#: Elements that hold no article text even if they hold an <article>.
+_CLOSED = ("nav", "aside", "footer", "form")
 
 
 def _kind(tag: str, attributes: str, in_main: bool) -> str:
@@ -54,10 +58,13 @@ def _kind(tag: str, attributes: str, in_main: bool) -> str:
         return "out"
     if tag not in ("html", "body") and attributes:
         for m in _ATTRIBUTE.finditer(attributes):
-            if _NAMES.search(m[2].strip("\"'")):
-                return "comments" if _COMMENTS.search(m[2]) else "out"
-            if m[1].lower() == "role" and m[2].strip("\"'").lower() in ("navigation", "banner", "search", "form", "dialog"):
-                return "out"
+            for name in m[2].strip("\"'").split():
+                if _NAME.fullmatch(name):
+                    kind = "comments" if _COMMENTS.search(name) else "out"
+                    if tag not in _MAIN or (kind == "comments" and in_main):  # an article in an article may be a comment on it
+                        return kind
+                if m[1].lower() == "role" and name.lower() in ("form", "dialog") and tag not in _MAIN:
+                    return "out"
     return "main" if tag in _MAIN else ""
 
 
@@ -70,7 +77,12 @@ def lines(page: str) -> list[tuple[str, int, int, bool, bool]]:
     anchors = at = 0
 
     def state() -> tuple[bool, bool]:
-        return all(k not in _OUT for _, k in stack), any(k == "main" for _, k in stack)
+        ok, main, closed = True, False, False
+        for t, k in stack:  # a container that an <article> stands in, or that was left open before it, doesn't swallow it
+            closed = closed or k == "comments" or (k == "out" and t in _CLOSED)
+            main = main or k == "main"
+            ok = k == "main" or (ok and k != "out")
+        return ok and not closed, main
 
     def flush() -> None:
         t = " ".join("".join(text).split())
@@ -142,8 +154,6 @@ def lines(page: str) -> list[tuple[str, int, int, bool, bool]]:
                 anchors = 0
             continue
         kind = _kind(tag, m[3], state()[1])
-        if kind == "main" and not any(k == "comments" for _, k in stack):  # containers left open don't swallow the article
-            stack = [x for x in stack if x[1] != "out" or x[0] in ("nav", "aside", "footer", "form")]
         if not m[3].rstrip().endswith("/"):
             stack.append((tag, kind))
     flush()
@@ -156,7 +166,7 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     has_main = any(ok and main for _, _, _, ok, main in blocks)
-    weight = np.array([n if ok and (main or not has_main) and link <= LINK_SHARE * n else 0 for _, n, link, ok, main in blocks], np.int64)
+    weight = np.array([n if ok and (main or not has_main) and (main or link <= LINK_SHARE * n) else 0 for _, n, link, ok, main in blocks], np.int64)
     if not weight.any():
         return ""
     n = len(weight)

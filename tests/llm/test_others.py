@@ -167,3 +167,29 @@ def test_pages(spark, sf_dir):
     assert len(got) == pages.count() and all(r.n_chars == len(r.text) for r in got)
     odd = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>long text here</p>" * 3, "x"), (1, "u", "", "x")], "page_id long, url string, html string, text string")
     assert sorted(r.text for r in html_text.extract(odd).collect()) == ["", "", "long text here long text here long text here"]
+
+
+P = "<p>Some words of the article that go on for a while.</p>"
+Q = "Some words of the article that go on for a while."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<article class='post no-sidebar'>{P}</article>", Q),
+        (f"<article class='post tag-legal category-social'>{P}</article>", Q),
+        (f"<article class='sidebar'>{P}</article><div class='sidebar'>Also here</div>", Q),
+        (f"<main id='search'>{P}</main>", Q),
+        (f"<div class='layout with-sidebar'>{P}</div>", Q),
+        (f"<article><section aria-label='Search engines'>{P}</section></article>", Q),
+        (f"<article>{P}<p><a href='x'>A reference that is wholly a link</a></p></article>", f"{Q} A reference that is wholly a link"),
+        (f"<article>{P}<figure><img src='x'><figcaption>What the figure shows</figcaption></figure></article>", f"{Q} What the figure shows"),
+        (f"<div><main><div class='promo'>Buy<article>{P}</article>Buy more</div><p>After it</p></main></div>", f"{Q} After it"),
+        (f"<div>{P}</div><div class='site-footer'>Imprint and all</div><div class='cookie-notice'>We use them</div><ul><li><a href='x'>Elsewhere</a></li></ul>", Q),
+        (f"<article>{P}<article class='comment' id='comment-5'>Nice post</article></article>", Q),
+        (f"<article>{P}</article><div class='comment-list'><article>Nice post</article></div>", Q),
+        (f"<div class='content'>{P}</div><div role='search dialog'>Find</div><div role='form'>Name</div>", Q),
+    ],
+)
+def test_html_containers(page, want):
+    assert html_text.main_text(page) == want

@@ -6,12 +6,15 @@ shared prefixes are encoded once. A token that ends at a node is the last one if
 before it stays apart under the merges; exactly one does. The trie is walked depth first over the sorted words, and only
 the path from the root is held.
 
-Words are what the pre-tokenizer makes of the white-space separated pieces of a text. Each task holds a bounded cache of
-finished pieces; the texts are never shuffled. Null text is encoded as empty; an empty text has no tokens.
+Words are what the pre-tokenizer makes of the white-space separated pieces of a text. Each task holds bounded caches of
+finished words and of pieces; the texts are never shuffled. Null text is encoded as empty; an empty text has no tokens;
+long texts are encoded whole. Every row gives a row, repeated or not; other columns may have any name. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import re
@@ -24,8 +27,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hostvigil.llm.common import only, read_table, row_chunks
 
-#: Pieces in each of a task's two cache generations: when the young one is full it becomes the old one.
-CACHE_PIECES = 120_000
+#: Entries in each of the two generations of a task's caches: when the young one is full it becomes the old one.
+CACHE_PIECES, CACHE_WORDS = 50_000, 150_000
+#: Pairs of tokens of which a worker remembers, from task to task, whether they stay apart.
+CACHE_PAIRS = 300_000
+#: Text encoded at a time, in characters: the more words stand in one trie, the more prefixes they share.
+TRIE_CHARS = 6 << 20
+#: Letters of Unicode versions after 16.0, which the library's pattern doesn't know as letters.
+NEWER_LETTERS = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D),
+    (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DF1, 0x11DF1), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA),
+    (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE),
+    (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+#: Lower-case letters of Unicode 16.0 and 17.0, which the library knows and Python may not know yet.
+NEWER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B, **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}}
+_NEWER_UPPER = re.compile("[" + "".join(map(chr, NEWER_LOWER)) + "]")
+#: Signs that end many pieces; a run of them is one word.
+_SIGNS = ".,;:!?'\"()[]{}<>*#$%&@/\\|+=~^`_-"
 _BASE_RANK = -1
 _NEVER = 1 << 60
 
@@ -97,105 +116,150 @@ class Merges:
                 j += 1
 
 
+def _pattern(text: str) -> regex.Pattern:
+    """The file's pattern with the letters that the library knows."""
+    newer = "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in NEWER_LETTERS)
+    return regex.compile(text.replace(r"[\p{L}]+", rf"[\p{{L}}--[{newer}]]+").replace(r"[^\s\p{L}\p{N}]+", rf"(?:[^\s\p{{L}}\p{{N}}]|[{newer}])+"), regex.V1)
+
+
+class Kept:
+    """A bounded cache of two generations."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+
+    def missing(self, keys: Iterable[str]) -> list[str]:
+        """Those of the keys that the young generation can't be given from the old one."""
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
+        young, old, out = self.young, self.old, []
+        for k in keys:
+            if k not in young:
+                if k in old:
+                    young[k] = old[k]
+                else:
+                    out.append(k)
+        return out
+
+
 class TrieEncoder:
-    """Encodes texts a batch at a time; `show` makes what is kept of a piece from its ids."""
+    """Encodes texts a batch at a time; `show` makes what is kept of a word from its ids, `glue` that of several words."""
 
-    def __init__(self, path: str, show: Callable[[TrieEncoder, tuple[int, ...]], object] = lambda self, ids: ids):
-        self.show = show
+    def __init__(self, path: str, show: Callable[[TrieEncoder, tuple[int, ...]], tuple] = lambda self, ids: ids, glue: Callable[[list], tuple] = lambda parts: sum(parts, ())):
+        self.show, self.glue = show, glue
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.merges = Merges(spec)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         # the pattern of the file's pre-tokenizer; there it is also given as text
-        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.pattern = _pattern(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.space = regex.compile(r"\s+")
-        self.map = str.maketrans({chr(b): c for b, c in enumerate(byte_alphabet())})
-        self.pieces: dict[str, object] = {}
-        self.old: dict[str, object] = {}
+        self.alphabet = "".join(byte_alphabet())
+        self.number = [str(i) for i in range(1 + max(self.merges.text))]
+        #: the pattern for ASCII text
+        self.plain = re.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"))
+        self.release()
+
+    def normal(self, text: str) -> str:
+        """The text as the file's normaliser leaves it, but for white space."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # letters are lowered one by one: no final sigma
+        return text.lower()
 
     def words(self, piece: str) -> list[str]:
-        """Normalised pre-tokens of a piece, in the byte alphabet."""
-        if not piece.isascii():
-            piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")  # letters are lowered one by one: no final sigma
-        piece = piece.lower()
-        found = [piece] if piece.isalpha() else self.pattern.findall(piece)
-        return [w if w.isascii() and w.isprintable() else w.encode("utf-8").decode("latin-1").translate(self.map) for w in found]
+        """Pre-tokens of a normalised piece, in the byte alphabet."""
+        if not piece.isascii() and _NEWER_UPPER.search(piece):  # lowered here, where only new pieces come
+            piece = piece.translate(NEWER_LOWER)
+        core = piece.rstrip(_SIGNS)
+        if core.isalpha():
+            found = [core] if core == piece else [core, piece[len(core) :]]
+        else:
+            found = (self.plain if piece.isascii() else self.pattern).findall(piece)
+        if piece.isascii() and piece.isprintable():
+            return found
+        return [w if w.isascii() and w.isprintable() else codecs.charmap_decode(w.encode("utf-8"), "strict", self.alphabet)[0] for w in found]
 
     def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
         """Depth-first over the trie of the distinct words."""
         m, out = self.merges, {}
-        part_of, apart, end = m.parts.get, m.apart, m.end
+        part_of, apart, end, shift = m.parts.get, m.apart, m.end, len(m.text).bit_length()
         # for each prefix on the path from the root: its last token, where that begins, and where its longest part of a token begins
         lasts, starts, widest, path = [0], [0], [0], ""
         for word in sorted(words):
             size = len(word)
             depth = 0
-            for x, y in zip(path, word[:-1]):
+            for x, y in zip(path, word):
                 if x != y:
                     break
                 depth += 1
+            depth = min(depth, size - 1)
             del lasts[depth + 1 :], starts[depth + 1 :], widest[depth + 1 :]
             k = widest[depth]
+            symbols = word
             for n in range(depth + 1, size + 1):
-                symbols = word[:n] if n < size else word + end  # the last symbol of a word is one of its own
-                token = part_of(symbols[k:])
+                if n == size:  # the last symbol of a word is one of its own
+                    symbols += end
+                    n += len(end)
+                token = part_of(symbols[k:n])
                 while token is None:  # without its last symbol a part is still a part, so it begins no earlier than that of the prefix before
                     k += 1
-                    token = part_of(symbols[k:])
+                    token = part_of(symbols[k:n])
                 at = k
                 while True:
                     if token >= 0:
                         if not at:
                             break
-                        pair = lasts[at] << 32 | token
+                        pair = lasts[at] << shift | token
                         ok = apart.get(pair)
                         if ok is None:
                             ok = apart[pair] = m.stay_apart(lasts[at], token)
                         if ok:
                             break
                     at += 1
-                    token = part_of(symbols[at:])
+                    token = part_of(symbols[at:n])
                 lasts.append(token)
                 starts.append(at)
                 widest.append(k)
             path = word[:-1]
-            ids, n = [], size
+            n = size
+            ids = []
             while n:
                 ids.append(lasts[n])
                 n = starts[n]
-            out[word] = tuple(ids[::-1])
+            ids.reverse()
+            out[word] = tuple(ids)
             lasts.pop()
             starts.pop()
             widest.pop()
         return out
 
-    def _fill(self, texts: list[list[str]]) -> None:
-        if len(self.pieces) > CACHE_PIECES:
-            self.old, self.pieces = self.pieces, {}
-            if len(self.merges.apart) > 4 * CACHE_PIECES:
-                self.merges.apart.clear()
-        pieces, old = self.pieces, self.old
-        split: dict[str, list[str]] = {}
-        for p in {p for t in texts for p in t}:
-            if p not in pieces:
-                if p in old:
-                    pieces[p] = old[p]
-                elif p not in self.special:
-                    split[p] = self.words(p)
-        codes = self.encode_words({w for ws in split.values() for w in ws})
+    def _fill(self, texts: list[list[str]]) -> dict[str, object]:
+        """What is kept of every piece of the texts."""
+        if len(self.merges.apart) > CACHE_PAIRS:
+            self.merges.apart.clear()
+        split = {p: self.words(p) for p in self.pieces.missing({p for t in texts for p in t}) if p not in self.special}
+        new = self.known.missing({w for ws in split.values() for w in ws})
+        pieces, known, show, glue = self.pieces.young, self.known.young, self.show, self.glue
+        for w, ids in self.encode_words(new).items():
+            known[w] = show(self, ids)
         for p, ws in split.items():
-            pieces[p] = self.show(self, codes[ws[0]] if len(ws) == 1 else tuple(i for w in ws for i in codes[w]))
+            pieces[p] = known[ws[0]] if len(ws) == 1 else glue([known[w] for w in ws])
         for s, i in self.special.items():
-            pieces[s] = self.show(self, (i,))
+            pieces[s] = show(self, (i,))
+        return pieces
 
     def _cut(self, text: str) -> list[str]:
-        """White-space separated pieces and special tokens; str.split() also cuts at four controls that are no white space."""
+        """Normalised white-space separated pieces and special tokens; str.split() also cuts at four controls that are no white space."""
         out: list[str] = []
         for part in self.split_special.split(text) if "<|" in text else [text]:
             if part in self.special:
                 out.append(part)
-            elif any(c in part for c in "\x1c\x1d\x1e\x1f"):
+                continue
+            part = self.normal(part)
+            if any(c in part for c in "\x1c\x1d\x1e\x1f"):
                 out += [p for p in self.space.split(part) if p]
             else:
                 out += part.split()
@@ -204,14 +268,12 @@ class TrieEncoder:
     def encode_batch(self, texts: list[str]) -> list[list]:
         """What is kept of each piece of each text: with the default `show`, its token ids."""
         cut = [self._cut(t) for t in texts]
-        self._fill(cut)
-        get = self.pieces.__getitem__
+        get = self._fill(cut).__getitem__
         return [list(map(get, c)) for c in cut]
 
     def release(self) -> None:
         """Drop what is kept of pieces: idle worker processes should not hold it."""
-        self.pieces, self.old = {}, {}
-        self.merges.apart.clear()
+        self.pieces, self.known = Kept(CACHE_PIECES), Kept(CACHE_WORDS)
 
     def decode(self, ids: Iterable[int]) -> str:
         """The file has no decoder: token texts joined by a space."""
@@ -220,7 +282,15 @@ class TrieEncoder:
 
 def counted(encoder: TrieEncoder, ids: tuple[int, ...]) -> tuple[int, str, str]:
     """Number of ids, the ids as text, and the decoded text."""
-    return len(ids), " ".join(map(str, ids)), encoder.decode(ids)
+    return len(ids), " ".join(map(encoder.number.__getitem__, ids)), encoder.decode(ids)
+
+
+def glued(parts: list[tuple[int, str, str]]) -> tuple[int, str, str]:
+    if len(parts) == 2:
+        (n, ids, text), (m, more, rest) = parts
+        return n + m, f"{ids} {more}", f"{text} {rest}"
+    n, ids, decoded = zip(*parts) if parts else ((), (), ())
+    return sum(n), " ".join(ids), " ".join(decoded)
 
 
 _encoders: dict[tuple, TrieEncoder] = {}
@@ -245,7 +315,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in row_chunks(batches):
+        for b in row_chunks(batches, limit=TRIE_CHARS):
             got = enc.encode_batch([t or "" for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([[i for p in t for i in p] for t in got], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -269,13 +339,14 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_tokenizer()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, counted)
-        for b in row_chunks(batches):
+        enc = encoder(path, counted, glued)
+        for b in row_chunks(batches, limit=TRIE_CHARS):
             n, ids, decoded = [], [], []
             for pieces in enc.encode_batch([t or "" for t in b.column("text").to_pylist()]):
-                n.append(sum([k for k, _, _ in pieces]))
-                ids.append(hashlib.sha256(" ".join([x for _, x, _ in pieces]).encode()).hexdigest())
-                decoded.append(hashlib.sha256(" ".join([x for _, _, x in pieces]).encode("utf-8")).hexdigest())
+                size, codes, text = glued(pieces)
+                n.append(size)
+                ids.append(hashlib.sha256(codes.encode()).hexdigest())
+                decoded.append(hashlib.sha256(text.encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         enc.release()
 

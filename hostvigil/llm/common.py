@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Text handed to one numpy or dictionary pass at a time, in characters.
 CHUNK_CHARS = 2 << 20
+#: Rows of a few numbers that may be broadcast (some 50 MB in each executor).
+BROADCAST_ROWS = 1 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +22,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a local one (local mode and tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode a new one if that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -57,6 +61,22 @@ def row_chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int
             yield batch.slice(start)
 
 
+def bounded(table: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it has at most BROADCAST_ROWS rows; else Spark joins it by shuffling."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, with underscores in front where a column (of any case) has one already."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns with fixed types, so that extra or clashing columns of the input never matter."""
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in columns.items()])

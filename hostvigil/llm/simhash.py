@@ -1,18 +1,24 @@
 """SimHash near-duplicates, linked through a Gray-order hierarchical index.
 
-Two fingerprints at `radius` or fewer differing bits agree wholly on two of radius + 2 blocks of bits, so each distinct
-fingerprint is dealt to one group for each pair of blocks (with the default radius, 10 groups on 25 or 26 bits). Inside
-a group the fingerprints stand in Gray order, where neighbours differ in few bits. Upper nodes of the index hold the
-bits that all fingerprints below them share; two nodes that differ in more than `radius` shared bits are pruned with
-everything below, and so are nodes that are linked already. A group gives one edge for each linked fingerprint, never
-its pairs; connected components then run over the distinct fingerprints.
-
-Null text counts as empty (fingerprint zero). Rows with a null doc_id take part; their component is the smallest doc_id
-reached, or null. Repeated rows share a fingerprint. An empty table gives no rows.
+Distinct fingerprints are dealt to groups by some of their bits. Inside a group they stand in Gray order, where
+neighbours differ in few bits. Upper nodes of the index hold the bits that all fingerprints below them share; two nodes
+that differ in more than `radius` shared bits are pruned with everything below, and so are nodes that are linked
+already. A group gives one edge for each linked fingerprint, never its pairs; connected components then run over the
+distinct fingerprints.
+
+For 64-bit fingerprints at few bits (`near_duplicates`) the groups are exact: two at `radius` or fewer differing bits
+agree wholly on two of radius + 2 blocks, so each goes to one group for each pair of blocks. Whole near copies at a
+similarity of 0.8 (`keep_one`) differ in more bits than blocks can be exact for: there fingerprints have 128 bits and
+go to groups by sets of bits (`Bands`) whose width follows the size of the corpus.
+
+Null text counts as empty (fingerprint zero), as long texts are taken whole. Rows with a null doc_id take part; their
+component is the smallest doc_id reached, or null. Repeated rows share a fingerprint. Extra columns may have any name.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import combinations
@@ -24,31 +30,52 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hostvigil.llm.common import materialize, only, read_table
-from hostvigil.llm.graph import components
+from hostvigil.llm.common import bounded, materialize, only, read_table, unused
+from hostvigil.llm.graph import components, stars
 
 SEED = 42
-FANOUT = 8
-#: Pairs of index nodes compared at a time.
-FRONTIER = 1 << 16
+#: Bits of the fingerprints of `keep_one`, unlike codes in a group, and the share of pairs at the similarity asked for that meet.
+WIDE, GROUP, RECALL = 128, 512, 0.97
+#: Rows of a group from which it is dealt to parts.
+LARGEST = 20_000
+#: Codes of a leaf of the index, nodes of an upper node, pairs of nodes compared at a time, and of leaves.
+LEAF, FANOUT, FRONTIER, LEAVES = 32, 8, 4096, 256
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
-_PLACE = (np.arange(8, dtype=np.int64) * 256)[None, :]
+_PLACE = (np.arange(16, dtype=np.int64) * 256)[None, :]
 
 
-def fingerprint(text: str | None, size: int = 3) -> int:
-    """64 majority bits of the XXH64 hashes of all word shingles, as a signed integer."""
+def _majority(digests: np.ndarray) -> np.ndarray:
+    """The bits set in over half the rows of bytes, as bytes."""
+    n, width = digests.shape
+    seen = np.bincount((digests + _PLACE[:, :width]).ravel(), minlength=256 * width).reshape(width, 256)
+    return np.packbits((2 * (seen @ _BITS) > n).ravel(), bitorder="little")
+
+
+def _shingles(text: str | None, size: int) -> list[bytes]:
+    """All word shingles, repeats included; a shorter text is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - size + 1)
+    return [joined[a:b] for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)]
+
+
+def fingerprint(text: str | None, size: int = 3) -> int:
+    """64 majority bits of the XXH64 hashes of all word shingles, as a signed integer."""
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)), np.uint64, n)
-    seen = np.bincount((h.view(np.uint8).reshape(n, 8) + _PLACE).ravel(), minlength=2048).reshape(8, 256)
-    majority = (2 * (seen @ _BITS) > n).astype(np.uint8)
-    return int(np.packbits(majority.ravel(), bitorder="little").view(np.int64)[0])
+    h = np.array([digest(x, SEED) for x in _shingles(text, size)], np.uint64)
+    return int(_majority(h.view(np.uint8).reshape(-1, 8)).view(np.int64)[0]) if len(h) else 0
+
+
+def wide_fingerprint(text: str | None, size: int) -> tuple[int, int]:
+    """128 majority bits of the XXH3 hashes of all word shingles, as two signed integers."""
+    digest = xxhash.xxh3_128_digest
+    h = b"".join([digest(x, SEED) for x in _shingles(text, size)])
+    hi, lo = _majority(np.frombuffer(h, np.uint8).reshape(-1, 16)).view(np.int64).tolist() if h else (0, 0)
+    return hi, lo
 
 
 def fingerprint_column(text: Column, size: int) -> Column:
@@ -56,15 +83,35 @@ def fingerprint_column(text: Column, size: int) -> Column:
     return run(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def gray_rank(code: Column) -> Column:
-    """Place of a bit pattern in the Gray sequence: the exclusive or of all its right shifts."""
-    for k in (1, 2, 4, 8, 16, 32):
-        code = code.bitwiseXOR(F.shiftrightunsigned(code, k))
-    return code
+def wide_fingerprint_column(text: Column, size: int) -> Column:
+    run = F.pandas_udf(lambda texts: pd.DataFrame([wide_fingerprint(t, size) for t in texts], columns=["hi", "lo"], dtype="int64"), "hi long, lo long").asNondeterministic()
+    return run(F.coalesce(text.cast("string"), F.lit("")))
+
+
+class Bands:
+    """Which bits of a WIDE-bit code make a group key: `count` sets of `width` bits each.
+
+    Two codes of texts of similarity SIMILAR differ in a bit with chance acos(2 s / (1 + s)) / pi; the number of sets is
+    such that the two share a key with chance RECALL. The width follows the number of codes, so that a group holds about
+    GROUP codes that have nothing else in common, however large the corpus.
+    """
+
+    def __init__(self, n_codes: int, similarity: float):
+        differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+        self.width = min(48, max(4, math.ceil(math.log2(max(1, n_codes) / GROUP))))
+        self.count = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - differ) ** self.width))
+        rng = np.random.default_rng(SEED)
+        self.sets = [np.sort(rng.permutation(WIDE)[: self.width]) for _ in range(self.count)]
+
+    def keys(self, hi: np.ndarray, lo: np.ndarray) -> Iterator[np.ndarray]:
+        """The group keys of all codes, band by band."""
+        bits = np.unpackbits(np.stack([hi, lo], 1).view(np.uint8).reshape(len(hi), 16), axis=1, bitorder="little").astype(np.int64)
+        for band, at in enumerate(self.sets):
+            yield (bits[:, at] << np.arange(self.width)).sum(1) * self.count + band
 
 
 def block_keys(code: Column, radius: int) -> Column:
-    """One key for each pair of radius + 2 blocks of bits."""
+    """One key for each pair of radius + 2 blocks of a long code: exact for the radius."""
     edges = [64 * i // (radius + 2) for i in range(radius + 3)]
     block = [F.shiftrightunsigned(code, a).bitwiseAND(F.lit((1 << b - a) - 1)) for a, b in zip(edges, edges[1:])]
     width = max(b - a for a, b in zip(edges, edges[1:]))
@@ -72,116 +119,181 @@ def block_keys(code: Column, radius: int) -> Column:
     return F.array(*keys)
 
 
-class _Sets:
-    """Union-find over small integers."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-    def join(self, pairs: Iterable[tuple[int, int]]) -> None:
-        for a, b in pairs:
-            a, b = self.find(a), self.find(b)
-            self.up[max(a, b)] = min(a, b)
-
-
-def link_group(codes: np.ndarray, radius: int) -> np.ndarray:
-    """Position of the first member of each fingerprint's component, for distinct uint64 codes in Gray order."""
-    n = len(codes)
-    if n == 2:
-        return np.array([0, 0 if int(np.bitwise_count(codes[0] ^ codes[1])) <= radius else 1])
-    # neighbours in Gray order first: runs of them are one component each
-    label = np.concatenate(([0], np.cumsum(np.bitwise_count(codes[1:] ^ codes[:-1]) > radius)))
-    sets = _Sets(int(label[-1]) + 1)
-    # levels of (pattern, mask of the bits that all below share), from the fingerprints up to one root
-    levels = [(codes, np.full(n, np.uint64(0xFFFFFFFFFFFFFFFF)))]
-    low = high = codes
-    while len(low) > 1:
-        at = np.arange(0, len(low), FANOUT)
-        low, high = np.bitwise_and.reduceat(low, at), np.bitwise_or.reduceat(high, at)
-        levels.append((low, ~(low ^ high)))
-
-    def spans() -> list[tuple[np.ndarray, np.ndarray]]:
-        """Least and largest component below each node: if equal, all of it is linked."""
-        roots = np.array([sets.find(x) for x in range(len(sets.up))])[label]
-        out = [(roots, roots)]
-        for _ in levels[1:]:
-            a, b = out[-1]
-            at = np.arange(0, len(a), FANOUT)
-            out.append((np.minimum.reduceat(a, at), np.maximum.reduceat(b, at)))
-        return out
-
-    known = spans()
+def gray_rank(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of bit patterns in the Gray sequence: the exclusive or of all their right shifts."""
+    hi, lo = hi.copy(), lo.copy()
+    for k in (1, 2, 4, 8, 16, 32):
+        hi ^= hi >> np.uint64(k)
+        lo ^= lo >> np.uint64(k)
+    return hi, lo ^ (np.uint64(0) - (hi & np.uint64(1)))  # the parity of the upper half goes on into the lower one
+
+
+def _differ(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], mask: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    x, y = a[0] ^ b[0], a[1] ^ b[1]
+    if mask is not None:
+        x, y = x & mask[0], y & mask[1]
+    return np.bitwise_count(x).astype(np.int64) + np.bitwise_count(y)
+
+
+def link_group(hi: np.ndarray, lo: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places, enough to connect every component of distinct codes in Gray order at `radius` or fewer bits."""
+    n = len(hi)
+    near = np.flatnonzero(_differ((hi[1:], lo[1:]), (hi[:-1], lo[:-1])) <= radius)
+    found = [(near, near + 1)]
+    label = np.arange(n)
+    label[1:][near] = -1
+    label = np.maximum.accumulate(label)  # runs of neighbours in Gray order are one component each
+    if label[-1] == 0:
+        return found[0]
+    # levels of the index: (pattern, mask of the bits that all below share), from leaves of LEAF codes up to one root
+    starts = np.arange(0, n, LEAF)
+    low = [np.bitwise_and.reduceat(x, starts) for x in (hi, lo)]
+    high = [np.bitwise_or.reduceat(x, starts) for x in (hi, lo)]
+    levels = [(low, [~(x ^ y) for x, y in zip(low, high)])]
+    while len(low[0]) > 1:
+        at = np.arange(0, len(low[0]), FANOUT)
+        low, high = [np.bitwise_and.reduceat(x, at) for x in low], [np.bitwise_or.reduceat(x, at) for x in high]
+        levels.append((low, [~(x ^ y) for x, y in zip(low, high)]))
+
+    def one_label(k: int) -> np.ndarray:
+        """The label of each node of a level if all below it has one, else -1 less the node's number."""
+        at = starts if k == 0 else np.arange(0, n, LEAF * FANOUT**k)
+        least, most = np.minimum.reduceat(label, at), np.maximum.reduceat(label, at)
+        return np.where(least == most, least, -1 - np.arange(len(at)))
+
     stack = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         k, i, j = stack.pop()
-        if len(i) > FRONTIER:
-            half = len(i) // 2
-            stack += [(k, i[half:], j[half:]), (k, i[:half], j[:half])]
+        if k and len(i) > FRONTIER:
+            stack += [(k, i[FRONTIER:], j[FRONTIER:]), (k, i[:FRONTIER], j[:FRONTIER])]
             continue
-        pattern, mask = levels[k]
-        a, b = known[k]
-        open_ = ~((a[i] == b[i]) & (a[j] == b[j]) & (a[i] == a[j]))
-        i, j = i[open_], j[open_]
-        near = np.bitwise_count((pattern[i] ^ pattern[j]) & mask[i] & mask[j]) <= radius
-        i, j = i[near], j[near]
+        (p, q), (m, w) = levels[k]
+        whole = one_label(k)
+        some = (_differ((p[i], q[i]), (p[j], q[j]), (m[i] & m[j], w[i] & w[j])) <= radius) & ~((whole[i] == whole[j]) & (whole[i] >= 0))
+        i, j = i[some], j[some]
         if not len(i):
             continue
-        if k == 0:
-            pairs = np.unique(np.stack([known[0][0][i], known[0][0][j]], 1), axis=0)
-            sets.join(map(tuple, pairs.tolist()))
-            known = spans()
+        if k:
+            below = len(levels[k - 1][0][0])
+            step = np.arange(FANOUT)
+            ci = np.broadcast_to(i[:, None, None] * FANOUT + step[None, :, None], (len(i), FANOUT, FANOUT)).ravel()
+            cj = np.broadcast_to(j[:, None, None] * FANOUT + step[None, None, :], (len(i), FANOUT, FANOUT)).ravel()
+            inside = (ci <= cj) & (cj < below)
+            stack.append((k - 1, ci[inside], cj[inside]))
             continue
-        below = len(levels[k - 1][0])
-        step = np.arange(FANOUT)
-        ci = (i[:, None, None] * FANOUT + step[None, :, None] + 0 * step[None, None, :]).ravel()
-        cj = (j[:, None, None] * FANOUT + 0 * step[None, :, None] + step[None, None, :]).ravel()
-        inside = (ci < below) & (cj < below) & ((ci < cj) if k == 1 else (ci <= cj))
-        stack.append((k - 1, ci[inside], cj[inside]))
-    roots = known[0][0]
-    _, first, back = np.unique(roots, return_index=True, return_inverse=True)
-    return first[back]
-
-
-def _edges(radius: int):
-    """Edges (a, b) from sorted rows of (key, code): each linked fingerprint to the first of its component in the group."""
-
-    def flush(key: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
-        cut = np.flatnonzero(np.diff(key)) + 1
+        for s in range(0, len(i), LEAVES):
+            ci = np.broadcast_to(i[s : s + LEAVES, None, None] * LEAF + np.arange(LEAF)[None, :, None], (len(i[s : s + LEAVES]), LEAF, LEAF))
+            cj = np.broadcast_to(j[s : s + LEAVES, None, None] * LEAF + np.arange(LEAF)[None, None, :], ci.shape)
+            a, b = np.minimum(ci, n - 1), np.minimum(cj, n - 1)
+            at = np.flatnonzero(((_differ((hi[a], lo[a]), (hi[b], lo[b])) <= radius) & (ci < cj) & (cj < n) & (label[a] != label[b])).ravel())
+            if len(at):
+                x, y = a.ravel()[at], b.ravel()[at]
+                child, root = stars(label[x], label[y])
+                found.append((x, y))
+                to = np.arange(n)
+                to[child] = root
+                label = to[label]
+    a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+    return a, b
+
+
+_ROWS = "key long, hi long, lo long, node long"
+_LINKS = "key long, hi long, lo long, node long, a long, b long"
+
+
+def _link(radius: int):
+    """Edges (a, b) between nodes, and the first code of each component (key, hi, lo, node) of salted groups, from rows of
+    (key, hi, lo, node, salt) with those of a group together."""
+
+    def flush(rows: pa.Table) -> pa.RecordBatch:
+        key, salt, node = (rows.column(c).to_numpy() for c in ("key", "salt", "node"))
+        hi, lo = (rows.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo"))
+        cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(salt) != 0)) + 1
         start, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(key)]))
-        a, b = [], []
-        for s, e in zip(start[end - start > 1].tolist(), end[end - start > 1].tolist(), strict=True):
-            first = link_group(code[s:e], radius)
-            linked = np.flatnonzero(first != np.arange(e - s))
-            a.append(code[s:e][linked])
-            b.append(code[s:e][first[linked]])
-        join = lambda x: pa.array(np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64))
-        return pa.RecordBatch.from_arrays([join(a), join(b)], ["a", "b"])
+        rank = gray_rank(hi, lo)
+        a, b, heads = [], [], []
+        for s, e in zip(start.tolist(), end.tolist(), strict=True):
+            if e - s == 1:
+                if salt[s] >= 0:
+                    heads.append([s])
+                continue
+            order = s + np.lexsort((rank[1][s:e], rank[0][s:e]))
+            x, y = stars(*(order[z] for z in link_group(hi[order], lo[order], radius)))
+            a.append(x)
+            b.append(y)
+            if salt[s] >= 0:
+                heads.append(np.setdiff1d(np.arange(s, e), x))
+        join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
+        a, b, heads = join(a), join(b), join(heads)
+        first = [pa.array(np.concatenate((v[heads].view(np.int64), np.zeros(len(a), np.int64))), mask=np.arange(len(heads) + len(a)) >= len(heads)) for v in (key, hi, lo, node)]
+        pair = [pa.array(np.concatenate((np.zeros(len(heads), np.int64), node[v])), mask=np.arange(len(heads) + len(a)) < len(heads)) for v in (a, b)]
+        return pa.RecordBatch.from_arrays([*first, *pair], ["key", "hi", "lo", "node", "a", "b"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, code = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            key = np.concatenate((key, batch.column("key").to_numpy()))
-            code = np.concatenate((code, batch.column("code").to_numpy().view(np.uint64)))
-            whole = int(np.searchsorted(key == key[-1], True)) if len(key) else 0  # the last group may go on
-            if whole:
-                yield flush(key[:whole], code[:whole])
-                key, code = key[whole:], code[whole:]
-        if len(key):
-            yield flush(key, code)
+            if not len(batch):
+                continue
+            key, salt = batch.column("key").to_numpy(), batch.column("salt").to_numpy()
+            last = np.flatnonzero((key != key[-1]) | (salt != salt[-1]))
+            whole = int(last[-1]) + 1 if len(last) else 0  # the last group may go on
+            if whole or held and (held[-1].column("key")[0].as_py(), held[-1].column("salt")[0].as_py()) != (key[0], salt[0]):
+                yield flush(pa.Table.from_batches([*held, batch.slice(0, whole)]).combine_chunks())
+                held = []
+            held.append(batch.slice(whole))
+        if held:
+            yield flush(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
-def linked(codes: DataFrame, radius: int = 3) -> DataFrame:
+def _grouped(rows: DataFrame, radius: int) -> DataFrame:
+    dealt = rows.repartition("key", "salt").sortWithinPartitions("key", "salt")
+    return dealt.select("key", "hi", "lo", "node", "salt").mapInArrow(_link(radius), _LINKS)
+
+
+def linked(rows: DataFrame, radius: int, limit: int = LARGEST) -> DataFrame:
+    """Edges (a, b) that connect the nodes at `radius` or fewer bits within each group of rows (key, hi, lo, node).
+
+    A group of more than `limit` rows (many unlike copies of one text) is dealt to salted parts of about that size; each
+    part links its own rows, and then the first of each component stand for it in the group, until that fits as well or
+    shrinks no more. Links between other members of two parts are left to the other groups that the rows are in.
+    """
+    rows = materialize(rows)
+    edges: list[DataFrame] = []
+    size: int | None = None
+    while True:
+        large = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > limit))
+        now = large.agg(F.sum("n").alias("n")).first()["n"] or 0  # one number
+        if not now or (size is not None and now > 0.8 * size):
+            edges.append(_grouped(rows.withColumn("salt", F.lit(-1).cast("long")), radius).select("a", "b"))
+            break
+        size = now
+        salt = F.when(F.col("n").isNull(), -1).otherwise(F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("n") / limit))).cast("long")
+        found = materialize(_grouped(rows.join(bounded(large), "key", "left").withColumn("salt", salt), radius))
+        edges.append(found.filter("a IS NOT NULL").select("a", "b"))
+        rows = found.filter("key IS NOT NULL").select("key", "hi", "lo", "node")
+    return reduce(DataFrame.unionAll, edges)
+
+
+def exact_links(codes: DataFrame, radius: int) -> DataFrame:
     """Edges (a, b) between the distinct long fingerprints of column `code`, enough to connect every component."""
-    rows = codes.select("code", F.explode(block_keys(F.col("code"), radius)).alias("key"))
-    dealt = rows.repartition(F.col("key")).sortWithinPartitions("key", gray_rank(F.col("code")))
-    return dealt.select("key", "code").mapInArrow(_edges(radius), "a long, b long").distinct()
+    return linked(codes.select(F.explode(block_keys(F.col("code"), radius)).alias("key"), F.col("code").alias("hi"), F.lit(0).cast("long").alias("lo"), F.col("code").alias("node")), radius, 1 << 62)
+
+
+def likely_links(codes: DataFrame, similarity: float, limit: int = LARGEST) -> DataFrame:
+    """Edges (a, b) between the nodes of (node, hi, lo), by Bands: all pairs of texts of `similarity` or more but for one in 20 or so."""
+    bands = Bands(codes.count(), similarity)
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    radius = round(WIDE * differ + 1.7 * math.sqrt(WIDE * differ * (1 - differ)))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hi, lo = (b.column(c).to_numpy() for c in ("hi", "lo"))
+            for key in bands.keys(hi, lo):
+                yield pa.RecordBatch.from_arrays([pa.array(key), b.column("hi"), b.column("lo"), b.column("node")], ["key", "hi", "lo", "node"])
+
+    return linked(codes.select("hi", "lo", "node").mapInArrow(run, _ROWS), radius, limit)
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
@@ -198,7 +310,7 @@ def classes(marked: DataFrame, radius: int) -> DataFrame:
 def code_components(marked: DataFrame, radius: int) -> DataFrame:
     """code and component_id (smallest doc_id reachable) of every distinct fingerprint."""
     codes = materialize(marked.groupBy("code").agg(F.min("doc_id").alias("least")))
-    found = components(linked(codes, radius))
+    found = components(exact_links(codes, radius))
     whole = codes.join(found, F.col("code") == F.col("node"), "left").select("code", "least", F.coalesce("label", "code").alias("label"))
     ids = whole.groupBy("label").agg(F.min("least").alias("component_id"))
     return materialize(whole.join(ids, "label").select("code", "component_id", "label"))
@@ -206,8 +318,7 @@ def code_components(marked: DataFrame, radius: int) -> DataFrame:
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    grams = {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else ()
+    grams = set(_shingles(text, size))
     return np.sort(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)).view(np.int64))
 
 
@@ -270,27 +381,30 @@ def _heads(similarity: float):
     return run
 
 
-def keep_one(docs: DataFrame, size: int = 5, radius: int = 8, similarity: float = 0.8, block: int = 1 << 20) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, block: int = 1 << 20) -> DataFrame:
     """The rows of `docs`, with all their columns, less near copies: one row of each group of copies stays.
 
-    Fingerprints at `radius` or fewer bits only propose; a document goes if its text equals an earlier one's or if the
-    Jaccard similarity of its shingles with an earlier document of its component that stays is `similarity` or more
-    (order: doc_id, hash; null doc_ids last). Components run side by side. One of more than `block` shingles is judged
-    block by block: its first open documents among themselves in one task, then the others against those that stay, in
-    parts of about `block` shingles, until none is open.
+    Fingerprints only propose; a document goes if its text equals an earlier one's or if the Jaccard similarity of its
+    shingles with an earlier document of its component that stays is `similarity` or more (order: doc_id, hash; null
+    doc_ids last). Components run side by side. One of more than `block` shingles is judged block by block: its first
+    open documents among themselves in one task, then the others against those that stay, in parts of about `block`
+    shingles, until none is open.
+
+    Null text counts as empty; all empty texts are copies of each other. Of wholly repeated rows one stays.
     """
-    text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    code = fingerprint_column(F.col("text"), size)
-    marked = materialize(docs.select(id_.alias("doc_id"), text_hash.alias("hash"), code.alias("code")))
-    first = materialize(marked.groupBy("code", "hash").agg(F.min("doc_id").alias("doc_id")))  # equal texts are one
-    named = first.join(code_components(first, radius), "code").select("doc_id", "hash", "label")
-    several = named.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1").select("label")
-    open_ = materialize(named.join(several, "label"))
-    single = named.join(several, "label", "left_anti").select("doc_id", "hash")
+    id_, hash_ = unused(docs.columns, "doc", "text_hash")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), text.alias("text"))
+    keys = keys.withColumn("hash", F.xxhash64("text"))
+    code = keys.select("doc_id", "hash", wide_fingerprint_column(F.col("text"), size).alias("code"))
+    marked = materialize(code.select("doc_id", "hash", "code.hi", "code.lo", F.xxhash64("code.hi", "code.lo").alias("node")))
+    first = materialize(marked.groupBy("node", "hi", "lo", "hash").agg(F.min("doc_id").alias("doc_id")))  # equal texts are one
+    found = components(likely_links(materialize(first.select("node", "hi", "lo").distinct()), similarity))
+    twins = first.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node", F.col("node").alias("label"))
+    named = found.union(twins.join(found, "node", "left_anti"))  # a code of several texts is a component too
+    open_ = materialize(first.join(bounded(materialize(named)), "node").select("doc_id", "hash", "label"))
     hashes = F.pandas_udf(lambda texts: pd.Series([shingle_hashes(t, size) for t in texts]), "array<long>")
-    texts = docs.select(id_.alias("doc_id"), text_hash.alias("hash"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    grams = texts.join(open_, ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).select("doc_id", "hash", "label", hashes("text").alias("grams"))
+    grams = keys.join(bounded(open_), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).select("doc_id", "hash", "label", hashes("text").alias("grams"))
     place, columns, schema = F.struct("doc_id", "hash"), ["doc_id", "hash", "label", "grams"], "doc_id long, hash long, label long, grams array<long>"
 
     def unlike(heads: pa.Table, rest: pa.Table) -> pa.Table:
@@ -299,7 +413,7 @@ def keep_one(docs: DataFrame, size: int = 5, radius: int = 8, similarity: float
         out = alike_later(*_flat(both), similarity, heads.num_rows)
         return rest.select(columns).filter(pa.array(~out[heads.num_rows :]))
 
-    stay = [single]
+    stay: list[DataFrame] = []
     while True:
         grams = materialize(grams)
         sizes = grams.select("label", "doc_id", "hash", F.size("grams").cast("long").alias("n"))
@@ -308,25 +422,31 @@ def keep_one(docs: DataFrame, size: int = 5, radius: int = 8, similarity: float
             stay.append(_in_order(grams).mapInArrow(_heads(similarity), schema).select("doc_id", "hash"))
             break
         # the first documents of up to `block` shingles and one more, by salted parts first, so that no task sorts a whole label
-        ahead = sizes.join(F.broadcast(large), "label").withColumn("salt", F.pmod("hash", F.lit(64)))
-        for keys in (["label", "salt"], ["label"]):
-            before = Window.partitionBy(*keys).orderBy("doc_id", "hash").rowsBetween(Window.unboundedPreceding, -1)
+        ahead = sizes.join(bounded(large), "label").withColumn("salt", F.pmod("hash", F.lit(64)))
+        for by in (["label", "salt"], ["label"]):
+            before = Window.partitionBy(*by).orderBy("doc_id", "hash").rowsBetween(Window.unboundedPreceding, -1)
             ahead = ahead.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter(F.col("before") < block)
         cuts = materialize(ahead.groupBy("label", "parts").agg(F.max(place).alias("cut")))
-        now = grams.join(F.broadcast(cuts), "label", "left")
+        now = grams.join(bounded(cuts), "label", "left")
         heads = materialize(_in_order(now.filter(F.col("cut").isNull() | (place <= F.col("cut")))).mapInArrow(_heads(similarity), schema))
         stay.append(heads.select("doc_id", "hash"))
         rest = now.filter(place > F.col("cut")).select(*columns, F.pmod("hash", "parts").alias("salt"))
-        sent = heads.join(F.broadcast(cuts), "label").select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
+        sent = heads.join(bounded(cuts), "label").select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
         grams = sent.groupBy("label", "salt").cogroup(rest.groupBy("label", "salt")).applyInArrow(unlike, schema)
     kept = materialize(reduce(DataFrame.unionAll, stay))
     times = marked.groupBy("doc_id", "hash").agg(F.count("*").alias("n"))
-    kept = materialize(kept.join(times, ["doc_id", "hash"]).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "n"))
-    same = (id_ == F.col("_id")) & (text_hash == F.col("_hash"))
-    once = docs.join(kept.filter("n = 1"), same, "left_semi")
-    if kept.filter("n > 1").isEmpty():
-        return once
-    return once.unionByName(docs.join(kept.filter("n > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    copies = times.join(first.select("doc_id", "hash"), ["doc_id", "hash"], "left_anti")
+    unlike_none = open_.select("doc_id", "hash").join(kept, ["doc_id", "hash"], "left_anti")
+    gone = materialize(copies.select("doc_id", "hash").union(unlike_none).toDF(id_, hash_))
+    # the texts stay where they are as long as what goes can be broadcast
+    narrow = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), hash_: F.xxhash64(text)})
+    left = narrow.join(bounded(gone), [id_, hash_], "left_anti")
+    again = materialize(times.filter("n > 1").select(F.col("doc_id").alias(id_), F.col("hash").alias(hash_)))
+    if again.isEmpty():
+        return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+    once = left.join(bounded(again), [id_, hash_], "left_anti")
+    repeated = left.join(bounded(again), [id_, hash_], "left_semi").dropDuplicates([id_, hash_])
+    return once.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _in_order(grams: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from hostvigil.llm import bpe, quality, sharding, simhash, suffix_dedup, suffix_tree_lm
+from hostvigil.llm import bpe, graph, quality, sharding, simhash, suffix_dedup, suffix_tree_lm
 from tests.llm.conftest import EDGE
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -93,14 +93,65 @@ def test_index_links_what_brute_force_links(radius):
             x ^= 1 << rng.randrange(64)
         codes.add(x)
 
+    hi = np.array(sorted(codes), np.uint64)
+    lo = np.zeros(len(hi), np.uint64)
+    order = np.lexsort(simhash.gray_rank(hi, lo)[::-1])
+    hi = hi[order]
+    a, b = simhash.link_group(hi, lo, radius)
+    near = np.bitwise_count(hi[a] ^ hi[b]) <= radius
+    assert near.all()
+    x, y = graph.stars(a, b)
+    first = np.arange(len(hi))
+    first[x] = y
+    assert first.tolist() == slow_components(range(len(hi)), hi.tolist(), radius)
+
+
+def test_gray_rank_of_wide_codes():
+    rng = random.Random(1)
+    codes = [rng.getrandbits(128) for _ in range(50)]
+
     def rank(x):
-        for k in (1, 2, 4, 8, 16, 32):
+        for k in (1, 2, 4, 8, 16, 32, 64):
             x ^= x >> k
         return x
 
-    codes = sorted(codes, key=rank)
-    first = simhash.link_group(np.array(codes, np.uint64), radius)
-    assert [codes[i] for i in first] == [codes[i] for i in slow_components(range(len(codes)), codes, radius)]
+    hi, lo = np.array([x >> 64 for x in codes], np.uint64), np.array([x & 2**64 - 1 for x in codes], np.uint64)
+    a, b = simhash.gray_rank(hi, lo)
+    assert [int(x) << 64 | int(y) for x, y in zip(a, b)] == [rank(x) for x in codes]
+
+
+@pytest.mark.parametrize("limit", [20_000, 40])
+def test_likely_links_find_near_texts(spark, limit):
+    """A tight cluster of several hundred codes and many unlike ones: one component, also if its groups are dealt to parts."""
+    rng = random.Random(3)
+    center = rng.getrandbits(128)
+    codes = {center ^ sum(1 << b for b in rng.sample(range(128), rng.randint(0, 9))) for _ in range(400)}
+    far = {rng.getrandbits(128) for _ in range(400)}
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    rows = [(k, signed(c >> 64), signed(c & 2**64 - 1)) for k, c in enumerate([*codes, *far])]
+    found = graph.components(simhash.likely_links(spark.createDataFrame(rows, "node long, hi long, lo long"), 0.8, limit))
+    label = {r["node"]: r["label"] for r in found.collect()}
+    assert set(label) == set(range(len(codes))) and len(set(label.values())) == 1
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(1400)] + [(5000 + k, 5001 + k) for k in range(300)] + [(9000 - k, 9000) for k in range(1, 200)]
+    up = {x: x for e in edges for x in e}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for x, y in edges:
+        up[find(x)] = find(y)
+    found = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
+    assert set(found) == {x for e in edges if e[0] != e[1] for x in e}
+    groups = collections.defaultdict(set)
+    for x, label in found.items():
+        groups[find(x)].add(label)
+    assert all(len(g) == 1 for g in groups.values()) and len({*map(min, groups.values())}) == len(groups)
 
 
 def slow_likeness(a, b, size=5):

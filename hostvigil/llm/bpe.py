@@ -45,7 +45,6 @@ NEWER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0x
 _NEWER_UPPER = re.compile("[" + "".join(map(chr, NEWER_LOWER)) + "]")
 #: Signs that end many pieces; a run of them is one word.
 _SIGNS = ".,;:!?'\"()[]{}<>*#$%&@/\\|+=~^`_-"
-_BASE_RANK = -1
 _NEVER = 1 << 60
 
 
@@ -160,7 +159,7 @@ class TrieEncoder:
         self.alphabet = "".join(byte_alphabet())
         self.number = [str(i) for i in range(1 + max(self.merges.text))]
         #: the pattern for ASCII text
-        self.plain = re.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"))
+        self.plain = re.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9").replace(r"\s", r" \t\n\r\x0b\x0c"))
         self.release()
 
     def normal(self, text: str) -> str:

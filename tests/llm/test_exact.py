@@ -300,6 +300,14 @@ def test_bpe_on_random_words(library):
     assert [[i for p in t for i in p] for t in enc.encode_batch(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_bpe_on_every_code_point(library):
+    enc = bpe.encoder(bpe.default_tokenizer())
+    texts = [f"a{chr(c)}b1" for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x20000 or c % 7 == 0 or 0x32300 < c < 0x33500)]
+    for s in range(0, len(texts), 20_000):
+        part = texts[s : s + 20_000]
+        assert [[i for p in t for i in p] for t in enc.encode_batch(part)] == [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
+
+
 # --- substring dedup
 def slow_dedup(docs, size=50):
     first = {}

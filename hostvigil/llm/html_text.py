@@ -1,16 +1,21 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped so that each block of the page becomes a line. A line's weight is its text length, but zero for
-text in containers that hold no article text (menus, headers, footers, sidebars, notices, adverts, forms, reader
-comments), for text outside the page's <article> or <main> where it has one, and for lines outside of them that are
-mostly links. A container is known by its element, its role or a whole class or id such as 'sidebar' or 'site-footer'
-('no-sidebar' says nothing), but <article> and <main> never go by their names, nor by those of what they stand in. Over
-the lines runs a window of WINDOW lines; where its sum of weights exceeds the page's threshold the text surges, and it
-goes on until a window of weight zero, where it dives. The weighted lines between surges and dives are the text.
-
-The threshold is SHARE of the heaviest window (SURGE at most), so short articles pass too. Character references are
-decoded, white space inside a block becomes one space, and blocks are joined by one space; nothing else is dropped.
-Null html gives an empty text. Each row is a page of its own, repeated or not; an empty table gives no rows.
+Markup is stripped so that each block of the page becomes a line, and over the lines runs a window of WINDOW lines.
+Where the window's sum of weights exceeds the page's threshold the text surges, and it goes on until a window of weight
+zero, where it dives. The weighted lines between surges and dives are the text.
+
+A line weighs its length. Structure only changes weights: lines of the page's <article> or <main> weigh SURGE more, so
+that its short lines surge too; text in containers that hold no article text (menus, headers, footers, sidebars,
+notices, adverts, forms, reader comments) weighs nothing, nor does text outside of <article> or <main> on pages that
+have one, nor lines elsewhere that are mostly links. A container is known by its element, its role or a whole class or
+id such as 'sidebar' or 'site-footer' ('no-sidebar' says nothing). <article> and <main> never go by their names, nor by
+those of what they stand in; inside of them paragraphs, headings, captions and the like go by names of adverts and
+comments only. The threshold is SHARE of the heaviest window (SURGE at most).
+
+Character references are decoded, white space inside a block becomes one space, and blocks are joined by one space;
+nothing else is dropped. The time is linear in the page's size, broken markup included: a tag without an end is text
+up to the next '<'. Null html gives an empty text. Each row is a page of its own, repeated or not; columns beside
+page_id, url and html may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,16 +34,19 @@ WINDOW = 3
 SURGE = 60
 SHARE = 0.05
 LINK_SHARE = 0.6
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^>\"']++)*+)>")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemtype|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 #: Elements whose content is no text of the page.
 _SILENT = {"script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "select", "option", "button", "title", "canvas", "audio", "video"}
-_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript")}
+_RAW_END = {"script", "style", "textarea", "title", "iframe", "noscript"}
 _BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 _HEADER = {"header"}
 _MAIN = {"article", "main"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+#: Elements that hold running text; often left open, they hold no state unless named.
+_TEXT = {"p", "li", "td", "tr", "th", "dt", "dd"}
+_PROSE = _TEXT | {"h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "figcaption", "span", "label", "caption", "table", "tbody", "dl", "address"}
 _NAMES = (
     r"ad|ads|adv|advert[^\W_]*|adsense|sponsor[^\W_]*|promo[^\W_]*|banner|sidebar|side|aside|widget|menu|nav|navbar|navigation|breadcrumbs?|pager|pagination|footer|foot|header|masthead|topbar|toolbar|"
     r"cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|related|recommend[^\W_]*|comments?|respond|replies|reply|discussion|disqus|tags|copyright|legal|skip|hidden|complementary|contentinfo"
@@ -46,6 +54,10 @@ _NAMES = (
 #: Words that may stand beside a name in one class or id: where it is and what it is made of, never whether the page has it.
 _BESIDE = r"site|page|global|main|primary|secondary|left|right|top|bottom|upper|lower|post|entry|div|area|section|container|wrapper|wrap|box|block|bar|list|form|links?|body|inner|slot|unit|\d+"
 _NAME = re.compile(rf"(?:(?:{_BESIDE})[_-]+)*(?:{_NAMES})(?:[_-]+(?:{_NAMES}|{_BESIDE}))*[_-]*", re.I)
+#: Longer attribute values are no names.
+LONGEST_NAME = 60
+#: Names that hold for paragraphs inside of an article too.
+_STRONG = re.compile(r"(?:.*[_-])?(?:ad|ads|adv|advert[^\W_]*|adsense|sponsor[^\W_]*|promo[^\W_]*|comments?|respond|replies|reply|disqus|cookies?|newsletter)(?:[_-].*)?", re.I)
 _COMMENTS = re.compile(r"comment|respond|repl(?:y|ies)|discussion|disqus", re.I)
 _OUT = ("out", "comments")
 #: Elements that hold no article text even if they hold an <article>.
@@ -59,7 +71,7 @@ def _kind(tag: str, attributes: str, in_main: bool) -> str:
     if tag not in ("html", "body") and attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             for name in m[2].strip("\"'").split():
-                if _NAME.fullmatch(name):
+                if len(name) <= LONGEST_NAME and _NAME.fullmatch(name) and not (in_main and tag in _PROSE and not _STRONG.fullmatch(name)):
                     kind = "comments" if _COMMENTS.search(name) else "out"
                     if tag not in _MAIN or (kind == "comments" and in_main):  # an article in an article may be a comment on it
                         return kind
@@ -68,119 +80,183 @@ def _kind(tag: str, attributes: str, in_main: bool) -> str:
     return "main" if tag in _MAIN else ""
 
 
+class Open:
+    """The elements that are open, with what they say of the text inside of them."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, kind, and of the text inside: may be article text, in <article> or <main>, closed to it
+        self.count: dict[str, int] = {}
+
+    def push(self, tag: str, kind: str) -> None:
+        _, _, ok, main, closed = self.stack[-1] if self.stack else ("", "", True, False, False)
+        # a container that an <article> stands in, or that was left open before it, doesn't swallow it
+        self.stack.append((tag, kind, kind == "main" or (ok and kind not in _OUT), main or kind == "main", closed or kind == "comments" or (kind == "out" and tag in _CLOSED)))
+        self.count[tag] = self.count.get(tag, 0) + 1
+
+    def pop(self) -> tuple[str, str]:
+        tag, kind, *_ = self.stack.pop()
+        self.count[tag] -= 1
+        return tag, kind
+
+    def has(self, tag: str) -> bool:
+        return self.count.get(tag, 0) > 0
+
+    def state(self) -> tuple[bool, bool]:
+        """Whether text here may be article text, and whether it stands in <article> or <main>."""
+        if not self.stack:
+            return True, False
+        _, _, ok, main, closed = self.stack[-1]
+        return ok and not closed, main
+
+
+class Tags:
+    """Tokens of a page: (text before, closing, tag, attributes), in time linear in its size."""
+
+    def __init__(self, page: str):
+        self.page, self.at, self.quoted, self.ended = page, 0, True, set()
+
+    def __iter__(self) -> Iterator[tuple[str, bool, str, str]]:
+        page, size, begin = self.page, len(self.page), 0
+        while True:
+            begin = max(begin, self.at)
+            start = page.find("<", begin)
+            if start < 0 or start + 1 >= size:
+                break
+            after = page[start + 1]
+            if after in "!?":
+                comment = page.startswith("<!--", start)
+                end = page.find("-->" if comment else ">", start + 4 if comment else start)
+                end = size if end < 0 else end + (3 if comment else 1)
+                text, self.at = page[self.at : start], end
+                yield text, False, "", ""
+                continue
+            if not (after.isascii() and after.isalpha()) and not (after == "/" and page[start + 2 : start + 3].isalpha()):
+                begin = start + 1  # a sign, no tag
+                continue
+            m = _TAG.match(page, start) if self.quoted else None
+            if m:
+                end, closing, tag, attributes = m.end(), bool(m[1]), m[2], m[3]
+            else:
+                self.quoted = False  # a quote or tag without an end: from here on a tag ends at the next '>'
+                end = page.find(">", start) + 1
+                if not end:
+                    break
+                cut = page.rfind("<", start, end)
+                if cut > start:  # this one has no end, but a later one has
+                    begin = cut
+                    continue
+                closing = after == "/"
+                tag, _, attributes = page[start + 1 + closing : end - 1].partition(" ")
+            text, self.at = page[self.at : start], end
+            yield text, closing, tag.rstrip("/").lower(), attributes
+        if self.at < size:  # what follows the last tag, without a tag that never ends
+            rest = page[self.at :]
+            cut = re.search(r"<[/a-zA-Z!]", rest)
+            yield rest[: cut.start()] if cut else rest, False, "", ""
+            self.at = size
+
+    def skip(self, tag: str, all_: bool) -> None:
+        """Go on after the element's end; without one, after the page's (`all_`) or right here."""
+        if tag not in self.ended:
+            end = re.compile(rf"</{re.escape(tag)}\b[^<>]*+>", re.I).search(self.page, self.at)
+            if end:
+                self.at = end.end()
+                return
+            self.ended.add(tag)
+        if all_:
+            self.at = len(self.page)
+
+
 def lines(page: str) -> list[tuple[str, int, int, bool, bool]]:
     """Blocks in page order: text, its length, length inside links, whether it may be article text, whether in <article> or <main>."""
     out: list[tuple[str, int, int, bool, bool]] = []
-    stack: list[tuple[str, str]] = []
-    text: list[str] = []
-    links = [0]
-    anchors = at = 0
-
-    def state() -> tuple[bool, bool]:
-        ok, main, closed = True, False, False
-        for t, k in stack:  # a container that an <article> stands in, or that was left open before it, doesn't swallow it
-            closed = closed or k == "comments" or (k == "out" and t in _CLOSED)
-            main = main or k == "main"
-            ok = k == "main" or (ok and k != "out")
-        return ok and not closed, main
+    open_, text, links, anchors = Open(), [], 0, 0
 
     def flush() -> None:
+        nonlocal links
         t = " ".join("".join(text).split())
         if t:
-            out.append((t, len(t), links[0], *state()))
+            out.append((t, len(t), links, *open_.state()))
         text.clear()
-        links[0] = 0
+        links = 0
 
-    def add(raw: str) -> None:
+    tags = Tags(page)
+    for raw, closing, tag, attributes in tags:
         if raw:
             t = html.unescape(raw) if "&" in raw else raw
             text.append(t)
-            if anchors:
-                links[0] += len(t)
-
-    size = len(page)
-    while at < size:
-        m = _TAG.search(page, at)
-        if not m:
-            add(page[at:] if page.find("<", at) < 0 or not re.match(r"<[/a-zA-Z!]", page[page.rfind("<") :]) else page[at : page.rfind("<")])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+            links += len(t) if anchors else 0
         if not tag:
             continue
-        closing = bool(m[1])
         if tag in _SILENT and not closing:
-            if tag in _RAW_END:
-                end = _RAW_END[tag].search(page, at)
-                at = end.end() if end else size
-            elif not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else at
+            if tag in _RAW_END or not attributes.rstrip().endswith("/"):
+                tags.skip(tag, tag in _RAW_END)
             continue
         if tag == "a":
             anchors = max(0, anchors - 1) if closing else 1
-        if tag in _INLINE and not (tag == "span" or tag == "label"):
-            continue
         if tag in ("span", "label"):  # inline, but may be named
-            if not closing and _kind(tag, m[3], state()[1]) in _OUT:
-                flush()
-                stack.append((tag, "out"))
-            elif not closing:
-                stack.append((tag, ""))
-            elif any(t == tag for t, _ in stack):
-                while stack:
-                    t, k = stack[-1]
-                    if k == "out":
+            if not closing:
+                kind = _kind(tag, attributes, open_.state()[1])
+                if kind in _OUT:
+                    flush()
+                open_.push(tag, "out" if kind in _OUT else "")
+            elif open_.has(tag):
+                while True:
+                    if open_.stack[-1][1] in _OUT:
                         flush()
-                    stack.pop()
-                    if t == tag:
+                    if open_.pop()[0] == tag:
                         break
             continue
+        if tag in _INLINE:
+            continue
         flush()
-        if tag in _VOID or tag in ("p", "li", "td", "tr", "th", "dt", "dd"):  # often left open: they hold no state unless named
-            if closing or tag in _VOID:
-                if closing and any(t == tag for t, _ in stack[-1:]):
-                    stack.pop()
-                continue
-            if (kind := _kind(tag, m[3], state()[1])) in _OUT:
-                stack.append((tag, kind))
+        if tag in _VOID:
+            continue
+        if tag in _TEXT:
+            if closing:
+                if open_.stack and open_.stack[-1][0] == tag:
+                    open_.pop()
+            elif (kind := _kind(tag, attributes, open_.state()[1])) in _OUT:
+                open_.push(tag, kind)
             continue
         if closing:
-            if any(t == tag for t, _ in stack):
-                while stack and stack.pop()[0] != tag:
+            if open_.has(tag):
+                while open_.pop()[0] != tag:
                     pass
             if tag in _MAIN:
                 anchors = 0
             continue
-        kind = _kind(tag, m[3], state()[1])
-        if not m[3].rstrip().endswith("/"):
-            stack.append((tag, kind))
+        if not attributes.rstrip().endswith("/"):
+            open_.push(tag, _kind(tag, attributes, open_.state()[1]))
     flush()
     return out
 
 
-def main_text(page: str | None) -> str:
-    """Article text of a page."""
-    blocks = lines(page or "")
-    if not blocks:
-        return ""
+def weights(blocks: list[tuple[str, int, int, bool, bool]]) -> np.ndarray:
+    """What each line adds to the windows that it is in."""
     has_main = any(ok and main for _, _, _, ok, main in blocks)
-    weight = np.array([n if ok and (main or not has_main) and (main or link <= LINK_SHARE * n) else 0 for _, n, link, ok, main in blocks], np.int64)
-    if not weight.any():
-        return ""
+    return np.array([0 if not ok else n + SURGE if main else 0 if has_main or link > LINK_SHARE * n else n for _, n, link, ok, main in blocks], np.int64)
+
+
+def between(weight: np.ndarray) -> np.ndarray:
+    """Which lines stand between a surge and the dive after it, and weigh anything."""
     n = len(weight)
+    keep, inside = np.zeros(n, bool), False
+    if not weight.any():
+        return keep
     total = np.concatenate((np.cumsum(weight), np.full(WINDOW - 1, weight.sum())))
     window = total[WINDOW - 1 :] - np.concatenate(([0], total[: n - 1]))  # lines i to i + WINDOW - 1
     surge = min(SURGE, SHARE * window.max())
-    keep, inside = np.zeros(n, bool), False
     for i in range(n):
-        if not inside and window[i] >= surge and weight[i]:
-            inside = True
-        if inside and window[i] == 0:
-            inside = False
+        inside = (inside or (window[i] >= surge and weight[i] > 0)) and window[i] > 0
         keep[i] = inside and weight[i] > 0
-    return " ".join(b[0] for b, k in zip(blocks, keep.tolist(), strict=True) if k)
+    return keep
+
+
+def main_text(page: str | None) -> str:
+    """Article text of a page."""
+    blocks = lines(page or "")
+    return " ".join(b[0] for b, k in zip(blocks, between(weights(blocks)).tolist(), strict=True) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:

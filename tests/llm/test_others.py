@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -193,3 +195,44 @@ Q = "Some words of the article that go on for a while."
 )
 def test_html_containers(page, want):
     assert html_text.main_text(page) == want
+
+
+@pytest.mark.parametrize("block", ["<p class='share'>Share of the vote by county</p>", "<h2 id='search'>The search goes on</h2>", "<figcaption class='banner'>A banner</figcaption>", "<p><a href='x'>All of this sentence is one link</a></p>", "<p>By me</p>"])
+def test_nothing_inside_of_an_article_is_dropped(block):
+    text = re.sub("<[^>]*>", "", block)
+    assert html_text.main_text(f"<nav>menu</nav><article>{block}{P * 30}{block}</article><footer>end</footer>") == " ".join([text, *[Q] * 30, text])
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div>x", "<span>y", "<svg>", "<!", '<a title="', "<p>a<", "</div>", "<article><div class=ad>z", "< ", "<a href='x'", "&amp", "<div class='" + "top-" * 50 + "'>"])
+def test_broken_pages_take_linear_time(part):
+    def seconds(n):
+        start = time.thread_time()
+        html_text.main_text(part * (n // len(part)))
+        return time.thread_time() - start
+
+    seconds(1000)
+    assert seconds(1 << 20) < max(1.0, 40 * seconds(1 << 16))
+
+
+def test_planted_articles_are_found(spark):
+    """Articles of random shape in pages with and without <article>: what of their words comes out, and what else."""
+    rng = random.Random(8)
+    word = lambda kind: f"{kind}{rng.randrange(10**6)}"
+    words = lambda kind, n: " ".join(word(kind) for _ in range(n))
+    rows, want = [], {}
+    for k in range(300):
+        body = [words("w", rng.choice([3, 12, 40, 90])) for _ in range(rng.randint(3, 15))]
+        body[0] = words("w", 60)
+        inner = "".join(rng.choice(["<p>{}</p>", "<p>{}", "<h2>{}</h2>", "<p><b>{}</b></p>", "<ul><li>{}</li></ul>", "<blockquote>{}</blockquote>"]).format(x) + rng.choice(["", "", f"<div class='ad'>{words('b', 9)}</div>", f"<script>{words('b', 5)}</script>"]) for x in body)
+        whole = rng.choice(["<article>{}</article>", "<main>{}</main>", "<div class='content'>{}</div>", "<section>{}</section>", "{}"]).format(inner)
+        menu = "".join(f"<li><a href='x'>{words('b', 2)}</a></li>" for _ in range(8))
+        rows.append((k, "u", f"<html><head><title>{words('b', 4)}</title></head><body><nav><ul>{menu}</ul></nav><div class='menu'><ul>{menu}</ul></div>{whole}<div id='comments'><p>{words('b', 30)}</p></div><aside>{words('b', 20)}</aside><form>{words('b', 5)}</form><footer>{words('b', 12)}</footer></body></html>"))
+        want[k] = " ".join(body)
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want  # precision and recall of 1 on these
+
+
+def test_windows_decide_where_the_text_is():
+    """Without <article> and names: short lines far from the text are no text, those beside it are."""
+    page = "<div>Home</div>" + "<div><a href='x'>link</a></div>" * 6 + "<div>Title</div>" + "<div>" + "Long text here. " * 40 + "</div><div>Short end</div>" + "<div><a href='x'>link</a></div>" * 6 + "<div>(c)</div>"
+    assert html_text.main_text(page) == "Title " + ("Long text here. " * 40).strip() + " Short end"

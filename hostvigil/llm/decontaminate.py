@@ -7,10 +7,13 @@ shared q-grams are counted in overlapping bands of diagonals, bands under that c
 verified by banded alignment. Case and runs of white space don't count as edits.
 
 The benchmark is a query set, met in blocks of BLOCK_SEGMENTS segments or so: a block's index is a few MB whatever the
-benchmark's size, and each block passes over the texts once, without a shuffle.
+benchmark's size, and each block passes over the texts once, without a shuffle. Equal segments are one entry of the
+index. Shared q-grams are met in slices of HITS or so from the text's start to its end, and a band is judged when the
+slices have passed it, so a q-gram that a text repeats at every place takes no more memory than another.
 
-Null texts count as empty and match nothing; items of fewer than Q characters (or null) are not searched; repeated
-items or documents each give their own rows. Empty tables give no rows.
+Null texts count as empty and match nothing, long ones are searched whole; items of fewer than Q characters (or null)
+are not searched; repeated items or documents each give their own rows; extra columns may have any name. Empty tables
+give no rows.
 """
 
 from __future__ import annotations
@@ -21,16 +24,19 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostvigil.llm.common import CHUNK_CHARS, only, read_table, row_chunks
+from hostvigil.llm.common import CHUNK_CHARS, materialize, only, read_table, row_chunks
 
 Q = 10
 SEGMENT, STRIDE = 100, 50
 BUDGET = 0.08
 BAND = 16
 BLOCK_SEGMENTS = 50_000
+#: Shared q-grams counted at a time.
+HITS = 1 << 19
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
 _FILTER_BITS = 22
@@ -75,8 +81,11 @@ class Index:
     """Q-grams of a block of segments."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.item = np.array([i for i, _ in items], np.int64)
-        self.text = [codes(t) for _, t in items]
+        owners: dict[str, list[int]] = {}
+        for i, t in items:
+            owners.setdefault(t, []).append(i)
+        self.items = list(owners.values())  # of each segment; an item is named as often as it has the segment
+        self.text = [codes(t) for t in owners]
         self.size = np.array([len(t) for t in self.text], np.int64)
         self.edits = np.array([edits_allowed(m) for m in self.size.tolist()], np.int64)
         self.least = self.size + 1 - Q - self.edits * Q
@@ -92,7 +101,7 @@ class Index:
         self.seen[self.hash >> _U(64 - _FILTER_BITS)] = True
 
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
-        """(text, segment, start of the region, edits) of every segment that occurs in a text."""
+        """(text, segment, start of the region, edits) of every segment that occurs in a text, once for a region."""
         if not len(self.hash):
             return []
         gap = "\0" * Q  # in no segment
@@ -105,21 +114,44 @@ class Index:
         k[k == len(self.hash)] = 0
         same = self.hash[k] == g[at]
         at, k = at[same], k[same]
-        if not len(at):
-            return []
         n = self.end[k] - self.first[k]
+        total = np.concatenate(([0], np.cumsum(n)))
+        cuts = np.unique(np.minimum(np.searchsorted(total, np.arange(HITS, int(total[-1]) + HITS, HITS)), len(at))).tolist() if len(at) else []
+        held = (np.zeros((0, 3), np.int64), np.zeros(0, np.int64))  # bands that later slices may add to, and their counts
+        found: list[tuple[int, int, int, int]] = []
+        exact = np.zeros(0, np.int64)  # (text, segment) found without edits: other regions of theirs can't be better
+        a = 0
+        for b in cuts:
+            held = self._count(at[a:b], k[a:b], n[a:b], begin, held, exact)
+            reach = len(flat) if b == len(at) else int(at[b]) - SEGMENT  # no later hit is on a smaller diagonal
+            done = (held[0][:, 2] + 2) * BAND - SEGMENT <= reach if b < len(at) else np.ones(len(held[0]), bool)
+            regions = held[0][done & (held[1] >= self.least[held[0][:, 1]])]
+            held = held[0][~done], held[1][~done]
+            edits = self.align(flat, begin, regions)
+            ok = edits <= self.edits[regions[:, 1]]
+            found += [(d, s, max(0, x * BAND - SEGMENT - int(begin[d])), e) for (d, s, x), e in zip(regions[ok].tolist(), edits[ok].tolist(), strict=True)]
+            none = regions[ok & (edits == 0)]
+            exact = np.union1d(exact, none[:, 0] * len(self.text) + none[:, 1])
+            a = b
+        return found
+
+    def _count(self, at: np.ndarray, k: np.ndarray, n: np.ndarray, begin: np.ndarray, held: tuple[np.ndarray, np.ndarray], exact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, segment, band) and shared q-grams: those held and those of the places `at`."""
         hit = np.repeat(self.first[k] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
         seg, diag = self.owner[hit], np.repeat(at, n) - self.place[hit]
-        doc = np.searchsorted(begin, np.repeat(at, n), side="right") - 1
+        doc = np.repeat(np.searchsorted(begin, at, side="right") - 1, n)
+        if len(exact):
+            rest = ~np.isin(doc * len(self.text) + seg, exact)
+            seg, diag, doc = seg[rest], diag[rest], doc[rest]
         band = (diag + SEGMENT) // BAND  # a band is two of these: every run of BAND + 1 diagonals lies inside one
         key = np.stack([np.concatenate((doc, doc)), np.concatenate((seg, seg)), np.concatenate((band, band - 1))], 1)
+        key, count = np.concatenate((held[0], key)), np.concatenate((held[1], np.ones(len(key), np.int64)))
+        if not len(key):
+            return held
         order = np.lexsort((key[:, 2], key[:, 1], key[:, 0]))
-        key = key[order]
-        new = np.concatenate(([True], (key[1:] != key[:-1]).any(1)))
-        count = np.diff(np.append(np.flatnonzero(new), len(key)))
-        key = key[new][count >= self.least[key[new][:, 1]]]
-        found = [(int(d), int(s), int(b), int(e)) for (d, s, b), e in zip(key, self.align(flat, begin, key), strict=True) if e <= self.edits[s]]
-        return [(d, s, max(0, b * BAND - SEGMENT - int(begin[d])), e) for d, s, b, e in found]
+        key, count = key[order], count[order]
+        new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1))))
+        return key[new], np.add.reduceat(count, new)
 
     def align(self, flat: np.ndarray, begin: np.ndarray, regions: np.ndarray) -> np.ndarray:
         """Least edits of each segment against its region, within the band and its margin of `edits` diagonals."""
@@ -145,24 +177,19 @@ class Index:
         return out
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """Segments of the benchmark, block by block; the driver holds one block."""
+def _indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[Broadcast]:
+    """The benchmark's segments, cut once and broadcast block by block; the driver holds one block."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [(i, s, t) for i, x in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True) for s, t in segments(x)]
             yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*got) if got else [[]] * 3, (pa.int64(), pa.int64(), pa.string()))], ["item_id", "start", "segment"])
 
-    rows = only(benchmark, item_id="long", text="string").mapInArrow(cut, "item_id long, start long, segment string")
+    rows = materialize(only(benchmark, item_id="long", text="string").mapInArrow(cut, "item_id long, start long, segment string"))
     blocks = -(-rows.count() // BLOCK_SEGMENTS)
     for k in range(blocks):
-        block = rows.filter(F.pmod(F.xxhash64("item_id", "start", "segment"), F.lit(blocks)) == k)
-        yield [(r["item_id"], r["segment"]) for r in block.orderBy("item_id", "start").collect()]
-
-
-def _indexes(docs: DataFrame, benchmark: DataFrame):
-    for items in _blocks(benchmark):
-        yield docs.sparkSession.sparkContext.broadcast(Index(items))
+        block = rows.filter(F.pmod(F.xxhash64("segment"), F.lit(blocks)) == k).orderBy("item_id", "start").collect()
+        yield docs.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["segment"]) for r in block]))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -174,16 +201,27 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in row_chunks(batches):
                 ids = b.column("doc_id").to_pylist()
-                best: dict[tuple[int, int], dict[int, int]] = {}
+                best: dict[tuple[int, int], int] = {}
                 for d, s, _, e in index.value.search([normal(t) for t in b.column("text").to_pylist()]):
-                    segs = best.setdefault((d, int(index.value.item[s])), {})
-                    segs[s] = min(e, segs.get(s, e))
-                out = [(ids[d], i, len(x), min(x.values())) for (d, i), x in best.items()]
+                    best[d, s] = min(e, best.get((d, s), e))
+                pairs: dict[tuple[int, int], tuple[int, int]] = {}
+                for (d, s), e in best.items():
+                    for i in index.value.items[s]:
+                        n, least = pairs.get((d, i), (0, e))
+                        pairs[d, i] = n + 1, min(e, least)
+                out = [(ids[d], i, n, e) for (d, i), (n, e) in pairs.items()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], ["doc_id", "item_id", "n_segments", "edits"])
 
         return run
 
-    found = [rows.mapInArrow(search(i), schema) for i in _indexes(docs, benchmark)]
+    found: list[DataFrame] = []
+    last: Broadcast | None = None
+    for index in _indexes(docs, benchmark):
+        if last is not None:  # of several blocks one is held at a time
+            found[-1] = materialize(found[-1])
+            last.unpersist()
+        found.append(rows.mapInArrow(search(index), schema))
+        last = index
     if not found:
         return rows.sparkSession.createDataFrame([], schema)
     if len(found) == 1:
@@ -211,8 +249,13 @@ def _occurs(index):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` in whose text no benchmark segment occurs, with all their columns."""
+    last: Broadcast | None = None
     for index in _indexes(docs, benchmark):
+        if last is not None:
+            docs = materialize(docs)
+            last.unpersist()
         docs = docs.filter(~_occurs(index)(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+        last = index
     return docs
 
 

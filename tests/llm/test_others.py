@@ -47,6 +47,29 @@ def test_alignment_equals_dynamic_programming(seed):
         assert bool(found) == (e <= index.edits[0]) and (not found or min(x[3] for x in found) == e)
 
 
+def test_repeated_q_grams_take_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    index = decontaminate.Index([(1, "-" * 100), (2, "-" * 100), (3, "ab" * 50)])
+    tracemalloc.start()
+    found = index.search(["-" * 200_000, "ab" * 100_000, "x" * 500 + "-" * 99 + "y"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(d, tuple(index.items[s])) for d, s, _, e in found} == {(0, (1, 2)), (1, (3,)), (2, (1, 2))}
+    assert peak < 200 << 20
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_slices_find_what_one_slice_finds(monkeypatch, seed):
+    rng = random.Random(seed)
+    items = [(i, "".join(rng.choice("ab ") for _ in range(rng.choice([40, 100])))) for i in range(20)]
+    texts = ["".join(rng.choice("ab ") for _ in range(300)) + mutate(rng, t, rng.randint(0, 6)) + "b a" * 50 for _, t in items]
+    best = lambda found: {(d, s): min(e for x, y, _, e in found if (x, y) == (d, s)) for d, s, *_ in found}
+    whole = best(decontaminate.Index(items).search(texts))
+    monkeypatch.setattr(decontaminate, "HITS", 200)
+    assert best(decontaminate.Index(items).search(texts)) == whole and len(whole) >= 15
+
+
 def test_planted_passages_are_found_and_clean_documents_left(spark, sf_dir, make):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     items = bench.collect()

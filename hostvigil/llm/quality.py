@@ -5,7 +5,8 @@ Lee, VLDB 2019): any quantile has a relative error of at most ALPHA, and sketche
 is too high if it lies above the upper fence ``q75 + FENCE * max(q75 - q25, SPREAD)``; groups with fewer than MIN_ROWS
 rows use the merged sketch of their language, or of all rows.
 
-Null text counts as empty and null lang or source as a group of its own. An empty table gives no rows.
+Null text counts as empty and null lang or source as a group of its own; long texts are measured whole, repeated rows
+each by themselves. Extra columns may have any name. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostvigil.llm.common import materialize, only, read_table
+from hostvigil.llm.common import materialize, only, read_table, text_batches, unused
 
 ALPHA = 0.01
 GAMMA = (1 + ALPHA) / (1 - ALPHA)
@@ -76,11 +77,11 @@ def _measure(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([text_stats(t or "") for t in texts], columns=STATS, dtype="int64")
 
 
-def with_stats(docs: DataFrame) -> DataFrame:
-    """`docs` with a column `stats`; the other columns stay in the JVM."""
+def with_stats(docs: DataFrame, name: str = "stats") -> DataFrame:
+    """`docs` with a column `name` of statistics; the other columns stay in the JVM."""
     # as if not deterministic: the plan must not measure twice
     measure = F.pandas_udf(_measure, ", ".join(f"{n} long" for n in STATS)).asNondeterministic()
-    return docs.withColumn("stats", measure(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return text_batches(docs).withColumn(name, measure(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
 def document_stats(docs: DataFrame) -> DataFrame:
@@ -93,7 +94,7 @@ def _group() -> list[Column]:
 
 
 def measures(of: str = "") -> dict[str, Column]:
-    """The measures from the statistics in columns (or, with "_stats.", fields) of these names."""
+    """The measures from the statistics in columns (or, with "stats." or the like, fields) of these names."""
     share = lambda a, b: F.when(F.col(of + b) > 0, F.col(of + a) / F.col(of + b)).otherwise(0.0)
     return {"word_len": share("word_chars", "n_words"), "symbol_share": share("n_symbols", "word_chars"), "dup_line_share": share("n_dup_lines", "n_lines"), "repeat_share": share("n_repeat_words", "n_words")}
 
@@ -133,12 +134,12 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     return _fences(sketch, ["lang", "source"]).join(lang, "lang").select("lang", "source", *[c.alias(k) for k, c in best.items()])
 
 
-def _verdict(of: str = "") -> tuple[Column, Column]:
-    """base_failed and kept, from the statistics and the limits of the row's group."""
+def _verdict(of: str = "", limits: str = "") -> tuple[Column, Column]:
+    """base_failed and kept, from the statistics and the limits of the row's group (columns, or fields of these structs)."""
     base = (F.col(of + "n_words") < 10) | (100 * F.col(of + "n_repeat_words") > 20 * F.col(of + "n_words"))
     inside = F.lit(True)
     for m, value in measures(of).items():
-        inside = inside & (value <= F.col(f"{m}_max"))
+        inside = inside & (value <= F.col(f"{limits}{m}_max"))
     return base, ~base & inside
 
 
@@ -150,12 +151,18 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that pass, with all their columns; the texts are measured again rather than shuffled."""
-    limits = materialize(thresholds(materialize(sketches(document_stats(docs))))).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    """The rows of `docs` that pass, with all their columns of whatever names; the texts are measured again rather than shuffled.
+
+    Rows are judged one by one, repeated or not. Without `lang` or `source` column the rows count as one language or source.
+    """
+    for c in {"lang", "source"} - {x.lower() for x in docs.columns}:
+        return keep_good(docs.withColumn(c, F.lit("-"))).drop(c)
+    stats, lang_, source_, limit = unused(docs.columns, "stats", "group_lang", "group_source", "limit")
+    limits = materialize(thresholds(materialize(sketches(document_stats(docs)))))
+    limits = limits.select(F.col("lang").alias(lang_), F.col("source").alias(source_), F.struct(*[f"{m}_max" for m in SPREAD]).alias(limit))
     lang, source = _group()
-    marked = with_stats(docs).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("stats").alias("_stats"))
-    joined = marked.join(limits, (lang == F.col("_lang")) & (source == F.col("_source")))
-    return joined.filter(_verdict("_stats.")[1]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = with_stats(docs, stats).join(limits, (lang == F.col(lang_)) & (source == F.col(source_)))
+    return joined.filter(_verdict(f"{stats}.", f"{limit}.")[1]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +183,7 @@ def _oracle() -> str:
 
     inside = " AND ".join(f"({x}) <= max(CASE WHEN measure = '{k}' THEN top END)" for k, x in m.items())
     word = r"[^\x20\x09-\x0D]"
-    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '-') AS lang, coalesce(source, '-') AS source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}+') AS w FROM documents),
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, chr(0)) AS lang, coalesce(source, chr(0)) AS source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}+') AS w FROM documents),
     g AS (SELECT r, i, array_to_string(w[i:i+4], ' ') AS gram FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
     p AS (SELECT r, count(DISTINCT i + k) AS n FROM (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS c FROM g) WHERE c > 1), (SELECT unnest(range(0, 5)) AS k) GROUP BY r),
     s AS (SELECT d.r, doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,

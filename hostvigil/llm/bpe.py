@@ -32,7 +32,7 @@ CACHE_PIECES, CACHE_WORDS = 50_000, 150_000
 #: Pairs of tokens of which a worker remembers, from task to task, whether they stay apart.
 CACHE_PAIRS = 300_000
 #: Text encoded at a time, in characters: the more words stand in one trie, the more prefixes they share.
-TRIE_CHARS = 6 << 20
+TRIE_CHARS = 3 << 20
 #: Letters of Unicode versions after 16.0, which the library's pattern doesn't know as letters.
 NEWER_LETTERS = (
     (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D),

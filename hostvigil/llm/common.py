@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Text handed to one numpy or dictionary pass at a time, in characters.
 CHUNK_CHARS = 2 << 20
+#: Rows of text that go to a Python worker at once.
+TEXT_ROWS = 1000
 #: Rows of a few numbers that may be broadcast (some 50 MB in each executor).
 BROADCAST_ROWS = 1 << 20
 
@@ -77,6 +79,15 @@ def unused(columns: Iterable[str], *names: str) -> list[str]:
     return out
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """`df`; from now on the session sends TEXT_ROWS rows at most to Python at once, so that neither side holds more text."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return df
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns with fixed types, so that extra or clashing columns of the input never matter."""
+    text_batches(df)
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in columns.items()])

@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostvigil.llm.common import CHUNK_CHARS, materialize, only, read_table, row_chunks
+from hostvigil.llm.common import CHUNK_CHARS, materialize, only, read_table, row_chunks, text_batches
 
 Q = 10
 SEGMENT, STRIDE = 100, 50
@@ -250,7 +250,7 @@ def _occurs(index):
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` in whose text no benchmark segment occurs, with all their columns."""
     last: Broadcast | None = None
-    for index in _indexes(docs, benchmark):
+    for index in _indexes(text_batches(docs), benchmark):
         if last is not None:
             docs = materialize(docs)
             last.unpersist()

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hostvigil.llm.common import bounded, materialize, only, read_table, unused
+from hostvigil.llm.common import bounded, materialize, only, read_table, text_batches, unused
 from hostvigil.llm.graph import components, stars
 
 SEED = 42
@@ -392,7 +392,7 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, block: int
 
     Null text counts as empty; all empty texts are copies of each other. Of wholly repeated rows one stays.
     """
-    id_, hash_ = unused(docs.columns, "doc", "text_hash")
+    id_, hash_ = unused(text_batches(docs).columns, "doc", "text_hash")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), text.alias("text"))
     keys = keys.withColumn("hash", F.xxhash64("text"))

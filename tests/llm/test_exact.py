@@ -12,6 +12,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from hostvigil.llm import bpe, graph, quality, sharding, simhash, suffix_dedup, suffix_tree_lm
 from tests.llm.conftest import EDGE
 
@@ -423,3 +425,16 @@ def test_sketch_quantiles_are_within_their_error(spark):
     fence = quality.thresholds(quality.sketches(quality.document_stats(docs))).first()["word_len_max"]
     q25, q75 = x[100], x[300]
     assert abs(fence - (q75 + 3 * max(1.0, q75 - q25))) < 0.05 * fence
+
+
+# --- names that the stages use inside
+@pytest.mark.parametrize("stage", [quality.keep_good, simhash.keep_one, suffix_dedup.remove_repeats])
+def test_stages_keep_columns_of_any_name(make, stage):
+    names = ["hash", "node", "code", "label", "stats", "group_lang", "limit", "doc", "text_hash", "_doc", "n", "part", "grams", "word_len_max", "_keep_text", "lang_", "edits", "a.b", "key", "salt"]
+    docs = make([(k, " ".join(f"w{k}x{i % 90}" for i in range(60))) for k in range(12)] + [(12, None), (12, None), (None, "short")]).drop("stats", "part", "key", "label")
+    docs = docs.withColumns({c: F.lit(k) for k, c in enumerate(names)})
+    got = stage(docs)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert {r["doc_id"] for r in rows} >= set(range(12))
+    assert all([r[c] for c in names] == list(range(len(names))) for r in rows)

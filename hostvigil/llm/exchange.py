@@ -38,6 +38,14 @@ def parted(docs: DataFrame, part_bytes: int = PART_BYTES, keep: list[str] | None
     return rows.select(part(F.coalesce("doc_id", lowest)).alias("part"), "*"), n
 
 
+def scattered(docs: DataFrame, part_bytes: int = PART_BYTES) -> tuple[DataFrame, int]:
+    """part, doc_id, text, and the number of parts, for operators to which order is nothing: a part is what a hash deals
+    to it, so that many rows of one id, or without one, go to many parts."""
+    rows = only(docs, doc_id="long", text="string")
+    n = partitions_for(rows, "text", part_bytes)
+    return rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("part"), "*"), n
+
+
 def messages(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, _MESSAGE.types)], schema=_MESSAGE)
 

@@ -1,26 +1,31 @@
 """Language-model scoring with a probabilistic suffix tree.
 
-The tree's symbols are 41 classes of words: the TOP_WORDS most frequent training words are classes of their own, other
-words are classed by form, and one class ends a text. Its states are contexts of up to DEPTH preceding classes. A
-context is retained if its next-symbol counts diverge from its parent's distribution (the context without its oldest
-class) by KEEP_NATS or more in log-likelihood; a retained state smooths its counts towards its parent with SMOOTH
-pseudo-counts, and any other context passes on to its longest retained suffix. P(text) is the product, over its words
-and the end, of P(class | longest suffix state) and P(word | class): (c - DISCOUNT) / N_class for a training word and
-DISCOUNT * V_class / N_class for the class's unknown word, so all words and unknown words sum to one.
-
-The vocabulary grows with the corpus, so it is never broadcast: it meets the documents through `exchange`, and words
-travel as words, not hashes. What is broadcast is the tree's table of 41^4 floats (11 MB), whatever the corpus. All
-counts are taken over all training documents.
-
-Null text counts as empty (one token, the end); a null doc_id hashes as the empty string. An empty table gives no
-rows; without training documents all classes are equally likely and words are certain within their class.
+The tree spells tokens: a word is its bytes and a blank, the end of a text is a line feed, so that spelled tokens are
+free of each other's beginnings. Its states are contexts of up to DEPTH bytes, over the borders of words, counted in all
+training texts. A context is retained if the counts of its next bytes diverge from its parent's distribution (the
+context without its first byte) by KEEP_NATS or more in log-likelihood; a retained state smooths its counts towards its
+parent by as many pseudo-counts as it has different next bytes; any other context passes on to its longest retained
+suffix. A token's probability is that of its first two bytes in their longest suffix states, times a mixture of the
+training words that begin so and of the spelling: share * c / C + (1 - share) * P(its other bytes | longest suffix
+states), with share = C / (C + V). C counts the training tokens that begin with these two bytes, V the distinct ones, so
+the probabilities of all tokens sum to one, words that were never seen included.
+
+Words and strings of DEPTH + 1 bytes meet the corpus through `exchange`: what a part sends is distinct within it, and
+all contexts that end in the same two bytes meet in one bucket, which grows their subtree and answers with
+probabilities. So neither the vocabulary nor the tree is ever broadcast, whatever its size; contexts of no or one byte
+are a table of 256 * 256 numbers. Every count is taken over all training documents, and no result depends on how the
+corpus is dealt.
+
+Null text counts as empty (one token, the end); a null doc_id hashes as the empty string; texts are scored whole, and
+every row by itself, repeated or not. Extra columns may have any name. An empty table gives no rows; without training
+documents all bytes are equally likely.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,31 +33,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostvigil.llm.common import materialize, only, read_table, row_chunks
-from hostvigil.llm.exchange import answer, meet, parted, send
+from hostvigil.llm.exchange import answer, meet, scattered, send
 
 FOLDS = 10
 ADD = 0.1
-DISCOUNT = 0.6
-DEPTH = 3
-KEEP_NATS = 8.0
-SMOOTH = 2.0
-TOP_WORDS = 24
-WORDS, STATS, TOP = 0, 1, 2
-#: By form: letters of a script or language times the last character; words with digits or symbols; the end of a text.
-N_FORMS = 16
-END = TOP_WORDS + N_FORMS
-N_CLASSES = END + 1
-_MARKS = [re.compile(x) for x in ("[ßäöü]", "[éèêàâçîôûœ]", "[ñíóáú¡¿]", r"[^\x00-\x7f]")]
-_ODD = re.compile(r"[^\w.,;:!?'\"()\-]|[\d_]")
-
-
-def form(word: bytes) -> int:
-    """Class of a word by its form, 0 to N_FORMS - 1."""
-    w = word.decode("utf-8", "replace")
-    if _ODD.search(w):
-        return N_FORMS - 1
-    mark = 0 if w.isascii() else next(k for k, m in enumerate(_MARKS, 1) if m.search(w))
-    return 3 * mark + (0 if w[-1].isalpha() else 1 if w[-1] == "." else 2)
+DEPTH = 5
+KEEP_NATS = 4.0
+WORDS, STATS, GRAMS = 0, 1, 2
+#: Bytes spelled at a time.
+BLOCK = 1 << 21
+_U = np.uint64
+END = b"\n"
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -63,18 +54,76 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def grow(counts: np.ndarray) -> np.ndarray:
-    """log10 P(class | DEPTH classes before) from their counts: the tree, with every context's longest state filled in."""
-    dist = np.full(N_CLASSES, 1 / N_CLASSES)
-    for depth in range(DEPTH + 1):
-        seen = counts.sum(axis=tuple(range(DEPTH - depth))).astype(float)  # (41,) * depth + (41,)
-        parent = np.broadcast_to(dist, seen.shape)  # of the context without its first symbol
-        total = seen.sum(-1, keepdims=True)
-        share = seen / np.maximum(total, 1)
-        gain = np.where(seen > 0, seen * np.log(np.where(seen > 0, share, 1) / parent), 0).sum(-1, keepdims=True)
-        own = (seen + SMOOTH * parent) / (total + SMOOTH)
-        dist = np.where((gain >= KEEP_NATS) | (depth == 0), own, parent)
-    return np.log10(dist).astype(np.float32)
+def spelled(words: list[bytes]) -> bytes:
+    """A text's tokens, after DEPTH ends that stand for its start."""
+    return END * DEPTH + b" ".join(words) + b" " * bool(words) + END
+
+
+def beginning(word: bytes) -> int:
+    """A word's first two spelled bytes as a number."""
+    return word[0] << 8 | (word[1] if len(word) > 1 else 32)
+
+
+def grams(text: bytes) -> np.ndarray:
+    """Each DEPTH + 1 bytes in a row as one number, the last byte lowest."""
+    x = np.frombuffer(text, np.uint8)
+    g = np.zeros(max(0, len(x) - DEPTH), _U)
+    for k in range(DEPTH + 1):
+        g = g << _U(8) | x[k : k + len(g)]
+    return g
+
+
+def _spellings(texts: Iterable[tuple[bool, list[bytes]]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of (trains, words) of each text, some texts at a time: every gram, whether it trains, and where each text begins."""
+    held: list[np.ndarray] = []
+    train: list[bool] = []
+
+    def flush():
+        size = np.array([len(g) for g in held], np.int64)
+        return np.concatenate(held), np.repeat(np.array(train, bool), size), np.concatenate(([0], np.cumsum(size)[:-1]))
+
+    n = 0
+    for trains, words in texts:
+        held.append(grams(spelled(words)))
+        train.append(trains)
+        n += len(held[-1])
+        if n >= BLOCK:
+            yield flush()
+            held, train, n = [], [], 0
+    if held:
+        yield flush()
+
+
+def _smoothed(count: np.ndarray, total: np.ndarray, kinds: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    return (count + kinds * parent) / np.maximum(total + kinds, 1)
+
+
+def roots(counts: np.ndarray) -> np.ndarray:
+    """P(byte | longest state of at most one byte) from counts of (byte before, byte)."""
+    root = (counts.sum(0) + ADD) / (counts.sum() + 256 * ADD)
+    total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
+    seen = np.where(counts > 0, counts, 1)
+    gain = np.where(counts > 0, counts * np.log(seen / np.maximum(total, 1) / root), 0).sum(1, keepdims=True)
+    return np.where(gain >= KEEP_NATS, _smoothed(counts, total, kinds, root), root)
+
+
+def grow(gram: np.ndarray, count: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """P(last byte | longest state) of each distinct gram, from all training counts of the grams that end in its context's
+    last two bytes."""
+    context, byte = gram >> _U(8), (gram & _U(255)).astype(np.int64)
+    p = root[(context & _U(255)).astype(np.int64), byte]
+    for depth in range(2, DEPTH + 1):
+        here = context & _U((1 << 8 * depth) - 1)
+        pair, first, of = np.unique(here << _U(8) | (gram & _U(255)), return_index=True, return_inverse=True)
+        n = np.bincount(of, count, len(pair))
+        start = np.flatnonzero(np.concatenate(([True], (pair[1:] >> _U(8)) != (pair[:-1] >> _U(8)))))
+        node = np.cumsum(np.isin(np.arange(len(pair)), start)) - 1
+        total, kinds = np.add.reduceat(n, start)[node], np.add.reduceat((n > 0).astype(float), start)[node]
+        parent = p[first]
+        diverge = np.where(n > 0, n * np.log(np.where(n > 0, n, 1) / np.maximum(total, 1) / parent), 0)
+        kept = np.add.reduceat(diverge, start)[node] >= KEEP_NATS
+        p = np.where(kept, _smoothed(n, total, kinds, parent), parent)[of]
+    return p
 
 
 def _by_bucket(words, n: int) -> dict[int, list[bytes]]:
@@ -87,118 +136,126 @@ def _by_bucket(words, n: int) -> dict[int, list[bytes]]:
     return out
 
 
-def _send_words(n: int):
+def _gram_buckets(gram: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order in which distinct sorted grams are sent, and the bucket of each in that order: by the last two bytes of the context."""
+    tail = (gram >> _U(8)) & _U(0xFFFF)
+    bucket = ((tail * _U(0x9E3779B97F4A7C15) >> _U(32)) % _U(n)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, bucket[order]
+
+
+def _runs(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+    for a, b in zip(cut, cut[1:]):
+        if b > a:
+            yield int(bucket[a]), a, b
+
+
+def _distinct_grams(rows: Iterable[tuple[bool, list[bytes]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams in order, and how often the training texts have each."""
+    some, counts = np.zeros(0, _U), np.zeros(0)
+    for g, train, _ in _spellings(rows):
+        gram = np.unique(g)
+        known, n = np.unique(g[train], return_counts=True)
+        new = np.zeros(len(gram))
+        new[np.searchsorted(gram, known)] = n
+        both, of = np.unique(np.concatenate((some, gram)), return_inverse=True)
+        some, counts = both, np.bincount(of, np.concatenate((counts, new)), len(both))
+    return some, counts
+
+
+def _send(n: int):
     def emit(docs: pa.Table) -> list[tuple[int, int, int, bytes]]:
         part = docs.column("part")[0].as_py()
-        train, every, ends = Counter(), set(), 0
-        for i, t in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
-            ws = tokens(t)
-            if held_out(i):
-                every.update(ws)
-            else:
-                ends += 1
-                train.update(ws)
+        rows = [(not held_out(i), tokens(t)) for i, t in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True)]
+        train: Counter = Counter()
+        every: set[bytes] = set()
+        for trains, ws in rows:
+            (train if trains else every).update(ws)
         every.update(train)
         out = []
         for q, ws in _by_bucket(every, n).items():
             counts = np.fromiter(map(train.__getitem__, ws), np.int64, len(ws))
-            out.append((part, q, WORDS, b" ".join(ws) + b"\n" + counts.astype("<i8").tobytes()))
-        out.append((part, 0, STATS, np.array([ends], "<i8").tobytes()))
+            out.append((part, q, WORDS, b" ".join(ws) + END + counts.astype("<i8").tobytes()))
+        gram, count = _distinct_grams(rows)
+        order, bucket = _gram_buckets(gram, n)
+        gram, count = gram[order], count[order]
+        out += [(part, q, GRAMS, gram[a:b].astype("<u8").tobytes() + count[a:b].astype("<u4").tobytes()) for q, a, b in _runs(bucket)]
         return out
 
     return emit
 
 
-def _answer_words(rows: list[dict]) -> list[tuple[int, int, int, bytes]]:
-    """Training counts of a bucket's words for each part; its totals by form; its most frequent training words."""
-    q = rows[0]["bucket"]
-    sent = [(r["part"], *r["body"].split(b"\n", 1)) for r in rows if r["kind"] == WORDS]
-    total: Counter = Counter()
-    for _, ws, counts in sent:
-        for w, c in zip(ws.split(b" "), np.frombuffer(counts, "<i8").tolist(), strict=True):
-            total[w] += c
-    out = [(part, q, WORDS, np.fromiter((total[w] for w in ws.split(b" ")), np.int64).astype("<i8").tobytes()) for part, ws, _ in sent]
-    ends = sum(int(np.frombuffer(r["body"], "<i8")[0]) for r in rows if r["kind"] == STATS)
-    stats = np.zeros(1 + 2 * N_FORMS, np.int64)
-    stats[0] = ends
-    for w, c in total.items():
-        if c:
-            f = form(w)
-            stats[1 + f] += c
-            stats[1 + N_FORMS + f] += 1
-    out.append((-1, q, STATS, stats.astype("<i8").tobytes()))
-    best = sorted(((c, w) for w, c in total.items() if c), key=lambda x: (-x[0], x[1]))[:TOP_WORDS]
-    return out + [(-1, q, TOP, c.to_bytes(8, "big") + w) for c, w in best]
-
-
-def _classify(words: list[bytes], top: dict[bytes, int], known: dict[bytes, int]) -> list[int]:
-    """Classes of a text's words and end, after DEPTH ends that stand for its start. `known` is a bounded cache."""
-    if len(known) > 500_000:
-        known.clear()
-    for w in words:
-        if w not in known:
-            known[w] = top[w] if w in top else TOP_WORDS + form(w)
-    return [END] * DEPTH + list(map(known.__getitem__, words)) + [END]
-
-
-def _cells(x: np.ndarray) -> np.ndarray:
-    """Index of (DEPTH classes before, class) at every place; the first DEPTH places are of no use."""
-    padded = np.concatenate((np.full(DEPTH, END, np.int64), x))
-    return sum(padded[k : k + len(x)] * N_CLASSES ** (DEPTH - k) for k in range(DEPTH + 1))
-
-
-def _n_grams(top: dict[bytes, int]):
-    """(cell, n): counts of DEPTH + 1 classes in a row in the training documents, with ends before the first word."""
-    size = N_CLASSES ** (DEPTH + 1)
-
-    def run(batches):
-        counts, classes = np.zeros(size, np.int64), {}
-        for b in row_chunks(batches):
-            line: list[int] = []
-            real: list[np.ndarray] = []
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if not held_out(i):
-                    got = _classify(tokens(t), top, classes)
-                    line += got
-                    real.append(np.arange(len(got)) >= DEPTH)
-            if line:
-                counts += np.bincount(_cells(np.array(line, np.int64))[np.concatenate(real)], minlength=size)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["cell", "n"])
+def _answer(root: np.ndarray):
+    def reply(rows: list[dict]) -> list[tuple[int, int, int, bytes]]:
+        """To each part the training counts of its words and the log10 probabilities of its grams; the bucket's words in all."""
+        q = rows[0]["bucket"]
+        sent = [(r["part"], *r["body"].split(END, 1)) for r in rows if r["kind"] == WORDS]
+        total: Counter = Counter()
+        for _, ws, counts in sent:
+            for w, c in zip(ws.split(b" "), np.frombuffer(counts, "<i8").tolist(), strict=True):
+                total[w] += c
+        out = [(part, q, WORDS, np.fromiter((total[w] for w in ws.split(b" ")), np.int64).astype("<i8").tobytes()) for part, ws, _ in sent]
+        begun = Counter()
+        kinds = Counter()
+        for w, c in total.items():
+            if c:
+                begun[beginning(w)] += c
+                kinds[beginning(w)] += 1
+        out.append((-1, q, STATS, np.array([*begun, *begun.values(), *(kinds[k] for k in begun)], "<i8").tobytes()))
+        got = [(r["part"], r["body"]) for r in rows if r["kind"] == GRAMS]
+        if got:
+            size = [len(b) // 12 for _, b in got]
+            gram = np.concatenate([np.frombuffer(b[: 8 * k], "<u8") for (_, b), k in zip(got, size, strict=True)])
+            count = np.concatenate([np.frombuffer(b[8 * k :], "<u4") for (_, b), k in zip(got, size, strict=True)])
+            some, of = np.unique(gram, return_inverse=True)
+            p = np.log10(grow(some, np.bincount(of, count, len(some)), root)).astype("<f4")[of]
+            ends = np.cumsum(size).tolist()
+            out += [(part, q, GRAMS, p[e - k : e].tobytes()) for (part, _), k, e in zip(got, size, ends, strict=True)]
+        return out
 
-    return run
+    return reply
 
 
-def _score(n: int, shared, stats: np.ndarray, words: int, types: int):
+def _score(n: int, ends: int, begun: np.ndarray, kinds: np.ndarray):
     """Per document: tokens, known ones, base score and score."""
-    n_ends = int(stats[0])
-    big_n, big_v = words + n_ends, types + (n_ends > 0)
+    big_n, big_v = int(begun.sum()) + ends, int(kinds.sum()) + (ends > 0)
 
     def finish(docs: pa.Table, got: list[dict]) -> pa.Table:
-        rows = list(zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True)) if len(docs) else []
-        tree, top, form_n, form_v = shared.value
-        every: set[bytes] = set()
-        for _, t in rows:
-            every.update(tokens(t))
-        by = {r["bucket"]: r["body"] for r in got}
-        place: dict[bytes, int] = {}
-        counts = []
-        for q, ws in _by_bucket(every, n).items():
-            place.update(zip(ws, range(len(place), len(place) + len(ws))))
-            counts.append(np.frombuffer(by[q], "<i8"))
-        c = np.concatenate(counts).astype(float) if counts else np.zeros(0)
-        cls = np.fromiter((top[w] if w in top else TOP_WORDS + form(w) for w in place), np.int64, len(place))
-        base_of = lambda x: np.log10((x + ADD) / (big_n + ADD * (big_v + 1)))
-        f = np.maximum(cls - TOP_WORDS, 0)
-        share = np.where(c > 0, c - DISCOUNT, DISCOUNT * form_v[f]) / np.maximum(form_n[f], 1)
-        inside = np.log10(np.where((cls < TOP_WORDS) | (form_v[f] == 0), 1.0, share))  # of the word in its class
-        base, end_base, known = base_of(c), float(base_of(np.float64(n_ends))), c > 0
+        rows = [(i, tokens(t)) for i, t in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True)] if len(docs) else []
+        body = {(r["kind"], r["bucket"]): r["body"] for r in got}
+        count: dict[bytes, int] = {}
+        for q, ws in _by_bucket({w for _, ws in rows for w in ws}, n).items():
+            count.update(zip(ws, np.frombuffer(body[WORDS, q], "<i8").tolist(), strict=True))
+        gram, _ = _distinct_grams((False, ws) for _, ws in rows)
+        order, bucket = _gram_buckets(gram, n)
+        p = np.empty(len(gram), np.float32)
+        if len(gram):
+            p[order] = np.concatenate([np.frombuffer(body[GRAMS, q], "<f4") for q, *_ in _runs(bucket)])
         out: list[tuple] = []
-        for i, t in rows:
-            at = np.fromiter(map(place.__getitem__, tokens(t)), np.int64)
-            line = np.concatenate((np.full(DEPTH, END), cls[at], [END]))
-            steps = float(tree[_cells(line)[DEPTH:]].sum(dtype=np.float64))
-            out.append((i, held_out(i), len(at) + 1, int(known[at].sum()) + (n_ends > 0), big_n, float(base[at].sum()) + end_base, steps + float(inside[at].sum())))
+        todo = iter(rows)
+        for g, _, begin in _spellings((False, ws) for _, ws in rows):
+            steps = p[np.searchsorted(gram, g)].astype(np.float64)
+            byte = (g & _U(255)).astype(np.uint8)
+            stop = (byte == 32) | (byte == 10)  # the last byte of each token
+            first = np.flatnonzero(np.concatenate(([True], stop[:-1])))
+            end = byte[first] == 10
+            second = np.where(end, first, first + 1)
+            two = steps[first] + np.where(end, 0.0, steps[second])
+            rest = np.add.reduceat(steps, first) - two
+            cell = byte[first].astype(np.int64) << 8 | byte[second]
+            docs_here = [next(todo) for _ in range(len(begin))]
+            c = np.fromiter((x for _, ws in docs_here for x in (*map(count.__getitem__, ws), ends)), np.float64, len(first))
+            with np.errstate(divide="ignore"):
+                share = begun[cell] / np.maximum(begun[cell] + kinds[cell], 1)
+                whole, spelling = np.log10(share * c / np.maximum(begun[cell], 1)), rest + np.log10(1 - share)
+            most = np.maximum(whole, spelling)
+            token = two + np.where(end, 0.0, most + np.log10(10.0 ** (whole - most) + 10.0 ** (spelling - most)))
+            base = np.log10((c + ADD) / (big_n + ADD * (big_v + 1)))
+            at = np.searchsorted(first, begin)
+            sums = [np.add.reduceat(x, at) for x in (base, token, (c > 0).astype(np.int64))]
+            for k, (i, ws) in enumerate(docs_here):
+                out.append((i, held_out(i), len(ws) + 1, int(sums[2][k]), big_n, float(sums[0][k]), float(sums[1][k])))
         types_ = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         return pa.table([pa.array(x, ty) for x, ty in zip(zip(*out) if out else [[]] * 7, types_)], names=names)
@@ -206,38 +263,43 @@ def _score(n: int, shared, stats: np.ndarray, words: int, types: int):
     return finish
 
 
-def score(docs: DataFrame, part_bytes: int | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    parts, n = parted(docs, **({"part_bytes": part_bytes} if part_bytes else {}))
-    answers = materialize(answer(send(parts, _send_words(n)), _answer_words).repartition(n, "part"))
-    # a row for each bucket and at most TOP_WORDS more: added up on the executors, 24 rows come to the driver
-    spread = lambda: answers.filter(F.col("kind") == STATS).select("body").mapInArrow(_numbers, "cell long, n long")
-    stats = np.zeros(1 + 2 * N_FORMS, np.int64)
-    for r in spread().groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        stats[r["cell"]] = r["n"]
-    best = answers.filter(F.col("kind") == TOP).orderBy(F.desc("body")).limit(TOP_WORDS).select("body").collect()
-    best = [(bytes(r["body"][8:]), int.from_bytes(r["body"][:8], "big")) for r in best]
-    words, types = int(stats[1 : 1 + N_FORMS].sum()), int(stats[1 + N_FORMS :].sum())
-    top = {w: k for k, (w, _) in enumerate(best)}
-    form_n, form_v = stats[1 : 1 + N_FORMS].astype(float), stats[1 + N_FORMS :].astype(float)
-    for w, c in best:  # these have left the classes of their forms
-        form_n[form(w)] -= c
-        form_v[form(w)] -= 1
-    cells = only(docs, doc_id="long", text="string").mapInArrow(_n_grams(top), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(N_CLASSES ** (DEPTH + 1), np.int64)  # a size that the corpus doesn't change
-    counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    tree = grow(counts.reshape((N_CLASSES,) * (DEPTH + 1))).ravel()
-    shared = docs.sparkSession.sparkContext.broadcast((tree, top, form_n, form_v))
-    replies = answers.filter(F.col("kind") == WORDS)
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return meet(parts, replies, _score(n, shared, stats, words, types), schema)
+def _byte_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, n): counts of two spelled bytes in a row in the training documents; cell 65536 counts the documents."""
+    counts = np.zeros(65537, np.int64)
+    for b in row_chunks(batches):
+        texts = [tokens(t) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) if not held_out(i)]
+        for g, _, _ in _spellings((True, ws) for ws in texts):
+            counts[:65536] += np.bincount((g & _U(0xFFFF)).astype(np.int64), minlength=65536)
+        counts[65536] += len(texts)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["cell", "n"])
 
 
-def _numbers(batches):
+def _numbers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, n): tokens by their beginning, and from cell 65536 on distinct words."""
     for b in batches:
         for body in b.column("body").to_pylist():
-            x = np.frombuffer(body, "<i8").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array(x)], ["cell", "n"])
+            cell, n, kinds = np.frombuffer(body, "<i8").reshape(3, -1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((cell, cell + 65536))), pa.array(np.concatenate((n, kinds)))], ["cell", "n"])
+
+
+def _sums(cells: DataFrame, size: int) -> np.ndarray:
+    """At most `size` numbers, added up on the executors."""
+    out = np.zeros(size, np.int64)
+    for r in cells.groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[r["cell"]] = r["n"]
+    return out
+
+
+def score(docs: DataFrame, part_bytes: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+    parts, n = scattered(docs, **({"part_bytes": part_bytes} if part_bytes else {}))
+    pairs = _sums(only(docs, doc_id="long", text="string").mapInArrow(_byte_pairs, "cell long, n long"), 65537)
+    root = roots(pairs[:65536].reshape(256, 256))
+    answers = materialize(answer(send(parts, _send(n)), _answer(root)))
+    begun, kinds = _sums(answers.filter(F.col("kind") == STATS).select("body").mapInArrow(_numbers, "cell long, n long"), 131072).reshape(2, -1)
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return meet(parts, answers.filter(F.col("kind") != STATS), _score(n, int(pairs[65536]), begun, kinds), schema)
 
 
 def op8_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

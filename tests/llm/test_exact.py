@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -365,14 +366,80 @@ def test_language_model(table, rows):
         r = got[d]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[d], len(ws), sum(c[w] > 0 for w in ws), n)
         assert abs(r["base_score"] - sum(np.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)) < 1e-6 * len(ws)
-    out = [r for r in got.values() if r["held_out"]]
-    assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
-def test_language_model_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    tree = suffix_tree_lm.grow(rng.integers(0, 3, (suffix_tree_lm.N_CLASSES,) * 4))
-    assert np.allclose((10.0 ** tree.astype(float)).sum(-1), 1, atol=1e-4)
+def test_language_model_beats_the_base_model(spark, sf_dir):
+    """On unseen texts of a table that is large enough to learn words from (the base takes all unknown words as one)."""
+    got = suffix_tree_lm.score(spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet"))
+    out = got.filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert out[0] > out[1]
+
+
+def slow_scores(docs):
+    """log10 probability of each text by a tree in plain dictionaries."""
+    lm = suffix_tree_lm
+    words = [WORD.findall((t or "").translate(LOW)) for _, t in docs]
+    spell = [b"\n" * lm.DEPTH + b"".join(w.encode() + b" " for w in ws) + b"\n" for ws in words]
+    train = [k for k, (d, _) in enumerate(docs) if zlib.crc32(b"" if d is None else str(d).encode()) % 10]
+    nexts = collections.defaultdict(collections.Counter)
+    for k in train:
+        for i in range(lm.DEPTH, len(spell[k])):
+            for depth in range(lm.DEPTH + 1):
+                nexts[spell[k][i - depth : i]][spell[k][i]] += 1
+    known = {}
+
+    def p(context, byte):
+        if (context, byte) not in known:
+            n = nexts[context]
+            total = sum(n.values())
+            if not context:
+                got = (n[byte] + 0.1) / (total + 25.6)
+            else:
+                got = p(context[1:], byte)
+                if sum(c * math.log(c / total / p(context[1:], s)) for s, c in n.items() if c) >= lm.KEEP_NATS:
+                    kinds = sum(c > 0 for c in n.values())
+                    got = (n[byte] + kinds * got) / (total + kinds)
+            known[context, byte] = got
+        return known[context, byte]
+
+    counts = collections.Counter(w for k in train for w in [*words[k], "\n"])
+    out = []
+    for ws, text in zip(words, spell):
+        at, score = lm.DEPTH, 0.0
+        for w in [*(w.encode() + b" " for w in ws), b"\n"]:
+            steps = [p(text[i - lm.DEPTH : i], text[i]) for i in range(at, at + len(w))]
+            at += len(w)
+            like = [x for x in counts if x != "\n" and (x.encode() + b" ")[:2] == w[:2]]
+            total = sum(counts[x] for x in like)
+            share = total / (total + len(like)) if total else 0.0
+            score += math.log10(math.prod(steps[:2]))
+            if w != b"\n":
+                score += math.log10((share * counts[w.decode()[:-1]] / total if total else 0.0) + (1 - share) * math.prod(steps[2:]))
+        out.append(score)
+    return out
+
+
+@pytest.mark.parametrize("part_bytes", [1 << 20, 3000])
+def test_language_model_equals_brute_force(make, part_bytes):
+    rng = random.Random(1)
+    vocabulary = ["the", "cat", "sat", "Été", "naïve", "on", "a", "mat", "thé", "x" * 30]
+    docs = [(rng.choice([k, k, k, None]), rng.choice([None, "", *[" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 60))) for _ in range(8)]])) for k in range(60)]
+    docs += [(1, "tie one tie"), (1, "tie one tie"), (2, "one tie one")]
+    got = sorted((str(r.doc_id), r.n_tokens, round(r.score, 3)) for r in suffix_tree_lm.score(make(docs), part_bytes=part_bytes).collect())
+    want = sorted((str(d), len((t or "").split()) + 1, round(s, 3)) for (d, t), s in zip(docs, slow_scores(docs)))
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert all(abs(x[2] - y[2]) < 2e-3 for x, y in zip(got, want))
+
+
+def test_language_model_does_not_depend_on_partitions(spark, make):
+    docs = [(k, " ".join(f"w{(k * 7 + i) % 13}" for i in range(20))) for k in range(20)]
+    scores = []
+    for n in (1, 8, 211):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        scores.append({r.doc_id: r.score for r in suffix_tree_lm.score(make(docs)).collect()})
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert scores[0] == scores[1] == scores[2]
 
 
 def test_language_model_edges(make):

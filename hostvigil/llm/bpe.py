@@ -25,12 +25,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from hostvigil.llm.common import only, read_table, row_chunks
+from hostvigil.llm.common import only, read_table, row_chunks, tidied
 
 #: Entries in each of the two generations of a task's caches: when the young one is full it becomes the old one.
-CACHE_PIECES, CACHE_WORDS = 50_000, 150_000
+CACHE_PIECES, CACHE_WORDS = 30_000, 80_000
 #: Pairs of tokens of which a worker remembers, from task to task, whether they stay apart.
-CACHE_PAIRS = 300_000
+CACHE_PAIRS = 200_000
 #: Text encoded at a time, in characters: the more words stand in one trie, the more prefixes they share.
 TRIE_CHARS = 3 << 20
 #: Letters of Unicode versions after 16.0, which the library's pattern doesn't know as letters.
@@ -68,11 +68,9 @@ class Merges:
         self.made: dict[int, tuple[int, int, int]] = {}  # token: its rank, left part, right part
         for r, (a, b) in enumerate(pairs):
             self.made.setdefault(self.ids[a + b], (r, self.ids[a], self.ids[b]))
-        self.edges: dict[tuple[int, int], list[tuple[int, int]]] = {}  # bounded by the vocabulary
         self.apart: dict[int, bool] = {}
         # a token is of use only if its own text is encoded as itself
         self.usable = {s: t for s, t in self.ids.items() if t not in self.made or self.stay_apart(*self.made[t][1:], self.made[t][0])}
-        self.edges.clear()
         # every stretch of symbols inside a usable token: the token that it is, or -1
         self.parts: dict[str, int] = {}
         for t in self.usable:
@@ -82,13 +80,6 @@ class Merges:
             self.parts.update(dict.fromkeys((body[i:] + end for i in range(n)), -1))
         self.parts |= self.usable
 
-    def edge(self, token: int, side: int) -> list[tuple[int, int]]:
-        """As `_edge`, kept."""
-        found = self.edges.get((token, side))
-        if found is None:
-            found = self.edges[token, side] = self._edge(token, side)
-        return found
-
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """(piece, rank at which it is merged into the next) at one edge of a token, from the single symbol to the token."""
         out, until = [], _NEVER
@@ -100,7 +91,7 @@ class Merges:
 
     def stay_apart(self, left: int, right: int, below: int = _NEVER) -> bool:
         """No merge of a rank under `below` joins the two tokens across their border."""
-        a, b = self.edge(left, 2), self.edge(right, 1)
+        a, b = self._edge(left, 2), self._edge(right, 1)
         i = j = 0
         while True:
             (x, x_until), (y, y_until) = a[i], b[j]
@@ -318,7 +309,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             got = enc.encode_batch([t or "" for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([[i for p in t for i in p] for t in got], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, ids array<int>")
+    return only(docs, doc_id="long", text="string").mapInArrow(tidied(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -330,7 +321,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([enc.decode(t or []) for t in b.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidied(run), "doc_id long, text string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -349,7 +340,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         enc.release()
 
-    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return only(docs, doc_id="long", text="string").mapInArrow(tidied(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import inspect
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -63,6 +66,39 @@ def row_chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int
             yield batch.slice(start)
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: Spark keeps idle Python workers for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidied(f: Callable) -> Callable:
+    """`f`, a function of a batch, a group or two groups, or a generator over batches, followed by `tidy`."""
+
+    def stream(batches):
+        try:
+            yield from f(batches)
+        finally:
+            tidy()
+
+    def one(x):
+        try:
+            return f(x)
+        finally:
+            tidy()
+
+    def two(x, y):
+        try:
+            return f(x, y)
+        finally:
+            tidy()
+
+    return stream if inspect.isgeneratorfunction(f) else two if len(inspect.signature(f).parameters) == 2 else one
+
+
 def bounded(table: DataFrame) -> DataFrame:
     """A written table, marked for broadcast if it has at most BROADCAST_ROWS rows; else Spark joins it by shuffling."""
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table

@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostvigil.llm.common import CHUNK_CHARS, materialize, only, read_table, row_chunks, text_batches
+from hostvigil.llm.common import CHUNK_CHARS, materialize, only, read_table, row_chunks, text_batches, tidied, tidy
 
 Q = 10
 SEGMENT, STRIDE = 100, 50
@@ -220,7 +220,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         if last is not None:  # of several blocks one is held at a time
             found[-1] = materialize(found[-1])
             last.unpersist()
-        found.append(rows.mapInArrow(search(index), schema))
+        found.append(rows.mapInArrow(tidied(search(index)), schema))
         last = index
     if not found:
         return rows.sparkSession.createDataFrame([], schema)
@@ -242,6 +242,7 @@ def _occurs(index):
                     out[start + d] = True
                 start, held = k, 0
             held += len(t or "")
+        tidy()
         return pd.Series(out)
 
     return F.pandas_udf(hit, "boolean")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hostvigil.llm.common import bounded, materialize, only, read_table, text_batches, unused
+from hostvigil.llm.common import bounded, materialize, only, read_table, text_batches, tidied, unused
 from hostvigil.llm.graph import components, stars
 
 SEED = 42
@@ -249,7 +249,7 @@ def _link(radius: int):
 
 def _grouped(rows: DataFrame, radius: int) -> DataFrame:
     dealt = rows.repartition("key", "salt").sortWithinPartitions("key", "salt")
-    return dealt.select("key", "hi", "lo", "node", "salt").mapInArrow(_link(radius), _LINKS)
+    return dealt.select("key", "hi", "lo", "node", "salt").mapInArrow(tidied(_link(radius)), _LINKS)
 
 
 def linked(rows: DataFrame, radius: int, limit: int = LARGEST) -> DataFrame:
@@ -293,7 +293,7 @@ def likely_links(codes: DataFrame, similarity: float, limit: int = LARGEST) -> D
             for key in bands.keys(hi, lo):
                 yield pa.RecordBatch.from_arrays([pa.array(key), b.column("hi"), b.column("lo"), b.column("node")], ["key", "hi", "lo", "node"])
 
-    return linked(codes.select("hi", "lo", "node").mapInArrow(run, _ROWS), radius, limit)
+    return linked(codes.select("hi", "lo", "node").mapInArrow(tidied(run), _ROWS), radius, limit)
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
@@ -419,7 +419,7 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, block: int
         sizes = grams.select("label", "doc_id", "hash", F.size("grams").cast("long").alias("n"))
         large = materialize(sizes.groupBy("label").agg(F.sum("n").alias("n")).filter(F.col("n") > block).select("label", F.ceil(F.col("n") / block).alias("parts")))
         if large.isEmpty():
-            stay.append(_in_order(grams).mapInArrow(_heads(similarity), schema).select("doc_id", "hash"))
+            stay.append(_in_order(grams).mapInArrow(tidied(_heads(similarity)), schema).select("doc_id", "hash"))
             break
         # the first documents of up to `block` shingles and one more, by salted parts first, so that no task sorts a whole label
         ahead = sizes.join(bounded(large), "label").withColumn("salt", F.pmod("hash", F.lit(64)))
@@ -428,7 +428,7 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, block: int
             ahead = ahead.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter(F.col("before") < block)
         cuts = materialize(ahead.groupBy("label", "parts").agg(F.max(place).alias("cut")))
         now = grams.join(bounded(cuts), "label", "left")
-        heads = materialize(_in_order(now.filter(F.col("cut").isNull() | (place <= F.col("cut")))).mapInArrow(_heads(similarity), schema))
+        heads = materialize(_in_order(now.filter(F.col("cut").isNull() | (place <= F.col("cut")))).mapInArrow(tidied(_heads(similarity)), schema))
         stay.append(heads.select("doc_id", "hash"))
         rest = now.filter(place > F.col("cut")).select(*columns, F.pmod("hash", "parts").alias("salt"))
         sent = heads.join(bounded(cuts), "label").select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))

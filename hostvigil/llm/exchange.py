@@ -1,7 +1,7 @@
 """Packed exchange between parts of the corpus and buckets of keys.
 
 Operators that must look up something for every few bytes of text would shuffle a row for each. Here the documents are
-dealt to parts (ranges of doc_id), each part sends one binary record to each bucket of the key space, and each bucket
+dealt to parts (ranges of doc_id, or by hash), each part sends one binary record to each bucket of the key space, and each bucket
 answers each part with one record in the same order. Parts and buckets are sized in bytes, so their number grows with
 the corpus and a task's memory doesn't. What a part sends is distinct within the part, so a key that many documents
 share reaches its bucket at most once a part.
@@ -17,25 +17,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostvigil.llm.common import only, partitions_for
+from hostvigil.llm.common import only, partitions_for, tidied
 
 #: Text of a part; a task needs about thirty times as much memory.
 PART_BYTES = 8 << 20
-MESSAGE = "part int, bucket int, kind int, body binary"
-_MESSAGE = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("body", pa.binary())])
+#: Parts of one rank: a part's number is its rank times this, and more.
+SAME_RANK = 1 << 20
+MESSAGE = "part long, bucket int, kind int, body binary"
+_MESSAGE = pa.schema([("part", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("body", pa.binary())])
 
 
-def parted(docs: DataFrame, part_bytes: int = PART_BYTES, keep: list[str] | None = None) -> tuple[DataFrame, int]:
-    """part, doc_id, text and the columns of `keep`, and the number of parts. A part is a range of doc_ids; null ids come first."""
+def parted(docs: DataFrame, part_bytes: int = PART_BYTES, keep: bool = False) -> tuple[DataFrame, int]:
+    """part, doc_id, text, with `keep` also `kept` (a struct of all columns but the text, named c0, c1 and so on), and the number of parts.
+
+    The rank of a part (its number over SAME_RANK) is that of a range of doc_ids; null ids come first. An id with more
+    text than a part is a range of its own, dealt to several parts of one rank. The ranges' bounds, 8 bytes for each
+    PART_BYTES of text, come to the driver.
+    """
     rows = only(docs, doc_id="long", text="string")
     n = partitions_for(rows, "text", part_bytes)
-    cuts = rows.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], max(10_000, 100 * n)).alias("c")).first()["c"] or []
-    edges = np.unique(np.array(cuts if n > 1 else [], np.int64))
-    part = F.pandas_udf(lambda ids: pd.Series(np.searchsorted(edges, ids.to_numpy(), side="left").astype(np.int32)), "int")
-    lowest = F.lit(-(1 << 63)).cast("long")
-    rest = [F.col(f"`{c}`").alias(f"_keep_{c}") for c in keep or []]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
-    return rows.select(part(F.coalesce("doc_id", lowest)).alias("part"), "*"), n
+    lowest = -(1 << 63)
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest))
+    cuts = (rows.select(F.percentile_approx(id_, [i / n for i in range(1, n)] or [0.5], 10_000).alias("c")).first()["c"] or []) if n > 1 else []
+    hot = {r["i"]: -(-r["b"] // part_bytes) for r in rows.groupBy(id_.alias("i")).agg(F.sum(F.octet_length("text")).alias("b")).filter(F.col("b") > part_bytes).collect()}
+    edges = np.unique(np.array([*cuts, *hot, *(i - 1 for i in hot if i > lowest)], np.int64))
+    alone, salts = np.array(sorted(hot), np.int64), np.array([hot[i] for i in sorted(hot)], np.int64)
+
+    def number(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        i = ids.to_numpy()
+        salt = np.zeros(len(i), np.int64)
+        if len(alone):
+            k = np.minimum(np.searchsorted(alone, i), len(alone) - 1)
+            salt = np.where(alone[k] == i, (hashes.to_numpy() & ((1 << 62) - 1)) % salts[k] % SAME_RANK, 0)
+        return pd.Series(np.searchsorted(edges, i, side="left").astype(np.int64) * SAME_RANK + salt)
+
+    kept = [F.struct(*[(F.lit(None).cast("string") if c == "text" else F.col(f"`{c}`")).alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("kept")] if keep else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *kept)
+    return rows.select(F.pandas_udf(number, "long")(F.coalesce("doc_id", F.lit(lowest)), F.xxhash64("text")).alias("part"), "*"), n
 
 
 def scattered(docs: DataFrame, part_bytes: int = PART_BYTES) -> tuple[DataFrame, int]:
@@ -43,7 +61,7 @@ def scattered(docs: DataFrame, part_bytes: int = PART_BYTES) -> tuple[DataFrame,
     to it, so that many rows of one id, or without one, go to many parts."""
     rows = only(docs, doc_id="long", text="string")
     n = partitions_for(rows, "text", part_bytes)
-    return rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("part"), "*"), n
+    return rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("long").alias("part"), "*"), n
 
 
 def messages(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
@@ -52,14 +70,14 @@ def messages(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
 
 def send(parts: DataFrame, emit: Callable[[pa.Table], list[tuple[int, int, int, bytes]]]) -> DataFrame:
     """Messages of every part; emit gets its documents."""
-    return parts.groupBy("part").applyInArrow(lambda table: messages(emit(table)), MESSAGE)
+    return parts.groupBy("part").applyInArrow(tidied(lambda table: messages(emit(table))), MESSAGE)
 
 
 def answer(sent: DataFrame, reply: Callable[[list[dict]], list[tuple[int, int, int, bytes]]]) -> DataFrame:
     """Messages of every bucket; reply gets what the parts sent to it, by part."""
-    return sent.groupBy("bucket").applyInArrow(lambda table: messages(reply(sorted(table.to_pylist(), key=lambda r: r["part"]))), MESSAGE)
+    return sent.groupBy("bucket").applyInArrow(tidied(lambda table: messages(reply(sorted(table.to_pylist(), key=lambda r: r["part"])))), MESSAGE)
 
 
 def meet(parts: DataFrame, answers: DataFrame, finish: Callable[[pa.Table, list[dict]], pa.Table], schema: str) -> DataFrame:
     """The documents of every part together with the answers to it."""
-    return parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(lambda docs, got: finish(docs, got.to_pylist()), schema)
+    return parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(tidied(lambda docs, got: finish(docs, got.to_pylist())), schema)

@@ -24,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hostvigil.llm.common import read_table
-from hostvigil.llm.exchange import MESSAGE, answer, meet, messages, parted, send
+from hostvigil.llm.exchange import MESSAGE, SAME_RANK, answer, meet, messages, parted, send
 
 LENGTH = 50
 TRIGGER = 24
@@ -191,7 +192,7 @@ def _send_phrases(n: int):
 
 
 def _answer_phrases(rows: list[dict]) -> list[tuple[int, int, int, bytes]]:
-    """For each entry: 1 if an earlier part has the phrase, plus 2 if the trigger has other phrases too."""
+    """For each entry: 1 if a part of smaller rank has the phrase, plus 2 if the trigger has other phrases too."""
     sizes = [len(r["body"]) // 10 for r in rows]
     key = np.concatenate([_from_five(r["body"][: 5 * n]) for r, n in zip(rows, sizes, strict=True)])
     code = np.concatenate([_from_five(r["body"][5 * n :]) for r, n in zip(rows, sizes, strict=True)])
@@ -204,9 +205,8 @@ def _answer_phrases(rows: list[dict]) -> list[tuple[int, int, int, bytes]]:
     at = np.flatnonzero(shared)  # in order of the parts
     at = at[np.lexsort((at, code[at], key[at]))]
     k, c = key[at], code[at]
-    again = np.zeros(len(at), bool)
-    again[1:] = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
     if len(at):
+        again = _after_first(_ranks(rows, sizes)[at], (k[1:] != k[:-1]) | (c[1:] != c[:-1]))
         new = np.concatenate(([True], k[1:] != k[:-1]))
         head = np.flatnonzero(new)
         tail = np.concatenate((head[1:], [len(at)])) - 1
@@ -215,6 +215,16 @@ def _answer_phrases(rows: list[dict]) -> list[tuple[int, int, int, bytes]]:
     return _split(rows, sizes, flag, PHRASES)
 
 
+def _ranks(rows: list[dict], sizes: list[int]) -> np.ndarray:
+    return np.repeat(np.array([r["part"] // SAME_RANK for r in rows], np.int64), sizes)
+
+
+def _after_first(rank: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Which of some sorted entries come from a greater rank than the first of their run; `new`: where the next run begins."""
+    head = np.concatenate(([0], np.flatnonzero(new) + 1))
+    return rank > np.repeat(rank[head], np.diff(np.append(head, len(rank))))
+
+
 def _split(rows: list[dict], sizes: list[int], flag: np.ndarray, kind: int) -> list[tuple[int, int, int, bytes]]:
     ends = np.cumsum(sizes).tolist()
     return [(r["part"], r["bucket"], kind, flag[e - n : e].tobytes()) for r, n, e in zip(rows, sizes, ends, strict=True)]
@@ -238,15 +248,15 @@ def _send_suffixes(n: int):
 
 
 def _answer_suffixes(rows: list[dict]) -> list[tuple[int, int, int, bytes]]:
-    """For each string: 1 if an earlier part has it."""
+    """For each string: 1 if a part of smaller rank has it."""
     sizes = [len(r["body"]) // 10 for r in rows]
     h = np.concatenate([np.frombuffer(r["body"][: 8 * n], "<u8") for r, n in zip(rows, sizes, strict=True)])
     x = np.concatenate([np.frombuffer(r["body"][8 * n :], "<u2") for r, n in zip(rows, sizes, strict=True)])
     order = np.lexsort((x, h))  # stable: equal strings stay in order of the parts
-    again = np.zeros(len(h), bool)
-    again[1:] = (h[order][1:] == h[order][:-1]) & (x[order][1:] == x[order][:-1])
     flag = np.zeros(len(h), np.uint8)
-    flag[order] = again
+    h, x = h[order], x[order]
+    if len(h):
+        flag[order] = _after_first(_ranks(rows, sizes)[order], (h[1:] != h[:-1]) | (x[1:] != x[:-1]))
     return _split(rows, sizes, flag, SUFFIXES)
 
 
@@ -275,7 +285,7 @@ def _removed(p: Parse, got: list[dict], n: int) -> np.ndarray:
     return np.cumsum(cover)[:-1] > 0
 
 
-def _digest(n: int, keep: list[str] | None):
+def _digest(n: int, keep: bool):
     def finish(docs: pa.Table, got: list[dict]) -> pa.Table:
         p = Parse(docs) if len(docs) else None
         size, removed, spans, kept = [], [], [], []
@@ -289,36 +299,36 @@ def _digest(n: int, keep: list[str] | None):
                 kept.append(np.frombuffer(t, np.uint8)[~g].tobytes() if removed[-1] else t)
         columns = [pa.array(p.ids if p else [], pa.int64()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans"]
-        if keep is None:
+        if not keep:
             columns.append(pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()))
             return pa.table(columns, names=[*names, "kept_sha256"])
         columns.append(pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()))
-        columns += [docs.column(f"_keep_{c}").take(pa.array(p.row if p else [], pa.int64())) for c in keep]
-        return pa.table(columns, names=[*names, "text", *[f"_keep_{c}" for c in keep]])
+        columns.append(docs.column("kept").take(pa.array(p.row if p else [], pa.int64())))
+        return pa.table(columns, names=[*names, "text", "kept"])
 
     return finish
 
 
-def dedup(docs: DataFrame, keep: list[str] | None = None, part_bytes: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, keep: bool = False, part_bytes: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
 
-    With `keep` (names of further columns): the kept text instead of its hash, and those columns as _keep_<name>. The
-    kept text leaves out bytes of characters that were cut in two.
+    With `keep`: the kept text instead of its hash, and `kept`, a struct of the row's other columns (c0, c1 and so on; text is null). The kept text leaves out bytes of characters that were cut in two.
     """
     parts, n = parted(docs, **({"part_bytes": part_bytes} if part_bytes else {}), keep=keep)
     bare = parts.select("part", "doc_id", "text")
     phrases = answer(send(bare, _send_phrases(n)), _answer_phrases)
     strings = answer(meet(bare, phrases, _send_suffixes(n), MESSAGE), _answer_suffixes)
-    last = "kept_sha256 string" if keep is None else ", ".join(["text string", *[f"`_keep_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]])
-    return meet(parts, phrases.unionByName(strings), _digest(n, keep), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
+    fields = [T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")]
+    fields += [T.StructField("text", T.StringType()), parts.schema["kept"]] if keep else [T.StructField("kept_sha256", T.StringType())]
+    return meet(parts, phrases.unionByName(strings), _digest(n, keep), T.StructType(fields))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """`docs` with repeated text removed and n_chars, if there is such a column, counted anew."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    out = dedup(docs, keep=rest)
-    new = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return out.select(*[new.get(c, F.col(f"`_keep_{c}`")).alias(c) for c in docs.columns])
+    """`docs` with repeated text removed and n_chars, if there is such a column, counted anew; other columns of any name
+    stay as they are, every row gives a row, and an empty table stays one."""
+    out = dedup(docs, keep=True)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[new.get(c, F.col(f"kept.c{k}")).alias(c) for k, c in enumerate(docs.columns)])
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostvigil.llm.common import materialize, only, read_table, row_chunks
+from hostvigil.llm.common import materialize, only, read_table, row_chunks, tidied
 from hostvigil.llm.exchange import answer, meet, scattered, send
 
 FOLDS = 10
@@ -294,7 +294,7 @@ def _sums(cells: DataFrame, size: int) -> np.ndarray:
 def score(docs: DataFrame, part_bytes: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     parts, n = scattered(docs, **({"part_bytes": part_bytes} if part_bytes else {}))
-    pairs = _sums(only(docs, doc_id="long", text="string").mapInArrow(_byte_pairs, "cell long, n long"), 65537)
+    pairs = _sums(only(docs, doc_id="long", text="string").mapInArrow(tidied(_byte_pairs), "cell long, n long"), 65537)
     root = roots(pairs[:65536].reshape(256, 256))
     answers = materialize(answer(send(parts, _send(n)), _answer(root)))
     begun, kinds = _sums(answers.filter(F.col("kind") == STATS).select("body").mapInArrow(_numbers, "cell long, n long"), 131072).reshape(2, -1)

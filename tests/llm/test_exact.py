@@ -347,6 +347,15 @@ def test_substring_dedup_on_repetitive_text(make, letters):
     assert got == slow_dedup(docs)
 
 
+def test_substring_dedup_with_a_hot_id(make):
+    """Ids with more text than a part: their rows go to several parts, and don't count against each other."""
+    rng = random.Random(9)
+    passages = ["".join(rng.choice("abcdefgh ") for _ in range(120)) for _ in range(5)]
+    docs = [(rng.choice([None, None, 5, 5, 5, k]), "".join(rng.choice(passages) + rng.choice("xyz") * rng.randint(0, 9) for _ in range(3))) for k in range(40)]
+    got = sorted((tuple(r) for r in suffix_dedup.dedup(make(docs), part_bytes=900).collect()), key=str)
+    assert got == slow_dedup(docs)
+
+
 def test_substring_dedup_edges(make):
     docs = [(d, t) for d, t in EDGE if d != 7]
     assert sorted((tuple(r) for r in suffix_dedup.dedup(make(docs)).collect()), key=str) == slow_dedup(docs)

@@ -31,6 +31,8 @@ from hostvigil.llm.exchange import MESSAGE, SAME_RANK, answer, meet, messages, p
 
 LENGTH = 50
 TRIGGER = 24
+#: Text of a part, in bytes.
+PART_BYTES = 5 << 20
 #: Bytes hashed at a time.
 BLOCK = 1 << 18
 PHRASES, SUFFIXES = 0, 1
@@ -185,6 +187,7 @@ def _slices(bucket: np.ndarray):
 def _send_phrases(n: int):
     def emit(docs: pa.Table) -> list[tuple[int, int, int, bytes]]:
         p = Parse(docs)
+        del p.hash, p.texts
         p.dictionary(n)
         return [(p.part, q, PHRASES, _five(p.key[p.head[a:b]]) + _five(p.code[p.head[a:b]])) for q, a, b in _slices(p.bucket[p.head])]
 
@@ -240,6 +243,7 @@ def _send_suffixes(n: int):
         if not len(docs):
             return messages([])
         p = Parse(docs)
+        del p.texts
         p.dictionary(n)
         p.suffixes(_open(p, p.flags(got, PHRASES, p.bucket[p.head])), n)
         return messages([(p.part, q, SUFFIXES, p.s_hash[a:b].astype("<u8").tobytes() + p.s_rest[a:b].astype("<u2").tobytes()) for q, a, b in _slices(p.s_bucket)])
@@ -282,7 +286,7 @@ def _removed(p: Parse, got: list[dict], n: int) -> np.ndarray:
         s = np.flatnonzero(starts)
         cover[: len(p.hash)] += starts[:-1]
         np.add.at(cover, s + LENGTH, -1)
-    return np.cumsum(cover)[:-1] > 0
+    return np.cumsum(cover, dtype=np.int32, out=cover)[:-1] > 0
 
 
 def _digest(n: int, keep: bool):
@@ -291,6 +295,7 @@ def _digest(n: int, keep: bool):
         size, removed, spans, kept = [], [], [], []
         if p:
             gone = _removed(p, got, n)
+            del p.hash
             for t, a, b in zip(p.texts, p.begin[:-1].tolist(), p.begin[1:].tolist(), strict=True):
                 g = gone[a:b]
                 size.append(b - a)
@@ -314,7 +319,7 @@ def dedup(docs: DataFrame, keep: bool = False, part_bytes: int | None = None) ->
 
     With `keep`: the kept text instead of its hash, and `kept`, a struct of the row's other columns (c0, c1 and so on; text is null). The kept text leaves out bytes of characters that were cut in two.
     """
-    parts, n = parted(docs, **({"part_bytes": part_bytes} if part_bytes else {}), keep=keep)
+    parts, n = parted(docs, part_bytes or PART_BYTES, keep)
     bare = parts.select("part", "doc_id", "text")
     phrases = answer(send(bare, _send_phrases(n)), _answer_phrases)
     strings = answer(meet(bare, phrases, _send_suffixes(n), MESSAGE), _answer_suffixes)

@@ -1,150 +1,68 @@
-"""Keyed scans over frames: baselines, autoencoders, drift, smoothing, cooldowns; forecasts and attribution on top.
+"""Scores of frames: learned stages, smoothing and cooldowns, attribution, and all stages in order.
 
-Each scan is sequential in time within its key, so the key is what runs in parallel: (host, feature), (host, layer) or
-host. A key's frames are one group, bounded by one host's history in the batch.
+What depends on a host's earlier frames is a scan (see `ladder`): hosts run side by side, each in order of time with a
+state of fixed size, and no history is held. All else is column expressions and windows.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hostvigil.catalogue import BUNDLES, DERIVED, LAYER_OF, LAYERS, MODELLED, TRENDS, WORSE_UP
+from hostvigil.catalogue import LAYER_OF, LAYERS, MODELLED, TRENDS
+from hostvigil.operators import ladder as L
 from hostvigil.operators import state as S
-from hostvigil.operators.frames import FRAME_SQL, SPARSE, band_rank, derive_cross_layer, frames_of, risk_floor, severity_name, with_rules
+from hostvigil.operators.frames import DERIVED_SQL, FRAME_SQL, SPARSE, band_rank, carry_forward, coverage_sql, derive_cross_layer, frames_of, risk_floor, rolling, severity_name, with_rules, worst_hit
+from hostvigil.operators.incidents import BLIND_BELOW, alert_runs, cards, hysteresis
 from hostvigil.registry import query, sql_query
 from hostvigil.sources.fixtures import fixture
-from hostvigil.sources.scratch import materialize
 
 DENSE = ["gw_rtt_ms", "gw_jitter_ms", "gw_loss_rate", "dns_p50_ms", "dns_p95_ms", "dns_fail_rate", "https_ttfb_ms", "https_tcp_ms", "https_tls_ms", "https_total_ms", "https_fail_rate", "path_rtt_ms", "wifi_rssi_dbm", "wifi_tx_retry_rate", "wifi_link_mbps", "os_cpu_pct", "os_retrans_rate"]
+LEARNED = [f for f in DENSE if f in MODELLED]
 
 
-def long_frames(frames: DataFrame, features: list[str]) -> DataFrame:
-    """host_id, tick, ts, feature, value of every frame; null where there is none."""
-    return frames.select("host_id", "tick", "ts", *[F.col(f).cast("double").alias(f) for f in features]).unpivot(["host_id", "tick", "ts"], features, "feature", "value")
+def ewma_moments(rows: DataFrame) -> DataFrame:
+    """`rows` (host_id, ts, value) with the moments of the values so far under a bounded learning rate."""
 
+    def step(m: list[float], batch: pa.RecordBatch) -> list[pa.Array]:
+        out = []
+        for x in batch.column("value").to_pylist():
+            if x is not None:
+                m[0] += 1
+                rate = min(L.RATE_MOST, max(L.RATE_LEAST, 1 / m[0])) if m[0] > 1 else 1.0
+                gap = x - m[1]
+                m[1] += rate * gap
+                m[2] = (1 - rate) * (m[2] + rate * gap * gap)
+            out.append((m[1], m[2]))
+        return [pa.array(c, pa.float64()) for c in zip(*out)]
 
-def _moments(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf, m = pdf.sort_values("ts"), S.Moments()
-    out = []
-    for x in pdf["value"]:
-        m.update(x)
-        out.append((m.mean, m.var))
-    pdf["mean"], pdf["var"] = zip(*out)
-    return pdf[["host_id", "tick", "feature", "mean", "var"]]
+    return L.scan(rows, lambda: [0.0, 0.0, 0.0], step, [T.StructField("mean", T.DoubleType()), T.StructField("var", T.DoubleType())])
 
 
-def ewma_moments(rows: DataFrame) -> DataFrame:
-    return rows.filter("value IS NOT NULL").groupBy("host_id", "feature").applyInPandas(_moments, "host_id long, tick long, feature string, mean double, var double")
-
-
-def _l1(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("ts")
-    feature = pdf["feature"].iloc[0]
-    b = S.Baseline(WORSE_UP[feature])
-    out = []
-    for ts, x, reset in zip(pdf["ts"], pdf["value"], pdf["reset"], strict=True):
-        if reset:
-            b = S.Baseline(WORSE_UP[feature])
-        if x == x and x is not None:
-            c = b.step(x, int(ts // 3600) % 24)
-            out.append((c, b.high, int(b.high >= S.CUSUM_SHIFT)))
-        else:
-            out.append((np.nan, np.nan, 0))
-    pdf["contribution"], pdf["cusum_high"], pdf["shifted"] = zip(*out)
-    return pdf[["host_id", "tick", "ts", "feature", "contribution", "cusum_high", "shifted"]]
-
-
-def l1_observe(rows: DataFrame) -> DataFrame:
-    """Smoothed contribution and shift flag per frame and feature; a row with `reset` starts its baseline anew first."""
-    return rows.groupBy("host_id", "feature").applyInPandas(_l1, "host_id long, tick long, ts double, feature string, contribution double, cusum_high double, shifted int")
-
-
-def _drift(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf, d = pdf.sort_values("ts"), S.Drift()
-    out = []
-    for n, (ts, x) in enumerate(zip(pdf["ts"], pdf["value"], strict=True), 1):
-        p = d.step(None if x is None or x != x else x, n, ts)
-        if n % S.DRIFT_EVERY == 0:
-            out.append((ts, n, d.last_psi, len(d.reference), len(d.recent), p is not None))
-    got = pd.DataFrame(out, columns=["ts", "frame", "psi", "n_reference", "n_recent", "drifted"])
-    got.insert(0, "feature", pdf["feature"].iloc[0])
-    got.insert(0, "host_id", pdf["host_id"].iloc[0])
-    return got
-
-
-def drift_monitor(rows: DataFrame) -> DataFrame:
-    """Every 60th frame of each (host, feature): PSI and whether it drifted."""
-    return rows.groupBy("host_id", "feature").applyInPandas(_drift, "host_id long, feature string, ts double, frame int, psi double, n_reference int, n_recent int, drifted boolean")
-
-
-def with_resets(rows: DataFrame, events: DataFrame) -> DataFrame:
-    """`reset` on the frame after a drift of the row's feature."""
-    drifted = events.filter("drifted").select("host_id", "feature", F.col("frame").cast("long").alias("_f"))
-    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy("host_id", "feature").orderBy("ts")).cast("long"))
-    hit = numbered.join(drifted, ["host_id", "feature"], "left").groupBy("host_id", "tick", "ts", "feature", "value").agg(F.max(F.coalesce(F.col("_n") == F.col("_f") + 1, F.lit(False))).alias("reset"))
-    return hit
-
-
-def _l2(layer: str, features: list[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        model = S.Autoencoder(len(features), S.bundle_seed(layer))
-        out = []
-        for reset, *x in pdf[["reset", *features]].itertuples(index=False, name=None):
-            if reset:
-                model = S.Autoencoder(len(features))
-            v = np.array(x, float)
-            if np.isnan(v).any():
-                out.append((np.nan, 0.0, 1.0))
-                continue
-            rmse = model.step(v)
-            out.append((rmse, model.relative(rmse), min(5.0, rmse / model.scale())))
-        got = pd.DataFrame(out, columns=["rmse", "score", "relative"])
-        got.insert(0, "layer", layer)
-        for c in ("ts", "tick", "host_id"):
-            got.insert(0, c, pdf[c].to_numpy())
-        return got
-
-    return run
-
-
-def l2_observe(frames: DataFrame, have: list[str], resets: DataFrame | None = None) -> DataFrame:
-    """rmse, score and relative error per frame and layer bundle; a bundle with a value missing is skipped."""
-    out = None
-    for layer, features in BUNDLES.items():
-        cols = [F.col(f).cast("double").alias(f) if f in have else F.lit(None).cast("double").alias(f) for f in features]
-        rows = frames.select("host_id", "tick", "ts", *cols)
-        if resets is None:
-            rows = rows.withColumn("reset", F.lit(False))
-        else:
-            mine = resets.filter(F.col("layer") == layer).select("host_id", "ts", F.lit(True).alias("reset")).distinct()
-            rows = rows.join(mine, ["host_id", "ts"], "left").withColumn("reset", F.coalesce("reset", F.lit(False)))
-        got = rows.groupBy("host_id").applyInPandas(_l2(layer, features), "host_id long, tick long, ts double, layer string, rmse double, score double, relative double")
-        out = got if out is None else out.unionByName(got)
-    return out
-
-
-def _ensemble(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("ts")
-    order = sorted(BUNDLES)
-    model = S.Autoencoder(len(order), 99)
-    out = []
-    for row in pdf[[*(f"r_{x}" for x in order), "best"]].itertuples(index=False, name=None):
-        rmse = model.step(np.array(row[:-1], float))
-        out.append(min(1.0, max(model.relative(rmse), row[-1])))
-    pdf["l2_anomaly"] = out
-    return pdf[["host_id", "tick", "ts", "l2_anomaly", *(f"l2_{x}" for x in order)]]
-
-
-def l2_ensemble(l2: DataFrame) -> DataFrame:
-    """l2_anomaly and the bundle scores per frame."""
-    order = sorted(BUNDLES)
-    wide = l2.groupBy("host_id", "tick", "ts").pivot("layer", order).agg(F.first("relative").alias("r"), F.first("score").alias("s"))
-    wide = wide.select("host_id", "tick", "ts", *[F.col(f"{x}_r").alias(f"r_{x}") for x in order], *[F.col(f"{x}_s").alias(f"l2_{x}") for x in order], F.greatest(*[F.col(f"{x}_s") for x in order]).alias("best"))
-    return wide.groupBy("host_id").applyInPandas(_ensemble, "host_id long, tick long, ts double, l2_anomaly double, " + ", ".join(f"l2_{x} double" for x in order))
+def learned_frames(frames: DataFrame, features: list[str] = LEARNED) -> DataFrame:
+    return frames.select("host_id", "tick", "ts", *[F.col(f).cast("double").alias(f) for f in features])
+
+
+def l1_rows(climbed: DataFrame, features: list[str] = LEARNED) -> DataFrame:
+    """A row a frame and feature: smoothed contribution, CUSUM, and whether a shift for the worse has built up."""
+    each = F.explode(F.arrays_zip(F.array(*[F.lit(f) for f in features]).alias("feature"), F.col("l1").alias("contribution"), F.col("cusum_high")))
+    rows = climbed.select("host_id", "tick", "ts", each.alias("e")).select("host_id", "tick", "ts", "e.feature", "e.contribution", "e.cusum_high")
+    return rows.withColumn("shifted", F.coalesce((F.col("cusum_high") >= L.CUSUM_SHIFT).cast("int"), F.lit(0)))
+
+
+def l2_rows(climbed: DataFrame) -> DataFrame:
+    """A row a frame and layer: error, score and relative error; the error of a layer with a value missing is null."""
+    each = F.explode(F.arrays_zip(F.array(*[F.lit(x) for x in L.ORDER]).alias("layer"), F.col("l2_rmse").alias("rmse"), F.col("l2_score").alias("score"), F.col("l2_relative").alias("relative")))
+    return climbed.select("host_id", "tick", "ts", each.alias("e")).select("host_id", "tick", "ts", "e.*")
+
+
+def drift_rows(climbed: DataFrame) -> DataFrame:
+    """A row a feature on every check: PSI, whether it drifted, how much, and what follows."""
+    rows = climbed.filter("drift IS NOT NULL").select("host_id", "ts", F.col("drift_frame").alias("frame"), F.explode("drift").alias("d")).select("host_id", "d.feature", "ts", "frame", "d.psi", "d.n_reference", "d.n_recent", "d.ready", "d.drifted")
+    return rows.withColumns({"severity": F.when(F.col("drifted"), F.when(F.col("psi") >= 2 * L.DRIFT_PSI, "significant").otherwise("moderate")), "action": F.when(F.col("drifted"), "relearn_baseline")})
 
 
 def combine(values: Column) -> Column:
@@ -154,20 +72,36 @@ def combine(values: Column) -> Column:
     return F.when(F.size(s) == 0, 0.0).otherwise(F.least(F.lit(1.0), (F.get(s, 0) + 0.35 * rest / 3) / 3))
 
 
-def _smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf, r = pdf.sort_values("ts"), S.Risk()
-    out = []
-    for raw, floor, coverage, l1, l2 in pdf[["risk_raw", "risk_floor", "coverage", "l1_anomaly", "l2_anomaly"]].itertuples(index=False, name=None):
-        risk = r.step(raw, floor, coverage)
-        out.append((risk, r.risk, r.step_health(l1, l2, risk, floor)))
-    pdf["risk"], pdf["smoothed"], pdf["health"] = zip(*out)
-    return pdf[["host_id", "tick", "ts", "risk", "smoothed", "health"]]
+_SMOOTHED = [T.StructField(n, T.DoubleType()) for n in ("risk", "smoothed", "health")]
 
 
 def smooth_scores(scores: DataFrame) -> DataFrame:
     """Published risk, smoothed risk and health per frame."""
+
+    def step(r: S.Risk, rows: pa.RecordBatch) -> list[pa.Array]:
+        out = []
+        for raw, floor, coverage, l1, l2 in zip(*[rows.column(c).to_pylist() for c in ("risk_raw", "risk_floor", "coverage", "l1_anomaly", "l2_anomaly")], strict=True):
+            risk = r.step(raw, floor, coverage)
+            out.append((risk, r.risk, r.step_health(l1, l2, risk, floor)))
+        return [pa.array(c, pa.float64()) for c in zip(*out)]
+
     num = scores.select("host_id", "tick", "ts", *[F.col(c).cast("double").alias(c) for c in ("risk_raw", "risk_floor", "coverage", "l1_anomaly", "l2_anomaly")])
-    return num.groupBy("host_id").applyInPandas(_smooth, "host_id long, tick long, ts double, risk double, smoothed double, health double")
+    return L.scan(num, S.Risk, step, _SMOOTHED).select("host_id", "tick", "ts", "risk", "smoothed", "health")
+
+
+def forecast_scores(frames: DataFrame) -> DataFrame:
+    """`frames` with risk_5m, risk_15m and health: the raw risks l3_5m and l3_15m smoothed, never under the rules' floor; a
+    blind frame publishes the floor. Health looks at the nearer risk."""
+
+    def step(state: tuple[S.Risk, S.Risk], rows: pa.RecordBatch) -> list[pa.Array]:
+        near, far = state
+        out = []
+        for a, b, floor, coverage, l1, l2 in zip(*[rows.column(c).to_pylist() for c in ("l3_5m", "l3_15m", "risk_floor", "coverage", "l1_anomaly", "l2_anomaly")], strict=True):
+            soon, later = near.step(a, floor, coverage), far.step(b, floor, coverage)
+            out.append((soon, later, near.step_health(l1, l2, soon, floor)))
+        return [pa.array(c, pa.float64()) for c in zip(*out)]
+
+    return L.scan(frames, lambda: (S.Risk(), S.Risk()), step, [T.StructField(n, T.DoubleType()) for n in ("risk_5m", "risk_15m", "health")])
 
 
 def greedy_cooldown(events: DataFrame, seconds: float, keys: list[str], escalates: bool = False) -> DataFrame:
@@ -193,7 +127,8 @@ _STEP = "least(0.05, greatest(0.002, 1.0 / r.i))"
     name="ewma_moments",
 )
 def _ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ewma_moments(long_frames(fixture(spark, sf_dir, "samples_dense"), ["gw_rtt_ms"])).select("host_id", "tick", "feature", F.round("mean", 6).alias("mean"), F.round("var", 6).alias("var"))
+    rows = fixture(spark, sf_dir, "samples_dense").select("host_id", "tick", "ts", F.lit("gw_rtt_ms").alias("feature"), F.col("gw_rtt_ms").cast("double").alias("value"))
+    return ewma_moments(rows).select("host_id", "tick", "feature", F.round("mean", 6).alias("mean"), F.round("var", 6).alias("var"))
 
 
 @query(
@@ -204,19 +139,15 @@ def _ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cusum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-sided CUSUM of a given z."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        high = low = 0.0
+    def step(c: list[float], rows: pa.RecordBatch) -> list[pa.Array]:
         out = []
-        for z in pdf["z"]:
-            high = max(0.0, min(S.CUSUM_LIMIT, high + z - S.CUSUM_K))
-            low = max(0.0, min(S.CUSUM_LIMIT, low - z - S.CUSUM_K))
-            out.append((round(high, 6), round(low, 6)))
-        pdf["high"], pdf["low"] = zip(*out)
-        return pdf[["host_id", "tick", "high", "low"]]
+        for z in rows.column("z").to_pylist():
+            c[:] = [max(0.0, min(L.CUSUM_LIMIT, x + y - L.CUSUM_K)) for x, y in zip(c, (z, -z))]
+            out.append(tuple(round(x, 6) for x in c))
+        return [pa.array(v, pa.float64()) for v in zip(*out)]
 
-    rows = fixture(spark, sf_dir, "samples_dense").select("host_id", "tick", "ts", (F.col("gw_rtt_ms") - 2.5).alias("z"))
-    return rows.groupBy("host_id").applyInPandas(run, "host_id long, tick long, high double, low double")
+    rows = fixture(spark, sf_dir, "samples_dense").select("host_id", "tick", "ts", (F.col("gw_rtt_ms") - 2.5).cast("double").alias("z"))
+    return L.scan(rows, lambda: [0.0, 0.0], step, [T.StructField(n, T.DoubleType()) for n in ("high", "low")]).select("host_id", "tick", "high", "low")
 
 
 _SMOOTH_SQL = """(WITH RECURSIVE r AS (SELECT host_id, tick, CAST(risk_raw AS DOUBLE) AS p, CAST(risk_floor AS DOUBLE) AS f, CAST(coverage AS DOUBLE) AS c, CAST(l1_anomaly AS DOUBLE) AS a, CAST(l2_anomaly AS DOUBLE) AS b, row_number() OVER (PARTITION BY host_id ORDER BY ts) AS i FROM score_series),
@@ -275,12 +206,6 @@ for _name, _expr in (("seasonal_baseline_score", "z"), ("l1_score_only", "least(
         "samples_dense",
     )
 
-sql_query(
-    "heuristic_risk",
-    """SELECT host_id, tick, round(least(1e0, greatest(0e0, (0.7e0 * (0.6e0 * l1_anomaly + 0.4e0 * l2_anomaly) + 0.3e0 * least(1e0, greatest(0e0, trend / 0.10e0))) * k)), 6) AS risk_15m FROM (
-    SELECT host_id, tick, CAST(l1_anomaly AS DOUBLE) AS l1_anomaly, CAST(l2_anomaly AS DOUBLE) AS l2_anomaly, greatest(0e0, coalesce((risk_raw - lag(risk_raw) OVER w) / CASE WHEN abs(risk_raw) > 1e-6 THEN abs(risk_raw) END, 0e0)) AS trend, CASE WHEN tick % 2 = 0 THEN 1e0 ELSE 0.85e0 END AS k FROM <score_series> WINDOW w AS (PARTITION BY host_id ORDER BY ts))""",
-    "score_series",
-)
 sql_query("json_edges", """SELECT event_id, coalesce(get_json_object(props, '$.k'), '-') AS k, coalesce(get_json_object(concat(props, 'x'), '$.none'), 'fallback') AS missing FROM <events>""", tables="events", duck={"get_json_object(concat(props, 'x'), '$.none')": "NULL", "get_json_object(": "json_extract_string("})
 
 
@@ -349,13 +274,11 @@ def attribute(frames: DataFrame) -> DataFrame:
 
 
 _TOY = {x: f"CAST((tick * {7 + 2 * k}) % 11 AS DOUBLE) / 10" for k, x in enumerate(LAYERS)}
-_TOY_COLUMNS = {f"l1_{x}": v for x, v in _TOY.items()} | {f"l2_{x}": f"({v}) / 2" for x, v in _TOY.items()} | {"gw_rtt_ms_15m_z": "CAST(tick % 4 AS DOUBLE)", "path_rtt_ms_15m_z": "CAST(tick % 3 AS DOUBLE)"}
+TOY_COLUMNS = {f"l1_{x}": v for x, v in _TOY.items()} | {f"l2_{x}": f"({v}) / 2" for x, v in _TOY.items()} | {"gw_rtt_ms_15m_z": "CAST(tick % 4 AS DOUBLE)", "path_rtt_ms_15m_z": "CAST(tick % 3 AS DOUBLE)"}
 
 
 def _attribution_oracle() -> str:
-    from hostvigil.operators.frames import DERIVED_SQL
-
-    sql = f"(SELECT *, {', '.join(f'{v} AS {k}' for k, v in (_TOY_COLUMNS | DERIVED_SQL).items())} FROM {FRAME_SQL})"
+    sql = f"(SELECT *, {', '.join(f'{v} AS {k}' for k, v in (TOY_COLUMNS | DERIVED_SQL).items())} FROM {FRAME_SQL})"
     for stage in attribution_stages():
         sql = f"(SELECT *, {', '.join(f'{v} AS {k}' for k, v in stage.items())} FROM {sql})"
     return f"SELECT host_id, tick, primary_layer, secondary_layer, round(confidence, 6) AS confidence FROM {sql}"
@@ -363,77 +286,84 @@ def _attribution_oracle() -> str:
 
 @query(_attribution_oracle(), "samples_sparse")
 def attribute_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = derive_cross_layer(frames_of(spark, sf_dir)).withColumns({k: F.expr(v) for k, v in _TOY_COLUMNS.items()})
+    f = derive_cross_layer(frames_of(spark, sf_dir)).withColumns({k: F.expr(v) for k, v in TOY_COLUMNS.items()})
     return attribute(f).select("host_id", "tick", "primary_layer", "secondary_layer", F.round("confidence", 6).alias("confidence"))
 
 
-# ---- the whole ladder ---------------------------------------------------------------------------------------------
-def dense_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long_frames(fixture(spark, sf_dir, "samples_dense"), [f for f in DENSE if f in MODELLED])
+# ---- the learned stages ---------------------------------------------------------------------------------------------
+def _climbed(spark: SparkSession, sf_dir: str, stages: tuple[str, ...], adapt: bool = False) -> DataFrame:
+    return L.climb(learned_frames(fixture(spark, sf_dir, "samples_dense")), LEARNED, adapt, stages)
 
 
-@query(name="l1_observe")
-def _l1_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return l1_observe(dense_long(spark, sf_dir).withColumn("reset", F.lit(False)))
+@query()
+def l1_observe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return l1_rows(_climbed(spark, sf_dir, ("l1",)))
 
 
-@query(name="l2_observe")
-def _l2_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return l2_observe(fixture(spark, sf_dir, "samples_dense"), DENSE)
+@query()
+def l2_observe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return l2_rows(_climbed(spark, sf_dir, ("l2",)))
 
 
-@query(name="l2_ensemble")
-def _l2_ensemble_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return l2_ensemble(l2_observe(fixture(spark, sf_dir, "samples_dense"), DENSE))
+@query()
+def l2_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest of the layers' scores and of the net over the layers' relative errors."""
+    return _climbed(spark, sf_dir, ("l2",)).select("host_id", "tick", "ts", "l2_anomaly", *[F.get("l2_score", F.lit(k)).alias(f"l2_{x}") for k, x in enumerate(L.ORDER)])
 
 
-@query(name="drift_monitor")
-def _drift_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift_monitor(dense_long(spark, sf_dir))
+@query()
+def drift_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift_rows(_climbed(spark, sf_dir, ("drift",)))
 
 
 @query()
 def drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Last state of each (host, feature)."""
-    d = drift_monitor(dense_long(spark, sf_dir))
-    return d.groupBy("host_id", "feature").agg(*[F.max_by(c, "frame").alias(c) for c in ("psi", "n_reference", "n_recent")], F.count_if("drifted").alias("events"))
+    """Last state of each (host, feature) that is ready or has been measured."""
+    last = drift_rows(_climbed(spark, sf_dir, ("drift",))).groupBy("host_id", "feature").agg(*[F.max_by(c, "frame").alias(c) for c in ("psi", "n_reference", "n_recent", "ready")], F.count_if("drifted").alias("events"))
+    return last.filter("psi > 0 OR ready")
 
 
 @query()
 def drift_adaptation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Baselines that start anew on the frame after their feature drifts."""
-    rows = dense_long(spark, sf_dir)
-    return l1_observe(with_resets(rows, drift_monitor(rows)))
-
-
-def score_frames(frames: DataFrame, have: list[str]) -> DataFrame:
-    """Every frame with rules, L1, L2, risk, attribution, severity and health."""
-    long = materialize(long_frames(frames, [f for f in have if f in MODELLED]))
-    events = materialize(drift_monitor(long))
-    l1 = l1_observe(with_resets(long, events))
-    layer = F.element_at(F.create_map(*[F.lit(x) for kv in LAYER_OF.items() for x in kv]), F.col("feature"))
-    by_layer = l1.groupBy("host_id", "tick", "ts", layer.alias("layer")).agg(F.collect_list(F.when(F.col("contribution") > 0, F.col("contribution"))).alias("c"))
-    wide = by_layer.groupBy("host_id", "tick", "ts").pivot("layer", LAYERS).agg(combine(F.first("c")))
-    every = l1.groupBy("host_id", "tick", "ts").agg(combine(F.collect_list(F.when(F.col("contribution") > 0, F.col("contribution")))).alias("l1_anomaly"))
-    l1_wide = wide.select("host_id", "tick", "ts", *[F.coalesce(x, F.lit(0.0)).alias(f"l1_{x}") for x in LAYERS]).join(every, ["host_id", "tick", "ts"])
-    resets = events.filter("drifted").select("host_id", (F.col("ts") + 15).alias("ts"), layer.alias("layer"))
-    l2 = l2_ensemble(l2_observe(frames, have, resets)).withColumn("l2_vpn", F.lit(0.0))
-    f = with_rules(derive_cross_layer(_all_columns(frames)))
-    f = f.join(l1_wide, ["host_id", "tick", "ts"]).join(l2, ["host_id", "tick", "ts"])
-    w = Window.partitionBy("host_id").orderBy("ts").rangeBetween(-900, 0)
-    for c in ("gw_rtt_ms", "path_rtt_ms"):
-        f = f.withColumn(f"{c}_15m_z", (F.col(c) - F.avg(c).over(w)) / F.greatest(F.coalesce(F.stddev_samp(c).over(w), F.lit(0.0)), F.lit(1e-6), F.abs(F.avg(c).over(w)) * 0.02))
-    f = f.withColumn("risk_floor", risk_floor(F.col("hits"))).withColumn("risk_raw", 0.7 * (0.6 * F.col("l1_anomaly") + 0.4 * F.col("l2_anomaly"))).withColumn("coverage", F.lit(len([c for c in have if c in MODELLED]) / len(MODELLED)))
-    f = materialize(attribute(f).drop("hits"))
-    smooth = smooth_scores(f)
-    out = f.join(smooth, ["host_id", "tick", "ts"])
-    rank = band_rank(F.col("risk"))
-    return out.select("host_id", "tick", "ts", "risk", "health", "l1_anomaly", "l2_anomaly", "primary_layer", "secondary_layer", "confidence", severity_name(rank).alias("severity"))
-
-
-def _all_columns(frames: DataFrame) -> DataFrame:
-    need = {*SPARSE, *TRENDS, "os_cpu_pct"}
-    return frames.withColumns({c: F.lit(None).cast("double") for c in sorted(need) if c not in frames.columns})
+    """Contributions and layer errors where what drifts is learned anew from the next frame on; `drifted` names it."""
+    climbed = _climbed(spark, sf_dir, ("l1", "l2", "drift"), True)
+    return climbed.select("host_id", "tick", "ts", F.transform(F.filter("drift", lambda d: d["drifted"]), lambda d: d["feature"]).alias("drifted"), "l1", "l2_rmse", "l2_anomaly")
+
+
+# ---- all stages in order -----------------------------------------------------------------------------------------
+_NEEDED = sorted({*SPARSE, *TRENDS, "os_cpu_pct", "os_iface_type", "os_on_battery"})
+_ROLLED = [f"{f}_{x}" for f in TRENDS for x in ("5m_mean", "5m_slope", "5m_z", "15m_z")]
+
+
+def score_frames(samples: DataFrame, have: list[str], models: dict | None = None) -> DataFrame:
+    """Scores, severity, health, attribution, cards, incidents and drift of every frame of sparse samples.
+
+    Stages: carried and rolling values, rules, the learned stages with their adaptation to drift, forecast (`models` by
+    horizon, else the heuristic) and its smoothing, attribution, severity, card, incident. Two scans read each host in
+    order of time; the frames pass through them whole, so nothing is joined back.
+    """
+    from hostvigil.operators.forecast import predict
+
+    names = sorted({*have, *_NEEDED})
+    samples = samples.select("host_id", "tick", "ts", *[(F.col(c) if c in have else F.lit(None)).cast("double").alias(c) for c in names])
+    features = [f for f in names if f in MODELLED and f in have]
+    f = rolling(carry_forward(samples.repartition("host_id"), names), TRENDS)
+    f = f.select("host_id", "tick", "ts", *names, *_ROLLED, F.expr(coverage_sql(names)["coverage"]).alias("coverage"))
+    f = L.climb(f, features)
+    zeros = F.transform("l1", lambda c: F.coalesce(c, F.lit(0.0)))
+    layer = lambda x: combine(F.array(*[F.coalesce(F.get("l1", F.lit(k)), F.lit(0.0)) for k, n in enumerate(features) if LAYER_OF[n] == x] or [F.lit(0.0)]))
+    f = f.withColumns({"l1_anomaly": combine(zeros)} | {f"l1_{x}": layer(x) for x in LAYERS} | {f"l2_{x}": F.get("l2_score", F.lit(L.ORDER.index(x))) if x in L.ORDER else F.lit(0.0) for x in LAYERS})
+    f = with_rules(derive_cross_layer(f))
+    f = f.withColumns({"risk_floor": risk_floor(F.col("hits")), "worst": F.coalesce(worst_hit(F.col("hits"))["rank"], F.lit(-1)), "rules": F.transform("hits", lambda h: h["rule"]), "drifted": F.transform(F.filter("drift", lambda d: d["drifted"]), lambda d: d["feature"])})
+    f = attribute(f.withColumns(predict(f, models or {})).drop("hits", "drift", "l1", "cusum_high", "l2_rmse", "l2_score", "l2_relative", "drift_frame"))
+    f = forecast_scores(f)
+    blind = F.col("coverage") < BLIND_BELOW
+    f = f.withColumns({"blind": blind, "rank": F.greatest(band_rank(F.col("risk_15m")), F.col("worst")), "warming_up": F.row_number().over(Window.partitionBy("host_id").orderBy("ts")) < 120})
+    shown = ~blind & F.col("primary_layer").isNotNull() & (F.col("rank") >= 1)
+    f = cards(f, "primary_layer")
+    f = hysteresis(alert_runs(f), shown)
+    card = [F.when(shown, F.col(c)).alias(c) for c in ("template_id", "summary", "remediation")]
+    return f.select("host_id", "tick", "ts", "health", "risk_5m", "risk_15m", severity_name(F.col("rank")).alias("severity"), "l1_anomaly", "l2_anomaly", "primary_layer", "secondary_layer", F.round("confidence", 3).alias("confidence"), "warming_up", "coverage", "rules", *card, "drifted", "opened", "closed", "incident")
 
 
 @query(name="score_frames")
@@ -441,39 +371,6 @@ def _score_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_frames(fixture(spark, sf_dir, "samples_dense"), DENSE)
 
 
-# ---- forecast -------------------------------------------------------------------------------------------------------
-LAYOUT = ["l1_anomaly", "l2_anomaly", "coverage", *[f"l1_{x}" for x in LAYERS], *[f"l2_{x}" for x in LAYERS], *[f"{f}_{s}" for f in TRENDS for s in ("5m_z", "5m_slope_n", "15m_z")], *DERIVED, "vpn_active", "captive_portal", "on_battery", "is_wifi"]
-_INPUTS = ["gw_rtt_ms", "dns_p50_ms", "https_ttfb_ms", "path_rtt_ms"]
-
-
-def clip(x: str, limit: float) -> str:
-    """Null, NaN and infinities are 0, the rest is clipped."""
-    return f"CASE WHEN {x} IS NULL OR isnan({x}) OR abs({x}) > 1e300 THEN 0e0 ELSE least({limit}e0, greatest(-{limit}e0, {x})) END"
-
-
-def _vector_terms() -> list[str]:
-    out = []
-    for f in _INPUTS:
-        out += [clip(f"(({f} - m_{f}) / greatest(s_{f}, 1e-6, 0.02e0 * abs(m_{f})))", 12), clip(f"(({f} - m_{f}) / greatest(abs(m_{f}), 1e-3))", 20)]
-    return out
-
-
-_VECTOR = f"SELECT host_id, tick, y, {', '.join(f'{t} AS x{k}' for k, t in enumerate(_vector_terms()))} FROM (SELECT host_id, tick, CASE WHEN lead(gw_loss_rate, 20) OVER w >= 0.08 THEN 1 ELSE 0 END AS y, {', '.join(f'{f}, avg({f}) OVER r AS m_{f}, coalesce(stddev_samp({f}) OVER r, 0e0) AS s_{f}' for f in _INPUTS)} FROM <samples_dense> WINDOW w AS (PARTITION BY host_id ORDER BY ts), r AS (PARTITION BY host_id ORDER BY ts RANGE BETWEEN 300 PRECEDING AND CURRENT ROW))"
-_XS = [f"x{k}" for k in range(2 * len(_INPUTS))]
-# Fixed values of the registered queries: a linear model over these inputs.
-_WEIGHTS = [0.4, -0.2, 0.3, 0.1, 0.25, -0.15, 0.2, 0.05]
-_LOGIT = "(-0.3e0 + " + " + ".join(f"{w}e0 * {x}" for w, x in zip(_WEIGHTS, _XS)) + ")"
-sql_query("l3_vector", f"SELECT host_id, tick, {', '.join(f'round({x} + 1.37e-8, 6) AS {x}' for x in _XS)} FROM ({_VECTOR})", "samples_dense")
-sql_query("l3_predict", f"SELECT host_id, tick, round(1 / (1 + exp(-least(30e0, greatest(-30e0, {_LOGIT})))), 6) AS risk_15m FROM ({_VECTOR})", "samples_dense")
-sql_query("training_set", f"SELECT host_id, tick, CASE WHEN host_id % 4 = 0 THEN 'holdout' ELSE 'train' END AS side, y, {', '.join(f'round({x} + 1.37e-8, 6) AS {x}' for x in _XS)} FROM ({_VECTOR}) WHERE tick > 120", "samples_dense")
-_PARTS = ", ".join(f"{w}e0 * {x}" for w, x in zip(_WEIGHTS, _XS))
-_PAIRS = " UNION ALL ".join(f"SELECT host_id, tick, '{x}' AS input, {w}e0 * {x} AS c FROM ({_VECTOR})" for w, x in zip(_WEIGHTS, _XS))
-sql_query("top_contributions", f"SELECT host_id, tick, rank, input FROM (SELECT host_id, tick, input, CAST(row_number() OVER (PARTITION BY host_id, tick ORDER BY round(abs(c), 9) DESC, input) AS BIGINT) AS rank FROM ({_PAIRS})) WHERE rank <= 5", "samples_dense")
-sql_query(
-    "evidence_topk",
-    f"SELECT host_id, tick, count(*) AS n, round(sum(abs(c)) + 1.37e-8, 5) AS weight FROM (SELECT host_id, tick, c, row_number() OVER (PARTITION BY host_id, tick ORDER BY abs(c) DESC) AS rank FROM ({_PAIRS}) WHERE c > 1e-9) WHERE rank <= 4 GROUP BY host_id, tick",
-    "samples_dense",
-)
 _W = "(PARTITION BY host_id ORDER BY tick ROWS BETWEEN {a} PRECEDING AND {b})"
 sql_query(
     "drift_windows",
@@ -481,22 +378,3 @@ sql_query(
     FROM <samples_dense> WINDOW w1 AS {_W.format(a=239, b='CURRENT ROW')}, w2 AS {_W.format(a=719, b='240 PRECEDING')}) WHERE tick % 60 = 0 AND nr >= 120 AND nf >= 120""",
     "samples_dense",
 )
-
-
-@query()
-def l3_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class-weighted logistic regression on the training hosts, bias corrected for the weighting; its metrics on the holdout hosts."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = spark.sql(_VECTOR.replace("<samples_dense>", "{samples_dense}"), samples_dense=fixture(spark, sf_dir, "samples_dense")).filter("tick > 120")
-    rows = materialize(rows)
-    train = rows.filter("host_id % 4 <> 0")
-    n, pos = (float(v or 0) for v in train.agg(F.count("*"), F.sum("y")).first())
-    weight = (n - pos) / pos if pos else 1.0
-    ready = VectorAssembler(inputCols=_XS, outputCol="features")
-    model = LogisticRegression(labelCol="y", weightCol="w", regParam=1e-3, maxIter=50).fit(ready.transform(train.withColumn("w", F.when(F.col("y") == 1, weight).otherwise(1.0))))
-    bias = float(model.intercept) - float(np.log(weight)) if weight > 0 else float(model.intercept)
-    logit = sum((F.col(x) * float(c) for x, c in zip(_XS, model.coefficients)), F.lit(bias))
-    scored = rows.filter("host_id % 4 = 0").withColumn("p", 1 / (1 + F.exp(-logit)))
-    return scored.agg(F.count("*").alias("n"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"), F.avg("p").alias("mean_p"), F.avg("y").alias("mean_y"), F.lit(weight).alias("pos_weight"))

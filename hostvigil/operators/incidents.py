@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hostvigil.catalogue import LAYERS, REMEDIATIONS, SEVERITIES, TEMPLATES, TEXTS
 from hostvigil.operators.frames import FRAME_SQL, SPARSE, band_rank, derive_cross_layer, frames_of, severity_name
+from hostvigil.operators.intervals import interval_join
 from hostvigil.registry import query, sql_query
 from hostvigil.sources.fixtures import fixture
 
@@ -117,9 +118,8 @@ def health_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT s.host_id, s.ts, count(i.incident) AS incidents FROM score_series s LEFT JOIN {_INCIDENTS_SQL} i ON s.host_id = i.host_id AND s.ts >= i.started_at AND s.ts <= coalesce(i.ended_at, 1e12) WHERE s.ts >= 1704070000 GROUP BY s.host_id, s.ts", "score_series")
 def timeline_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = fixture(spark, sf_dir, "score_series").filter("ts >= 1704070000").select("host_id", "ts")
-    i = incidents_of(spark, sf_dir).select(F.col("host_id").alias("h"), "incident", "started_at", "ended_at")
-    inside = (F.col("host_id") == F.col("h")) & (F.col("ts") >= F.col("started_at")) & (F.col("ts") <= F.coalesce("ended_at", F.lit(1e12)))
-    return s.join(i, inside, "left").groupBy("host_id", "ts").agg(F.count("incident").alias("incidents"))
+    inside = interval_join(s, incidents_of(spark, sf_dir), "ts", "started_at", "ended_at").groupBy("host_id", "ts").agg(F.count("*").alias("n"))
+    return s.join(inside, ["host_id", "ts"], "left").select("host_id", "ts", F.coalesce("n", F.lit(0)).alias("incidents"))
 
 
 @query(
@@ -130,23 +130,48 @@ def timeline_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_attach_incident(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A label goes to the newest incident that is open at its time."""
     labels = fixture(spark, sf_dir, "bad_windows").select("host_id", "window_id", F.col("end_ts").alias("at"))
-    i = incidents_of(spark, sf_dir).withColumnRenamed("host_id", "h")
-    on = (F.col("host_id") == F.col("h")) & (F.col("started_at") <= F.col("at")) & (F.col("ended_at").isNull() | (F.col("at") < F.col("ended_at")))
-    return labels.join(i, on, "left").groupBy("host_id", "window_id").agg(F.max_by("incident", "started_at").alias("incident"))
+    found = interval_join(labels, incidents_of(spark, sf_dir), "at", "started_at", "ended_at").filter("ended_at IS NULL OR at < ended_at")
+    newest = found.groupBy("host_id", "window_id").agg(F.max_by("incident", "started_at").alias("incident"))
+    return labels.join(newest, ["host_id", "window_id"], "left").select("host_id", "window_id", "incident")
 
 
-@query(f"SELECT host_id, ts FROM (SELECT host_id, ts, rank, lag(rank) OVER (PARTITION BY host_id ORDER BY ts) AS before FROM {SCORED_SQL}) WHERE rank > before AND rank >= 1", "score_series")
+RISE_COOLDOWN = 120
+_RISES = f"(SELECT host_id, ts, row_number() OVER (PARTITION BY host_id ORDER BY ts) AS i FROM (SELECT host_id, ts, rank, lag(rank) OVER (PARTITION BY host_id ORDER BY ts) AS before FROM {SCORED_SQL}) WHERE rank > before AND rank >= 1)"
+
+
+@query(
+    f"""SELECT host_id, ts FROM (WITH RECURSIVE r AS (SELECT * FROM {_RISES}), m AS (SELECT host_id, ts, i, ts AS last, true AS kept FROM r WHERE i = 1
+    UNION ALL SELECT r.host_id, r.ts, r.i, CASE WHEN r.ts - m.last >= {RISE_COOLDOWN} THEN r.ts ELSE m.last END, r.ts - m.last >= {RISE_COOLDOWN} FROM m JOIN r ON r.host_id = m.host_id AND r.i = m.i + 1) SELECT * FROM m) WHERE kept""",
+    "score_series",
+)
 def severity_rises(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).withColumn("before", F.lag("rank").over(by_host())).filter("rank > before AND rank >= 1").select("host_id", "ts")
+    """Rises of severity to watch or more, at most one in RISE_COOLDOWN seconds."""
+    from hostvigil.operators.models import greedy_cooldown
 
+    rises = scored(spark, sf_dir).withColumn("before", F.lag("rank").over(by_host())).filter("rank > before AND rank >= 1")
+    return greedy_cooldown(rises.select("host_id", "ts", "rank"), RISE_COOLDOWN, ["host_id"]).filter("kept").select("host_id", "ts")
 
-sql_query(
-    "timeline_downsample",
-    """SELECT host_id, CAST(floor((rn - 1) * 48.0 / n) AS BIGINT) AS bucket, round(min(health), 6) AS health, sum(CASE WHEN health < 50 THEN 1 ELSE 0 END) AS elevated FROM (
-    SELECT host_id, least(100e0, 100e0 * (1 - CAST(risk_raw AS DOUBLE))) AS health, row_number() OVER (PARTITION BY host_id ORDER BY ts) AS rn, count(*) OVER (PARTITION BY host_id) AS n FROM <score_series>) GROUP BY 1, 2""",
+
+BUCKETS = 48
+
+
+@query(
+    f"""SELECT * FROM (WITH s AS (SELECT host_id, least(100, 100 * (1 - CAST(risk_raw AS DOUBLE))) AS health, risk_raw >= 0.5 AS high, row_number() OVER (PARTITION BY host_id ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY host_id) AS n FROM score_series),
+    b AS (SELECT host_id, n, c, CAST(floor(c * n / {BUCKETS}.0) AS BIGINT) AS lo, greatest(CAST(floor(c * n / {BUCKETS}.0) AS BIGINT) + 1, CAST(floor((c + 1) * n / {BUCKETS}.0) AS BIGINT)) AS hi FROM (SELECT DISTINCT host_id, n FROM s), (SELECT unnest(range({BUCKETS})) AS c))
+    SELECT b.host_id, CAST(b.c AS BIGINT) AS bucket, round(min(s.health), 6) AS health, CAST(sum(CAST(s.high AS INT)) AS BIGINT) AS elevated FROM b JOIN s ON s.host_id = b.host_id AND s.i >= b.lo AND s.i < b.hi GROUP BY 1, 2)""",
     "score_series",
-    duck={"sum(CASE WHEN health < 50 THEN 1 ELSE 0 END)": "CAST(sum(CASE WHEN health < 50 THEN 1 ELSE 0 END) AS BIGINT)"},
 )
+def timeline_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The worst health and the elevated readings of BUCKETS equal stretches of each host's series, of a reading at least."""
+    place = F.row_number().over(by_host()) - 1
+    s = fixture(spark, sf_dir, "score_series").select("host_id", F.least(F.lit(100.0), 100 * (1 - F.col("risk_raw").cast("double"))).alias("health"), (F.col("risk_raw") >= 0.5).cast("long").alias("high"), place.alias("i"), F.count("*").over(Window.partitionBy("host_id")).alias("n"))
+    lo = lambda c: F.floor(c * F.col("n") / float(BUCKETS))
+    # the stretches that hold a reading: with fewer readings than stretches a reading is in several
+    about = F.sequence(F.greatest(F.lit(0), F.floor(F.col("i") * float(BUCKETS) / F.col("n")) - 1), F.least(F.lit(BUCKETS - 1), F.ceil((F.col("i") + 1) * float(BUCKETS) / F.col("n"))))
+    dealt = s.withColumn("bucket", F.explode(about)).filter((F.col("i") >= lo(F.col("bucket"))) & (F.col("i") < F.greatest(lo(F.col("bucket")) + 1, lo(F.col("bucket") + 1))))
+    return dealt.groupBy("host_id", F.col("bucket").cast("long").alias("bucket")).agg(F.round(F.min("health"), 6).alias("health"), F.sum("high").alias("elevated"))
+
+
 sql_query("round_score_fields", "SELECT host_id, ts, bround(l1_anomaly, 2) AS l1_anomaly, bround(l2_anomaly, 4) AS l2_anomaly, bround(risk_raw * 100, 3) AS health FROM (SELECT host_id, ts, CAST(l1_anomaly AS DOUBLE) + 1e-7 AS l1_anomaly, l2_anomaly + 1e-7 AS l2_anomaly, risk_raw + 1e-7 AS risk_raw FROM <score_series>)", "score_series", duck={"bround(": "round_even("})
 sql_query(
     "notification_text",

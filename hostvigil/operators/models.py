@@ -311,8 +311,9 @@ def l2_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _climbed(spark, sf_dir, ("l2",)).select("host_id", "tick", "ts", "l2_anomaly", *[F.get("l2_score", F.lit(k)).alias(f"l2_{x}") for k, x in enumerate(L.ORDER)])
 
 
-@query()
-def drift_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(name="drift_monitor")
+def dense_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every check of every feature of the dense view."""
     return drift_rows(_climbed(spark, sf_dir, ("drift",)))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hostvigil.catalogue import LAYER_OF
 from hostvigil.operators.incidents import _INCIDENTS_SQL, incidents_of
+from hostvigil.operators.intervals import interval_join
+from hostvigil.operators.models import combine, greedy_cooldown
 from hostvigil.registry import query, sql_query
 from hostvigil.sources.fixtures import fixture
 
@@ -45,9 +48,9 @@ def in_bad_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def label_feedback_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = fixture(spark, sf_dir, "score_series").select("host_id", "ts", "risk_raw")
-    b = fixture(spark, sf_dir, "bad_windows").withColumnRenamed("host_id", "h")
+    b = fixture(spark, sf_dir, "bad_windows").select("host_id", "window_id", "start_ts", "end_ts")
     verdict = F.when(F.col("window_id") % 3 == 0, "bad").when(F.col("window_id") % 3 == 1, "ok").otherwise("unsure").alias("verdict")
-    joined = s.join(b, (F.col("host_id") == F.col("h")) & F.col("ts").between(F.col("start_ts"), F.col("end_ts")))
+    joined = interval_join(s, b, "ts", "start_ts", "end_ts")
     return joined.groupBy(verdict, (F.col("risk_raw") >= 0.5).cast("int").alias("alerted")).agg(F.count("*").alias("n"))
 
 
@@ -58,13 +61,6 @@ sql_query(
     "samples_dense",
     duck={"size(s)": "len(s)", "s[0]": "s[1]", "get(s, 1)": "s[2]", "get(s, 2)": "s[3]", "get(s, 3)": "s[4]", "reverse(array_sort(filter(array(": "list_reverse_sort(list_filter(([", "os_retrans_rate), x -> x > 0.01)))": "os_retrans_rate]), lambda x: x > 0.01))"},
 )
-sql_query(
-    "layer_anomaly",
-    """SELECT host_id, tick, layer, round(least(1e0, (a + 0.35e0 * b / 3) / 3) + 1.37e-8, 6) AS anomaly FROM (
-    SELECT host_id, tick, 'gateway' AS layer, greatest(gw_rtt_ms / 10, gw_loss_rate) AS a, CASE WHEN least(gw_rtt_ms / 10, gw_loss_rate) > 0.01 THEN least(gw_rtt_ms / 10, gw_loss_rate) ELSE 0 END AS b FROM <samples_dense>
-    UNION ALL SELECT host_id, tick, 'dns', greatest(dns_p50_ms / 20, dns_fail_rate), CASE WHEN least(dns_p50_ms / 20, dns_fail_rate) > 0.01 THEN least(dns_p50_ms / 20, dns_fail_rate) ELSE 0 END FROM <samples_dense>) WHERE a > 0.01""",
-    "samples_dense",
-)
 _EDGES = ", ".join(f"{k / 10}" for k in range(1, 10))
 sql_query(
     "psi",
@@ -86,23 +82,37 @@ sql_query("brier", "SELECT host_id, round(coalesce(avg(pow(risk_raw - outcome, 2
 _BINS = "SELECT CAST(least(floor(p * 10 + 1e-9), 9) AS INT) AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS mean_y FROM (SELECT CAST(risk_raw AS DOUBLE) AS p, outcome AS y FROM <score_series>) GROUP BY 1"
 sql_query("reliability_bins", _BINS, "score_series")
 sql_query("ece", f"SELECT round(sum(n * abs(mean_p - mean_y)) / sum(n), 5) AS ece FROM ({_BINS})", "score_series")
-sql_query("lead_time_cdf", "SELECT host_id, window_id, lead, round(CAST(row_number() OVER (ORDER BY lead, host_id, window_id) AS DOUBLE) / count(*) OVER (), 6) AS share FROM (SELECT host_id, window_id, end_ts - start_ts AS lead FROM <bad_windows>)", "bad_windows")
-sql_query("replay_summary", "SELECT host_id, count(*) AS samples, round((max(ts) - min(ts)) / 3600, 6) AS span_hours, round(min(100 * (1 - risk_raw)), 4) AS lowest_health FROM <score_series> GROUP BY host_id", "score_series")
 
-# A run is a host; its impact starts at its first bad window.
-_RUNS = f"""(SELECT h.host_id, h.frames, h.peak_bad, h.peak_quiet, h.seconds, coalesce(a.alerts, 0) AS alerts, a.first_alert, h.impact, a.layer FROM (
-  SELECT s.host_id, count(*) AS frames, max(CASE WHEN s.bad = 1 THEN risk END) AS peak_bad, max(CASE WHEN s.bad = 0 AND (s.ts < i.impact - 1800 OR s.ts >= i.impact) THEN risk END) AS peak_quiet, greatest(1, max(s.ts) - min(s.ts)) AS seconds, any_value(i.impact) AS impact
-  FROM (SELECT host_id, ts, CAST(risk_raw AS DOUBLE) AS risk, {_LABEL.format(h=0).replace('s.', 's0.')} AS bad FROM score_series s0 WHERE tick >= 120) s LEFT JOIN (SELECT host_id, min(start_ts) AS impact FROM bad_windows GROUP BY host_id) i ON s.host_id = i.host_id GROUP BY s.host_id) h
-  LEFT JOIN (SELECT host_id, count(*) AS alerts, min(started_at) AS first_alert, arg_min(primary_layer, started_at) AS layer FROM {_INCIDENTS_SQL} GROUP BY host_id) a ON a.host_id = h.host_id)"""
 
+@query("SELECT lead, count(*) AS n, round(CAST(sum(count(*)) OVER (ORDER BY lead) AS DOUBLE) / sum(count(*)) OVER (), 6) AS share FROM (SELECT end_ts - start_ts AS lead FROM bad_windows) GROUP BY lead", "bad_windows")
+def lead_time_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the windows with at most each lead. Leads are whole frames, so the ranked table has a row a lead, not a window."""
+    leads = fixture(spark, sf_dir, "bad_windows").select((F.col("end_ts") - F.col("start_ts")).alias("lead")).groupBy("lead").agg(F.count("*").alias("n"))
+    up, every = Window.orderBy("lead").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("lead").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return leads.select("lead", "n", F.round(F.sum("n").over(up) / F.sum("n").over(every), 6).alias("share"))
 
-def run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per run (host): frames, peaks, alerts, detection and lead."""
-    s = fixture(spark, sf_dir, "score_series").filter("tick >= 120").select("host_id", "ts", F.col("risk_raw").cast("double").alias("risk"))
-    w = fixture(spark, sf_dir, "bad_windows")
-    impact = w.groupBy("host_id").agg(F.min("start_ts").alias("impact"))
-    s = label_horizon(s, w, 0.0).join(impact, "host_id", "left")
-    quiet = (F.col("label") == 0) & ((F.col("ts") < F.col("impact") - 1800) | (F.col("ts") >= F.col("impact")))
+
+
+
+# ---- runs: a run is a host; hosts of remainder 3 by 4 count as benign ones, without a bad window -----------------------
+ALERT_COOLDOWN, WARM_TICKS, PRECURSOR = 1800, 120, 1800
+EXPECTED = ["gateway", "dns", "remote_https", "path", "wifi"]
+
+
+def alerts_of(incidents: DataFrame) -> DataFrame:
+    """The incidents that alert: none of the same host and layer alerted within the cool-down."""
+    events = incidents.select("host_id", "primary_layer", F.col("started_at").alias("ts"), F.lit(0).alias("rank"))
+    return greedy_cooldown(events, ALERT_COOLDOWN, ["host_id", "primary_layer"]).filter("kept")
+
+
+def run_outcomes(scores: DataFrame, windows: DataFrame, incidents: DataFrame) -> DataFrame:
+    """A row a run: frames after the warm-up, peaks in bad and in quiet times, alerts, detection, lead, predicted layer.
+
+    The predicted layer is that of the first incident, or of the last one opened in a bad window.
+    """
+    impact = windows.groupBy("host_id").agg(F.min("start_ts").alias("impact"))
+    s = label_horizon(scores, windows, 0.0).join(impact, "host_id", "left")
+    quiet = (F.col("label") == 0) & (F.col("impact").isNull() | (F.col("ts") < F.col("impact") - PRECURSOR) | (F.col("ts") >= F.col("impact")))
     runs = s.groupBy("host_id").agg(
         F.count("*").alias("frames"),
         F.max(F.when(F.col("label") == 1, F.col("risk"))).alias("peak_bad"),
@@ -110,47 +120,102 @@ def run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.greatest(F.lit(1.0), F.max("ts") - F.min("ts")).alias("seconds"),
         F.first("impact").alias("impact"),
     )
-    alerts = incidents_of(spark, sf_dir).groupBy("host_id").agg(F.count("*").alias("alerts"), F.min("started_at").alias("first_alert"), F.min_by("primary_layer", "started_at").alias("layer"))
-    return runs.join(alerts, "host_id", "left").withColumn("alerts", F.coalesce("alerts", F.lit(0)))
+    opened = label_horizon(incidents.withColumn("ts", F.col("started_at")), windows, 0.0)
+    layer = opened.groupBy("host_id").agg(F.coalesce(F.max_by("primary_layer", F.when(F.col("label") == 1, F.col("ts"))), F.min_by("primary_layer", "ts")).alias("layer"))
+    alerts = alerts_of(incidents).groupBy("host_id").agg(F.count("*").alias("alerts"), F.min("ts").alias("first_alert"))
+    out = runs.join(alerts, "host_id", "left").join(layer, "host_id", "left")
+    expected = F.element_at(F.array(*[F.lit(x) for x in EXPECTED]), (F.col("host_id") % len(EXPECTED) + 1).cast("int"))
+    out = out.withColumns({"alerts": F.coalesce("alerts", F.lit(0)), "benign": F.col("impact").isNull(), "expected": F.when(F.col("impact").isNotNull(), expected)})
+    detected = ~F.col("benign") & F.col("first_alert").isNotNull()
+    return out.withColumns({"detected": detected, "lead": F.when(detected, F.greatest(F.lit(0.0), F.col("impact") - F.col("first_alert"))), "layer_correct": F.col("layer") == F.col("expected"), "alerts_per_day": F.col("alerts") * 86400 / F.col("seconds")})
+
+
+def eval_summary(runs: DataFrame) -> DataFrame:
+    """One row: how many runs and faults, and the five measures that the gates look at."""
+    fault = ~F.col("benign")
+    mean = lambda x: F.coalesce(F.avg(x), F.lit(0.0))
+    return runs.agg(
+        F.count("*").alias("runs"),
+        F.count_if(fault).alias("faults"),
+        mean(F.when(fault, F.col("detected").cast("double"))).alias("detection_rate"),
+        F.coalesce(F.percentile(F.when(fault & F.col("detected"), F.col("lead")), F.lit(0.5)), F.lit(0.0)).alias("median_lead"),
+        mean(F.when(fault, F.col("layer_correct").cast("double"))).alias("layer_accuracy"),
+        mean(F.when(F.col("alerts") > 0, fault.cast("double"))).alias("precision_"),
+        mean(F.when(F.col("benign"), F.col("alerts_per_day"))).alias("benign_alerts_per_day"),
+    )
 
 
-_LEAD = "CASE WHEN first_alert IS NOT NULL AND impact IS NOT NULL THEN greatest(0, impact - first_alert) END"
+# What each measure must reach.
+GATES = [("median_lead", 300.0, "at least"), ("detection_rate", 0.9, "at least"), ("layer_accuracy", 0.6, "at least"), ("precision_", 0.5, "at least"), ("benign_alerts_per_day", 2.0, "at most")]
 
 
-@query(f"SELECT host_id, frames, round(peak_bad, 6) AS peak_bad, round(peak_quiet, 6) AS peak_quiet, alerts, first_alert, CAST(impact IS NOT NULL AND alerts > 0 AS INT) AS detected, CAST({_LEAD} AS DOUBLE) AS lead, layer FROM {_RUNS}", "score_series bad_windows", name="run_outcomes")
+def eval_gates(summary: DataFrame) -> DataFrame:
+    each = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), F.lit(t).alias("target"), (F.col(m) >= t if way == "at least" else F.col(m) <= t).cast("int").alias("passed")) for m, t, way in GATES]
+    return summary.select(F.explode(F.array(*each)).alias("g")).select("g.*")
+
+
+def _fixture_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = fixture(spark, sf_dir, "score_series").filter(f"tick >= {WARM_TICKS}").select("host_id", "ts", F.col("risk_raw").cast("double").alias("risk"))
+    return run_outcomes(scores, fixture(spark, sf_dir, "bad_windows").filter("host_id % 4 <> 3"), incidents_of(spark, sf_dir))
+
+
+_RUNS = f"""(WITH RECURSIVE w AS (SELECT * FROM bad_windows WHERE host_id % 4 <> 3), inc AS (SELECT * FROM {_INCIDENTS_SQL}),
+  ev AS (SELECT host_id, primary_layer AS layer, started_at AS ts, row_number() OVER (PARTITION BY host_id, primary_layer ORDER BY started_at) AS i FROM inc),
+  cool AS (SELECT host_id, layer, ts, i, ts AS last, true AS kept FROM ev WHERE i = 1 UNION ALL SELECT e.host_id, e.layer, e.ts, e.i, CASE WHEN e.ts - c.last >= {ALERT_COOLDOWN} THEN e.ts ELSE c.last END, e.ts - c.last >= {ALERT_COOLDOWN} FROM cool c JOIN ev e ON e.host_id = c.host_id AND e.layer = c.layer AND e.i = c.i + 1),
+  al AS (SELECT host_id, count(*) AS alerts, min(ts) AS first_alert FROM cool WHERE kept GROUP BY host_id),
+  im AS (SELECT host_id, min(start_ts) AS impact FROM w GROUP BY host_id),
+  fr AS (SELECT s.host_id, s.ts, CAST(s.risk_raw AS DOUBLE) AS risk, im.impact, EXISTS (SELECT 1 FROM w WHERE w.host_id = s.host_id AND s.ts BETWEEN w.start_ts AND w.end_ts) AS bad FROM score_series s LEFT JOIN im ON im.host_id = s.host_id WHERE s.tick >= {WARM_TICKS}),
+  ru AS (SELECT host_id, count(*) AS frames, max(risk) FILTER (WHERE bad) AS peak_bad, max(risk) FILTER (WHERE NOT bad AND (impact IS NULL OR NOT (ts >= impact - {PRECURSOR} AND ts < impact))) AS peak_quiet, greatest(1, max(ts) - min(ts)) AS seconds, any_value(impact) AS impact FROM fr GROUP BY host_id),
+  op AS (SELECT inc.host_id, started_at, primary_layer, EXISTS (SELECT 1 FROM w WHERE w.host_id = inc.host_id AND started_at BETWEEN w.start_ts AND w.end_ts) AS bad FROM inc),
+  la AS (SELECT host_id, coalesce(arg_max(primary_layer, started_at) FILTER (WHERE bad), arg_min(primary_layer, started_at)) AS layer FROM op GROUP BY host_id)
+  SELECT ru.*, coalesce(al.alerts, 0) AS alerts, al.first_alert, la.layer, ru.impact IS NOT NULL AND al.first_alert IS NOT NULL AS detected, CASE WHEN ru.impact IS NOT NULL AND al.first_alert IS NOT NULL THEN greatest(0, ru.impact - al.first_alert) END AS lead,
+    CASE WHEN ru.impact IS NOT NULL THEN la.layer = {EXPECTED!r}[CAST(ru.host_id % {len(EXPECTED)} AS INT) + 1] END AS correct FROM ru LEFT JOIN al ON al.host_id = ru.host_id LEFT JOIN la ON la.host_id = ru.host_id)"""
+_SUMMARY = f"""(SELECT count(*) AS runs, count(*) FILTER (WHERE impact IS NOT NULL) AS faults, coalesce(avg(CAST(detected AS INT)) FILTER (WHERE impact IS NOT NULL), 0) AS detection_rate, coalesce(median(lead), 0) AS median_lead,
+  coalesce(avg(CAST(correct AS INT)), 0) AS layer_accuracy, coalesce(avg(CASE WHEN impact IS NOT NULL THEN 1 ELSE 0 END) FILTER (WHERE alerts > 0), 0) AS precision_, coalesce(avg(alerts * 86400 / seconds) FILTER (WHERE impact IS NULL), 0) AS benign_alerts_per_day FROM {_RUNS})"""
+_MEASURES = [m for m, _, _ in GATES]
+
+
+@query(f"SELECT host_id, frames, round(peak_bad, 6) AS peak_bad, round(peak_quiet, 6) AS peak_quiet, alerts, first_alert, CAST(detected AS INT) AS detected, CAST(lead AS DOUBLE) AS lead, layer, CAST(correct AS INT) AS layer_correct FROM {_RUNS}", "score_series bad_windows", name="run_outcomes")
 def _run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = run_outcomes(spark, sf_dir)
-    return r.select("host_id", "frames", F.round("peak_bad", 6).alias("peak_bad"), F.round("peak_quiet", 6).alias("peak_quiet"), "alerts", "first_alert", (F.col("impact").isNotNull() & (F.col("alerts") > 0)).cast("int").alias("detected"), F.expr(_LEAD).cast("double").alias("lead"), "layer")
+    r = _fixture_runs(spark, sf_dir)
+    return r.select("host_id", "frames", F.round("peak_bad", 6).alias("peak_bad"), F.round("peak_quiet", 6).alias("peak_quiet"), "alerts", "first_alert", F.col("detected").cast("int").alias("detected"), "lead", "layer", F.col("layer_correct").cast("int").alias("layer_correct"))
 
 
-_SUMMARY = f"round(avg(CAST(alerts > 0 AS INT)), 6) AS detection_rate, round(coalesce(percentile({_LEAD}, 0.5), 0), 6) AS median_lead, round(avg(CAST(layer = 'gateway' AS INT)), 6) AS layer_accuracy, round(avg(alerts / (seconds / 86400)), 6) AS alerts_per_day"
-_GATES = [("detection_rate", 0.9, ">="), ("median_lead", 300.0, ">="), ("layer_accuracy", 0.6, ">="), ("alerts_per_day", 2.0, "<=")]
+@query(f"SELECT runs, faults, {', '.join(f'round({m}, 6) AS {m}' for m in _MEASURES)} FROM {_SUMMARY}", "score_series bad_windows", name="eval_summary")
+def _eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eval_summary(_fixture_runs(spark, sf_dir)).select("runs", "faults", *[F.round(m, 6).alias(m) for m in _MEASURES])
 
 
-@query(f"SELECT {_SUMMARY} FROM {_RUNS}".replace("percentile(", "quantile_cont("), "score_series bad_windows")
-def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_outcomes(spark, sf_dir).selectExpr(*_split_columns(_SUMMARY))
+@query(" UNION ALL ".join(f"SELECT '{m}' AS metric, round({m}, 6) AS value, CAST({t} AS DOUBLE) AS target, CAST({m} {'>=' if way == 'at least' else '<='} {t} AS INT) AS passed FROM {_SUMMARY}" for m, t, way in GATES), "score_series bad_windows", name="eval_gates")
+def _eval_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary's measures against their targets."""
+    return eval_gates(eval_summary(_fixture_runs(spark, sf_dir))).withColumn("value", F.round("value", 6))
 
 
-def _split_columns(text: str) -> list[str]:
-    """The columns of a select list; commas inside parentheses don't part them."""
-    out, depth, start = [], 0, 0
-    for i, c in enumerate(text):
-        depth += (c == "(") - (c == ")")
-        if c == "," and not depth:
-            out.append(text[start:i])
-            start = i + 1
-    return [*out, text[start:]]
+@query(
+    f"SELECT s.host_id, count(*) AS samples, round((max(s.ts) - min(s.ts)) / 3600, 6) AS span_hours, round(min(100 * (1 - s.risk_raw)), 4) AS lowest_health, any_value(coalesce(i.opened, 0)) AS opened FROM score_series s LEFT JOIN (SELECT host_id, count(*) AS opened FROM {_INCIDENTS_SQL} GROUP BY host_id) i ON i.host_id = s.host_id GROUP BY s.host_id",
+    "score_series",
+)
+def replay_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples, span, lowest health and incidents opened of each run."""
+    s = fixture(spark, sf_dir, "score_series").groupBy("host_id").agg(F.count("*").alias("samples"), F.round((F.max("ts") - F.min("ts")) / 3600, 6).alias("span_hours"), F.round(F.min(100 * (1 - F.col("risk_raw"))), 4).alias("lowest_health"))
+    opened = incidents_of(spark, sf_dir).groupBy("host_id").agg(F.count("*").alias("opened"))
+    return s.join(opened, "host_id", "left").withColumn("opened", F.coalesce("opened", F.lit(0)))
+
+
+# Fixed values of the check: contributions of features from what the frames hold.
+_PULLS = {"gw_rtt_ms": "gw_rtt_ms / 10", "gw_loss_rate": "gw_loss_rate", "dns_p50_ms": "dns_p50_ms / 20", "dns_fail_rate": "dns_fail_rate", "https_ttfb_ms": "https_ttfb_ms / 90", "https_tcp_ms": "https_tcp_ms / 60", "https_fail_rate": "https_fail_rate", "path_rtt_ms": "path_rtt_ms / 30", "wifi_tx_retry_rate": "wifi_tx_retry_rate", "os_cpu_pct": "os_cpu_pct / 50", "os_retrans_rate": "os_retrans_rate"}
 
 
 @query(
-    f"SELECT * FROM ({' UNION ALL '.join(f'''SELECT '{m}' AS metric, {m} AS value, CAST({m} {op} {t} AS INT) AS passed FROM (SELECT {_SUMMARY} FROM {_RUNS})''' for m, t, op in _GATES)})".replace("percentile(", "quantile_cont("),
-    "score_series bad_windows",
+    f"""SELECT host_id, tick, layer, round(least(1, (max(c) + 0.35 * coalesce(sum(c) FILTER (WHERE rank BETWEEN 2 AND 4), 0) / 3) / 3) + 1.37e-8, 6) AS anomaly FROM (SELECT *, row_number() OVER (PARTITION BY host_id, tick, layer ORDER BY c DESC) AS rank FROM (
+    {' UNION ALL '.join(f"SELECT host_id, tick, '{LAYER_OF[f]}' AS layer, CAST({x} AS DOUBLE) AS c FROM samples_dense" for f, x in _PULLS.items())}) WHERE c > 0.01) GROUP BY host_id, tick, layer""",
+    "samples_dense",
 )
-def eval_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The summary's metrics against their targets."""
-    s = run_outcomes(spark, sf_dir).selectExpr(*_split_columns(_SUMMARY))
-    long = s.unpivot([], [m for m, _, _ in _GATES], "metric", "value")
-    gates = spark.createDataFrame(_GATES, "metric string, target double, op string")
-    passed = F.when(F.col("op") == ">=", F.col("value") >= F.col("target")).otherwise(F.col("value") <= F.col("target"))
-    return long.join(F.broadcast(gates), "metric").select("metric", "value", passed.cast("int").alias("passed"))
+def layer_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anomaly of every layer that has a contribution, from contributions that are given."""
+    d = fixture(spark, sf_dir, "samples_dense")
+    layers = sorted({LAYER_OF[f] for f in _PULLS})
+    each = [F.struct(F.lit(x).alias("layer"), combine(F.array(*[F.expr(p).cast("double") for f, p in _PULLS.items() if LAYER_OF[f] == x])).alias("anomaly")) for x in layers]
+    rows = d.select("host_id", "tick", F.explode(F.array(*each)).alias("e")).select("host_id", "tick", "e.*").filter("anomaly > 0")
+    return rows.withColumn("anomaly", F.round(F.col("anomaly") + 1.37e-8, 6))

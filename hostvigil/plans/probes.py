@@ -171,13 +171,13 @@ sql_query(
     "traces",
     duck=_DUCK_TEXT | {"explode(split(output, chr(10)))": "unnest(string_split(output, chr(10)))"},
 )
-_TRACEROUTE = "SELECT host_id, trace_id, array_join(array_sort(collect_list(concat(lpad(CAST(hop_index AS VARCHAR(4)), 3, ' '), CASE WHEN rtt_ms IS NULL THEN '  *  *  *' ELSE concat('  ', address, '  ', CAST(rtt_ms AS VARCHAR(20)), ' ms  ', CAST(rtt_ms + 1 AS VARCHAR(20)), ' ms') END))), chr(10)) AS output FROM <traces> GROUP BY host_id, trace_id"
+_TRACEROUTE = "SELECT host_id, trace_id, array_join(array_sort(collect_list(concat(lpad(CAST(hop_index AS VARCHAR(4)), 3, ' '), CASE WHEN rtt_ms IS NULL THEN '  *  *  *' ELSE concat('  ', address, '  ', CAST(rtt_ms + 1 AS VARCHAR(20)), ' ms  ', CAST(rtt_ms AS VARCHAR(20)), ' ms') END))), chr(10)) AS output FROM <traces> GROUP BY host_id, trace_id"
 sql_query(
     "ingest_traceroute_logs",
-    f"""SELECT host_id, trace_id, CAST(regexp_extract(line, '^ *([0-9]+) ', 1) AS INT) AS hop, nullif(regexp_extract(line, '([0-9]+[.][0-9]+[.][0-9]+[.][0-9]+)', 1), '') AS address, round(CAST(nullif(regexp_extract(line, '([0-9.]+) ms', 1), '') AS DOUBLE), 6) AS min_ms
+    f"""SELECT host_id, trace_id, CAST(regexp_extract(line, '^ *([0-9]+) ', 1) AS INT) AS hop, nullif(regexp_extract(line, '([0-9]+[.][0-9]+[.][0-9]+[.][0-9]+)', 1), '') AS address, round(array_min(transform(regexp_extract_all(line, '([0-9.]+) ms', 1), x -> CAST(x AS DOUBLE))), 6) AS min_ms
     FROM (SELECT host_id, trace_id, explode(split(output, chr(10))) AS line FROM ({_TRACEROUTE})) WHERE line LIKE '%*%' OR line LIKE '% ms%'""",
     "traces",
-    duck=_DUCK_TEXT | {"explode(split(output, chr(10)))": "unnest(string_split(output, chr(10)))"},
+    duck=_DUCK_TEXT | {"explode(split(output, chr(10)))": "unnest(string_split(output, chr(10)))", "array_min(transform(regexp_extract_all(line, '([0-9.]+) ms', 1), x -> CAST(x AS DOUBLE)))": "list_min(list_transform(regexp_extract_all(line, '([0-9.]+) ms', 1), lambda x: CAST(x AS DOUBLE)))"},
 )
 _WIFI = "concat('     agrCtlRSSI: ', CAST(CAST(round(wifi_rssi_dbm) AS INT) AS VARCHAR(9)), chr(10), '  lastTxRate: ', CAST(CAST(round(wifi_link_mbps) AS INT) AS VARCHAR(9)), chr(10), '  BSSID: aa:bb:', CAST(host_id AS VARCHAR(9)), chr(10), '  tx retries: ', CAST(tick % 40 AS VARCHAR(9)), ' failed: ', CAST(tick % 7 AS VARCHAR(9)), ' packets: ', CAST(tick % 90 AS VARCHAR(9)))"
 sql_query(

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hostvigil.catalogue import MODELLED, NAMES, feature_dim
 from hostvigil.functions.privacy import hash_identifier, hash_to_number, redact
+from hostvigil.operators.frames import SPARSE
+from hostvigil.operators.incidents import _INCIDENTS_SQL, incidents_of
 from hostvigil.registry import query, sql_query
 from hostvigil.sources.fixtures import fixture
 from hostvigil.sources.scratch import scratch_path
@@ -13,23 +18,51 @@ from hostvigil.sources.scratch import scratch_path
 SINCE = 1704070000
 
 
+_STORED = {  # table: SQL of its rows in the window
+    "samples": f"SELECT host_id, ts FROM samples_sparse WHERE ts >= {SINCE}",
+    "scores": f"SELECT host_id, ts FROM score_series WHERE ts >= {SINCE}",
+    "incidents": f"SELECT host_id, started_at AS ts FROM {_INCIDENTS_SQL} WHERE started_at >= {SINCE}",
+    "labels": f"SELECT host_id, end_ts AS ts FROM bad_windows WHERE start_ts >= {SINCE}",
+    "probes": "SELECT host_id, CAST(floor(epoch(ts)) AS DOUBLE) AS ts FROM probe_log",
+}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The tables of the store, each with host_id and ts (seconds)."""
+    return {
+        "samples": fixture(spark, sf_dir, "samples_sparse"),
+        "scores": fixture(spark, sf_dir, "score_series"),
+        "incidents": incidents_of(spark, sf_dir).withColumn("ts", F.col("started_at")),
+        "labels": fixture(spark, sf_dir, "bad_windows").withColumn("ts", F.col("end_ts")),
+        "probes": fixture(spark, sf_dir, "probe_log").withColumn("ts", F.unix_seconds(F.col("ts").cast("timestamp")).cast("double")),
+    }
+
+
+def write_bundle(spark: SparkSession, sf_dir: str, root: str) -> dict[str, str]:
+    """Each table's rows of the window as JSON under its own folder, probe texts redacted, the schema beside; name -> folder."""
+    tables = stored(spark, sf_dir)
+    since = {"labels": "start_ts", "incidents": "started_at", "samples": "ts", "scores": "ts"}
+    parts = {name: rows.filter(F.col(since[name]) >= SINCE) if name in since else rows for name, rows in tables.items()}
+    parts["probes"] = parts["probes"].withColumn("detail", F.substring(redact(F.coalesce("detail", F.lit(""))), 1, 200))
+    for name, rows in parts.items():
+        rows.withColumn("_host", F.col("host_id")).write.partitionBy("_host").json(f"{root}/{name}")
+    feature_dim(spark).coalesce(1).write.json(f"{root}/schema")
+    return {name: f"{root}/{name}" for name in [*parts, "schema"]}
+
+
 @query(
-    f"SELECT 'samples' AS part, count(*) AS n FROM samples_sparse WHERE ts >= {SINCE} UNION ALL SELECT 'scores', count(*) FROM score_series WHERE ts >= {SINCE} UNION ALL SELECT 'probes', count(*) FROM probe_log UNION ALL SELECT 'labels', count(*) FROM bad_windows WHERE start_ts >= {SINCE}",
+    " UNION ALL ".join(f"SELECT '{name}' AS part, count(*) AS n, count(DISTINCT host_id) AS hosts, min(ts) AS oldest, max(ts) AS newest FROM ({sql})" for name, sql in _STORED.items()) + " UNION ALL SELECT 'schema', 39, 0, NULL, NULL",
     "samples_sparse score_series probe_log bad_windows",
 )
 def export_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write each table's rows of the window as JSON, probe texts redacted; returns the manifest."""
-    root = scratch_path(spark, "bundle")
-    parts = {
-        "samples": fixture(spark, sf_dir, "samples_sparse").filter(f"ts >= {SINCE}"),
-        "scores": fixture(spark, sf_dir, "score_series").filter(f"ts >= {SINCE}"),
-        "probes": fixture(spark, sf_dir, "probe_log").withColumn("detail", redact(F.col("detail"))),
-        "labels": fixture(spark, sf_dir, "bad_windows").filter(f"start_ts >= {SINCE}"),
-    }
+    """The manifest of a written bundle: rows, hosts and span of each part, counted from its files."""
     out = None
-    for name, rows in parts.items():
-        rows.write.partitionBy("host_id").json(f"{root}/{name}")
-        n = spark.read.schema(rows.schema).json(f"{root}/{name}").agg(F.lit(name).alias("part"), F.count("*").alias("n"))
+    for name, path in write_bundle(spark, sf_dir, scratch_path(spark, "bundle")).items():
+        if name == "schema":
+            n = spark.read.json(path).agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("hosts"), F.lit(None).cast("double").alias("oldest"), F.lit(None).cast("double").alias("newest"))
+        else:
+            n = spark.read.schema("host_id long, ts double").json(path).agg(F.count("*").alias("n"), F.count_distinct("host_id").alias("hosts"), F.min("ts").alias("oldest"), F.max("ts").alias("newest"))
+        n = n.withColumn("part", F.lit(name)).select("part", "n", "hosts", "oldest", "newest")
         out = n if out is None else out.unionByName(n)
     return out
 
@@ -45,30 +78,109 @@ sql_query(
     tables="documents",
     duck={"regexp_like(": "regexp_matches("},
 )
-sql_query("table_stats", "SELECT 'samples' AS name, count(*) AS n, min(ts) AS oldest, max(ts) AS newest FROM <samples_sparse> UNION ALL SELECT 'scores', count(*), min(ts), max(ts) FROM <score_series> UNION ALL SELECT 'labels', count(*), min(start_ts), max(end_ts) FROM <bad_windows>", "samples_sparse score_series bad_windows")
-sql_query(
-    "erase_host",
-    """SELECT 'samples' AS name, host_id, count(*) AS n FROM <samples_sparse> s WHERE NOT EXISTS (SELECT 1 FROM (SELECT 3 AS gone) g WHERE g.gone = s.host_id) GROUP BY host_id
-    UNION ALL SELECT 'scores', host_id, count(*) FROM <score_series> s WHERE NOT EXISTS (SELECT 1 FROM (SELECT 3 AS gone) g WHERE g.gone = s.host_id) GROUP BY host_id""",
-    "samples_sparse score_series",
-)
+_ALL = {name: sql.split(" WHERE")[0] for name, sql in _STORED.items() if name != "incidents"} | {"incidents": f"SELECT host_id, started_at AS ts FROM {_INCIDENTS_SQL}"}
+_NEEDED = "samples_sparse score_series probe_log bad_windows"
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n, min(ts) AS oldest, max(ts) AS newest FROM ({sql})" for name, sql in _ALL.items()), _NEEDED)
+def table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and span of every table."""
+    each = [rows.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.min("ts").alias("oldest"), F.max("ts").alias("newest")) for name, rows in stored(spark, sf_dir).items()]
+    return functools.reduce(DataFrame.unionByName, each)
+
+
+def erase_hosts(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """The tables without all rows of the hosts in `gone`, derived ones and saved states (a table of host_id) included."""
+    return {name: rows.join(F.broadcast(gone), "host_id", "left_anti") for name, rows in tables.items()}
+
+
+_GONE = "SELECT host_id FROM bad_windows GROUP BY host_id HAVING max(window_id) = (SELECT max(window_id) FROM bad_windows)"
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS name, host_id, count(*) AS n FROM ({sql}) WHERE host_id NOT IN ({_GONE}) GROUP BY host_id" for name, sql in _ALL.items()), _NEEDED)
+def erase_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every table holds once the hosts with the latest label window are erased."""
+    w = fixture(spark, sf_dir, "bad_windows")
+    last = w.groupBy("host_id").agg(F.max("window_id").alias("m"))
+    gone = last.join(w.agg(F.max("window_id").alias("m")), "m", "left_semi").select("host_id")
+    left = erase_hosts(stored(spark, sf_dir), gone)
+    return functools.reduce(DataFrame.unionByName, [rows.groupBy("host_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), F.col("host_id").cast("long").alias("host_id"), "n") for name, rows in left.items()])
+
+
 sql_query("missing_entries", "SELECT entry FROM (VALUES ('README'), ('manifest'), ('config'), ('samples'), ('incidents')) AS r(entry) EXCEPT SELECT CASE WHEN event_type = 'click' THEN 'samples' WHEN event_type = 'view' THEN 'manifest' ELSE event_type END FROM <events>", tables="events")
 sql_query("probe_counts", "SELECT collector, count(*) AS n FROM <probe_log> WHERE duration_ms >= 50 GROUP BY collector", "probe_log")
-sql_query(
-    "rollup_5m",
-    """SELECT host_id, CAST(round(ts / 300) * 300 AS BIGINT) AS bucket_ts, count(*) AS n, round(avg(gw_rtt_ms), 6) AS gw_rtt_ms_avg, round(max(gw_rtt_ms), 6) AS gw_rtt_ms_max,
-    round(avg(dns_p50_ms), 6) AS dns_p50_ms_avg, round(max(dns_p50_ms), 6) AS dns_p50_ms_max, round(avg(https_ttfb_ms), 6) AS https_ttfb_ms_avg, round(max(https_ttfb_ms), 6) AS https_ttfb_ms_max,
-    round(avg(CAST(captive_portal AS DOUBLE)), 6) AS captive_portal_avg FROM <samples_sparse> WHERE ts < 1704074400 GROUP BY host_id, CAST(round(ts / 300) * 300 AS BIGINT)""",
+# Hours of raw rows and probes, days of raw rows at most, days of roll-ups, scores and closed incidents.
+RAW_HOURS, RAW_DAYS, ROLLUP_DAYS, BUCKET_S = 48, 7, 90, 300
+
+
+def bucket(ts: Column) -> Column:
+    """The nearest whole BUCKET_S: a bucket reaches half of it to both sides."""
+    return (F.round(ts / BUCKET_S) * BUCKET_S).cast("long")
+
+
+def rollup(samples: DataFrame, before: Column) -> DataFrame:
+    """host_id, bucket_ts, n, the average of every catalogue feature and the maximum of the modelled ones, of rows before the cut."""
+    value = lambda f: F.col(f).cast("double") if f in samples.columns else F.lit(None).cast("double")
+    means = [F.avg(value(f)).alias(f"{f}_avg") for f in NAMES]
+    tops = [F.max(value(f)).alias(f"{f}_max") for f in NAMES if f in MODELLED]
+    return samples.filter(F.col("ts") < before).groupBy("host_id", bucket(F.col("ts")).alias("bucket_ts")).agg(F.count("*").alias("n"), *means, *tops)
+
+
+_SPARSE_SQL = {f: f"CAST({f} AS DOUBLE)" if f in SPARSE else "CAST(NULL AS DOUBLE)" for f in NAMES}
+_CUT = "(SELECT max(ts) - 3600 FROM samples_sparse)"  # the run takes place 47 hours after the newest sample
+
+
+@query(
+    f"SELECT host_id, CAST(round(ts / 300) * 300 AS BIGINT) AS bucket_ts, count(*) AS n, {', '.join(f'round(avg({x}) + 1.37e-8, 6) AS {f}_avg' for f, x in _SPARSE_SQL.items())}, {', '.join(f'round(max({x}) + 1.37e-8, 6) AS {f}_max' for f, x in _SPARSE_SQL.items() if f in MODELLED)} FROM samples_sparse WHERE ts < {_CUT} GROUP BY 1, 2",
     "samples_sparse",
 )
-sql_query(
-    "retention_prune",
-    """SELECT 'samples' AS name, count(*) AS deleted FROM <samples_sparse>, (SELECT max(ts) AS now FROM <samples_sparse>) n WHERE ts < now - 3600
-    UNION ALL SELECT 'scores', count(*) FROM <score_series>, (SELECT max(ts) AS now FROM <samples_sparse>) n WHERE ts < now - 5400
-    UNION ALL SELECT 'rollups', count(DISTINCT CAST(host_id AS VARCHAR(9)) || '/' || CAST(round(ts / 300) AS VARCHAR(20))) FROM <samples_sparse>, (SELECT max(ts) AS now FROM <samples_sparse>) n WHERE ts < now - 5400
-    UNION ALL SELECT 'labels', CAST(0 AS BIGINT)""",
-    "samples_sparse score_series",
-)
+def rollup_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = fixture(spark, sf_dir, "samples_sparse")
+    now = (samples.agg(F.max("ts")).first()[0] or 0.0) + 47 * 3600
+    out = rollup(samples, F.lit(now - RAW_HOURS * 3600))
+    return out.select("host_id", "bucket_ts", "n", *[F.round(F.col(c) + 1.37e-8, 6).alias(c) for c in out.columns[3:]])
+
+
+def prune(tables: dict[str, DataFrame], now: float) -> dict[str, DataFrame]:
+    """Rows of each table that a maintenance run at `now` deletes. Labels and drift events are never deleted."""
+    raw, old = now - min(RAW_HOURS * 3600, RAW_DAYS * 86400), now - ROLLUP_DAYS * 86400
+    return {
+        "samples": tables["samples"].filter(F.col("ts") < raw),
+        "rollups": tables["rollups"].filter(F.col("bucket_ts") < old),
+        "scores": tables["scores"].filter(F.col("ts") < old),
+        "probes": tables["probes"].filter(F.col("ts") < raw),
+        "incidents": tables["incidents"].filter(F.col("ended_at").isNotNull() & (F.col("ended_at") < old)),
+        "labels": tables["labels"].filter(F.lit(False)),
+    }
+
+
+#: Hours after the newest sample at which the check runs the maintenance.
+_RUNS_AFTER = (47, 90 * 24 - 1)
+_NEWEST = "(SELECT max(ts) FROM samples_sparse)"
+
+
+def _prune_oracle(hours: int) -> str:
+    raw, old = f"{_NEWEST} + {hours * 3600 - RAW_HOURS * 3600}", f"{_NEWEST} + {hours * 3600 - ROLLUP_DAYS * 86400}"
+    counts = {
+        "samples": f"samples_sparse WHERE ts < {raw}",
+        "rollups": f"(SELECT DISTINCT host_id, round(ts / 300) * 300 AS b FROM samples_sparse) WHERE b < {old}",
+        "scores": f"score_series WHERE ts < {old}",
+        "probes": f"probe_log WHERE floor(epoch(ts)) < {raw}",
+        "incidents": f"{_INCIDENTS_SQL} WHERE ended_at < {old}",
+        "labels": "bad_windows WHERE false",
+    }
+    return " UNION ALL ".join(f"SELECT {hours} AS hours, '{name}' AS name, count(*) AS deleted FROM {rows}" for name, rows in counts.items())
+
+
+@query(" UNION ALL ".join(map(_prune_oracle, _RUNS_AFTER)), _NEEDED)
+def retention_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = stored(spark, sf_dir)
+    newest = tables["samples"].agg(F.max("ts")).first()[0] or 0.0
+    tables["rollups"] = tables["samples"].select("host_id", bucket(F.col("ts")).alias("bucket_ts")).distinct()
+    each = [rows.agg(F.lit(h).alias("hours"), F.lit(name).alias("name"), F.count("*").alias("deleted")) for h in _RUNS_AFTER for name, rows in prune(tables, newest + h * 3600).items()]
+    return functools.reduce(DataFrame.unionByName, each)
+
+
 sql_query(
     "budget_audit",
     """SELECT host_id, collector, minute, n, lim FROM (SELECT host_id, event_type AS collector, tick // 4 AS minute, count(*) AS n, max(CASE event_type WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 3 END) AS lim
@@ -77,7 +189,14 @@ sql_query(
 )
 sql_query("latest_score", "SELECT host_id, ts, round(risk_raw, 6) AS risk_raw, primary_layer FROM (SELECT *, row_number() OVER (PARTITION BY host_id ORDER BY ts DESC) AS n FROM <score_series>) WHERE n = 1", "score_series")
 sql_query("recent_probes", "SELECT probe_id, host_id, collector, round(duration_ms, 6) AS duration_ms FROM <probe_log> ORDER BY ts DESC, probe_id LIMIT 50", "probe_log")
-sql_query("recent_drift", "SELECT host_id, ts, round(l1_anomaly, 6) AS psi FROM <score_series> WHERE l1_anomaly >= 0.25 ORDER BY ts DESC, host_id LIMIT 50", "score_series")
+@query()
+def recent_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest drift checks: ts, feature, PSI and, where a feature drifted, what follows."""
+    from hostvigil.operators.models import dense_drift
+
+    return dense_drift(spark, sf_dir).select("host_id", "ts", "feature", "psi", "action").orderBy(F.desc("ts"), "host_id", "feature").limit(50)
+
+
 sql_query("recent_labels", "SELECT host_id, window_id, start_ts, end_ts FROM <bad_windows> ORDER BY end_ts DESC, host_id LIMIT 30", "bad_windows")
 sql_query(
     "corpus_union",

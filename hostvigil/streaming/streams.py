@@ -1,12 +1,14 @@
 """Continuous forms of the operators: keyed state in Structured Streaming, with the step functions of the batch form.
 
 Each registered query writes its test view as files in order of time, runs the stream over them to the end
-(availableNow) and returns the sink as a table. Rows more than WATERMARK late are dropped from state; the batch form
-recomputes them.
+(availableNow) and returns the sink as a table. Event time has a watermark: rows more than WATERMARK late are dropped
+before they reach a state (the batch form recomputes them), and a key that is silent for IDLE_S beyond it times out,
+which ends its state. A stream that is stopped goes on from its checkpoint with the states as they were.
 """
 
 from __future__ import annotations
 
+import base64
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from hostvigil.catalogue import LAYER_OF, LAYERS
 from hostvigil.operators import state as S
 from hostvigil.operators.frames import FRAME_SQL, SPARSE, limit_of
+from hostvigil.operators.ladder import Ladder
 from hostvigil.operators.incidents import CLOSE_AFTER, OPEN_AFTER, STATES_SQL, scored
 from hostvigil.operators.models import _SMOOTH_SQL, _cooldown_sql, alert_events
 from hostvigil.registry import query
@@ -25,20 +28,24 @@ from hostvigil.sources.fixtures import fixture
 from hostvigil.sources.scratch import scratch_path
 
 WATERMARK = "2 minutes"
+IDLE_S = 3600
 SLICES = 3
+#: Rows of a file of the replayed source.
+FILE_ROWS = 1_000_000
 
 
 def replay(rows: DataFrame, transform: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-    """Rows as a stream of SLICES files in order of ts; what `transform` emits, with the batch that emitted it in _batch."""
+    """Rows as a stream in SLICES batches in order of ts; what `transform` emits, with the batch that emitted it in _batch."""
     spark = rows.sparkSession
     source, sink, marks = (scratch_path(spark, n) for n in ("stream-in", "stream-out", "stream-checkpoint"))
-    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
+    low, high, n = rows.agg(F.min("ts"), F.max("ts"), F.count("*")).first()
     low, high = low or 0.0, high or 0.0
+    files = -(-n // (SLICES * FILE_ROWS)) or 1  # of each slice
     for k in range(SLICES):
         a, b = (low + (high - low) * x / SLICES for x in (k, k + 1))
         part = rows.filter((F.col("ts") >= a) & ((F.col("ts") < b) if k < SLICES - 1 else F.lit(True)))
-        part.coalesce(1).write.mode("append").parquet(source)
-    stream = transform(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source))
+        part.repartition(files).write.mode("append").parquet(source)
+    stream = transform(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(source))
 
     def write(batch: DataFrame, n: int) -> None:
         batch.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{sink}/b={n}")
@@ -48,19 +55,61 @@ def replay(rows: DataFrame, transform: Callable[[DataFrame], DataFrame], mode: s
     return spark.read.option("recursiveFileLookup", "true").parquet(sink)
 
 
-def keyed(stream: DataFrame, keys: list[str], start: Callable[[], object], step, output: str) -> DataFrame:
-    """`step(state, rows by ts) -> frame` per key; the state is kept as JSON of the object's fields."""
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+def keyed(stream: DataFrame, keys: list[str], start: Callable[[], object], step, output: str, gone: Callable[[object, tuple], pd.DataFrame] | None = None, idle: Callable[[object], float] | None = None) -> DataFrame:
+    """`step(state, rows by ts) -> frame` per key; the state is kept as JSON of the object's fields (or as it dumps itself).
+
+    `gone(state, key)` gives the rows of a key that fell silent, from the second of event time that `idle(state)` names
+    (by default IDLE_S after its last row); its state ends there.
+    """
+
+    def read(text: str) -> object:
         s = start()
-        if state.exists:
-            for k, v in json.loads(state.get[0]).items():
-                setattr(s, k, v)
+        if hasattr(s, "loads"):
+            return s.loads(text)
+        for k, v in json.loads(text).items():
+            setattr(s, k, v)
+        return s
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            s = read(state.get[0])
+            state.remove()
+            if gone:
+                yield gone(s, key)
+            return
+        s = read(state.get[0]) if state.exists else start()
         rows = pd.concat(list(parts)).sort_values("ts")
         out = step(s, rows)
-        state.update((json.dumps(asdict(s)),))
+        state.update((s.dumps() if hasattr(s, "dumps") else json.dumps(asdict(s)),))
+        until = idle(s) if idle else float(rows["ts"].iloc[-1]) + IDLE_S
+        state.setTimeoutTimestamp(max(int(until * 1000), state.getCurrentWatermarkMs() + 1))
         yield out
 
-    return stream.groupBy(*keys).applyInPandasWithState(run, output, "state string", "append", "NoTimeout")
+    timed = stream.withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", WATERMARK)
+    return timed.groupBy(*keys).applyInPandasWithState(run, output, "state string", "append", "EventTimeTimeout")
+
+
+class HostLadder:
+    """A host's learned stages as a stream's state."""
+
+    def __init__(self, features: list[str]):
+        self.features, self.ladder = features, Ladder(features)
+
+    def dumps(self) -> str:
+        return base64.b64encode(self.ladder.dump()).decode()
+
+    def loads(self, text: str) -> HostLadder:
+        self.ladder = Ladder.load(base64.b64decode(text), self.features)
+        return self
+
+    def step(self, rows: pd.DataFrame) -> pd.DataFrame:
+        added = self.ladder.frames(rows["ts"].to_numpy(float), rows[self.features].to_numpy(float))
+        return pd.DataFrame({"host_id": rows["host_id"].to_numpy(), "tick": rows["tick"].to_numpy(), "l1": added[0], "l2_anomaly": added[5], "drifted": [",".join(d["feature"] for d in x or [] if d["drifted"]) for x in added[7]]})
+
+
+def ladder_stream(stream: DataFrame, features: list[str]) -> DataFrame:
+    """host_id, tick, l1 (contributions), l2_anomaly and drifted of every frame of a stream of host_id, tick, ts and features."""
+    return keyed(stream, ["host_id"], lambda: HostLadder(features), lambda s, rows: s.step(rows), "host_id long, tick long, l1 array<double>, l2_anomaly double, drifted string")
 
 
 def _risk_step(s: S.Risk, rows: pd.DataFrame) -> pd.DataFrame:
@@ -114,6 +163,7 @@ class Open:
     below: int = 0
     number: int = 0
     open: bool = False
+    rank: int = 0
 
 
 def _incident_step(s: Open, rows: pd.DataFrame) -> pd.DataFrame:
@@ -124,15 +174,28 @@ def _incident_step(s: Open, rows: pd.DataFrame) -> pd.DataFrame:
             continue
         s.above, s.below = (s.above + 1, 0) if rank >= 2 else (0, s.below + 1)
         if not s.open and s.above >= OPEN_AFTER:
-            s.open, s.number = True, s.number + 1
+            s.open, s.number, s.rank = True, s.number + 1, int(rank)
             out.append((h, ts, s.number, "open"))
+        elif s.open and rank > s.rank:
+            s.rank = int(rank)
+            out.append((h, ts, s.number, "update"))
         elif s.open and s.below >= CLOSE_AFTER:
             s.open = False
             out.append((h, ts, s.number, "close"))
     return pd.DataFrame(out, columns=["host_id", "ts", "incident", "transition"])
 
 
-@query(f"SELECT host_id, ts, CAST(num AS BIGINT) AS incident, CASE WHEN opened THEN 'open' ELSE 'close' END AS transition FROM {STATES_SQL} WHERE opened OR closed", "score_series")
+_CHANGES = f"""SELECT host_id, ts, CAST(incident AS BIGINT) AS incident, CASE WHEN opened THEN 'open' WHEN closed THEN 'close' ELSE 'update' END AS transition FROM (SELECT *, max(rank) OVER (PARTITION BY host_id, incident ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {STATES_SQL} WHERE incident IS NOT NULL AND NOT blind)
+WHERE opened OR closed OR rank > before"""
+
+
+def incident_table(changes: DataFrame) -> DataFrame:
+    """A row an incident from its transitions: what an upsert by (host_id, incident) leaves."""
+    of = lambda kind: F.max(F.when(F.col("transition") == kind, F.col("ts")))
+    return changes.groupBy("host_id", "incident").agg(of("open").alias("started_at"), of("update").alias("updated_at"), of("close").alias("ended_at"))
+
+
+@query(_CHANGES, "score_series")
 def stream_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir).select(F.col("host_id").cast("long").alias("host_id"), "ts", F.col("rank").cast("long").alias("rank"), "blind")
     return replay(rows, lambda s: keyed(s, ["host_id"], Open, _incident_step, "host_id long, ts double, incident long, transition string")).drop("_batch", "b")
@@ -169,6 +232,13 @@ def _staleness_step(s: Seen, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["host_id", "tick", "layers"])
 
 
+def covered_layers(stream: DataFrame) -> DataFrame:
+    """host_id, tick, layers of every row; and a row without tick and layers when all that a host had sent is stale."""
+    until = lambda s: max((at + limit_of(f) for f, at in s.at.items()), default=0.0)
+    silent = lambda s, key: pd.DataFrame([(key[0], None, "")], columns=["host_id", "tick", "layers"]).astype({"tick": "Int64"})
+    return keyed(stream, ["host_id"], Seen, _staleness_step, "host_id long, tick long, layers string", silent, until)
+
+
 def _layer_alive(layer: str) -> str:
     return f"coalesce({', '.join(f for f in _FEATURES if LAYER_OF[f] == layer)}, NULL) IS NOT NULL"
 
@@ -177,19 +247,24 @@ def _layer_alive(layer: str) -> str:
 def stream_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layers that are covered at each tick; a silent layer drops out after its staleness."""
     rows = fixture(spark, sf_dir, "samples_sparse").select(F.col("host_id").cast("long").alias("host_id"), F.col("tick").cast("long").alias("tick"), "ts", *[F.col(f).cast("double").alias(f) for f in _FEATURES])
-    return replay(rows, lambda s: keyed(s, ["host_id"], Seen, _staleness_step, "host_id long, tick long, layers string")).select("host_id", "tick", "layers")
+    return replay(rows, covered_layers).filter("tick IS NOT NULL").select("host_id", "tick", "layers")
 
 
-_BASES = "SELECT host_id, avg(gw_rtt_ms) AS m, stddev_pop(gw_rtt_ms) AS s FROM samples_sparse GROUP BY host_id"
+# Learning is paused from the middle of the view on: what came before is the baseline.
+_CUT = "(SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM samples_sparse)"
+_BASES = f"SELECT host_id, avg(gw_rtt_ms) AS m, stddev_pop(gw_rtt_ms) AS s, count(gw_rtt_ms) AS n FROM samples_sparse WHERE ts < {_CUT} GROUP BY host_id"
 
 
-@query(f"SELECT f.host_id, tick, round(least(12.0, greatest(0.0, (gw_rtt_ms - m) / greatest(s, 0.25 * abs(m), 1e-6) - 1.5)) + 1.37e-8, 6) AS contribution FROM samples_sparse f JOIN ({_BASES}) b ON b.host_id = f.host_id WHERE f.host_id % 4 = 0 AND gw_rtt_ms IS NOT NULL", "samples_sparse")
+@query(f"SELECT f.host_id, tick, round(CASE WHEN n >= 4 THEN least(12.0, greatest(0.0, (gw_rtt_ms - m) / greatest(s, 0.25 * abs(m), 1e-6) - 1.5)) ELSE 0 END + 1.37e-8, 6) AS contribution FROM samples_sparse f JOIN ({_BASES}) b ON b.host_id = f.host_id WHERE f.host_id % 4 = 0 AND gw_rtt_ms IS NOT NULL AND ts >= {_CUT}", "samples_sparse")
 def pause_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hosts whose learning is paused by the controls table are scored against fixed baselines: a stream-static join."""
-    rows = fixture(spark, sf_dir, "samples_sparse").select("host_id", "tick", "ts", "gw_rtt_ms").filter("gw_rtt_ms IS NOT NULL")
-    base = rows.groupBy("host_id").agg(F.avg("gw_rtt_ms").alias("m"), F.stddev_pop("gw_rtt_ms").alias("s"))
+    """Hosts whose learning is paused by the controls table are scored against what they had learned: a stream-static join."""
+    rows = fixture(spark, sf_dir, "samples_sparse").select("host_id", "tick", "ts", F.col("gw_rtt_ms").cast("double").alias("gw_rtt_ms"))
+    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
+    cut = (low or 0.0) + ((high or 0.0) - (low or 0.0)) / 2
+    learned = rows.filter(F.col("ts") < cut).groupBy("host_id").agg(F.avg("gw_rtt_ms").alias("m"), F.stddev_pop("gw_rtt_ms").alias("s"), F.count("gw_rtt_ms").alias("n"))
     controls = rows.select("host_id").distinct().withColumn("paused", F.col("host_id") % 4 == 0)
-    static = base.join(controls, "host_id").filter("paused")
+    static = learned.join(controls, "host_id").filter("paused")
     z = (F.col("gw_rtt_ms") - F.col("m")) / F.greatest(F.col("s"), F.abs("m") * 0.25, F.lit(1e-6))
-    out = replay(rows, lambda s: s.join(static, "host_id").select("host_id", "tick", F.least(F.lit(12.0), F.greatest(F.lit(0.0), z - 1.5)).alias("contribution")))
+    score = F.when(F.col("n") >= 4, F.least(F.lit(12.0), F.greatest(F.lit(0.0), z - 1.5))).otherwise(0.0)
+    out = replay(rows.filter((F.col("ts") >= cut) & F.col("gw_rtt_ms").isNotNull()), lambda s: s.join(static, "host_id").select("host_id", "tick", score.alias("contribution")))
     return out.select("host_id", "tick", F.round(F.col("contribution") + 1.37e-8, 6).alias("contribution"))

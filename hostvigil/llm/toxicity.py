@@ -11,8 +11,8 @@ more labels change nothing. The features of the sample pass through the driver (
 numbers), the weights are broadcast (2^FEATURE_BITS at most). Everything else runs where the documents are, without a
 shuffle.
 
-Null text counts as empty; labels with nulls or of unknown documents are left out; a document labelled twice counts
-twice. Without toxic or without other labels in the sample all severities are 0 (or the one grade there is). An empty
+Null text counts as empty, long texts are read whole, repeated rows are scored each by themselves, and extra columns may
+have any name. Labels with nulls or of unknown documents are left out; a document labelled twice counts twice. Without toxic or without other labels in the sample all severities are 0 (or the one grade there is). An empty
 table gives no rows.
 """
 
@@ -133,7 +133,8 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[list[int]]
     """Features and grades of the sample."""
     known = only(labels, doc_id="long", quality="int", toxic="int").dropna()
     grade = F.when(F.col("toxic") == 0, 0).when(F.col("quality") == 1, 1).otherwise(2).alias("grade")
-    sample = known.select("doc_id", grade, F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "grade").limit(TRAIN_ROWS)
+    ids = only(docs, doc_id="long").dropna().distinct()  # labels of unknown documents take no place in the sample
+    sample = known.join(ids, "doc_id", "left_semi").select("doc_id", grade, F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "grade").limit(TRAIN_ROWS)
     # at most TRAIN_ROWS narrow rows are broadcast, so the texts stay where they are
     texts = only(docs, doc_id="long", text="string").join(F.broadcast(sample.select("doc_id", "grade")), "doc_id")
 

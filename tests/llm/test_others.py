@@ -118,7 +118,12 @@ def test_edited_counts_equal_counts_of_the_edited_text():
                 at = b + 1
             assert token_counts.apply_edits(tree, edits) == len(edits)
             assert tree.text == now and tree.n_tokens == len(count.encoding.encode_ordinary(now))
-            assert [n for block_ in tree.blocks for n, _ in block_] == list(map(len, count.pattern.findall(now)))
+            pieces = [[tree.block(k)[a:b] for a, b in tree.cut(k, k)] for k in range(len(tree.sums))]
+            assert [x for p in pieces for x in p] == count.pattern.findall(now)
+            assert tree.sums == [(sum(map(len, p)), sum(count.all(p))) for p in pieces] and max(map(len, pieces)) <= 2 * block
+            again = token_counts.TokenTree(text, count, token_counts.TokenTree(text, count).sums)  # from what is saved
+            token_counts.apply_edits(again, edits)
+            assert (again.text, again.sums) == (tree.text, tree.sums)
     token_counts.BLOCK = 64
 
 
@@ -126,12 +131,33 @@ def test_token_counts(spark, sf_dir, make):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = {r.doc_id: r.text for r in docs.collect()}
     enc = token_counts.counter(*token_counts.default_vocabulary()).encoding
-    for r in token_counts.count_tokens(docs).collect():
+    for r in token_counts.recount(token_counts.save_trees(docs), token_counts.redactions).collect():
         t = text[r.doc_id] or ""
         for a, b, new in sorted(token_counts.redactions(t), reverse=True):
             t = t[:a] + new + t[b:]
         assert (r.n_tokens, r.n_tokens_edited, r.n_chars_edited) == (len(enc.encode_ordinary(text[r.doc_id] or "")), len(enc.encode_ordinary(t)), len(t))
-    assert token_counts.count_tokens(make(EDGE)).count() == len(EDGE) and token_counts.count_tokens(make([])).count() == 0
+    assert token_counts.recount(token_counts.save_trees(make(EDGE)), token_counts.redactions).count() == len(EDGE) and token_counts.save_trees(make([])).count() == 0
+
+
+def test_an_edit_log_is_applied_to_saved_trees(spark, make):
+    saved = token_counts.save_trees(make([(1, "one two three " * 500), (2, "four"), (3, None)]))
+    log = spark.createDataFrame([(1, [(4, 7, "twelve"), (6000, 6000, " and more words" * 400)])], "doc_id long, log array<struct<start:long,end:long,text:string>>")
+    got = {r.doc_id: r for r in token_counts.recount(saved.join(log, "doc_id", "left"), edits="log").collect()}
+    text = "one two three " * 500
+    text = text[:4] + "twelve" + text[7:6000] + " and more words" * 400 + text[6000:]
+    enc = token_counts.counter(*token_counts.default_vocabulary()).encoding
+    assert got[1].n_tokens_edited == len(enc.encode_ordinary(text)) and got[1].n_chars_edited == len(text)
+    assert got[1].n_reencoded < got[1].n_pretokens + 1200 + 600 and (got[2].n_edits, got[2].n_reencoded, got[3].n_tokens) == (0, 0, 0)
+
+
+def test_a_long_insertion_splits_blocks():
+    count = token_counts.counter(*token_counts.default_vocabulary())
+    tree = token_counts.TokenTree("word " * 1000, count)
+    tree.replace(2500, 2500, " more" * 20_000)
+    assert max(len(count.pattern.findall(tree.block(k))) for k in range(len(tree.sums))) <= 2 * token_counts.BLOCK
+    before = tree.encoded
+    tree.replace(2500, 2501, "x")
+    assert tree.encoded - before < 10 * token_counts.BLOCK
 
 
 def test_overlapping_and_overlong_edits():
@@ -164,6 +190,40 @@ def test_ordinal_thresholds_and_shared_weights():
     assert m.thresholds[0] < m.thresholds[1] and min(signal) > 0.5 and max(noise) < 0.5 * min(signal)
 
 
+def test_labels_of_unknown_documents_take_no_place(spark, make, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 20)
+    docs = make([(k, "fine words here" if k % 2 else "vile words here") for k in range(20)])
+    labels = spark.createDataFrame([(k, 1, int(k % 2 == 0)) for k in range(2000)], "doc_id long, quality int, toxic int")
+    rows, grades = toxicity.training_sample(docs, labels)
+    assert len(rows) == 20 and sorted(grades.tolist()) == [0] * 10 + [1] * 10
+
+
+def slow_likelihood(rows, grades, weights, thresholds):
+    """Mean negative log-likelihood of the cumulative-link model, text by text."""
+    total = 0.0
+    for r, g in zip(rows, grades):
+        z = sum(weights.get(f, 0.0) for f in r)
+        above = [1.0, *(1 / (1 + np.exp(-(z - t))) for t in thresholds), 0.0]
+        total -= np.log(above[g] - above[g + 1])
+    return total / len(rows)
+
+
+def test_fit_is_a_minimum_of_the_penalised_likelihood():
+    """No small change of a weight or threshold makes the objective, computed in a plain way, better."""
+    rng = np.random.default_rng(3)
+    rows = [sorted(rng.choice(12, int(rng.integers(0, 6)), replace=False).tolist()) for _ in range(400)]
+    grades = np.array([min(2, max(0, int(sum(f < 5 for f in r) + rng.integers(-1, 2)))) for r in rows])
+    m = toxicity.fit(rows, grades)
+    goal = lambda w, t: slow_likelihood(rows, grades, w, t) + toxicity.L1 / 20 * sum(map(abs, w.values()))
+    best = goal(m.weights, m.thresholds)
+    for f in range(12):
+        for step in (-0.05, 0.05):
+            assert goal(m.weights | {f: m.weights.get(f, 0.0) + step}, m.thresholds) > best - 1e-5
+    for k in (0, 1):
+        for step in (-0.05, 0.05):
+            assert goal(m.weights, m.thresholds + step * (np.arange(2) == k)) > best - 1e-5
+
+
 def test_toxicity_edges(spark, make):
     labels = spark.createDataFrame([(3, 1, 0), (1, 1, None), (99, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     got = toxicity.severity(make(EDGE), labels).collect()

@@ -120,7 +120,7 @@ TEMPLATES: list[tuple[str, str, int, str, tuple[str, ...]]] = [
 TEXTS = {
     "wifi.signal_floor": "Weak radio signal: {rssi} dBm on a {link} Mbit/s link.",
     "wifi.interference": "Signal is good ({rssi} dBm) but {retries}% of frames repeat; the channel is busy.",
-    "wifi.crowded_24": "On 2.4 GHz with {retries}% of frames repeated.",
+    "wifi.crowded_24": "On {band} GHz with {retries}% of frames repeated.",
     "wifi.roaming": "The host changed its access point.",
     "wifi.rate_collapse": "Radio link at {link} Mbit/s, signal {rssi} dBm.",
     "wifi.generic": "Radio quality is down: {rssi} dBm, {retries}% repeated.",
@@ -131,14 +131,14 @@ TEXTS = {
     "gateway.loss": "{gw_loss}% of probes to the router are lost.",
     "gateway.congestion": "The router answers in {gw_rtt} ms, varying by {gw_jitter} ms.",
     "path.reroute": "A new route adds {path_extra} ms past the router.",
-    "path.isp_congestion": "The router is fine ({gw_rtt} ms); the path adds {path_extra} ms.",
+    "path.isp_congestion": "The router is fine ({gw_rtt} ms); the path takes {path_rtt} ms, {path_extra} of them past it.",
     "remote.unreachable": "{https_fail}% of test connections fail behind a working router.",
     "remote.tls_slow": "Secure handshakes take {tls} ms.",
     "remote.service_slow": "First bytes take {ttfb} ms, {remote_extra} ms more than the path.",
-    "vpn.overload": "Time is lost in the tunnel: {retrans}% resent, {ttfb} ms to answer.",
+    "vpn.overload": "Time is lost in the tunnel: {retrans}% resent, {ttfb} ms to answer; next suspect: {secondary}.",
     "os.retransmissions": "The host resends {retrans}% of its segments.",
     "os.resource_pressure": "Processor at {cpu}%.",
-    "os.generic": "The host itself changed: processor {cpu}%, {retrans}% resent.",
+    "os.generic": "The host itself changed (layer {layer}, risk {risk}%): processor {cpu}%, {retrans}% resent.",
 }
 # Remediation ids in order; the texts are our own.
 REMEDIATIONS = {

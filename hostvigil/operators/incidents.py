@@ -185,8 +185,9 @@ RENDERED = {
     "rssi": ("coalesce(wifi_rssi_dbm, 0)", 0), "retries": ("coalesce(wifi_tx_retry_rate, 0) * 100", 0), "link": ("coalesce(wifi_link_mbps, 0)", 0), "gw_rtt": ("coalesce(gw_rtt_ms, 0)", 0), "gw_loss": ("coalesce(gw_loss_rate, 0) * 100", 0),
     "gw_jitter": ("coalesce(gw_jitter_ms, 0)", 0), "dns_p50": ("coalesce(dns_p50_ms, 0)", 0), "dns_fail": ("coalesce(dns_fail_rate, 0) * 100", 0), "ttfb": ("coalesce(https_ttfb_ms, 0)", 0), "tls": ("coalesce(https_tls_ms, 0)", 0),
     "https_fail": ("coalesce(https_fail_rate, 0) * 100", 0), "path_extra": ("coalesce(x_path_minus_gateway_ms, 0)", 0), "remote_extra": ("coalesce(x_remote_minus_path_ms, 0)", 0), "cpu": ("coalesce(os_cpu_pct, 0)", 0), "retrans": ("coalesce(os_retrans_rate, 0) * 100", 1),
+    "path_rtt": ("coalesce(path_rtt_ms, 0)", 0), "band": ("coalesce(wifi_band_ghz, 0)", 1), "risk": ("coalesce(risk_15m, 0) * 100", 0), "layer": ("layer", None), "secondary": ("coalesce(secondary_layer, 'none')", None),
 }
-_ABSENT = ["wifi_band_ghz", "wifi_roam_count", "path_changed", "os_cpu_pct"]
+_ABSENT = {"wifi_band_ghz": "double", "wifi_roam_count": "double", "path_changed": "double", "os_cpu_pct": "double", "risk_15m": "double", "secondary_layer": "string"}
 
 
 def template_sql(layer: str) -> str:
@@ -200,6 +201,8 @@ def template_sql(layer: str) -> str:
 
 def _shown(name: str) -> str:
     value, places = RENDERED[name]
+    if places is None:
+        return value
     return f"CAST(bround({value} + 1e-7, 1) AS VARCHAR(30))" if places else f"CAST(CAST(bround({value} + 1e-7, 0) AS BIGINT) AS VARCHAR(30))"
 
 
@@ -222,17 +225,19 @@ def remediations_sql(template: str) -> str:
 
 def cards(frames: DataFrame, layer: str) -> DataFrame:
     """template_id, summary, remediation of every frame for the layer in column `layer`."""
-    for c in _ABSENT:
+    for c, kind in _ABSENT.items():
         if c not in frames.columns:
-            frames = frames.withColumn(c, F.lit(None).cast("double"))
-    f = derive_cross_layer(frames).withColumn("template_id", F.expr(template_sql(layer)))
+            frames = frames.withColumn(c, F.lit(None).cast(kind))
+    if layer != "layer":
+        frames = frames.withColumn("layer", F.col(layer))
+    f = derive_cross_layer(frames).withColumn("template_id", F.expr(template_sql("layer")))
     return f.withColumn("summary", F.expr(render_sql("template_id"))).withColumn("remediation", F.expr(remediations_sql("template_id")))
 
 
 _LAYER = "CASE WHEN wifi_rssi_dbm <= -75 THEN 'wifi' WHEN dns_fail_rate >= 0.5 THEN 'dns' WHEN gw_loss_rate >= 0.5 THEN 'gateway' WHEN https_ttfb_ms >= 300 THEN 'remote_https' WHEN path_rtt_ms >= 150 THEN 'path' ELSE 'os' END"
 from hostvigil.operators.frames import DERIVED_SQL  # noqa: E402
 
-_CARD_FRAME = f"(SELECT *, {_LAYER} AS layer, {', '.join(f'CAST(NULL AS DOUBLE) AS {c}' for c in _ABSENT)}, {', '.join(f'{x} AS {k}' for k, x in DERIVED_SQL.items())} FROM {FRAME_SQL})"
+_CARD_FRAME = f"(SELECT *, {_LAYER} AS layer, {', '.join(f'CAST(NULL AS {dict(double="DOUBLE", string="VARCHAR")[kind]}) AS {c}' for c, kind in _ABSENT.items())}, {', '.join(f'{x} AS {k}' for k, x in DERIVED_SQL.items())} FROM {FRAME_SQL})"
 _CARD = f"(SELECT *, {render_sql('template_id')} AS summary, {remediations_sql('template_id')} AS remediation FROM (SELECT *, {template_sql('layer')} AS template_id FROM {_CARD_FRAME}))".replace("bround(", "round_even(")
 
 

@@ -186,25 +186,86 @@ def _greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return greedy_cooldown(alert_events(spark, sf_dir), 1800, ["host_id", "layer"]).filter("kept").select("host_id", "layer", "ts")
 
 
-@query(f"SELECT host_id, layer, ts, CASE WHEN rank < 3 AND quiet THEN 'quiet hours' WHEN NOT kept THEN 'cooldown' ELSE 'sent' END AS outcome FROM (SELECT *, (CAST(ts AS BIGINT) // 3600) % 24 IN (22, 23, 0, 1) AS quiet FROM {_cooldown_sql(900, True).replace('WHERE risk_raw >= 0.5', 'WHERE risk_raw >= 0.75 OR (risk_raw >= 0.5 AND NOT ((CAST(ts AS BIGINT) // 3600) % 24 IN (22, 23, 0, 1)))')}) UNION ALL SELECT host_id, primary_layer, ts, 'quiet hours' FROM score_series WHERE risk_raw >= 0.5 AND risk_raw < 0.75 AND (CAST(ts AS BIGINT) // 3600) % 24 IN (22, 23, 0, 1)", "score_series")
+# The settings of a host: on or off, least severity, quiet hours from and to (equal: none).
+_SETTINGS = {"enabled": "host_id % 5 <> 4", "least": "CASE WHEN host_id % 3 = 0 THEN 1 ELSE 2 END", "quiet_from": "CASE WHEN host_id % 4 = 1 THEN 9 ELSE 22 END", "quiet_to": "CASE WHEN host_id % 4 = 1 THEN 9 ELSE 2 END"}
+
+
+def notification_outcomes(events: DataFrame, settings: DataFrame) -> DataFrame:
+    """`outcome` of every event (host_id, layer, ts, rank): disabled, below floor, quiet hours (critical ones pass), cooldown
+    (unless more severe than the last one sent), or sent; the first that applies."""
+    e = events.join(settings, "host_id")
+    hour = F.hour(F.timestamp_seconds("ts"))
+    inside = F.when(F.col("quiet_from") == F.col("quiet_to"), False).when(F.col("quiet_from") < F.col("quiet_to"), (hour >= F.col("quiet_from")) & (hour < F.col("quiet_to"))).otherwise((hour >= F.col("quiet_from")) | (hour < F.col("quiet_to")))
+    e = e.withColumn("outcome", F.when(~F.col("enabled"), "disabled").when(F.col("rank") < F.col("least"), "below floor").when(inside & (F.col("rank") < 3), "quiet hours"))
+    e = e.select("host_id", "layer", "ts", "rank", "outcome")
+    sent = greedy_cooldown(e.filter("outcome IS NULL").drop("outcome"), 900, ["host_id", "layer"], True)
+    return e.filter("outcome IS NOT NULL").unionByName(sent.select("host_id", "layer", "ts", "rank", F.when(F.col("kept"), "sent").otherwise("cooldown").alias("outcome")))
+
+
+_NOTED = f"""(SELECT host_id, primary_layer AS layer, ts, CASE WHEN risk_raw >= 0.75 THEN 3 WHEN risk_raw >= 0.5 THEN 2 ELSE 1 END AS rank, (CAST(ts AS BIGINT) // 3600) % 24 AS hour, {', '.join(f'{v} AS {k}' for k, v in _SETTINGS.items())} FROM score_series WHERE risk_raw >= 0.25)"""
+_QUIET = "CASE WHEN quiet_from = quiet_to THEN false WHEN quiet_from < quiet_to THEN hour >= quiet_from AND hour < quiet_to ELSE hour >= quiet_from OR hour < quiet_to END"
+
+
+@query(
+    f"""SELECT * FROM (WITH RECURSIVE e AS (SELECT host_id, layer, ts, rank, CASE WHEN NOT enabled THEN 'disabled' WHEN rank < least THEN 'below floor' WHEN {_QUIET} AND rank < 3 THEN 'quiet hours' END AS outcome FROM {_NOTED}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY host_id, layer ORDER BY ts) AS i FROM e WHERE outcome IS NULL),
+    m AS (SELECT host_id, layer, ts, rank, i, ts AS last, rank AS lr, true AS kept FROM r WHERE i = 1 UNION ALL
+      SELECT r.host_id, r.layer, r.ts, r.rank, r.i, CASE WHEN r.ts - m.last >= 900 OR r.rank > m.lr THEN r.ts ELSE m.last END, CASE WHEN r.ts - m.last >= 900 OR r.rank > m.lr THEN r.rank ELSE m.lr END, r.ts - m.last >= 900 OR r.rank > m.lr FROM m JOIN r ON r.host_id = m.host_id AND r.layer = m.layer AND r.i = m.i + 1)
+    SELECT host_id, layer, ts, outcome FROM e WHERE outcome IS NOT NULL UNION ALL SELECT host_id, layer, ts, CASE WHEN kept THEN 'sent' ELSE 'cooldown' END FROM m)""",
+    "score_series",
+)
 def notification_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quiet hours (22 to 2) let only critical alerts pass; then a cooldown per layer that a more severe alert breaks."""
-    e = alert_events(spark, sf_dir)
-    quiet = F.hour(F.timestamp_seconds("ts")).isin(22, 23, 0, 1) & (F.col("rank") < 3)
-    held = e.filter(quiet).select("host_id", "layer", "ts", F.lit("quiet hours").alias("outcome"))
-    sent = greedy_cooldown(e.filter(~quiet), 900, ["host_id", "layer"], True)
-    return sent.select("host_id", "layer", "ts", F.when(F.col("kept"), "sent").otherwise("cooldown").alias("outcome")).unionByName(held)
-
-
-# Scoring only: a table of baselines joined to frames.
-_BASE = "SELECT host_id, CAST(floor(ts / 3600) AS BIGINT) % 24 AS hour, avg(gw_rtt_ms) AS m, stddev_pop(gw_rtt_ms) AS s, count(*) AS n FROM <samples_dense> WHERE tick <= 600 GROUP BY 1, 2"
-for _name, _expr in (("seasonal_baseline_score", "z"), ("l1_score_only", "least(12e0, greatest(0e0, z - 1.5e0))")):
-    sql_query(
-        _name,
-        f"""SELECT host_id, tick, round({_expr}, 6) AS score FROM (SELECT d.host_id, d.tick, CASE WHEN b.n >= 4 THEN (d.gw_rtt_ms - b.m) / (greatest(b.s, 0.25e0 * abs(b.m), 1e-6) * CASE WHEN b.n >= 12 THEN 1e0 ELSE 2.5e0 END) ELSE 0e0 END AS z
-        FROM <samples_dense> d JOIN ({_BASE}) b ON b.host_id = d.host_id AND b.hour = CAST(floor(d.ts / 3600) AS BIGINT) % 24)""",
-        "samples_dense",
-    )
+    s = fixture(spark, sf_dir, "score_series").filter("risk_raw >= 0.25")
+    events = s.select(F.col("host_id").cast("long").alias("host_id"), F.col("primary_layer").alias("layer"), "ts", F.when(F.col("risk_raw") >= 0.75, 3).when(F.col("risk_raw") >= 0.5, 2).otherwise(1).alias("rank"))
+    settings = events.select("host_id").distinct().select("host_id", *[F.expr(v).alias(k) for k, v in _SETTINGS.items()])
+    return notification_outcomes(events, settings).select("host_id", "layer", "ts", "outcome")
+
+
+# Scoring only: a table of baselines by hour, learned from the first half of the view's time, joined to the frames after it.
+_SEASONAL = {"gw_rtt_ms": 1.0, "wifi_rssi_dbm": -1.0}
+
+
+def baseline_scores(learned: DataFrame, rows: DataFrame) -> DataFrame:
+    """`rows` (host_id, tick, ts, feature, value) with z: against the hour's moments where 12 values are known, else those of
+    all hours with a wider spread; 0 under 4 values; positive is worse."""
+    hour = (F.floor(F.col("ts") / 3600) % 24).alias("hour")
+    stats = lambda p: [F.avg("value").alias(f"{p}_mean"), F.stddev_pop("value").alias(f"{p}_std"), F.count("value").alias(f"{p}_n")]
+    by_hour = learned.groupBy("host_id", "feature", hour).agg(*stats("hour"))
+    overall = learned.groupBy("host_id", "feature").agg(*stats("all"))
+    f = rows.withColumn("hour", hour).join(overall, ["host_id", "feature"], "left").join(by_hour, ["host_id", "feature", "hour"], "left")
+    known = F.coalesce(F.col("hour_n"), F.lit(0)) >= 12
+    pick = lambda c: F.when(known, F.col(f"hour_{c}")).otherwise(F.col(f"all_{c}"))
+    spread = F.greatest(pick("std"), 0.25 * F.abs(pick("mean")), F.lit(1e-6)) * F.when(known, 1.0).otherwise(2.5)
+    sign = F.element_at(F.create_map(*[F.lit(x) for kv in _SEASONAL.items() for x in kv]), F.col("feature"))
+    return f.withColumn("z", F.when(F.coalesce(pick("n"), F.lit(0)) >= 4, sign * (F.col("value") - pick("mean")) / spread).otherwise(0.0))
+
+
+def _seasonal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fixture(spark, sf_dir, "samples_dense")
+    low, high = d.agg(F.min("ts"), F.max("ts")).first()
+    cut = (low or 0.0) + ((high or 0.0) - (low or 0.0)) / 2
+    rows = d.select("host_id", "tick", "ts", *[F.col(f).cast("double").alias(f) for f in _SEASONAL]).unpivot(["host_id", "tick", "ts"], list(_SEASONAL), "feature", "value")
+    return baseline_scores(rows.filter(F.col("ts") < cut), rows.filter(F.col("ts") >= cut))
+
+
+_SEASONAL_SQL = f"""(WITH d AS ({' UNION ALL '.join(f"SELECT host_id, tick, ts, '{f}' AS feature, CAST({f} AS DOUBLE) AS x, {s} AS sign, CAST(floor(ts / 3600) AS BIGINT) % 24 AS h FROM samples_dense" for f, s in _SEASONAL.items())}), c AS (SELECT min(ts) + (max(ts) - min(ts)) / 2 AS cut FROM samples_dense),
+  old AS (SELECT d.* FROM d, c WHERE ts < cut), new AS (SELECT d.* FROM d, c WHERE ts >= cut),
+  m AS (SELECT n.*, (SELECT count(*) FROM old o WHERE o.host_id = n.host_id AND o.feature = n.feature AND o.h = n.h) AS hn FROM (SELECT DISTINCT host_id, feature, h FROM new) n),
+  b AS (SELECT m.host_id, m.feature, m.h, any_value(hn) AS hn, avg(o.x) AS mu, stddev_pop(o.x) AS sd, count(o.x) AS k FROM m LEFT JOIN old o ON o.host_id = m.host_id AND o.feature = m.feature AND (o.h = m.h OR m.hn < 12) GROUP BY 1, 2, 3)
+  SELECT new.host_id, new.tick, new.feature, CASE WHEN k >= 4 THEN sign * (x - mu) / (greatest(sd, 0.25 * abs(mu), 1e-6) * CASE WHEN hn >= 12 THEN 1 ELSE 2.5 END) ELSE 0 END AS z FROM new JOIN b ON b.host_id = new.host_id AND b.feature = new.feature AND b.h = new.h)"""
+
+
+@query(f"SELECT host_id, tick, feature, round(z + 1.37e-8, 6) AS score FROM {_SEASONAL_SQL}", "samples_dense")
+def seasonal_baseline_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seasonal(spark, sf_dir).select("host_id", "tick", "feature", F.round(F.col("z") + 1.37e-8, 6).alias("score"))
+
+
+@query(f"SELECT host_id, tick, feature, round(least(12, greatest(0, z - 1.5)) + 1.37e-8, 6) AS score FROM {_SEASONAL_SQL}", "samples_dense")
+def l1_score_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contributions at once, without smoothing, while learning is paused."""
+    z = F.least(F.lit(L.MAX_CONTRIBUTION), F.greatest(F.lit(0.0), F.col("z") - L.DEADBAND))
+    return _seasonal(spark, sf_dir).select("host_id", "tick", "feature", F.round(z + 1.37e-8, 6).alias("score"))
+
 
 sql_query("json_edges", """SELECT event_id, coalesce(get_json_object(props, '$.k'), '-') AS k, coalesce(get_json_object(concat(props, 'x'), '$.none'), 'fallback') AS missing FROM <events>""", tables="events", duck={"get_json_object(concat(props, 'x'), '$.none')": "NULL", "get_json_object(": "json_extract_string("})
 

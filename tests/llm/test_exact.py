@@ -185,6 +185,31 @@ def test_keep_one_removes_only_near_copies(table, rows):
     assert max(seen.values()) == 1
 
 
+def test_recall_of_near_pairs(spark):
+    """Pairs of similarity 0.8 to 0.9 by brute force, each among texts that have nothing in common: at least 0.9 are found."""
+    rng = random.Random(11)
+    docs, pairs = {}, []
+    for k in range(400):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 400))]
+        copy = list(words)
+        while True:
+            at = rng.randrange(len(copy))
+            before, copy[at] = copy[at], f"x{rng.randrange(10**6)}"
+            if slow_likeness(" ".join(words), " ".join(copy)) < 0.8:
+                copy[at] = before
+                break
+            if rng.random() < 0.1 and slow_likeness(" ".join(words), " ".join(copy)) < 0.9:
+                break
+        if 0.8 <= slow_likeness(" ".join(words), " ".join(copy)) < 0.9:
+            pairs.append((2 * k, 2 * k + 1))
+        docs[2 * k], docs[2 * k + 1] = " ".join(words), " ".join(copy)
+    codes = [(d, *simhash.wide_fingerprint(t, 5)) for d, t in docs.items()]
+    found = graph.components(simhash.likely_links(spark.createDataFrame(codes, "node long, hi long, lo long"), 0.8))
+    label = {r["node"]: r["label"] for r in found.collect()}
+    met = sum(a in label and label[a] == label.get(b) for a, b in pairs)
+    assert len(pairs) > 200 and met >= 0.9 * len(pairs)
+
+
 def slow_keep_one(found, texts, size=5):
     """doc_ids that stay in a plain run: in order of doc_id, less those like an earlier one of their component that stays."""
     grams = {d: {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} for d, w in ((d, t.split()) for d, t in texts.items())}

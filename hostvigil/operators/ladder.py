@@ -60,18 +60,18 @@ class Baselines:
         here = ~np.isnan(x)
         x = np.where(here, x, 0.0)
         z = np.where(here, self.deviation(x, hour), 0.0)
-        now = np.clip(z - DEADBAND, 0.0, MAX_CONTRIBUTION)
+        now = _within(z - DEADBAND, 0.0, MAX_CONTRIBUTION)
         if not learn:
             return np.where(here, now, np.nan)
         self.smooth = np.where(here, self.smooth + SMOOTHING * (now - self.smooth), self.smooth)
-        self.high = np.where(here, np.clip(self.high + z - CUSUM_K, 0.0, CUSUM_LIMIT), self.high)
-        self.low = np.where(here, np.clip(self.low - z - CUSUM_K, 0.0, CUSUM_LIMIT), self.low)
+        self.high = np.where(here, _within(self.high + z - CUSUM_K, 0.0, CUSUM_LIMIT), self.high)
+        self.low = np.where(here, _within(self.low - z - CUSUM_K, 0.0, CUSUM_LIMIT), self.low)
         hold = here & (self.count[HOURS] >= FREEZE_COUNT) & (self.frozen < FREEZE_STEPS) & (now >= FREEZE_AT)
         self.frozen = np.where(hold, self.frozen + 1, np.where(here, 0.0, self.frozen))
         take = here & ~hold
         for row in (hour, HOURS):
             n = self.count[row] + take
-            rate = np.where(n > 1, np.clip(1 / np.maximum(n, 1), RATE_LEAST, RATE_MOST), 1.0)
+            rate = np.where(n > 1, _within(1 / np.maximum(n, 1), RATE_LEAST, RATE_MOST), 1.0)
             gap = np.where(take, x - self.mean[row], 0.0)
             self.mean[row] += rate * gap
             self.var[row] = np.where(take & (n > 1), (1 - rate) * (self.var[row] + rate * gap * gap), self.var[row])
@@ -82,8 +82,12 @@ class Baselines:
         return self.high >= CUSUM_SHIFT
 
 
+def _within(x: np.ndarray, least: float, most: float) -> np.ndarray:
+    return np.minimum(np.maximum(x, least), most)
+
+
 def _squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 1 / (1 + np.exp(-_within(x, -30, 30)))
 
 
 class Nets:
@@ -117,7 +121,7 @@ class Nets:
 
     def excess(self, rmse: np.ndarray) -> np.ndarray:
         """0 up to the usual error, 1 from three times it; 0 while a net settles."""
-        return np.where(self.trained >= NET_WARM, np.clip((rmse / self.usual() - 1) / 2, 0, 1), 0.0)
+        return np.where(self.trained >= NET_WARM, _within((rmse / self.usual() - 1) / 2, 0, 1), 0.0)
 
     def frame(self, x: np.ndarray, here: np.ndarray, learn: bool = True) -> np.ndarray:
         """Errors of rebuilding the inputs (a row a net), judged before learning; nets that are not `here` give NaN."""
@@ -126,7 +130,7 @@ class Nets:
         self._widen(x, widen)
         span = self.most - self.least
         ok = np.isfinite(span) & (span > 1e-9)
-        scaled = np.where(self.real, np.clip((x - np.where(np.isfinite(self.least), self.least, 0.0)) / np.where(ok, span, 1.0), 0, 1), 0.0)
+        scaled = np.where(self.real, _within((x - np.where(np.isfinite(self.least), self.least, 0.0)) / np.where(ok, span, 1.0), 0, 1), 0.0)
         inner = np.where(self.deep, _squash(np.matmul(scaled[:, None, :], self.into)[:, 0] + self.into0), 0.0)
         outer = np.where(self.real, _squash(np.matmul(inner[:, None, :], self.back)[:, 0] + self.back0), 0.0)
         gap = outer - scaled
@@ -144,7 +148,7 @@ class Nets:
             self.into0 -= LEARNING * below
             self.trained = self.trained + go
             settled = go & (self.trained > SETTLE)
-            rate = np.clip(1 / np.maximum(self.trained - SETTLE, 1), 0.01, 0.2)
+            rate = _within(1 / np.maximum(self.trained - SETTLE, 1), 0.01, 0.2)
             off = np.where(settled, rmse - self.error, 0.0)
             self.error = self.error + rate * off
             self.spread = np.where(settled, (1 - rate) * (self.spread + rate * off * off), self.spread)
@@ -296,9 +300,10 @@ def _plain(x: np.ndarray) -> list:
 _ARROW = [pa.list_(pa.float64())] * 5 + [pa.float64(), pa.int32(), pa.list_(pa.struct([("feature", pa.string()), ("psi", pa.float64()), ("n_reference", pa.int32()), ("n_recent", pa.int32()), ("ready", pa.bool_()), ("drifted", pa.bool_())]))]
 
 
-def by_time(frames: DataFrame) -> DataFrame:
-    """A host's frames in one partition, in order of time."""
-    return frames.repartition("host_id").sortWithinPartitions("host_id", "ts")
+def by_host(frames: DataFrame) -> DataFrame:
+    """A host's frames in one partition. The number of partitions is given, since a frame costs far more than its bytes tell:
+    Spark would put small tables into one task."""
+    return frames.repartition(max(64, int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "host_id")
 
 
 def host_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, pa.RecordBatch]]:
@@ -312,8 +317,9 @@ def host_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, p
                 start = i
 
 
-def scan(frames: DataFrame, start: Callable[[], object], step: Callable[[object, pa.RecordBatch], list[pa.Array]], added: list[T.StructField]) -> DataFrame:
-    """`frames` with columns that depend on a host's earlier frames: `step` gets the host's state and its next frames."""
+def scan(frames: DataFrame, start: Callable[[], object], step: Callable[[object, pa.RecordBatch], list[pa.Array]], added: list[T.StructField], dealt: bool = False) -> DataFrame:
+    """`frames` with columns that depend on a host's earlier frames: `step` gets the host's state and its next frames.
+    `dealt`: a host's frames are in one partition already."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, state = object(), None
@@ -322,10 +328,10 @@ def scan(frames: DataFrame, start: Callable[[], object], step: Callable[[object,
                 at, state = host, start()
             yield pa.RecordBatch.from_arrays([*rows.columns, *step(state, rows)], [*rows.schema.names, *[f.name for f in added]])
 
-    return by_time(frames).mapInArrow(run, T.StructType([*frames.schema.fields, *added]))
+    return (frames if dealt else by_host(frames)).sortWithinPartitions("host_id", "ts").mapInArrow(run, T.StructType([*frames.schema.fields, *added]))
 
 
-def climb(frames: DataFrame, features: list[str], adapt: bool = True, stages: tuple[str, ...] = ("l1", "l2", "drift"), learn: str | None = None) -> DataFrame:
+def climb(frames: DataFrame, features: list[str], adapt: bool = True, stages: tuple[str, ...] = ("l1", "l2", "drift"), learn: str | None = None, dealt: bool = False) -> DataFrame:
     """`frames` with the columns of ADDED, from the double columns `features`; `learn` names a column that pauses learning where false."""
 
     def step(ladder: Ladder, rows: pa.RecordBatch) -> list[pa.Array]:
@@ -333,4 +339,4 @@ def climb(frames: DataFrame, features: list[str], adapt: bool = True, stages: tu
         lessons = None if learn is None else rows.column(learn).to_numpy(zero_copy_only=False)
         return [pa.array(v, t) for v, t in zip(ladder.frames(rows.column("ts").to_numpy(), x, lessons), _ARROW)]
 
-    return scan(frames, lambda: Ladder(features, adapt, stages), step, ADDED)
+    return scan(frames, lambda: Ladder(features, adapt, stages), step, ADDED, dealt)

@@ -91,7 +91,7 @@ def smooth_scores(scores: DataFrame) -> DataFrame:
 
 def forecast_scores(frames: DataFrame) -> DataFrame:
     """`frames` with risk_5m, risk_15m and health: the raw risks l3_5m and l3_15m smoothed, never under the rules' floor; a
-    blind frame publishes the floor. Health looks at the nearer risk."""
+    blind frame publishes the floor. Health looks at the nearer risk. A host's frames must be in one partition."""
 
     def step(state: tuple[S.Risk, S.Risk], rows: pa.RecordBatch) -> list[pa.Array]:
         near, far = state
@@ -101,7 +101,7 @@ def forecast_scores(frames: DataFrame) -> DataFrame:
             out.append((soon, later, near.step_health(l1, l2, soon, floor)))
         return [pa.array(c, pa.float64()) for c in zip(*out)]
 
-    return L.scan(frames, lambda: (S.Risk(), S.Risk()), step, [T.StructField(n, T.DoubleType()) for n in ("risk_5m", "risk_15m", "health")])
+    return L.scan(frames, lambda: (S.Risk(), S.Risk()), step, [T.StructField(n, T.DoubleType()) for n in ("risk_5m", "risk_15m", "health")], dealt=True)
 
 
 def greedy_cooldown(events: DataFrame, seconds: float, keys: list[str], escalates: bool = False) -> DataFrame:
@@ -409,9 +409,9 @@ def score_frames(samples: DataFrame, have: list[str], models: dict | None = None
     names = sorted({*have, *_NEEDED})
     samples = samples.select("host_id", "tick", "ts", *[(F.col(c) if c in have else F.lit(None)).cast("double").alias(c) for c in names])
     features = [f for f in names if f in MODELLED and f in have]
-    f = rolling(carry_forward(samples.repartition("host_id"), names), TRENDS)
+    f = rolling(carry_forward(L.by_host(samples), names), TRENDS)
     f = f.select("host_id", "tick", "ts", *names, *_ROLLED, F.expr(coverage_sql(names)["coverage"]).alias("coverage"))
-    f = L.climb(f, features)
+    f = L.climb(f, features, dealt=True)
     zeros = F.transform("l1", lambda c: F.coalesce(c, F.lit(0.0)))
     layer = lambda x: combine(F.array(*[F.coalesce(F.get("l1", F.lit(k)), F.lit(0.0)) for k, n in enumerate(features) if LAYER_OF[n] == x] or [F.lit(0.0)]))
     f = f.withColumns({"l1_anomaly": combine(zeros)} | {f"l1_{x}": layer(x) for x in LAYERS} | {f"l2_{x}": F.get("l2_score", F.lit(L.ORDER.index(x))) if x in L.ORDER else F.lit(0.0) for x in LAYERS})

@@ -227,16 +227,19 @@ def _score(n: int, ends: int, begun: np.ndarray, kinds: np.ndarray):
         count: dict[bytes, int] = {}
         for q, ws in _by_bucket({w for _, ws in rows for w in ws}, n).items():
             count.update(zip(ws, np.frombuffer(body[WORDS, q], "<i8").tolist(), strict=True))
-        gram, _ = _distinct_grams((False, ws) for _, ws in rows)
+        blocks = []  # of each: its distinct grams, which of them stands where, the last bytes, and where texts begin
+        for g, _, begin in _spellings((False, ws) for _, ws in rows):
+            some, which = np.unique(g, return_inverse=True)
+            blocks.append((some, which.astype(np.int32), (g & _U(255)).astype(np.uint8), begin))
+        gram = np.unique(np.concatenate([b[0] for b in blocks])) if blocks else np.zeros(0, _U)
         order, bucket = _gram_buckets(gram, n)
         p = np.empty(len(gram), np.float32)
         if len(gram):
             p[order] = np.concatenate([np.frombuffer(body[GRAMS, q], "<f4") for q, *_ in _runs(bucket)])
         out: list[tuple] = []
         todo = iter(rows)
-        for g, _, begin in _spellings((False, ws) for _, ws in rows):
-            steps = p[np.searchsorted(gram, g)].astype(np.float64)
-            byte = (g & _U(255)).astype(np.uint8)
+        for some, which, byte, begin in blocks:
+            steps = p[np.searchsorted(gram, some)].astype(np.float64)[which]
             stop = (byte == 32) | (byte == 10)  # the last byte of each token
             first = np.flatnonzero(np.concatenate(([True], stop[:-1])))
             end = byte[first] == 10
@@ -245,7 +248,11 @@ def _score(n: int, ends: int, begun: np.ndarray, kinds: np.ndarray):
             rest = np.add.reduceat(steps, first) - two
             cell = byte[first].astype(np.int64) << 8 | byte[second]
             docs_here = [next(todo) for _ in range(len(begin))]
-            c = np.fromiter((x for _, ws in docs_here for x in (*map(count.__getitem__, ws), ends)), np.float64, len(first))
+            counts: list[int] = []
+            for _, ws in docs_here:
+                counts += map(count.__getitem__, ws)
+                counts.append(ends)
+            c = np.array(counts, np.float64)
             with np.errstate(divide="ignore"):
                 share = begun[cell] / np.maximum(begun[cell] + kinds[cell], 1)
                 whole, spelling = np.log10(share * c / np.maximum(begun[cell], 1)), rest + np.log10(1 - share)

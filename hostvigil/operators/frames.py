@@ -27,7 +27,7 @@ def carry_forward(samples: DataFrame, features: list[str]) -> DataFrame:
     return samples.withColumns(out)
 
 
-def rolling(frames: DataFrame, features: list[str]) -> DataFrame:
+def rolling(frames: DataFrame, features: list[str], widths: tuple[tuple[str, int], ...] = (("1m", 60), ("5m", 300), ("15m", 900))) -> DataFrame:
     """<f>_{1m,5m,15m}_{mean,std}, _{5m,15m}_{slope,z} from the fresh values, while a carried value exists.
 
     One window operator per frame width: all features share it.
@@ -35,7 +35,7 @@ def rolling(frames: DataFrame, features: list[str]) -> DataFrame:
     out: dict[str, Column] = {}
     minute = (F.col("ts") - F.min("ts").over(Window.partitionBy("host_id"))) / 60.0
     frames = frames.withColumn("_minute", minute)
-    for name, seconds in (("1m", 60), ("5m", 300), ("15m", 900)):
+    for name, seconds in widths:
         w = Window.partitionBy("host_id").orderBy("ts").rangeBetween(-seconds, 0)
         for f in features:
             x, alive = F.col(f"fresh_{f}"), F.col(f).isNotNull()

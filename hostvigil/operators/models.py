@@ -409,7 +409,7 @@ def score_frames(samples: DataFrame, have: list[str], models: dict | None = None
     names = sorted({*have, *_NEEDED})
     samples = samples.select("host_id", "tick", "ts", *[(F.col(c) if c in have else F.lit(None)).cast("double").alias(c) for c in names])
     features = [f for f in names if f in MODELLED and f in have]
-    f = rolling(carry_forward(L.by_host(samples), names), TRENDS)
+    f = rolling(carry_forward(L.by_host(samples), names), TRENDS, (("5m", 300), ("15m", 900)))
     f = f.select("host_id", "tick", "ts", *names, *_ROLLED, F.expr(coverage_sql(names)["coverage"]).alias("coverage"))
     f = L.climb(f, features, dealt=True)
     zeros = F.transform("l1", lambda c: F.coalesce(c, F.lit(0.0)))

@@ -217,3 +217,38 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefix trie of the rebuilt conversations."""
     turns = materialize(numbered(read_table(spark, sf_dir, "conversations")))
     return trie(*rebuilt(turns))
+
+
+#: The same rows; CRC-32 is computed byte by byte with a table made of its polynomial.
+ORACLE = r"""
+WITH crc_table AS (
+  SELECT list(c ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+    FROM (SELECT unnest(range(256)) AS i))
+), turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) - 1 AS pos, role, text
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS donor, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1])), 4294967295::BIGINT) % 4 AS h
+  FROM (SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id), crc_table
+), rebuilt AS (
+  SELECT c.conv_id, t.pos, t.role, t.text FROM convs AS c JOIN turns AS t ON t.conv_id = c.donor AND t.pos < c.h
+  UNION ALL
+  SELECT c.conv_id, t.pos - c.h + least(c.h, coalesce(d.n, 0)), t.role, t.text FROM convs AS c JOIN turns AS t ON t.conv_id = c.conv_id AND t.pos >= c.h LEFT JOIN convs AS d ON d.conv_id = c.donor
+), seqs AS (
+  SELECT conv_id, coalesce(s, []) AS s FROM convs LEFT JOIN (SELECT conv_id, list({'role': role, 'text': text} ORDER BY pos) AS s FROM rebuilt GROUP BY conv_id) USING (conv_id)
+), prefixes AS (SELECT conv_id, d, s[1:d] AS p, d = len(s) AS is_end FROM (SELECT *, unnest(range(len(s) + 1)) AS d FROM seqs)
+), named AS (SELECT conv_id, d, is_end, min(conv_id) OVER w AS name, count(*) OVER w AS n, p[-1].text AS text FROM prefixes WINDOW w AS (PARTITION BY d, p)
+), nodes AS (
+  SELECT d, name, any_value(n) AS n, any_value(text) AS text, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE is_end), '') AS ends FROM named GROUP BY d, name
+), parents AS (SELECT x.d, x.name, p.name AS parent FROM nodes AS x JOIN named AS p ON p.conv_id = x.name AND p.d = x.d - 1
+), children AS (SELECT d - 1 AS d, parent AS name, count(*) AS n_children FROM parents GROUP BY 1, 2
+), own AS (
+  SELECT d, name, n_children IS NULL AS leaf, (n - 1) * CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS saved FROM nodes LEFT JOIN children USING (d, name)
+), sums AS (
+  SELECT a.d, a.name, count(*) FILTER (WHERE leaf) AS n_leaves, sum(saved) AS saved FROM own AS o JOIN named AS a ON a.conv_id = o.name AND a.d <= o.d GROUP BY 1, 2
+)
+SELECT name AS conv_id, d AS depth, parent AS parent_conv_id, n AS n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved::BIGINT AS saved_tokens, sha256(ends) AS ends_sha256
+FROM nodes LEFT JOIN parents USING (d, name) LEFT JOIN children USING (d, name) JOIN sums USING (d, name)
+"""

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hostvigil.catalogue import LAYER_OF, LAYERS, MODELLED, RULES, SEVERITIES, STALENESS
+from hostvigil.operators.ladder import scan
+from hostvigil.operators.trailing import Trailing
 from hostvigil.registry import query
 from hostvigil.sources.fixtures import fixture
 
@@ -28,29 +33,19 @@ def carry_forward(samples: DataFrame, features: list[str]) -> DataFrame:
 
 
 def rolling(frames: DataFrame, features: list[str], widths: tuple[tuple[str, int], ...] = (("1m", 60), ("5m", 300), ("15m", 900))) -> DataFrame:
-    """<f>_{1m,5m,15m}_{mean,std}, _{5m,15m}_{slope,z} from the fresh values, while a carried value exists.
+    """<f>_{1m,5m,15m}_{n,mean,std}, _{5m,15m}_{slope,z} from the fresh values, while a carried value exists.
 
-    One window operator per frame width: all features share it.
+    One scan of a host's frames in order of time (see `trailing`), whatever the number of features and widths.
     """
-    out: dict[str, Column] = {}
-    minute = (F.col("ts") - F.min("ts").over(Window.partitionBy("host_id"))) / 60.0
-    frames = frames.withColumn("_minute", minute)
-    for name, seconds in widths:
-        w = Window.partitionBy("host_id").orderBy("ts").rangeBetween(-seconds, 0)
-        for f in features:
-            x, alive = F.col(f"fresh_{f}"), F.col(f).isNotNull()
-            n, mean = F.count(x).over(w), F.avg(x).over(w)
-            std = F.coalesce(F.stddev_samp(x).over(w), F.lit(0.0))
-            out[f"{f}_{name}_n"] = F.when(alive, n)
-            out[f"{f}_{name}_mean"] = F.when(alive, mean)
-            out[f"{f}_{name}_std"] = F.when(alive & (n > 0), std)
-            if seconds > 60:
-                t = F.when(x.isNotNull(), F.col("_minute"))
-                var, cov = F.var_pop(t).over(w), F.covar_pop(x, F.col("_minute")).over(w)
-                out[f"{f}_{name}_slope"] = F.when(alive & (n > 0), F.when((n >= 3) & (var * n > 1e-9), cov / var).otherwise(0.0))
-                spread = F.greatest(std, F.lit(1e-6), F.abs(mean) * 0.02)
-                out[f"{f}_{name}_z"] = F.when(alive & (n > 0), F.when(n >= 4, (F.col(f) - mean) / spread).otherwise(0.0))
-    return frames.withColumns(out).drop("_minute")
+    names = [(f, f"{w}_{k}") for f in features for w, seconds in widths for k in ("n", "mean", "std", "slope", "z")[: 3 if seconds <= 60 else 5]]
+    place = {f: i for i, f in enumerate(features)}
+
+    def step(state: Trailing, rows: pa.RecordBatch) -> list[pa.Array]:
+        table = lambda prefix: np.stack([rows.column(f"{prefix}{f}").to_numpy(zero_copy_only=False).astype(float) for f in features], 1)
+        got = state.roll(rows.column("ts").to_numpy(), table("fresh_"), table(""))
+        return [pa.array(got[k][:, place[f]], pa.float64(), from_pandas=True) for f, k in names]
+
+    return scan(frames, lambda: Trailing([], len(features), widths), step, [T.StructField(f"{f}_{k}", T.DoubleType()) for f, k in names])
 
 
 # The ratios between layers, in SQL that both engines read.

@@ -3,20 +3,23 @@
 A host's frames are read once, in order of time, by a task that carries arrays of fixed size from frame to frame and
 from batch to batch, so no history is ever held; hosts run side by side. Every array has a column a feature (or a layer
 a net), so a frame costs a fixed number of array operations however many features there are. `Ladder.dump` and `load`
-carry the state over to a later slice of the frames or to a stream.
+carry the state over to a later slice of the frames or to a stream (see `saved`).
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from hostvigil.catalogue import BUNDLES, LAYER_OF, WORSE_UP
+from hostvigil.operators import saved
 
 # Rates and limits of the models.
 RATE_LEAST, RATE_MOST = 0.002, 0.05
@@ -281,15 +284,17 @@ class Ladder:
                 column.append(value)
         return out
 
+    def layout(self) -> str:
+        return saved.layout_of("ladder", self.features, self.stages)
+
     def dump(self) -> bytes:
-        return pickle.dumps(self)
+        return saved.save(self, self.layout())
 
     @staticmethod
-    def load(state: bytes, features: list[str]) -> Ladder:
+    def load(state: bytes, features: list[str], adapt: bool = True, stages: tuple[str, ...] = ("l1", "l2", "drift")) -> Ladder:
         """The saved ladder; one of other features is refused."""
-        found = pickle.loads(state)
-        if found.features != features:
-            raise ValueError("the saved state is of other features")
+        found = Ladder(features, adapt, stages)
+        saved.restore(found, found.layout(), state)
         return found
 
 
@@ -297,7 +302,7 @@ def _plain(x: np.ndarray) -> list:
     return [None if v != v else v for v in x.tolist()]
 
 
-_ARROW = [pa.list_(pa.float64())] * 5 + [pa.float64(), pa.int32(), pa.list_(pa.struct([("feature", pa.string()), ("psi", pa.float64()), ("n_reference", pa.int32()), ("n_recent", pa.int32()), ("ready", pa.bool_()), ("drifted", pa.bool_())]))]
+ARROW = [pa.list_(pa.float64())] * 5 + [pa.float64(), pa.int32(), pa.list_(pa.struct([("feature", pa.string()), ("psi", pa.float64()), ("n_reference", pa.int32()), ("n_recent", pa.int32()), ("ready", pa.bool_()), ("drifted", pa.bool_())]))]
 
 
 def by_host(frames: DataFrame) -> DataFrame:
@@ -317,18 +322,42 @@ def host_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, p
                 start = i
 
 
-def scan(frames: DataFrame, start: Callable[[], object], step: Callable[[object, pa.RecordBatch], list[pa.Array]], added: list[T.StructField], dealt: bool = False) -> DataFrame:
-    """`frames` with columns that depend on a host's earlier frames: `step` gets the host's state and its next frames.
-    `dealt`: a host's frames are in one partition already."""
+def scan(frames: DataFrame, start: Callable[[], object], step: Callable[[object, pa.RecordBatch], list[pa.Array]], added: list[T.StructField], dealt: bool = False, keep: list[str] | None = None, state: str | None = None) -> DataFrame:
+    """`frames` (or their columns `keep`) with columns that depend on a host's earlier frames: `step` gets the host's state
+    and its next frames. `dealt`: a host's frames are in one partition already.
+
+    `state` names a binary column for scans that go on from a saved state. A row without ts holds a host's state in it, which
+    `load` reads before the host's first frame; frames up to the last one that the state has `seen` are left out. What a host
+    leaves comes back as such a row, with the other columns of the row that came in.
+    """
+    out = T.StructType([*[f for f in frames.schema.fields if keep is None or f.name in keep], *added])
+    kept, types = [f.name for f in out.fields][: len(out.fields) - len(added)], [to_arrow_type(f.dataType) for f in out.fields]
+
+    def left(host: int, found: object, row: dict) -> pa.RecordBatch:
+        values = row | {"host_id": host, "ts": None, state: found.dump()}
+        return pa.RecordBatch.from_arrays([pa.array([values.get(n)], t) for n, t in zip(out.names, types)], out.names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, state = object(), None
+        at, found, row = object(), None, {}
         for host, rows in host_runs(batches):
-            if state is None or host != at:
-                at, state = host, start()
-            yield pa.RecordBatch.from_arrays([*rows.columns, *step(state, rows)], [*rows.schema.names, *[f.name for f in added]])
-
-    return (frames if dealt else by_host(frames)).sortWithinPartitions("host_id", "ts").mapInArrow(run, T.StructType([*frames.schema.fields, *added]))
+            if found is None or host != at:
+                if state and found is not None:
+                    yield left(at, found, row)
+                at, found, row = host, start(), {}
+            if state:
+                while len(rows) and rows.column("ts")[0].as_py() is None:
+                    row = {n: rows.column(n)[0].as_py() for n in kept}
+                    if row[state] is not None:
+                        found.load(row[state])
+                    rows = rows.slice(1)
+                if len(rows) and hasattr(found, "seen"):
+                    rows = rows.filter(pc.greater(rows.column("ts"), found.seen))
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in kept], *step(found, rows)], out.names)
+        if state and found is not None:
+            yield left(at, found, row)
+
+    return (frames if dealt else by_host(frames)).sortWithinPartitions("host_id", F.asc_nulls_first("ts")).mapInArrow(run, out)
 
 
 def climb(frames: DataFrame, features: list[str], adapt: bool = True, stages: tuple[str, ...] = ("l1", "l2", "drift"), learn: str | None = None, dealt: bool = False) -> DataFrame:
@@ -337,6 +366,6 @@ def climb(frames: DataFrame, features: list[str], adapt: bool = True, stages: tu
     def step(ladder: Ladder, rows: pa.RecordBatch) -> list[pa.Array]:
         x = np.stack([rows.column(f).to_numpy(zero_copy_only=False).astype(float) for f in features], 1)
         lessons = None if learn is None else rows.column(learn).to_numpy(zero_copy_only=False)
-        return [pa.array(v, t) for v, t in zip(ladder.frames(rows.column("ts").to_numpy(), x, lessons), _ARROW)]
+        return [pa.array(v, t) for v, t in zip(ladder.frames(rows.column("ts").to_numpy(), x, lessons), ARROW)]
 
     return scan(frames, lambda: Ladder(features, adapt, stages), step, ADDED, dealt)

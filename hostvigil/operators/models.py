@@ -6,6 +6,9 @@ state of fixed size, and no history is held. All else is column expressions and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,12 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hostvigil.catalogue import LAYER_OF, LAYERS, MODELLED, TRENDS
+from hostvigil.operators import hosts
 from hostvigil.operators import ladder as L
 from hostvigil.operators import state as S
-from hostvigil.operators.frames import DERIVED_SQL, FRAME_SQL, SPARSE, band_rank, carry_forward, coverage_sql, derive_cross_layer, frames_of, risk_floor, rolling, severity_name, with_rules, worst_hit
-from hostvigil.operators.incidents import BLIND_BELOW, alert_runs, cards, hysteresis
+from hostvigil.operators.frames import DERIVED_SQL, FRAME_SQL, SPARSE, band_rank, coverage_sql, derive_cross_layer, frames_of, limit_of, risk_floor, severity_name, with_rules, worst_hit
+from hostvigil.operators.incidents import BLIND_BELOW, cards
 from hostvigil.registry import query, sql_query
 from hostvigil.sources.fixtures import fixture
+from hostvigil.sources.scratch import materialize
 
 DENSE = ["gw_rtt_ms", "gw_jitter_ms", "gw_loss_rate", "dns_p50_ms", "dns_p95_ms", "dns_fail_rate", "https_ttfb_ms", "https_tcp_ms", "https_tls_ms", "https_total_ms", "https_fail_rate", "path_rtt_ms", "wifi_rssi_dbm", "wifi_tx_retry_rate", "wifi_link_mbps", "os_cpu_pct", "os_retrans_rate"]
 LEARNED = [f for f in DENSE if f in MODELLED]
@@ -394,38 +399,84 @@ def drift_adaptation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- all stages in order -----------------------------------------------------------------------------------------
 _NEEDED = sorted({*SPARSE, *TRENDS, "os_cpu_pct", "os_iface_type", "os_on_battery"})
-_ROLLED = [f"{f}_{x}" for f in TRENDS for x in ("5m_mean", "5m_slope", "5m_z", "15m_z")]
+_STATE = ["watched", "published"]
 
 
-def score_frames(samples: DataFrame, have: list[str], models: dict | None = None) -> DataFrame:
-    """Scores, severity, health, attribution, cards, incidents and drift of every frame of sparse samples.
+def samples_of(samples: DataFrame, have: list[str]) -> tuple[DataFrame, list[str], Callable[[], hosts.Watched]]:
+    """host_id, tick, ts and all names that the stages ask for; these names; a host's first state."""
+    names = sorted({*have, *_NEEDED})
+    features = [f for f in names if f in MODELLED and f in have]
+    rows = samples.select("host_id", "tick", "ts", *[(F.col(c) if c in have else F.lit(None)).cast("double").alias(c) for c in names])
+    return rows, names, lambda: hosts.Watched(names, features, TRENDS, [limit_of(f) for f in names])
 
-    Stages: carried and rolling values, rules, the learned stages with their adaptation to drift, forecast (`models` by
-    horizon, else the heuristic) and its smoothing, attribution, severity, card, incident. Two scans read each host in
-    order of time; the frames pass through them whole, so nothing is joined back.
-    """
+
+def judged(frames: DataFrame, names: list[str], features: list[str], models: dict | None) -> DataFrame:
+    """What a frame tells by itself: ratios, coverage, rules, anomalies of the layers, forecast, attribution."""
     from hostvigil.operators.forecast import predict
 
-    names = sorted({*have, *_NEEDED})
-    samples = samples.select("host_id", "tick", "ts", *[(F.col(c) if c in have else F.lit(None)).cast("double").alias(c) for c in names])
-    features = [f for f in names if f in MODELLED and f in have]
-    f = rolling(carry_forward(L.by_host(samples), names), TRENDS, (("5m", 300), ("15m", 900)))
-    f = f.select("host_id", "tick", "ts", *names, *_ROLLED, F.expr(coverage_sql(names)["coverage"]).alias("coverage"))
-    f = L.climb(f, features, dealt=True)
+    f = frames.withColumn("coverage", F.expr(coverage_sql(names)["coverage"]))
     zeros = F.transform("l1", lambda c: F.coalesce(c, F.lit(0.0)))
     layer = lambda x: combine(F.array(*[F.coalesce(F.get("l1", F.lit(k)), F.lit(0.0)) for k, n in enumerate(features) if LAYER_OF[n] == x] or [F.lit(0.0)]))
     f = f.withColumns({"l1_anomaly": combine(zeros)} | {f"l1_{x}": layer(x) for x in LAYERS} | {f"l2_{x}": F.get("l2_score", F.lit(L.ORDER.index(x))) if x in L.ORDER else F.lit(0.0) for x in LAYERS})
     f = with_rules(derive_cross_layer(f))
     f = f.withColumns({"risk_floor": risk_floor(F.col("hits")), "worst": F.coalesce(worst_hit(F.col("hits"))["rank"], F.lit(-1)), "rules": F.transform("hits", lambda h: h["rule"]), "drifted": F.transform(F.filter("drift", lambda d: d["drifted"]), lambda d: d["feature"])})
-    f = attribute(f.withColumns(predict(f, models or {})).drop("hits", "drift", "l1", "cusum_high", "l2_rmse", "l2_score", "l2_relative", "drift_frame"))
-    f = forecast_scores(f)
-    blind = F.col("coverage") < BLIND_BELOW
-    f = f.withColumns({"blind": blind, "rank": F.greatest(band_rank(F.col("risk_15m")), F.col("worst")), "warming_up": F.row_number().over(Window.partitionBy("host_id").orderBy("ts")) < 120})
-    shown = ~blind & F.col("primary_layer").isNotNull() & (F.col("rank") >= 1)
-    f = cards(f, "primary_layer")
-    f = hysteresis(alert_runs(f), shown)
+    return attribute(f.withColumns(predict(f, models or {})).drop("hits", "drift", "l1", "cusum_high", "l2_rmse", "l2_score", "l2_relative", "drift_frame"))
+
+
+def carded(frames: DataFrame) -> DataFrame:
+    """The result of scoring: severity, and the card of a frame that has something to tell."""
+    shown = (F.col("coverage") >= BLIND_BELOW) & F.col("primary_layer").isNotNull() & (F.col("rank") >= 1)
+    f = cards(frames, "primary_layer")
     card = [F.when(shown, F.col(c)).alias(c) for c in ("template_id", "summary", "remediation")]
-    return f.select("host_id", "tick", "ts", "health", "risk_5m", "risk_15m", severity_name(F.col("rank")).alias("severity"), "l1_anomaly", "l2_anomaly", "primary_layer", "secondary_layer", F.round("confidence", 3).alias("confidence"), "warming_up", "coverage", "rules", *card, "drifted", "opened", "closed", "incident")
+    layers = F.create_map(*[x for n in LAYERS for x in (F.lit(n), F.round(f"a_{n}", 6))]).alias("layer_scores")
+    kept = [F.col(c) for c in _STATE if c in frames.columns]
+    return f.select("host_id", "tick", "ts", "health", "risk_5m", "risk_15m", severity_name(F.col("rank")).alias("severity"), "l1_anomaly", "l2_anomaly", "primary_layer", "secondary_layer", F.round("confidence", 3).alias("confidence"), layers, "warming_up", "coverage", "rules", *card, "drifted", "opened", "closed", "incident", "rises", *kept)
+
+
+def _watch(state: hosts.Watched, rows: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
+    x = np.stack([rows.column(f"fresh_{c}").to_numpy(zero_copy_only=False).astype(float) for c in names], 1)
+    return state.step(rows.column("ts").to_numpy(), x)
+
+
+def _publish(state: hosts.Published, rows: pa.RecordBatch) -> list[pa.Array]:
+    return state.step([rows.column(c).to_pylist() for c in state.INPUT])
+
+
+def _scored(samples: DataFrame, have: list[str], models: dict | None, state: DataFrame | None = None) -> DataFrame:
+    rows, names, start = samples_of(samples, have)
+    features = start().features
+    rows = rows.withColumnsRenamed({c: f"fresh_{c}" for c in names})
+    watched, published = _STATE if state is not None else (None, None)
+    if state is not None:
+        rows = rows.unionByName(state.select("host_id", *_STATE), allowMissingColumns=True)
+    keep = ["host_id", "tick", "ts", *(_STATE if state is not None else [])]
+    f = L.scan(L.by_host(rows), start, lambda s, r: _watch(s, r, names), hosts.Watched.added(names, TRENDS), True, keep, watched)
+    f = judged(f, names, features, models).withColumn("known", F.col("primary_layer").isNotNull())
+    f = L.scan(f, hosts.Published, _publish, hosts.Published.ADDED, True, None, published)
+    return carded(f)
+
+
+def score_frames(samples: DataFrame, have: list[str], models: dict | None = None) -> DataFrame:
+    """Scores, severity, health, attribution, cards, incidents and drift of every frame of sparse samples.
+
+    Stages: carried and rolling values and the learned stages with their adaptation to drift (one scan), rules, forecast
+    (`models` by horizon, else the heuristic), attribution, then its smoothing, severity and incident (a second scan), card.
+    Both scans read each host in order of time; the frames pass through them whole, so nothing is joined back.
+    """
+    return _scored(samples, have, models)
+
+
+def score_slice(samples: DataFrame, have: list[str], state: DataFrame | None = None, models: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """`score_frames` for the next samples of some hosts, and the hosts' states after them (host_id, watched, published).
+
+    `state` is what an earlier call gave back; a host that isn't in it starts anew, one without samples keeps its state, and
+    samples up to the last one that a host's state has seen are left out. So new samples cost no replay of old ones, and a
+    long history can be scored slice by slice: the rows are those of one run. A state of other names or features is refused.
+    """
+    spark = samples.sparkSession
+    known = state if state is not None else spark.createDataFrame([], "host_id long, watched binary, published binary")
+    out = materialize(_scored(samples, have, models, known))
+    return out.filter("ts IS NOT NULL").drop(*_STATE), out.filter("ts IS NULL").select("host_id", *_STATE)
 
 
 @query(name="score_frames")

@@ -3,4 +3,4 @@
 from hostvigil.operators import forecast, frames, incidents, models  # noqa: F401
 from hostvigil.plans import evaluation, probes, tables  # noqa: F401
 from hostvigil.sources import samples  # noqa: F401
-from hostvigil.streaming import streams  # noqa: F401
+from hostvigil.streaming import scoring, streams  # noqa: F401

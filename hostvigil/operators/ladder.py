@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from hostvigil.catalogue import BUNDLES, LAYER_OF, WORSE_UP
 from hostvigil.operators import saved
+from hostvigil.operators.trailing import Trailing
 
 # Rates and limits of the models.
 RATE_LEAST, RATE_MOST = 0.002, 0.05
@@ -168,13 +169,17 @@ def psi(reference: np.ndarray, recent: np.ndarray) -> float:
     """Population stability index over the reference's decile edges."""
     if len(reference) < 2 or len(recent) < 2:
         return 0.0
-    edges = np.unique(np.quantile(reference, np.arange(1, 10) / 10))
+    ordered = np.sort(reference)
+    place = np.arange(1, 10) * (len(ordered) - 1) / 10
+    low = np.floor(place).astype(int)
+    part = place - low
+    edges = np.unique(ordered[low] * (1 - part) + ordered[np.minimum(low + 1, len(ordered) - 1)] * part)
     shares = [np.maximum(np.bincount(np.searchsorted(edges, v), minlength=len(edges) + 1) / len(v), 1e-4) for v in (reference, recent)]
     return float(np.sum((shares[1] - shares[0]) * np.log(shares[1] / shares[0])))
 
 
 class Rings:
-    """The last `size` values of each feature, in no order; a column a feature."""
+    """The last `size` values of each feature; a column a feature."""
 
     def __init__(self, size: int, k: int):
         self.values, self.count, self.at = np.zeros((size, k)), np.zeros(k, np.int64), np.zeros(k, np.int64)
@@ -191,7 +196,9 @@ class Rings:
         return out, fell
 
     def of(self, k: int) -> np.ndarray:
-        return self.values[: self.count[k], k]
+        """Oldest first."""
+        full = self.count[k] == len(self.values)
+        return np.roll(self.values[:, k], -self.at[k]) if full else self.values[: self.count[k], k]
 
     def take(self, k: int, values: np.ndarray) -> None:
         self.values[: len(values), k] = values
@@ -360,12 +367,15 @@ def scan(frames: DataFrame, start: Callable[[], object], step: Callable[[object,
     return (frames if dealt else by_host(frames)).sortWithinPartitions("host_id", F.asc_nulls_first("ts")).mapInArrow(run, out)
 
 
-def climb(frames: DataFrame, features: list[str], adapt: bool = True, stages: tuple[str, ...] = ("l1", "l2", "drift"), learn: str | None = None, dealt: bool = False) -> DataFrame:
-    """`frames` with the columns of ADDED, from the double columns `features`; `learn` names a column that pauses learning where false."""
+def climb(frames: DataFrame, features: list[str], adapt: bool = True, stages: tuple[str, ...] = ("l1", "l2", "drift"), learn: str | None = None, dealt: bool = False, limits: list[float] | None = None) -> DataFrame:
+    """`frames` with the columns of ADDED, from the double columns `features`; `learn` names a column that pauses learning
+    where false. With `limits` the stages see each feature's last value while it is no older than its limit."""
 
-    def step(ladder: Ladder, rows: pa.RecordBatch) -> list[pa.Array]:
+    def step(state: tuple[Trailing, Ladder], rows: pa.RecordBatch) -> list[pa.Array]:
+        trailing, ladder = state
         x = np.stack([rows.column(f).to_numpy(zero_copy_only=False).astype(float) for f in features], 1)
+        x = x if limits is None else trailing.carry(rows.column("ts").to_numpy(), x)
         lessons = None if learn is None else rows.column(learn).to_numpy(zero_copy_only=False)
         return [pa.array(v, t) for v, t in zip(ladder.frames(rows.column("ts").to_numpy(), x, lessons), ARROW)]
 
-    return scan(frames, lambda: Ladder(features, adapt, stages), step, ADDED, dealt)
+    return scan(frames, lambda: (Trailing(limits or [], 0, ()), Ladder(features, adapt, stages)), step, ADDED, dealt)

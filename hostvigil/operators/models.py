@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hostvigil.catalogue import LAYER_OF, LAYERS, MODELLED, TRENDS
+from hostvigil.catalogue import LAYER_OF, LAYERS, MODELLED, TRENDS, WORSE_UP
 from hostvigil.operators import hosts
 from hostvigil.operators import ladder as L
 from hostvigil.operators import state as S
-from hostvigil.operators.frames import DERIVED_SQL, FRAME_SQL, SPARSE, band_rank, coverage_sql, derive_cross_layer, frames_of, limit_of, risk_floor, severity_name, with_rules, worst_hit
+from hostvigil.operators.frames import DERIVED_SQL, FRAME_SQL, OFF_TIES, SPARSE, band_rank, coverage_sql, derive_cross_layer, frames_of, limit_of, risk_floor, severity_name, with_rules, worst_hit
 from hostvigil.operators.incidents import BLIND_BELOW, cards
 from hostvigil.registry import query, sql_query
 from hostvigil.sources.fixtures import fixture
@@ -358,12 +358,61 @@ def attribute_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- the learned stages ---------------------------------------------------------------------------------------------
 def _climbed(spark: SparkSession, sf_dir: str, stages: tuple[str, ...], adapt: bool = False) -> DataFrame:
-    return L.climb(learned_frames(fixture(spark, sf_dir, "samples_dense")), LEARNED, adapt, stages)
-
-
-@query()
+    """The learned stages over the carried values of the dense view."""
+    return L.climb(learned_frames(fixture(spark, sf_dir, "samples_dense")), LEARNED, adapt, stages, limits=[limit_of(f) for f in LEARNED])
+
+
+def _lanes_sql() -> str:
+    """A row a frame and feature of the dense view, with the carried value: what the recursions below step through."""
+    each = " UNION ALL ".join(
+        f"SELECT host_id, tick, ts, '{f}' AS feature, {1 if WORSE_UP[f] else -1} AS sign, CASE WHEN ts - last_value(CASE WHEN {f} IS NOT NULL THEN ts END IGNORE NULLS) OVER w <= {limit_of(f)} THEN CAST(last_value({f} IGNORE NULLS) OVER w AS DOUBLE) END AS x, CAST(floor(ts / 3600) AS BIGINT) % 24 + 1 AS h, row_number() OVER w AS i FROM samples_dense WINDOW w AS (PARTITION BY host_id ORDER BY ts)"
+        for f in LEARNED
+    )
+    return f"({each})"
+
+
+def _l1_oracle() -> str:
+    """The recursion of a feature's baseline: 24 hours (lists hn, hm, hv) and all hours (n, mu, v)."""
+    zeros = "list_transform(range(24), lambda k: CAST(0 AS DOUBLE))"
+    put = lambda table, value: f"list_transform(range(24), lambda k: CASE WHEN k + 1 = h THEN {value} ELSE {table}[k + 1] END)"
+    rate = lambda n: f"CASE WHEN {n} > 1 THEN least(0.05, greatest(0.002, 1 / {n})) ELSE 1 END"
+    moved = lambda n, m, v: (f"{n} + 1", f"{m} + ({rate(f'({n} + 1)')}) * (x - {m})", f"CASE WHEN {n} + 1 > 1 THEN (1 - ({rate(f'({n} + 1)')})) * ({v} + ({rate(f'({n} + 1)')}) * (x - {m}) * (x - {m})) ELSE {v} END")
+    hour, every = moved("nh", "mh", "vh"), moved("n", "mu", "v")
+    take = lambda new, old: f"CASE WHEN take THEN {new} ELSE {old} END"
+    return f"""SELECT host_id, tick, ts, feature, round(smooth + {OFF_TIES}, 6) AS contribution, round(high + {OFF_TIES}, 6) AS cusum_high, CAST(high >= 4.5 AS INT) AS shifted FROM (
+    WITH RECURSIVE r AS MATERIALIZED (SELECT * FROM {_lanes_sql()}),
+    m AS (SELECT DISTINCT host_id, feature, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS tick, CAST(0 AS DOUBLE) AS ts, {zeros} AS hn, {zeros} AS hm, {zeros} AS hv, CAST(0 AS DOUBLE) AS n, CAST(0 AS DOUBLE) AS mu, CAST(0 AS DOUBLE) AS v, CAST(0 AS DOUBLE) AS smooth, CAST(0 AS DOUBLE) AS high, CAST(0 AS DOUBLE) AS low, CAST(0 AS DOUBLE) AS frozen FROM r
+    UNION ALL SELECT host_id, feature, i, tick, ts, {take(put('hn', hour[0]), 'hn')}, {take(put('hm', hour[1]), 'hm')}, {take(put('hv', hour[2]), 'hv')}, {take(every[0], 'n')}, {take(every[1], 'mu')}, {take(every[2], 'v')}, smooth + 0.3 * (now - smooth), least(6, greatest(0, high + z - 0.5)), least(6, greatest(0, low - z - 0.5)), CASE WHEN take THEN 0 ELSE frozen + 1 END
+    FROM (SELECT *, NOT (n >= 30 AND frozen < 240 AND now >= 1.5) AS take FROM (SELECT *, least(12, greatest(0, z - 1.5)) AS now FROM (
+      SELECT *, CASE WHEN CASE WHEN nh >= 12 THEN nh ELSE n END < 4 THEN 0 WHEN nh >= 12 THEN sign * (x - mh) / greatest(sqrt(vh), greatest(0.25 * abs(mh), 1e-6)) ELSE sign * (x - mu) / (2.5 * greatest(sqrt(v), greatest(0.25 * abs(mu), 1e-6))) END AS z FROM (
+        SELECT r.*, m.hn, m.hm, m.hv, m.hn[r.h] AS nh, m.hm[r.h] AS mh, m.hv[r.h] AS vh, m.n, m.mu, m.v, m.smooth, m.high, m.low, m.frozen FROM m JOIN r ON r.host_id = m.host_id AND r.feature = m.feature AND r.i = m.i + 1)))))
+    SELECT * FROM m WHERE i > 0)"""
+
+
+#: A drift check of every feature on every 60th frame; after a drift at value r the reference is the recent values, followed
+#: by what falls out of them once more.
+_CHECKS = f"""(WITH RECURSIVE r AS MATERIALIZED (SELECT * FROM {_lanes_sql()}),
+  xs AS MATERIALIZED (SELECT host_id, feature, list(x ORDER BY i) FILTER (x IS NOT NULL) AS xs FROM r GROUP BY 1, 2),
+  c AS MATERIALIZED (SELECT * FROM (SELECT host_id, feature, ts, i, count(x) OVER (PARTITION BY host_id, feature ORDER BY i) AS k FROM r) WHERE i % {L.DRIFT_EVERY} = 0),
+  m AS (SELECT host_id, feature, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS ts, CAST(0 AS DOUBLE) AS last, CAST(0 AS BIGINT) AS reset_at, CAST(0 AS DOUBLE) AS psi, CAST(0 AS BIGINT) AS n_reference, CAST(0 AS BIGINT) AS n_recent, false AS drifted FROM xs
+  UNION ALL SELECT host_id, feature, i, ts, CASE WHEN drifted THEN ts ELSE last END, CASE WHEN drifted THEN k ELSE reset_at END, now, CASE WHEN drifted THEN n_recent ELSE n_reference END, n_recent, drifted
+  FROM (SELECT *, due AND now >= {L.DRIFT_PSI} AS drifted FROM (SELECT *, CASE WHEN due THEN list_sum(list_transform(range(len(edges) + 1), lambda j: (q(recent, edges, j) - q(reference, edges, j)) * ln(q(recent, edges, j) / q(reference, edges, j)))) ELSE psi END AS now FROM (
+    SELECT *, CASE WHEN due THEN list_sort(list_distinct(list_transform(range(1, 10), lambda e: o[CAST(floor(e * (n_reference - 1) / 10) AS BIGINT) + 1] * (1 - (e * (n_reference - 1) / 10 - floor(e * (n_reference - 1) / 10))) + o[least(CAST(floor(e * (n_reference - 1) / 10) AS BIGINT) + 2, n_reference)] * (e * (n_reference - 1) / 10 - floor(e * (n_reference - 1) / 10))))) END AS edges FROM (
+      SELECT *, list_sort(reference) AS o, n_reference >= {L.DRIFT_MIN} AND n_recent >= {L.DRIFT_MIN} AND ts - last >= {L.DRIFT_COOLDOWN} AS due FROM (SELECT *, len(reference) AS n_reference, len(recent) AS n_recent FROM (
+        SELECT c.*, m.last, m.reset_at, m.psi, xs[greatest(1, k - {L.RECENT_SIZE - 1}) : k] AS recent,
+          CASE WHEN k <= {L.RECENT_SIZE} AND m.reset_at = 0 THEN [] WHEN m.reset_at = 0 THEN xs[greatest(1, k - {L.RECENT_SIZE + L.REFERENCE_SIZE - 1}) : k - {L.RECENT_SIZE}]
+          ELSE list_concat(xs[greatest(1, m.reset_at - {L.RECENT_SIZE - 1}) : m.reset_at], CASE WHEN k > {L.RECENT_SIZE} THEN xs[greatest(1, m.reset_at - {L.RECENT_SIZE - 1}) : k - {L.RECENT_SIZE}] ELSE [] END)[-{L.REFERENCE_SIZE}:] END AS reference
+        FROM m JOIN c ON c.host_id = m.host_id AND c.feature = m.feature AND c.i = m.i + {L.DRIFT_EVERY} JOIN xs ON xs.host_id = c.host_id AND xs.feature = c.feature)))))))
+  SELECT *, n_reference >= {L.DRIFT_MIN} AND n_recent >= {L.DRIFT_MIN} AS ready FROM m WHERE i > 0)"""
+for _list in ("recent", "reference"):  # the share of a list's values between two edges
+    _CHECKS = _CHECKS.replace(f"q({_list}, edges, j)", f"greatest(len(list_filter({_list}, lambda y: (j = 0 OR y > edges[j]) AND (j = len(edges) OR y <= edges[j + 1]))) / len({_list}), 1e-4)")
+_DRIFT_ROWS = f"""(SELECT host_id, feature, ts, CAST(i AS INT) AS frame, round(psi + {OFF_TIES}, 6) AS psi, CAST(n_reference AS INT) AS n_reference, CAST(n_recent AS INT) AS n_recent, ready, drifted, CASE WHEN drifted THEN CASE WHEN psi >= {2 * L.DRIFT_PSI} THEN 'significant' ELSE 'moderate' END END AS severity, CASE WHEN drifted THEN 'relearn_baseline' END AS action FROM {_CHECKS})"""
+
+
+@query(_l1_oracle(), "samples_dense")
 def l1_observe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return l1_rows(_climbed(spark, sf_dir, ("l1",)))
+    rows = l1_rows(_climbed(spark, sf_dir, ("l1",)))
+    return rows.select("host_id", "tick", "ts", "feature", *[F.round(F.col(c) + OFF_TIES, 6).alias(c) for c in ("contribution", "cusum_high")], "shifted")
 
 
 @query()
@@ -377,17 +426,23 @@ def l2_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _climbed(spark, sf_dir, ("l2",)).select("host_id", "tick", "ts", "l2_anomaly", *[F.get("l2_score", F.lit(k)).alias(f"l2_{x}") for k, x in enumerate(L.ORDER)])
 
 
-@query(name="drift_monitor")
+@query(f"SELECT * FROM {_DRIFT_ROWS}", "samples_dense", name="drift_monitor")
 def dense_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every check of every feature of the dense view."""
-    return drift_rows(_climbed(spark, sf_dir, ("drift",)))
+    return drift_rows(_climbed(spark, sf_dir, ("drift",))).withColumn("psi", F.round(F.col("psi") + OFF_TIES, 6))
 
 
-@query()
+@query(f"SELECT * FROM (SELECT host_id, feature, arg_max(psi, frame) AS psi, arg_max(n_reference, frame) AS n_reference, arg_max(n_recent, frame) AS n_recent, arg_max(ready, frame) AS ready, count(*) FILTER (WHERE drifted) AS events FROM {_DRIFT_ROWS} GROUP BY 1, 2) WHERE psi > 1e-6 OR ready", "samples_dense")
 def drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last state of each (host, feature) that is ready or has been measured."""
-    last = drift_rows(_climbed(spark, sf_dir, ("drift",))).groupBy("host_id", "feature").agg(*[F.max_by(c, "frame").alias(c) for c in ("psi", "n_reference", "n_recent", "ready")], F.count_if("drifted").alias("events"))
-    return last.filter("psi > 0 OR ready")
+    last = dense_drift(spark, sf_dir).groupBy("host_id", "feature").agg(*[F.max_by(c, "frame").alias(c) for c in ("psi", "n_reference", "n_recent", "ready")], F.count_if("drifted").alias("events"))
+    return last.filter("psi > 1e-6 OR ready")
+
+
+@query(f"SELECT host_id, ts, feature, psi, action FROM {_DRIFT_ROWS} ORDER BY ts DESC, host_id, feature LIMIT 50", "samples_dense")
+def recent_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest drift checks: ts, feature, PSI and, where a feature drifted, what follows."""
+    return dense_drift(spark, sf_dir).select("host_id", "ts", "feature", "psi", "action").orderBy(F.desc("ts"), "host_id", "feature").limit(50)
 
 
 @query()

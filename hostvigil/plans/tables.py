@@ -189,14 +189,6 @@ sql_query(
 )
 sql_query("latest_score", "SELECT host_id, ts, round(risk_raw, 6) AS risk_raw, primary_layer FROM (SELECT *, row_number() OVER (PARTITION BY host_id ORDER BY ts DESC) AS n FROM <score_series>) WHERE n = 1", "score_series")
 sql_query("recent_probes", "SELECT probe_id, host_id, collector, round(duration_ms, 6) AS duration_ms FROM <probe_log> ORDER BY ts DESC, probe_id LIMIT 50", "probe_log")
-@query()
-def recent_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest drift checks: ts, feature, PSI and, where a feature drifted, what follows."""
-    from hostvigil.operators.models import dense_drift
-
-    return dense_drift(spark, sf_dir).select("host_id", "ts", "feature", "psi", "action").orderBy(F.desc("ts"), "host_id", "feature").limit(50)
-
-
 sql_query("recent_labels", "SELECT host_id, window_id, start_ts, end_ts FROM <bad_windows> ORDER BY end_ts DESC, host_id LIMIT 30", "bad_windows")
 sql_query(
     "corpus_union",

@@ -140,6 +140,30 @@ TEXTS = {
     "os.resource_pressure": "Processor at {cpu}%.",
     "os.generic": "The host itself changed (layer {layer}, risk {risk}%): processor {cpu}%, {retrans}% resent.",
 }
+#: Our own wording: the headline of each template.
+TITLES = {
+    "wifi.signal_floor": "Weak radio signal",
+    "wifi.interference": "Busy radio channel",
+    "wifi.crowded_24": "Crowded 2.4 GHz band",
+    "wifi.roaming": "Access point changed",
+    "wifi.rate_collapse": "Slow radio link",
+    "wifi.generic": "Radio trouble",
+    "dns.captive_portal": "Sign-in page in the way",
+    "dns.failing": "Lookups fail",
+    "dns.slow": "Lookups are slow",
+    "gateway.unreachable": "Router silent",
+    "gateway.loss": "Packets lost at the router",
+    "gateway.congestion": "Router under load",
+    "path.reroute": "Longer route",
+    "path.isp_congestion": "Provider network slow",
+    "remote.unreachable": "Services out of reach",
+    "remote.tls_slow": "Slow handshakes",
+    "remote.service_slow": "Slow services",
+    "vpn.overload": "Tunnel overloaded",
+    "os.retransmissions": "Many resent segments",
+    "os.resource_pressure": "Host short of processor time",
+    "os.generic": "Trouble on the host",
+}
 # Remediation ids in order; the texts are our own.
 REMEDIATIONS = {
     "move_closer": "Go nearer to the access point.",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from hostvigil.catalogue import LAYERS, REMEDIATIONS, SEVERITIES, TEMPLATES, TEXTS
+from hostvigil.catalogue import FEATURES, LAYER_OF, LAYERS, REMEDIATIONS, SEVERITIES, TEMPLATES, TEXTS, TITLES
 from hostvigil.operators.frames import FRAME_SQL, SPARSE, band_rank, derive_cross_layer, frames_of, severity_name
 from hostvigil.operators.intervals import interval_join
 from hostvigil.registry import query, sql_query
@@ -93,11 +93,6 @@ def incident_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("host_id", "ts", F.col("opened").cast("int").alias("opened"), F.col("closed").cast("int").alias("closed"), "incident")
 
 
-@query(f"SELECT host_id, CAST(incident AS BIGINT) AS incident, started_at, ended_at, round(peak_risk, 6) AS peak_risk, ['info', 'watch', 'risk', 'critical'][rank + 1] AS severity, primary_layer FROM {_INCIDENTS_SQL}", "score_series")
-def incident_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incidents_of(spark, sf_dir).select("host_id", "incident", "started_at", "ended_at", F.round("peak_risk", 6).alias("peak_risk"), severity_name(F.col("rank")).alias("severity"), "primary_layer")
-
-
 @query(f"SELECT host_id, CAST(incident AS BIGINT) AS incident, started_at, ended_at FROM {_INCIDENTS_SQL} WHERE started_at >= 1704070000 OR ended_at IS NULL ORDER BY started_at DESC, host_id LIMIT 40", "score_series")
 def recent_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incidents_of(spark, sf_dir).filter("started_at >= 1704070000 OR ended_at IS NULL").orderBy(F.desc("started_at"), "host_id").limit(40).select("host_id", "incident", "started_at", "ended_at")
@@ -231,7 +226,46 @@ def cards(frames: DataFrame, layer: str) -> DataFrame:
     if layer != "layer":
         frames = frames.withColumn("layer", F.col(layer))
     f = derive_cross_layer(frames).withColumn("template_id", F.expr(template_sql("layer")))
-    return f.withColumn("summary", F.expr(render_sql("template_id"))).withColumn("remediation", F.expr(remediations_sql("template_id")))
+    by_template = lambda texts: F.element_at(F.create_map(*[F.lit(x) for kv in texts.items() for x in kv]), F.col("template_id"))
+    advice = {t[0]: " ".join(REMEDIATIONS[r] for r in t[4][:3]) for t in TEMPLATES}
+    return f.withColumn("summary", F.expr(render_sql("template_id"))).withColumns({"title": by_template(TITLES), "remediation": by_template(advice)})
+
+
+#: What a card shows of a rule or a feature.
+EVIDENCE = "array<struct<name string, value double, unit string, comparison string>>"
+
+
+def evidence(layer: Column, hits: Column, features: list[str], contributions: Column) -> Column:
+    """The layer's rules, then its features by contribution until there are four, but one feature at least if any is off.
+
+    `contributions` is an array in the order of `features`; the features' values are columns of these names."""
+    rules = F.transform(F.filter(hits, lambda h: h["layer"] == layer), lambda h: F.struct(h["rule"].alias("name"), h["floor"].alias("value"), F.lit("risk").alias("unit"), h["severity"].alias("comparison")))
+    unit = {f[0]: f[2] for f in FEATURES}
+    each = [F.struct((-F.get(contributions, F.lit(k))).alias("c"), F.lit(f).alias("name"), F.round(F.coalesce(F.col(f).cast("double"), F.lit(0.0)), 3).alias("value"), F.lit(unit[f]).alias("unit"), F.lit(LAYER_OF[f]).alias("layer")) for k, f in enumerate(features)]
+    mine = F.array_sort(F.filter(F.array(*each), lambda x: (x["c"] < 0) & (x["layer"] == layer)))
+    shown = F.transform(mine, lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"), x["unit"].alias("unit"), F.concat(F.format_number(-x["c"], 1), F.lit(" over the usual range")).alias("comparison")))
+    return F.concat(rules, F.slice(shown, F.lit(1), F.greatest(F.lit(1), 4 - F.size(rules)))).cast(EVIDENCE)
+
+
+#: What an incident tells as of its last escalation that had a card, and as of its opening.
+TOLD = ["primary_layer", "template_id", "title", "summary", "evidence", "remediation"]
+OPENED_WITH = ["secondary_layer", "confidence"]
+
+
+def incident_table(frames: DataFrame) -> DataFrame:
+    """A row an incident from frames with host_id, ts, incident, opened, closed, rises (a more severe frame with a card),
+    blind, rank, risk and the columns of a card. Frames that measure next to nothing don't count."""
+    some = [c for c in TOLD if c in frames.columns]
+    first = [c for c in OPENED_WITH if c in frames.columns]
+    out = frames.filter("incident IS NOT NULL AND NOT blind").groupBy("host_id", "incident").agg(
+        F.min("ts").alias("started_at"),
+        F.max(F.when(F.col("closed"), F.col("ts"))).alias("ended_at"),
+        F.max("risk").alias("peak_risk"),
+        F.max("rank").alias("rank"),
+        F.max_by(F.struct(*some), F.when(F.col("rises"), F.col("ts"))).alias("_card"),
+        *([F.max_by(F.struct(*first), F.when(F.col("opened"), F.col("ts"))).alias("_first")] if first else []),
+    )
+    return out.select("host_id", "incident", "started_at", "ended_at", "peak_risk", severity_name(F.col("rank")).alias("severity"), *[F.col(f"_card.{c}").alias(c) for c in some], *[F.col(f"_first.{c}").alias(c) for c in first])
 
 
 _LAYER = "CASE WHEN wifi_rssi_dbm <= -75 THEN 'wifi' WHEN dns_fail_rate >= 0.5 THEN 'dns' WHEN gw_loss_rate >= 0.5 THEN 'gateway' WHEN https_ttfb_ms >= 300 THEN 'remote_https' WHEN path_rtt_ms >= 150 THEN 'path' ELSE 'os' END"
@@ -250,8 +284,7 @@ def _card_query(name: str, columns: list[str]) -> None:
 _card_query("template_select", ["layer", "template_id"])
 _card_query("template_render", ["summary"])
 _card_query("remediation_lookup", ["template_id", "remediation"])
-_card_query("incident_cards", ["template_id", "summary", "remediation"])
-assert set(TEXTS) == {t[0] for t in TEMPLATES} and len(SEVERITIES) == 4 and SPARSE
+assert set(TEXTS) == set(TITLES) == {t[0] for t in TEMPLATES} and len(SEVERITIES) == 4 and SPARSE
 
 
 @query(f"SELECT host_id, CAST(incident AS BIGINT) AS incident, started_at FROM {_INCIDENTS_SQL} WHERE ended_at IS NULL", "score_series")

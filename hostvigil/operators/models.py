@@ -15,12 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hostvigil.catalogue import LAYER_OF, LAYERS, MODELLED, TRENDS, WORSE_UP
+from hostvigil.catalogue import LAYER_OF, LAYERS, MODELLED, SEVERITIES, TRENDS, WORSE_UP
 from hostvigil.operators import hosts
 from hostvigil.operators import ladder as L
 from hostvigil.operators import state as S
 from hostvigil.operators.frames import DERIVED_SQL, FRAME_SQL, OFF_TIES, SPARSE, band_rank, coverage_sql, derive_cross_layer, frames_of, limit_of, risk_floor, severity_name, with_rules, worst_hit
-from hostvigil.operators.incidents import BLIND_BELOW, cards
+from hostvigil.operators.incidents import BLIND_BELOW, cards, evidence, incident_table
 from hostvigil.registry import query, sql_query
 from hostvigil.sources.fixtures import fixture
 from hostvigil.sources.scratch import materialize
@@ -475,14 +475,16 @@ def judged(frames: DataFrame, names: list[str], features: list[str], models: dic
     f = f.withColumns({"l1_anomaly": combine(zeros)} | {f"l1_{x}": layer(x) for x in LAYERS} | {f"l2_{x}": F.get("l2_score", F.lit(L.ORDER.index(x))) if x in L.ORDER else F.lit(0.0) for x in LAYERS})
     f = with_rules(derive_cross_layer(f))
     f = f.withColumns({"risk_floor": risk_floor(F.col("hits")), "worst": F.coalesce(worst_hit(F.col("hits"))["rank"], F.lit(-1)), "rules": F.transform("hits", lambda h: h["rule"]), "drifted": F.transform(F.filter("drift", lambda d: d["drifted"]), lambda d: d["feature"])})
-    return attribute(f.withColumns(predict(f, models or {})).drop("hits", "drift", "l1", "cusum_high", "l2_rmse", "l2_score", "l2_relative", "drift_frame"))
+    f = attribute(f.withColumns(predict(f, models or {})))
+    f = f.withColumn("evidence", evidence(F.col("primary_layer"), F.col("hits"), features, zeros))
+    return f.drop("hits", "drift", "l1", "cusum_high", "l2_rmse", "l2_score", "l2_relative", "drift_frame")
 
 
 def carded(frames: DataFrame) -> DataFrame:
     """The result of scoring: severity, and the card of a frame that has something to tell."""
     shown = (F.col("coverage") >= BLIND_BELOW) & F.col("primary_layer").isNotNull() & (F.col("rank") >= 1)
     f = cards(frames, "primary_layer")
-    card = [F.when(shown, F.col(c)).alias(c) for c in ("template_id", "summary", "remediation")]
+    card = [F.when(shown, F.col(c)).alias(c) for c in ("template_id", "title", "summary", "evidence", "remediation")]
     layers = F.create_map(*[x for n in LAYERS for x in (F.lit(n), F.round(f"a_{n}", 6))]).alias("layer_scores")
     kept = [F.col(c) for c in _STATE if c in frames.columns]
     return f.select("host_id", "tick", "ts", "health", "risk_5m", "risk_15m", severity_name(F.col("rank")).alias("severity"), "l1_anomaly", "l2_anomaly", "primary_layer", "secondary_layer", F.round("confidence", 3).alias("confidence"), layers, "warming_up", "coverage", "rules", *card, "drifted", "opened", "closed", "incident", "rises", *kept)
@@ -539,6 +541,13 @@ def _score_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_frames(fixture(spark, sf_dir, "samples_dense"), DENSE)
 
 
+@query()
+def scored_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The incidents of score_frames, each with its card as of the last escalation."""
+    scores = score_frames(fixture(spark, sf_dir, "samples_sparse"), SPARSE)
+    return incident_table(scores.withColumns({"blind": F.col("coverage") < BLIND_BELOW, "risk": F.col("risk_15m"), "rank": F.array_position(F.array(*[F.lit(x) for x in SEVERITIES]), F.col("severity")).cast("int") - 1}))
+
+
 _W = "(PARTITION BY host_id ORDER BY tick ROWS BETWEEN {a} PRECEDING AND {b})"
 sql_query(
     "drift_windows",

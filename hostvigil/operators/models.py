@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -110,14 +109,14 @@ def forecast_scores(frames: DataFrame) -> DataFrame:
 
 
 def greedy_cooldown(events: DataFrame, seconds: float, keys: list[str], escalates: bool = False) -> DataFrame:
-    """Events with `kept`: none of the same key was kept within `seconds` (or it is more severe than the last kept)."""
+    """Events with `kept`: none of the same key was kept within `seconds` (or it is more severe than the last kept). The
+    first key is host_id; a host's events are read in order of time, with a cooldown for each of its other keys."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, c = pdf.sort_values("ts"), S.Cooldown(seconds)
-        pdf["kept"] = [c.step(ts, int(rank), escalates) for ts, rank in zip(pdf["ts"], pdf["rank"], strict=True)]
-        return pdf
+    def step(found: dict[tuple, S.Cooldown], rows: pa.RecordBatch) -> list[pa.Array]:
+        others = zip(*(rows.column(k).to_pylist() for k in keys[1:])) if keys[1:] else iter(lambda: (), None)
+        return [pa.array([found.setdefault(k, S.Cooldown(seconds)).step(ts, int(rank), escalates) for k, ts, rank in zip(others, rows.column("ts").to_pylist(), rows.column("rank").to_pylist())], pa.bool_())]
 
-    return events.groupBy(*keys).applyInPandas(run, ", ".join(f"{n} {t}" for n, t in events.dtypes) + ", kept boolean")
+    return L.scan(events, dict, step, [T.StructField("kept", T.BooleanType())])
 
 
 # ---- queries with recursion as oracle -------------------------------------------------------------------------------
@@ -195,15 +194,24 @@ def _greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SETTINGS = {"enabled": "host_id % 5 <> 4", "least": "CASE WHEN host_id % 3 = 0 THEN 1 ELSE 2 END", "quiet_from": "CASE WHEN host_id % 4 = 1 THEN 9 ELSE 22 END", "quiet_to": "CASE WHEN host_id % 4 = 1 THEN 9 ELSE 2 END"}
 
 
-def notification_outcomes(events: DataFrame, settings: DataFrame) -> DataFrame:
-    """`outcome` of every event (host_id, layer, ts, rank): disabled, below floor, quiet hours (critical ones pass), cooldown
-    (unless more severe than the last one sent), or sent; the first that applies."""
+def held_back(events: DataFrame, settings: DataFrame) -> DataFrame:
+    """host_id, layer, ts, rank and `outcome`: disabled, below floor or quiet hours (critical ones pass), the first that
+    applies; null for events that only a cooldown can hold back. `events` may be a stream."""
     e = events.join(settings, "host_id")
     hour = F.hour(F.timestamp_seconds("ts"))
     inside = F.when(F.col("quiet_from") == F.col("quiet_to"), False).when(F.col("quiet_from") < F.col("quiet_to"), (hour >= F.col("quiet_from")) & (hour < F.col("quiet_to"))).otherwise((hour >= F.col("quiet_from")) | (hour < F.col("quiet_to")))
     e = e.withColumn("outcome", F.when(~F.col("enabled"), "disabled").when(F.col("rank") < F.col("least"), "below floor").when(inside & (F.col("rank") < 3), "quiet hours"))
-    e = e.select("host_id", "layer", "ts", "rank", "outcome")
-    sent = greedy_cooldown(e.filter("outcome IS NULL").drop("outcome"), 900, ["host_id", "layer"], True)
+    return e.select("host_id", "layer", "ts", "rank", "outcome")
+
+
+#: Seconds between two notifications of a layer, but for more severe ones.
+NOTIFY_COOLDOWN = 900
+
+
+def notification_outcomes(events: DataFrame, settings: DataFrame) -> DataFrame:
+    """`outcome` of every event: what holds it back (see `held_back`), cooldown (unless more severe than the last one sent), or sent."""
+    e = held_back(events, settings)
+    sent = greedy_cooldown(e.filter("outcome IS NULL").drop("outcome"), NOTIFY_COOLDOWN, ["host_id", "layer"], True)
     return e.filter("outcome IS NOT NULL").unionByName(sent.select("host_id", "layer", "ts", "rank", F.when(F.col("kept"), "sent").otherwise("cooldown").alias("outcome")))
 
 
@@ -220,10 +228,15 @@ _QUIET = "CASE WHEN quiet_from = quiet_to THEN false WHEN quiet_from < quiet_to
     "score_series",
 )
 def notification_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, settings = noted_events(spark, sf_dir)
+    return notification_outcomes(events, settings).select("host_id", "layer", "ts", "outcome")
+
+
+def noted_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events of severity watch or more, and the settings of each host."""
     s = fixture(spark, sf_dir, "score_series").filter("risk_raw >= 0.25")
     events = s.select(F.col("host_id").cast("long").alias("host_id"), F.col("primary_layer").alias("layer"), "ts", F.when(F.col("risk_raw") >= 0.75, 3).when(F.col("risk_raw") >= 0.5, 2).otherwise(1).alias("rank"))
-    settings = events.select("host_id").distinct().select("host_id", *[F.expr(v).alias(k) for k, v in _SETTINGS.items()])
-    return notification_outcomes(events, settings).select("host_id", "layer", "ts", "outcome")
+    return events, events.select("host_id").distinct().select("host_id", *[F.expr(v).alias(k) for k, v in _SETTINGS.items()])
 
 
 # Scoring only: a table of baselines by hour, learned from the first half of the view's time, joined to the frames after it.

@@ -12,10 +12,13 @@ from hostvigil.functions.privacy import hash_identifier, hash_to_number, redact
 from hostvigil.operators.frames import SPARSE
 from hostvigil.operators.incidents import _INCIDENTS_SQL, incidents_of
 from hostvigil.registry import query, sql_query
+from hostvigil.sources import store
 from hostvigil.sources.fixtures import fixture
 from hostvigil.sources.scratch import scratch_path
 
 SINCE = 1704070000
+#: What a bundle tells about the settings of an export.
+CONFIG = {"since": SINCE, "bucket_s": 300, "raw_hours": 48, "raw_days": 7, "rollup_days": 90, "version": 1}
 
 
 _STORED = {  # table: SQL of its rows in the window
@@ -24,6 +27,7 @@ _STORED = {  # table: SQL of its rows in the window
     "incidents": f"SELECT host_id, started_at AS ts FROM {_INCIDENTS_SQL} WHERE started_at >= {SINCE}",
     "labels": f"SELECT host_id, end_ts AS ts FROM bad_windows WHERE start_ts >= {SINCE}",
     "probes": "SELECT host_id, CAST(floor(epoch(ts)) AS DOUBLE) AS ts FROM probe_log",
+    "rollups": f"SELECT host_id, CAST(ts AS DOUBLE) AS ts FROM (SELECT host_id, CAST(round(ts / 300) * 300 AS BIGINT) AS ts FROM samples_sparse GROUP BY 1, 2) WHERE ts >= {SINCE}",
 }
 
 
@@ -35,30 +39,32 @@ def stored(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "incidents": incidents_of(spark, sf_dir).withColumn("ts", F.col("started_at")),
         "labels": fixture(spark, sf_dir, "bad_windows").withColumn("ts", F.col("end_ts")),
         "probes": fixture(spark, sf_dir, "probe_log").withColumn("ts", F.unix_seconds(F.col("ts").cast("timestamp")).cast("double")),
+        "rollups": rollup(fixture(spark, sf_dir, "samples_sparse"), F.lit(float("inf"))).withColumn("ts", F.col("bucket_ts").cast("double")),
     }
 
 
 def write_bundle(spark: SparkSession, sf_dir: str, root: str) -> dict[str, str]:
     """Each table's rows of the window as JSON under its own folder, probe texts redacted, the schema beside; name -> folder."""
     tables = stored(spark, sf_dir)
-    since = {"labels": "start_ts", "incidents": "started_at", "samples": "ts", "scores": "ts"}
+    since = {"labels": "start_ts", "incidents": "started_at", "samples": "ts", "scores": "ts", "rollups": "ts"}
     parts = {name: rows.filter(F.col(since[name]) >= SINCE) if name in since else rows for name, rows in tables.items()}
     parts["probes"] = parts["probes"].withColumn("detail", F.substring(redact(F.coalesce("detail", F.lit(""))), 1, 200))
-    for name, rows in parts.items():
-        rows.withColumn("_host", F.col("host_id")).write.partitionBy("_host").json(f"{root}/{name}")
+    for name, rows in parts.items():  # in ranges of hosts, whatever the size of the fleet
+        rows.repartitionByRange("host_id").write.json(f"{root}/{name}")
     feature_dim(spark).coalesce(1).write.json(f"{root}/schema")
-    return {name: f"{root}/{name}" for name in [*parts, "schema"]}
+    spark.createDataFrame([(k, str(v)) for k, v in CONFIG.items()], "key string, value string").coalesce(1).write.json(f"{root}/config")
+    return {name: f"{root}/{name}" for name in [*parts, "schema", "config"]}
 
 
 @query(
-    " UNION ALL ".join(f"SELECT '{name}' AS part, count(*) AS n, count(DISTINCT host_id) AS hosts, min(ts) AS oldest, max(ts) AS newest FROM ({sql})" for name, sql in _STORED.items()) + " UNION ALL SELECT 'schema', 39, 0, NULL, NULL",
+    " UNION ALL ".join(f"SELECT '{name}' AS part, count(*) AS n, count(DISTINCT host_id) AS hosts, min(ts) AS oldest, max(ts) AS newest FROM ({sql})" for name, sql in _STORED.items()) + " UNION ALL SELECT 'schema', 39, 0, NULL, NULL UNION ALL SELECT 'config', 6, 0, NULL, NULL",
     "samples_sparse score_series probe_log bad_windows",
 )
 def export_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of a written bundle: rows, hosts and span of each part, counted from its files."""
     out = None
     for name, path in write_bundle(spark, sf_dir, scratch_path(spark, "bundle")).items():
-        if name == "schema":
+        if name in ("schema", "config"):
             n = spark.read.json(path).agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("hosts"), F.lit(None).cast("double").alias("oldest"), F.lit(None).cast("double").alias("newest"))
         else:
             n = spark.read.schema("host_id long, ts double").json(path).agg(F.count("*").alias("n"), F.count_distinct("host_id").alias("hosts"), F.min("ts").alias("oldest"), F.max("ts").alias("newest"))
@@ -78,7 +84,43 @@ sql_query(
     tables="documents",
     duck={"regexp_like(": "regexp_matches("},
 )
-_ALL = {name: sql.split(" WHERE")[0] for name, sql in _STORED.items() if name != "incidents"} | {"incidents": f"SELECT host_id, started_at AS ts FROM {_INCIDENTS_SQL}"}
+#: Entries that a bundle must have.
+REQUIRED = ["config", "incidents", "manifest", "samples", "schema"]
+
+
+def audit_bundle(spark: SparkSession, root: str) -> DataFrame:
+    """entry, finding: values that must not leave the host, raw addresses in logs that were not scrubbed, missing entries.
+
+    An entry is a folder of the bundle, or of its logs. Files are read line by line, however large an entry is."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(root).select(F.col("value").alias("line"), F.substring_index(F.col("_metadata.file_path"), root.rstrip("/").rsplit("/", 1)[-1] + "/", -1).alias("file"))
+    entry = F.regexp_extract("file", "^(logs/[^/]*|[^/]*)/", 1)
+    found = {f"possible {k} value": F.max(F.contains(F.lower("line"), F.lit(f'"{k}": "')).cast("int")) for k in FORBIDDEN}
+    scrubbed = F.max(F.contains("line", F.lit("<ip>")).cast("int"))
+    found["unredacted address"] = F.when(F.col("entry").startswith("logs/") & (scrubbed == 0), F.max(F.col("line").rlike(_IP).cast("int"))).otherwise(0)
+    names = {f"f{k}": v for k, v in enumerate(found)}
+    flags = lines.withColumn("entry", entry).groupBy("entry").agg(*[v.alias(k) for k, v in zip(names, found.values())])
+    findings = flags.select("entry", F.explode(F.array_compact(F.array(*[F.when(F.col(k) == 1, F.lit(v)) for k, v in names.items()]))).alias("finding"))
+    missing = [(r, "missing") for r in REQUIRED if not store.exists(spark, f"{root}/{r}")]
+    return findings.unionByName(spark.createDataFrame(missing, findings.schema))
+
+
+_LOG = "concat('source=', coalesce(source, 'none'))"
+
+
+@query(
+    " UNION ALL ".join(f"""SELECT concat('logs/', {_LOG}) AS entry, 'possible {k} value' AS finding FROM documents GROUP BY 1 HAVING bool_or(contains(lower(text), '"{k}": "'))""" for k in FORBIDDEN)
+    + f" UNION ALL SELECT concat('logs/', {_LOG}), 'unredacted address' FROM documents GROUP BY 1 HAVING NOT bool_or(contains(text, '<ip>')) AND bool_or(regexp_matches(text, '{_IP}')) UNION ALL SELECT 'manifest', 'missing'",
+)
+def audit_written_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of a written bundle into which texts came unredacted, a log a source, and whose manifest is gone."""
+    root = scratch_path(spark, "audited")
+    write_bundle(spark, sf_dir, root)
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.coalesce("source", F.lit("none")).alias("source"), F.coalesce("text", F.lit("")).alias("value"))
+    texts.write.partitionBy("source").text(f"{root}/logs")
+    return audit_bundle(spark, root)
+
+
+_ALL = {name: sql.rsplit(" WHERE", 1)[0] for name, sql in _STORED.items() if name != "incidents"} | {"incidents": f"SELECT host_id, started_at AS ts FROM {_INCIDENTS_SQL}"}
 _NEEDED = "samples_sparse score_series probe_log bad_windows"
 
 
@@ -89,21 +131,30 @@ def table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, each)
 
 
-def erase_hosts(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
-    """The tables without all rows of the hosts in `gone`, derived ones and saved states (a table of host_id) included."""
-    return {name: rows.join(F.broadcast(gone), "host_id", "left_anti") for name, rows in tables.items()}
+def kept_store(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """All tables written to a store of their own, with the saved states of scored hosts; name -> path."""
+    root = scratch_path(spark, "store")
+    tables = stored(spark, sf_dir)
+    tables["states"] = tables["scores"].groupBy("host_id").agg(F.max("ts").alias("ts"))
+    for name, rows in tables.items():
+        store.add(rows, f"{root}/{name}")
+    return {name: f"{root}/{name}" for name in tables}
 
 
 _GONE = "SELECT host_id FROM bad_windows GROUP BY host_id HAVING max(window_id) = (SELECT max(window_id) FROM bad_windows)"
+_STATES = {"states": "SELECT DISTINCT host_id FROM score_series"}
 
 
-@query(" UNION ALL ".join(f"SELECT '{name}' AS name, host_id, count(*) AS n FROM ({sql}) WHERE host_id NOT IN ({_GONE}) GROUP BY host_id" for name, sql in _ALL.items()), _NEEDED)
+@query(" UNION ALL ".join(f"SELECT '{name}' AS name, host_id, count(*) AS n FROM ({sql}) WHERE host_id NOT IN ({_GONE}) GROUP BY host_id" for name, sql in (_ALL | _STATES).items()), _NEEDED)
 def erase_host(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What every table holds once the hosts with the latest label window are erased."""
+    """What every table and the saved states hold, read back once the hosts with the latest label window are erased."""
     w = fixture(spark, sf_dir, "bad_windows")
     last = w.groupBy("host_id").agg(F.max("window_id").alias("m"))
     gone = last.join(w.agg(F.max("window_id").alias("m")), "m", "left_semi").select("host_id")
-    left = erase_hosts(stored(spark, sf_dir), gone)
+    paths = kept_store(spark, sf_dir)
+    for path in paths.values():
+        store.erase(spark, path, gone)
+    left = {name: store.read(spark, path) for name, path in paths.items()}
     return functools.reduce(DataFrame.unionByName, [rows.groupBy("host_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), F.col("host_id").cast("long").alias("host_id"), "n") for name, rows in left.items()])
 
 
@@ -141,17 +192,13 @@ def rollup_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("host_id", "bucket_ts", "n", *[F.round(F.col(c) + 1.37e-8, 6).alias(c) for c in out.columns[3:]])
 
 
-def prune(tables: dict[str, DataFrame], now: float) -> dict[str, DataFrame]:
-    """Rows of each table that a maintenance run at `now` deletes. Labels and drift events are never deleted."""
+def maintain(spark: SparkSession, paths: dict[str, str], now: float) -> None:
+    """Delete what a maintenance run at `now` no longer keeps. Labels, drift events and open incidents are never deleted."""
     raw, old = now - min(RAW_HOURS * 3600, RAW_DAYS * 86400), now - ROLLUP_DAYS * 86400
-    return {
-        "samples": tables["samples"].filter(F.col("ts") < raw),
-        "rollups": tables["rollups"].filter(F.col("bucket_ts") < old),
-        "scores": tables["scores"].filter(F.col("ts") < old),
-        "probes": tables["probes"].filter(F.col("ts") < raw),
-        "incidents": tables["incidents"].filter(F.col("ended_at").isNotNull() & (F.col("ended_at") < old)),
-        "labels": tables["labels"].filter(F.lit(False)),
-    }
+    for name, cut in {"samples": raw, "probes": raw, "rollups": old, "scores": old}.items():
+        store.expire(spark, paths[name], cut)
+    # an incident lies in the day of its start; its end decides
+    store.expire(spark, paths["incidents"], old, F.col("ended_at") < old)
 
 
 #: Hours after the newest sample at which the check runs the maintenance.
@@ -174,11 +221,16 @@ def _prune_oracle(hours: int) -> str:
 
 @query(" UNION ALL ".join(map(_prune_oracle, _RUNS_AFTER)), _NEEDED)
 def retention_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = stored(spark, sf_dir)
-    newest = tables["samples"].agg(F.max("ts")).first()[0] or 0.0
-    tables["rollups"] = tables["samples"].select("host_id", bucket(F.col("ts")).alias("bucket_ts")).distinct()
-    each = [rows.agg(F.lit(h).alias("hours"), F.lit(name).alias("name"), F.count("*").alias("deleted")) for h in _RUNS_AFTER for name, rows in prune(tables, newest + h * 3600).items()]
-    return functools.reduce(DataFrame.unionByName, each)
+    """Rows that maintenance deletes from each table of a store, after some hours and again months later."""
+    paths = kept_store(spark, sf_dir)
+    count = lambda name: store.read(spark, paths[name]).count()
+    names = ["samples", "rollups", "scores", "probes", "incidents", "labels"]
+    newest = store.read(spark, paths["samples"]).agg(F.max("ts")).first()[0] or 0.0
+    full, out = {n: count(n) for n in names}, []
+    for h in _RUNS_AFTER:
+        maintain(spark, paths, newest + h * 3600)
+        out += [(h, n, full[n] - count(n)) for n in names]
+    return spark.createDataFrame(out, "hours int, name string, deleted long")
 
 
 sql_query(

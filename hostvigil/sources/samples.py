@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hostvigil.catalogue import FEATURES, NAMES, samples_schema
 from hostvigil.registry import query
+from hostvigil.sources import store
 from hostvigil.sources.fixtures import fixture
 from hostvigil.sources.scratch import scratch_path
 
@@ -90,7 +91,10 @@ def scan_scores_since(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upsert_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = fixture(spark, sf_dir, "samples_sparse").select("host_id", "ts", "tick", "gw_rtt_ms", F.col("tick").cast("long").alias("arrival"))
     again = first.filter("tick % 5 = 0").withColumns({"gw_rtt_ms": F.col("gw_rtt_ms") + 1, "arrival": F.col("arrival") + 1_000_000})
-    return upsert(first.union(again), ["host_id", "ts"], "arrival").select("host_id", "ts", F.round("gw_rtt_ms", 6).alias("gw_rtt_ms"), "arrival")
+    path = scratch_path(spark, "upserted")
+    for rows in (first, again):  # what comes again replaces what is stored
+        store.put(rows, path, ["host_id", "ts"], "arrival")
+    return store.read(spark, path).select("host_id", "ts", F.round("gw_rtt_ms", 6).alias("gw_rtt_ms"), "arrival")
 
 
 @query(

@@ -22,10 +22,11 @@ from hostvigil.operators import state as S
 from hostvigil.operators.frames import FRAME_SQL, SPARSE, limit_of
 from hostvigil.operators.ladder import Ladder
 from hostvigil.operators.incidents import CLOSE_AFTER, OPEN_AFTER, STATES_SQL, scored
-from hostvigil.operators.models import _SMOOTH_SQL, _cooldown_sql, alert_events
-from hostvigil.registry import query
+from hostvigil.operators.models import _SMOOTH_SQL, NOTIFY_COOLDOWN, held_back, noted_events
+from hostvigil.registry import ORACLES, query
 from hostvigil.sources.fixtures import fixture
-from hostvigil.sources.scratch import scratch_path
+from hostvigil.sources.scratch import materialize, scratch_path
+from hostvigil.sources.store import bucket_of, exists
 
 WATERMARK = "2 minutes"
 IDLE_S = 3600
@@ -34,8 +35,9 @@ SLICES = 3
 FILE_ROWS = 1_000_000
 
 
-def replay(rows: DataFrame, transform: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-    """Rows as a stream in SLICES batches in order of ts; what `transform` emits, with the batch that emitted it in _batch."""
+def replay(rows: DataFrame, transform: Callable[[DataFrame], DataFrame], mode: str = "append", into: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
+    """Rows as a stream in SLICES batches in order of ts; what `transform` emits, with the batch that emitted it in _batch.
+    With `into` each batch goes there, and nothing comes back."""
     spark = rows.sparkSession
     source, sink, marks = (scratch_path(spark, n) for n in ("stream-in", "stream-out", "stream-checkpoint"))
     low, high, n = rows.agg(F.min("ts"), F.max("ts"), F.count("*")).first()
@@ -50,8 +52,10 @@ def replay(rows: DataFrame, transform: Callable[[DataFrame], DataFrame], mode: s
     def write(batch: DataFrame, n: int) -> None:
         batch.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{sink}/b={n}")
 
-    run = stream.writeStream.outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(write).start()
+    run = stream.writeStream.outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(into or write).start()
     run.awaitTermination()
+    if into:
+        return None
     return spark.read.option("recursiveFileLookup", "true").parquet(sink)
 
 
@@ -189,26 +193,64 @@ _CHANGES = f"""SELECT host_id, ts, CAST(incident AS BIGINT) AS incident, CASE WH
 WHERE opened OR closed OR rank > before"""
 
 
-def incident_table(changes: DataFrame) -> DataFrame:
-    """A row an incident from its transitions: what an upsert by (host_id, incident) leaves."""
-    of = lambda kind: F.max(F.when(F.col("transition") == kind, F.col("ts")))
-    return changes.groupBy("host_id", "incident").agg(of("open").alias("started_at"), of("update").alias("updated_at"), of("close").alias("ended_at"))
+def merge_incidents(changes: DataFrame, path: str, batch: int) -> None:
+    """Upsert a batch of transitions into the table of incidents at `path`, by (host_id, incident).
+
+    Only the buckets of the batch's hosts are read and overwritten. Times only move on, so a batch that comes once more
+    after a failure, in full or in part, leaves the table as it is; `batch` is the last one that changed a row.
+    """
+    spark = changes.sparkSession
+    of = lambda kind, f: f(F.when(F.col("transition") == kind, F.col("ts")))
+    new = changes.groupBy("host_id", "incident").agg(of("open", F.min).alias("started_at"), of("update", F.max).alias("updated_at"), of("close", F.max).alias("ended_at"))
+    new = materialize(new.withColumns({"batch": F.lit(batch).cast("long"), "bucket": bucket_of(F.col("host_id"))}))
+    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
+    if not touched:
+        return
+    old = spark.read.schema(new.schema).parquet(path).filter(F.col("bucket").isin(touched)) if exists(spark, path) else new.limit(0)
+    merged = new.unionByName(old).groupBy("host_id", "incident", "bucket").agg(F.min("started_at").alias("started_at"), F.max("updated_at").alias("updated_at"), F.max("ended_at").alias("ended_at"), F.max("batch").alias("batch"))
+    materialize(merged).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 @query(_CHANGES, "score_series")
 def stream_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir).select(F.col("host_id").cast("long").alias("host_id"), "ts", F.col("rank").cast("long").alias("rank"), "blind")
-    return replay(rows, lambda s: keyed(s, ["host_id"], Open, _incident_step, "host_id long, ts double, incident long, transition string")).drop("_batch", "b")
+    return replay(_ranked(spark, sf_dir), incident_changes).drop("_batch", "b")
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(spark, sf_dir).select(F.col("host_id").cast("long").alias("host_id"), "ts", F.col("rank").cast("long").alias("rank"), "blind")
+
+
+def incident_changes(stream: DataFrame) -> DataFrame:
+    return keyed(stream, ["host_id"], Open, _incident_step, "host_id long, ts double, incident long, transition string")
+
+
+@query(f"SELECT host_id, incident, max(CASE WHEN transition = 'open' THEN ts END) AS started_at, max(CASE WHEN transition = 'update' THEN ts END) AS updated_at, max(CASE WHEN transition = 'close' THEN ts END) AS ended_at FROM ({_CHANGES}) GROUP BY 1, 2", "score_series")
+def stream_incident_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of incidents that the stream keeps up to date."""
+    path = scratch_path(spark, "incidents")
+    replay(_ranked(spark, sf_dir), incident_changes, into=lambda batch, n: merge_incidents(batch, path, n))
+    return spark.read.schema("host_id long, incident long, started_at double, updated_at double, ended_at double, batch long, bucket int").parquet(path).drop("batch", "bucket")
 
 
 def _alert_step(s: S.Cooldown, rows: pd.DataFrame) -> pd.DataFrame:
-    keep = [s.step(ts, int(rank), True) for ts, rank in zip(rows["ts"], rows["rank"], strict=True)]
-    return rows[keep][["host_id", "layer", "ts"]]
+    out = [o if isinstance(o, str) else "sent" if s.step(ts, int(rank), True) else "cooldown" for ts, rank, o in zip(rows["ts"], rows["rank"], rows["outcome"], strict=True)]
+    return rows[["host_id", "layer", "ts"]].assign(outcome=out)
+
 
+def alert_stream(events: DataFrame, settings: DataFrame) -> DataFrame:
+    """host_id, layer, ts and outcome of a stream of events (host_id, layer, ts, rank), by the settings as they are when a
+    batch is read: a join with a table, then a cooldown for each host and layer."""
+    return keyed(held_back(events, settings), ["host_id", "layer"], lambda: S.Cooldown(float(NOTIFY_COOLDOWN)), _alert_step, "host_id long, layer string, ts double, outcome string")
 
-@query(f"SELECT host_id, layer, ts FROM {_cooldown_sql(900, True)} WHERE kept", "score_series")
+
+@query()
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay(alert_events(spark, sf_dir), lambda s: keyed(s, ["host_id", "layer"], lambda: S.Cooldown(900.0), _alert_step, "host_id long, layer string, ts double")).select("host_id", "layer", "ts")
+    """What the notification policy makes of each event, as a stream."""
+    events, settings = noted_events(spark, sf_dir)
+    return replay(events, lambda s: alert_stream(s, materialize(settings))).select("host_id", "layer", "ts", "outcome")
+
+
+ORACLES["stream_alerts"] = ORACLES["notification_policy"]
 
 
 @dataclass

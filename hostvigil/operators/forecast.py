@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from hostvigil.catalogue import DERIVED, LAYER_OF, LAYERS, MODELLED, RULES, TRENDS
 from hostvigil.operators.frames import DERIVED_SQL, FRAME_SQL, OFF_TIES, SPARSE, coverage_sql, derive_cross_layer, frames_of, rolling, with_rules
 from hostvigil.operators.models import TOY_COLUMNS
+from hostvigil.operators.saved import layout_of
 from hostvigil.registry import query
 from hostvigil.sources.fixtures import fixture
-from hostvigil.sources.scratch import materialize
+from hostvigil.sources.scratch import materialize, scratch_path
 
 # The inputs in order, and the horizons in minutes.
 LAYOUT = ["l1_anomaly", "l2_anomaly", "coverage", *[f"l1_{x}" for x in LAYERS], *[f"l2_{x}" for x in LAYERS], *[f"{f}_{s}" for f in TRENDS for s in ("5m_z", "5m_slope_n", "15m_z")], *DERIVED, "vpn_active", "captive_portal", "on_battery", "is_wifi"]
@@ -46,7 +47,7 @@ class Forecast:
     def __init__(self, weights: list[float], bias: float, mean: list[float], scale: list[float], layout: list[str] = LAYOUT):
         if layout != LAYOUT:
             raise ValueError("the model was trained on other inputs or another order of them; train it again")
-        self.weights, self.bias, self.mean, self.scale = weights, bias, mean, scale
+        self.weights, self.bias, self.mean, self.scale = list(weights), bias, list(mean), list(scale)
 
     def parts(self, inputs: dict[str, Column]) -> list[Column]:
         """What each input adds to the logit."""
@@ -196,17 +197,62 @@ def train(rows: DataFrame, label: str) -> Forecast:
     return Forecast([float(x) for x in model.coefficients], float(model.intercept) - math.log(weight), mean, scale)
 
 
+_MODEL = "horizon int, layout string, input array<string>, weight array<double>, mean array<double>, scale array<double>, bias double"
+
+
+def save_models(spark: SparkSession, models: dict[int, Forecast], path: str) -> None:
+    """A row a horizon, with the inputs in order and a digest of them."""
+    rows = [(h, layout_of("forecast", LAYOUT), LAYOUT, m.weights, m.mean, m.scale, m.bias) for h, m in models.items()]
+    spark.createDataFrame(rows, _MODEL).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_models(spark: SparkSession, path: str) -> dict[int, Forecast]:
+    """The saved models by horizon; those of other inputs, of another order or another version are refused."""
+    rows = spark.read.schema(_MODEL).parquet(path).collect()  # a row a horizon
+    if any(r["layout"] != layout_of("forecast", LAYOUT) for r in rows):
+        raise ValueError("the models were trained on other inputs or another order of them; train them again")
+    return {r["horizon"]: Forecast(r["weight"], r["bias"], r["mean"], r["scale"], r["input"]) for r in rows}
+
+
+def observed_training_rows(samples: DataFrame, have: list[str], windows: DataFrame) -> DataFrame:
+    """As `training_rows`, with the anomalies that the learned stages found in these samples."""
+    from hostvigil.operators.hosts import WARM_AFTER
+    from hostvigil.operators.models import judged_frames
+    from hostvigil.plans.evaluation import label_horizon
+
+    f = judged_frames(samples, have)
+    rows = materialize(f.select("host_id", "tick", "ts", *[x.alias(c) for c, x in vector(f).items()]).filter(F.col("tick") > WARM_AFTER))
+    for h in HORIZONS:
+        rows = label_horizon(rows, windows, 60.0 * h).withColumnRenamed("label", f"y_{h}")
+    return rows.withColumn("side", F.when(F.col("host_id") % 4 == 0, "holdout").otherwise("train"))
+
+
+def train_all(rows: DataFrame) -> dict[int, Forecast]:
+    """A model a horizon from the training hosts."""
+    return {h: train(rows.filter("side = 'train'"), f"y_{h}") for h in HORIZONS}
+
+
+def measured(model: Forecast, rows: DataFrame, label: str) -> DataFrame:
+    """One row: n, brier, ece (ten equal bins), precision_ and recall at one half, of labelled rows."""
+    p = rows.select(model.risk({c: F.col(c) for c in LAYOUT}).alias("p"), F.col(label).cast("double").alias("y"))
+    hit = (F.col("p") >= 0.5).cast("double")
+    bins = p.withColumns({"hit": hit, "bin": F.least(F.lit(9), F.floor(F.col("p") * 10))}).groupBy("bin").agg(F.count("*").alias("n"), F.sum("p").alias("p"), F.sum("y").alias("y"), F.sum(F.pow(F.col("p") - F.col("y"), 2)).alias("e"), F.sum("hit").alias("hit"), F.sum(F.col("hit") * F.col("y")).alias("both"))
+    share = lambda a, b: F.coalesce(F.try_divide(F.sum(a), F.sum(b)), F.lit(0.0))
+    return bins.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), share("e", "n").alias("brier"), share(F.abs(F.col("p") - F.col("y")), F.col("n")).alias("ece"), share("both", "hit").alias("precision_"), share("both", "y").alias("recall"))
+
+
 @query()
 def l3_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model a horizon from the training hosts; metrics on the holdout hosts and the twelve heaviest inputs."""
-    rows = materialize(training_rows(spark, sf_dir))
+    """Models of the anomalies found in the view, saved and loaded again; metrics on the holdout hosts and the twelve
+    heaviest inputs."""
+    rows = materialize(observed_training_rows(fixture(spark, sf_dir, "samples_sparse"), SPARSE, fixture(spark, sf_dir, "bad_windows")))
+    path = scratch_path(spark, "forecast")
+    save_models(spark, train_all(rows), path)
     out = []
-    for h in HORIZONS:
-        model = train(rows.filter("side = 'train'"), f"y_{h}")
-        p = rows.filter("side = 'holdout'").select(model.risk({c: F.col(c) for c in LAYOUT}).alias("p"), F.col(f"y_{h}").alias("y"))
-        hit, top = (F.col("p") >= 0.5).cast("int"), np.argsort(-np.abs(model.weights))[:12].tolist()
-        share = lambda a, b: F.coalesce(F.try_divide(F.sum(a), F.sum(b)), F.lit(0.0))
-        out.append(p.agg(F.lit(h).alias("horizon"), F.count("*").alias("n"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"), share(hit * F.col("y"), hit).alias("precision_"), share(hit * F.col("y"), F.col("y")).alias("recall"), F.lit(", ".join(f"{LAYOUT[k]} {model.weights[k]:.3f}" for k in top)).alias("heaviest")))
+    for h, model in sorted(load_models(spark, path).items()):
+        top = np.argsort(-np.abs(model.weights))[:12].tolist()
+        heaviest = F.lit(", ".join(f"{LAYOUT[k]} {model.weights[k]:.3f}" for k in top)).alias("heaviest")
+        out.append(measured(model, rows.filter("side = 'holdout'"), f"y_{h}").select(F.lit(h).alias("horizon"), "*", heaviest))
     return out[0].unionByName(out[1])
 
 

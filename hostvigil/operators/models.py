@@ -512,18 +512,21 @@ def _publish(state: hosts.Published, rows: pa.RecordBatch) -> list[pa.Array]:
     return state.step([rows.column(c).to_pylist() for c in state.INPUT])
 
 
-def _scored(samples: DataFrame, have: list[str], models: dict | None, state: DataFrame | None = None) -> DataFrame:
+def judged_frames(samples: DataFrame, have: list[str], models: dict | None = None, state: DataFrame | None = None) -> DataFrame:
+    """Every frame with its carried and rolling values, anomalies, rules, forecast and attribution: all that comes before
+    the smoothing of risks. A host's frames are in one partition."""
     rows, names, start = samples_of(samples, have)
-    features = start().features
     rows = rows.withColumnsRenamed({c: f"fresh_{c}" for c in names})
-    watched, published = _STATE if state is not None else (None, None)
     if state is not None:
         rows = rows.unionByName(state.select("host_id", *_STATE), allowMissingColumns=True)
     keep = ["host_id", "tick", "ts", *(_STATE if state is not None else [])]
-    f = L.scan(L.by_host(rows), start, lambda s, r: _watch(s, r, names), hosts.Watched.added(names, TRENDS), True, keep, watched)
-    f = judged(f, names, features, models).withColumn("known", F.col("primary_layer").isNotNull())
-    f = L.scan(f, hosts.Published, _publish, hosts.Published.ADDED, True, None, published)
-    return carded(f)
+    f = L.scan(L.by_host(rows), start, lambda s, r: _watch(s, r, names), hosts.Watched.added(names, TRENDS), True, keep, None if state is None else _STATE[0])
+    return judged(f, names, start().features, models)
+
+
+def _scored(samples: DataFrame, have: list[str], models: dict | None, state: DataFrame | None = None) -> DataFrame:
+    f = judged_frames(samples, have, models, state).withColumn("known", F.col("primary_layer").isNotNull())
+    return carded(L.scan(f, hosts.Published, _publish, hosts.Published.ADDED, True, None, None if state is None else _STATE[1]))
 
 
 def score_frames(samples: DataFrame, have: list[str], models: dict | None = None) -> DataFrame:

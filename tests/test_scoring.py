@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from hostvigil.operators import forecast
 from hostvigil.operators.hosts import Published
 from hostvigil.operators.ladder import Ladder
 from hostvigil.operators.models import score_frames, score_slice
@@ -100,6 +101,28 @@ def test_the_stream_gives_the_rows_of_the_batch(spark, samples, want, tmp_path):
     assert "rocksdb" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").lower()
 
 
+def test_a_forecast_is_trained_on_observed_anomalies_saved_and_used(spark, samples, want, tmp_path):
+    """Outages are announced by nothing but themselves: within one the model is sure, far from any it isn't worried."""
+    windows = spark.createDataFrame([(h, 0, START + 15.0 * (400 + 20 * h), START + 15.0 * (460 + 20 * h)) for h in range(3)], "host_id long, window_id long, start_ts double, end_ts double")
+    rows = forecast.observed_training_rows(samples, HAVE, windows).cache()
+    assert rows.agg(F.count_if(F.col("l1_anomaly") > 0)).first()[0] > 100 and rows.agg(F.min("tick")).first()[0] == 121
+    assert {(r["side"], r["host_id"] % 4 == 0) for r in rows.select("side", "host_id").distinct().collect()} == {("holdout", True), ("train", False)}
+    models = forecast.train_all(rows)
+    path = f"file://{tmp_path}/models"
+    forecast.save_models(spark, models, path)
+    loaded = forecast.load_models(spark, path)
+    assert {h: m.to_dict() for h, m in loaded.items()} == {h: m.to_dict() for h, m in models.items()}
+    m = forecast.measured(loaded[5], rows.filter("side = 'holdout'"), "y_5").first()
+    assert m["recall"] > 0.6 and m["precision_"] > 0.6 and m["brier"] < 0.15 and 0 <= m["ece"] < 0.3
+    got = listed(score_frames(samples, HAVE, loaded))
+    inside, outside = ([got[0, k]["risk_5m"] for k in range(a, b)] for a, b in ((420, 455), (200, 380)))
+    assert min(inside) > 0.5 > sum(outside) / len(outside)
+    assert any(got[k]["risk_15m"] != want[k]["risk_15m"] for k in got)
+    spark.read.parquet(path).withColumn("layout", F.lit("another")).write.parquet(f"{path}-2")
+    with pytest.raises(ValueError, match="other inputs"):
+        forecast.load_models(spark, f"{path}-2")
+
+
 @pytest.mark.parametrize("cut", [1, 37, 600, 5000])
 def test_rolling_statistics_in_any_slices(cut):
     """Against each window summed by itself, with gaps, missing values and an outlier of 1e9."""

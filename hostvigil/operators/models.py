@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,9 +18,9 @@ from hostvigil.catalogue import LAYER_OF, LAYERS, MODELLED, SEVERITIES, TRENDS,
 from hostvigil.operators import hosts
 from hostvigil.operators import ladder as L
 from hostvigil.operators import state as S
-from hostvigil.operators.frames import DERIVED_SQL, FRAME_SQL, OFF_TIES, SPARSE, band_rank, coverage_sql, derive_cross_layer, frames_of, limit_of, risk_floor, severity_name, with_rules, worst_hit
+from hostvigil.operators.frames import DERIVED_SQL, FRAME_SQL, OFF_TIES, SPARSE, coverage_sql, derive_cross_layer, frames_of, limit_of, risk_floor, severity_name, with_rules, worst_hit
 from hostvigil.operators.incidents import BLIND_BELOW, cards, evidence, incident_table
-from hostvigil.registry import query, sql_query
+from hostvigil.registry import query
 from hostvigil.sources.fixtures import fixture
 from hostvigil.sources.scratch import materialize
 
@@ -285,7 +285,18 @@ def l1_score_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _seasonal(spark, sf_dir).select("host_id", "tick", "feature", F.round(z + 1.37e-8, 6).alias("score"))
 
 
-sql_query("json_edges", """SELECT event_id, coalesce(get_json_object(props, '$.k'), '-') AS k, coalesce(get_json_object(concat(props, 'x'), '$.none'), 'fallback') AS missing FROM <events>""", tables="events", duck={"get_json_object(concat(props, 'x'), '$.none')": "NULL", "get_json_object(": "json_extract_string("})
+@query(
+    """SELECT event_id, coalesce(json_extract_string(props, '$.k'), '-') AS k, coalesce(json_extract_string(props, '$.none'), 'fallback') AS missing, CASE WHEN json_valid(broken) THEN json_extract_string(broken, '$.k') ELSE 'fallback' END AS broken
+    FROM (SELECT *, CASE event_id % 3 WHEN 0 THEN concat(props, 'x') WHEN 1 THEN substr(props, 1, length(props) - 1) ELSE props END AS broken FROM events)""",
+)
+def json_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of JSON texts, of keys that aren't there, and of texts that are broken at their end."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    broken = F.when(F.col("event_id") % 3 == 0, F.concat("props", F.lit("x"))).when(F.col("event_id") % 3 == 1, F.expr("substr(props, 1, length(props) - 1)")).otherwise(F.col("props"))
+    # inside of brackets, as the parser stops at the end of a value and doesn't look at what follows
+    inside = lambda c: F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    of = lambda c, key: F.try_variant_get(inside(c), f"$[0].{key}", "string")
+    return e.select("event_id", F.coalesce(of(F.col("props"), "k"), F.lit("-")).alias("k"), F.coalesce(of(F.col("props"), "none"), F.lit("fallback")).alias("missing"), F.coalesce(of(broken, "k"), F.lit("fallback")).alias("broken"))
 
 
 # ---- attribution ------------------------------------------------------------------------------------------------------
@@ -562,12 +573,3 @@ def scored_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The incidents of score_frames, each with its card as of the last escalation."""
     scores = score_frames(fixture(spark, sf_dir, "samples_sparse"), SPARSE)
     return incident_table(scores.withColumns({"blind": F.col("coverage") < BLIND_BELOW, "risk": F.col("risk_15m"), "rank": F.array_position(F.array(*[F.lit(x) for x in SEVERITIES]), F.col("severity")).cast("int") - 1}))
-
-
-_W = "(PARTITION BY host_id ORDER BY tick ROWS BETWEEN {a} PRECEDING AND {b})"
-sql_query(
-    "drift_windows",
-    f"""SELECT host_id, tick, nr, nf, round(mr, 6) AS recent_mean, round(mf, 6) AS reference_mean FROM (SELECT host_id, tick, count(gw_rtt_ms) OVER w1 AS nr, count(gw_rtt_ms) OVER w2 AS nf, avg(gw_rtt_ms) OVER w1 + 1.37e-8 AS mr, avg(gw_rtt_ms) OVER w2 + 1.37e-8 AS mf
-    FROM <samples_dense> WINDOW w1 AS {_W.format(a=239, b='CURRENT ROW')}, w2 AS {_W.format(a=719, b='240 PRECEDING')}) WHERE tick % 60 = 0 AND nr >= 120 AND nf >= 120""",
-    "samples_dense",
-)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hostvigil.functions.privacy import hash_to_number
+from hostvigil.plans.tables import _SALT, _hmac_sql
 from hostvigil.registry import query, sql_query
 from hostvigil.sources.fixtures import fixture
 
@@ -70,8 +72,8 @@ def gateway_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("host_id", "trace_id", F.round("loss", 6).alias("loss_rate"), F.round(F.coalesce("mean", F.lit(TIMEOUT_MS)), 6).alias("rtt_ms"), F.round(jitter, 6).alias("jitter_ms"))
 
 
-def trace_summary(hops: DataFrame) -> DataFrame:
-    """Per trace: responsive hops, unresponsive share, last and second round trip, signature of the addresses."""
+def trace_summary(hops: DataFrame, salt: bytes = _SALT) -> DataFrame:
+    """Per trace: responsive hops, unresponsive share, last and second round trip, salted signature of the addresses."""
     answered = F.when(F.col("rtt_ms").isNotNull(), F.col("hop_index"))
     route = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hop_index", F.coalesce("address", F.lit("*")).alias("a")))), lambda x: x["a"]), ">")
     return hops.groupBy("host_id", "trace_id").agg(
@@ -79,11 +81,11 @@ def trace_summary(hops: DataFrame) -> DataFrame:
         F.round(1 - F.count("rtt_ms") / F.count("*"), 6).alias("unresponsive"),
         F.round(F.max_by("rtt_ms", answered), 6).alias("rtt_ms"),
         F.round(F.max(F.when(F.col("hop_index") == 2, F.col("rtt_ms"))), 6).alias("second_hop_ms"),
-        F.sha2(route, 256).alias("signature"),
+        hash_to_number(route, salt).alias("signature"),
     )
 
 
-_TRACE = "SELECT host_id, trace_id, count(rtt_ms) AS hops, round(1 - count(rtt_ms) / count(*), 6) AS unresponsive, round(arg_max(rtt_ms, CASE WHEN rtt_ms IS NOT NULL THEN hop_index END), 6) AS rtt_ms, round(max(CASE WHEN hop_index = 2 THEN rtt_ms END), 6) AS second_hop_ms, sha256(string_agg(coalesce(address, '*'), '>' ORDER BY hop_index)) AS signature FROM traces GROUP BY host_id, trace_id"
+_TRACE = f"SELECT * EXCLUDE (route), CAST(('0x' || {_hmac_sql('route')})::BIGINT AS DOUBLE) AS signature FROM (SELECT host_id, trace_id, count(rtt_ms) AS hops, round(1 - count(rtt_ms) / count(*), 6) AS unresponsive, round(arg_max(rtt_ms, CASE WHEN rtt_ms IS NOT NULL THEN hop_index END), 6) AS rtt_ms, round(max(CASE WHEN hop_index = 2 THEN rtt_ms END), 6) AS second_hop_ms, string_agg(coalesce(address, '*'), '>' ORDER BY hop_index) AS route FROM traces GROUP BY host_id, trace_id)"
 
 
 @query(_TRACE, "traces", name="trace_summary")

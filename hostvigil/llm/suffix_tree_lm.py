@@ -108,22 +108,29 @@ def roots(counts: np.ndarray) -> np.ndarray:
 
 
 def grow(gram: np.ndarray, count: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """P(last byte | longest state) of each distinct gram, from all training counts of the grams that end in its context's
-    last two bytes."""
-    context, byte = gram >> _U(8), (gram & _U(255)).astype(np.int64)
-    p = root[(context & _U(255)).astype(np.int64), byte]
-    for depth in range(2, DEPTH + 1):
-        here = context & _U((1 << 8 * depth) - 1)
-        pair, first, of = np.unique(here << _U(8) | (gram & _U(255)), return_index=True, return_inverse=True)
-        n = np.bincount(of, count, len(pair))
-        start = np.flatnonzero(np.concatenate(([True], (pair[1:] >> _U(8)) != (pair[:-1] >> _U(8)))))
-        node = np.cumsum(np.isin(np.arange(len(pair)), start)) - 1
-        total, kinds = np.add.reduceat(n, start)[node], np.add.reduceat((n > 0).astype(float), start)[node]
-        parent = p[first]
-        diverge = np.where(n > 0, n * np.log(np.where(n > 0, n, 1) / np.maximum(total, 1) / parent), 0)
-        kept = np.add.reduceat(diverge, start)[node] >= KEEP_NATS
-        p = np.where(kept, _smoothed(n, total, kinds, parent), parent)[of]
-    return p
+    """P(last byte | longest state) of each of the distinct sorted grams, from all training counts of the grams that end in
+    its context's last two bytes. Each depth is summed from the one below it, which has fewer and fewer pairs."""
+    byte = _U(255)
+    levels = [gram]  # of each depth, deepest first, the distinct (context, byte), and which of them each one of the next depth ends in
+    counts, into = [count], []
+    for depth in range(DEPTH - 1, 1, -1):
+        pair, of = np.unique(levels[-1] & _U((1 << 8 * (depth + 1)) - 1), return_inverse=True)
+        counts.append(np.bincount(of, counts[-1], len(pair)))
+        levels.append(pair)
+        into.append(of)
+    last = levels[-1]
+    p = root[(last >> _U(8) & byte).astype(np.int64), (last & byte).astype(np.int64)]
+    while True:
+        pair, n = levels.pop(), counts.pop()
+        start = _runs_of(pair >> _U(8))
+        size = np.diff(np.append(start, len(pair)))
+        total, kinds = np.repeat(np.add.reduceat(n, start), size), np.repeat(np.add.reduceat((n > 0).astype(float), start), size)
+        diverge = np.where(n > 0, n * np.log(np.where(n > 0, n, 1) / np.maximum(total, 1) / p), 0)
+        kept = np.repeat(np.add.reduceat(diverge, start) >= KEEP_NATS, size)
+        p = np.where(kept, _smoothed(n, total, kinds, p), p)
+        if not levels:
+            return p
+        p = p[into.pop()]
 
 
 def _by_bucket(words, n: int) -> dict[int, list[bytes]]:
@@ -151,17 +158,31 @@ def _runs(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
             yield int(bucket[a]), a, b
 
 
+def _runs_of(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin in sorted ones."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(values)), bool), values[1:] != values[:-1])))
+
+
 def _distinct_grams(rows: Iterable[tuple[bool, list[bytes]]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams in order, and how often the training texts have each."""
-    some, counts = np.zeros(0, _U), np.zeros(0)
+    grams_, counts = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
     for g, train, _ in _spellings(rows):
-        gram = np.unique(g)
-        known, n = np.unique(g[train], return_counts=True)
-        new = np.zeros(len(gram))
-        new[np.searchsorted(gram, known)] = n
-        both, of = np.unique(np.concatenate((some, gram)), return_inverse=True)
-        some, counts = both, np.bincount(of, np.concatenate((counts, new)), len(both))
-    return some, counts
+        key = np.sort(g << _U(1) | train.astype(_U))  # sorting numbers alone is far faster than sorting places
+        at = _runs_of(key >> _U(1))
+        grams_.append(key[at] >> _U(1))
+        counts.append(np.add.reduceat((key & _U(1)).astype(np.int64), at) if len(at) else np.zeros(0, np.int64))
+    gram, of = _merged(np.concatenate(grams_))
+    return gram, np.bincount(of, np.concatenate(counts), len(gram))
+
+
+def _merged(sorted_runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and which of them stands where, of sorted runs one after the other."""
+    order = np.argsort(sorted_runs, kind="stable")  # merges runs
+    values = sorted_runs[order]
+    at = _runs_of(values)
+    of = np.empty(len(values), np.int64)
+    of[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(values))))
+    return values[at], of
 
 
 def _send(n: int):
@@ -208,7 +229,7 @@ def _answer(root: np.ndarray):
             size = [len(b) // 12 for _, b in got]
             gram = np.concatenate([np.frombuffer(b[: 8 * k], "<u8") for (_, b), k in zip(got, size, strict=True)])
             count = np.concatenate([np.frombuffer(b[8 * k :], "<u4") for (_, b), k in zip(got, size, strict=True)])
-            some, of = np.unique(gram, return_inverse=True)
+            some, of = _merged(gram)
             p = np.log10(grow(some, np.bincount(of, count, len(some)), root)).astype("<f4")[of]
             ends = np.cumsum(size).tolist()
             out += [(part, q, GRAMS, p[e - k : e].tobytes()) for (part, _), k, e in zip(got, size, ends, strict=True)]
@@ -231,7 +252,7 @@ def _score(n: int, ends: int, begun: np.ndarray, kinds: np.ndarray):
         for g, _, begin in _spellings((False, ws) for _, ws in rows):
             some, which = np.unique(g, return_inverse=True)
             blocks.append((some, which.astype(np.int32), (g & _U(255)).astype(np.uint8), begin))
-        gram = np.unique(np.concatenate([b[0] for b in blocks])) if blocks else np.zeros(0, _U)
+        gram = _merged(np.concatenate([b[0] for b in blocks]))[0] if blocks else np.zeros(0, _U)
         order, bucket = _gram_buckets(gram, n)
         p = np.empty(len(gram), np.float32)
         if len(gram):

@@ -10,7 +10,10 @@ notices, adverts, forms, reader comments) weighs nothing, nor does text outside
 have one, nor lines elsewhere that are mostly links. A container is known by its element, its role or a whole class or
 id such as 'sidebar' or 'site-footer' ('no-sidebar' says nothing). <article> and <main> never go by their names, nor by
 those of what they stand in; inside of them paragraphs, headings, captions and the like go by names of adverts and
-comments only. The threshold is SHARE of the heaviest window (SURGE at most).
+comments only, and a container whose name may be a subject (search, discussion, social, ...) loses only lists of links.
+The threshold is SHARE of the heaviest window (SURGE at most). Without <article> or <main>, a container that holds a
+paragraph found so keeps its other lines too, such as a title above a share bar, a short end after an advert, or a
+paragraph that is a link as a whole.
 
 Character references are decoded, white space inside a block becomes one space, and blocks are joined by one space;
 nothing else is dropped. The time is linear in the page's size, broken markup included: a tag without an end is text
@@ -23,6 +26,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +41,12 @@ LINK_SHARE = 0.6
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^>\"']++)*+)>")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemtype|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 #: Elements whose content is no text of the page.
-_SILENT = {"script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "select", "option", "button", "title", "canvas", "audio", "video"}
+_SILENT = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "select", "option", "button", "title", "canvas", "audio", "video", "annotation", "annotation-xml"}
 _RAW_END = {"script", "style", "textarea", "title", "iframe", "noscript"}
 _BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 _HEADER = {"header"}
 _MAIN = {"article", "main"}
-_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
+_INLINE = {"math", "mi", "mn", "mo", "ms", "mtext", "mrow", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "mover", "munder", "munderover", "mstyle", "semantics", "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that hold running text; often left open, they hold no state unless named.
 _TEXT = {"p", "li", "td", "tr", "th", "dt", "dd"}
@@ -53,44 +57,69 @@ _NAMES = (
 )
 #: Words that may stand beside a name in one class or id: where it is and what it is made of, never whether the page has it.
 _BESIDE = r"site|page|global|main|primary|secondary|left|right|top|bottom|upper|lower|post|entry|div|area|section|container|wrapper|wrap|box|block|bar|list|form|links?|body|inner|slot|unit|\d+"
-_NAME = re.compile(rf"(?:(?:{_BESIDE})[_-]+)*(?:{_NAMES})(?:[_-]+(?:{_NAMES}|{_BESIDE}))*[_-]*", re.I)
-#: Longer attribute values are no names.
-LONGEST_NAME = 60
+#: Names of containers that may as well be what a part of an article is about.
+_TOPICS = r"side|head|foot|alert|search|share|sharing|social|related|recommend[^\W_]*|discussion|tags|copyright|legal|subscription"
+_WORD, _NAMED, _TOPIC = (re.compile(x, re.I) for x in (rf"{_NAMES}|{_BESIDE}", _NAMES, _TOPICS))
 #: Names that hold for paragraphs inside of an article too.
-_STRONG = re.compile(r"(?:.*[_-])?(?:ad|ads|adv|advert[^\W_]*|adsense|sponsor[^\W_]*|promo[^\W_]*|comments?|respond|replies|reply|disqus|cookies?|newsletter)(?:[_-].*)?", re.I)
+_STRONG = re.compile(r"ad|ads|adv|advert[^\W_]*|adsense|sponsor[^\W_]*|promo[^\W_]*|comments?|respond|replies|reply|disqus|cookies?|newsletter", re.I)
 _COMMENTS = re.compile(r"comment|respond|repl(?:y|ies)|discussion|disqus", re.I)
 _OUT = ("out", "comments")
+#: Elements that are no container of their own.
+_NO_HOME = _PROSE | {"html", "body", "ul", "ol"}
 #: Elements that hold no article text even if they hold an <article>.
 _CLOSED = ("nav", "aside", "footer", "form")
+#: Elements whose text is a paragraph, though it may be a link as a whole.
+_PARAGRAPH = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "figcaption", "dd"}
+
+
+def _says(name: str, tag: str, in_main: bool) -> str:
+    """What a class or id says of its container: 'comments', 'out', 'maybe' (out where it is mostly links), or ''."""
+    words = re.split(r"[_-]+", name.rstrip("_-"))
+    if not all(map(_WORD.fullmatch, words)):
+        return ""
+    named = [w for w in words if _NAMED.fullmatch(w)]
+    if not named or (in_main and tag in _PROSE and not any(map(_STRONG.fullmatch, named))):
+        return ""
+    if in_main and tag not in _MAIN and all(map(_TOPIC.fullmatch, named)):
+        return "maybe"
+    return "comments" if _COMMENTS.search(name) else "out"
 
 
 def _kind(tag: str, attributes: str, in_main: bool) -> str:
-    """What a container holds: 'out' (no article text), 'comments' (of readers), 'main', or '' (as its parent)."""
+    """What a container holds: 'out' (no article text), 'comments' (of readers), 'main', 'maybe' (no lists of links), or '' (as its parent)."""
+    found = ""
     if tag in _BOILERPLATE or (tag in _HEADER and not in_main):
         return "out"
     if tag not in ("html", "body") and attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             for name in m[2].strip("\"'").split():
-                if len(name) <= LONGEST_NAME and _NAME.fullmatch(name) and not (in_main and tag in _PROSE and not _STRONG.fullmatch(name)):
-                    kind = "comments" if _COMMENTS.search(name) else "out"
-                    if tag not in _MAIN or (kind == "comments" and in_main):  # an article in an article may be a comment on it
-                        return kind
+                kind = _says(name, tag, in_main)
+                if kind == "maybe":
+                    found = kind
+                elif kind and (tag not in _MAIN or (kind == "comments" and in_main)):  # an article in an article may be a comment on it
+                    return kind
                 if m[1].lower() == "role" and name.lower() in ("form", "dialog") and tag not in _MAIN:
                     return "out"
-    return "main" if tag in _MAIN else ""
+    return "main" if tag in _MAIN else found
 
 
 class Open:
     """The elements that are open, with what they say of the text inside of them."""
 
     def __init__(self):
-        self.stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, kind, and of the text inside: may be article text, in <article> or <main>, closed to it
+        # tag, kind, and of the text inside: may be article text, in <article> or <main>, closed to it, no lists of links, its container's number
+        self.stack: list[tuple[str, str, bool, bool, bool, bool, int]] = []
         self.count: dict[str, int] = {}
+        self.containers = 0
 
     def push(self, tag: str, kind: str) -> None:
-        _, _, ok, main, closed = self.stack[-1] if self.stack else ("", "", True, False, False)
+        _, _, ok, main, closed, maybe, home = self.stack[-1] if self.stack else ("", "", True, False, False, False, 0)
+        if tag not in _NO_HOME:
+            self.containers += 1
+            home = self.containers
         # a container that an <article> stands in, or that was left open before it, doesn't swallow it
-        self.stack.append((tag, kind, kind == "main" or (ok and kind not in _OUT), main or kind == "main", closed or kind == "comments" or (kind == "out" and tag in _CLOSED)))
+        ok, closed = kind == "main" or (ok and kind not in _OUT), closed or kind == "comments" or (kind == "out" and tag in _CLOSED)
+        self.stack.append((tag, kind, ok, main or kind == "main", closed, kind != "main" and (maybe or kind == "maybe"), home))
         self.count[tag] = self.count.get(tag, 0) + 1
 
     def pop(self) -> tuple[str, str]:
@@ -101,12 +130,13 @@ class Open:
     def has(self, tag: str) -> bool:
         return self.count.get(tag, 0) > 0
 
-    def state(self) -> tuple[bool, bool]:
-        """Whether text here may be article text, and whether it stands in <article> or <main>."""
+    def state(self) -> tuple[bool, bool, bool, int]:
+        """Whether text here may be article text, whether it stands in <article> or <main>, whether lists of links are none
+        of it, and the number of its container (0: the page)."""
         if not self.stack:
-            return True, False
-        _, _, ok, main, closed = self.stack[-1]
-        return ok and not closed, main
+            return True, False, False, 0
+        _, _, ok, main, closed, maybe, home = self.stack[-1]
+        return ok and not closed, main, maybe, home
 
 
 class Tags:
@@ -167,16 +197,27 @@ class Tags:
             self.at = len(self.page)
 
 
-def lines(page: str) -> list[tuple[str, int, int, bool, bool]]:
-    """Blocks in page order: text, its length, length inside links, whether it may be article text, whether in <article> or <main>."""
-    out: list[tuple[str, int, int, bool, bool]] = []
-    open_, text, links, anchors = Open(), [], 0, 0
+class Line(NamedTuple):
+    text: str
+    ok: bool  # may be article text
+    main: bool  # stands in <article> or <main>
+    links: bool  # mostly links
+    paragraph: bool
+    home: int  # its container
+
+
+def lines(page: str) -> list[Line]:
+    """Blocks in page order."""
+    out: list[Line] = []
+    open_, text, links, anchors, opener = Open(), [], 0, 0, ""
 
     def flush() -> None:
         nonlocal links
         t = " ".join("".join(text).split())
         if t:
-            out.append((t, len(t), links, *open_.state()))
+            ok, main, maybe, home = open_.state()
+            linked = links > LINK_SHARE * len(t)
+            out.append(Line(t, ok and not (maybe and linked), main, linked, opener in _PARAGRAPH, home))
         text.clear()
         links = 0
 
@@ -212,6 +253,7 @@ def lines(page: str) -> list[tuple[str, int, int, bool, bool]]:
         flush()
         if tag in _VOID:
             continue
+        opener = "" if closing else tag
         if tag in _TEXT:
             if closing:
                 if open_.stack and open_.stack[-1][0] == tag:
@@ -232,10 +274,10 @@ def lines(page: str) -> list[tuple[str, int, int, bool, bool]]:
     return out
 
 
-def weights(blocks: list[tuple[str, int, int, bool, bool]]) -> np.ndarray:
+def weights(blocks: list[Line]) -> np.ndarray:
     """What each line adds to the windows that it is in."""
-    has_main = any(ok and main for _, _, _, ok, main in blocks)
-    return np.array([0 if not ok else n + SURGE if main else 0 if has_main or link > LINK_SHARE * n else n for _, n, link, ok, main in blocks], np.int64)
+    has_main = any(b.ok and b.main for b in blocks)
+    return np.array([0 if not b.ok else len(b.text) + SURGE if b.main else 0 if has_main or b.links else len(b.text) for b in blocks], np.int64)
 
 
 def between(weight: np.ndarray) -> np.ndarray:
@@ -253,10 +295,20 @@ def between(weight: np.ndarray) -> np.ndarray:
     return keep
 
 
+def beside(blocks: list[Line], weight: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """`keep`, and lines that share the container of a paragraph kept: those that weigh anything, and paragraphs that are a
+    link as a whole. The page itself is no such container."""
+    if any(b.ok and b.main for b in blocks):
+        return keep
+    homes = {b.home for b, k in zip(blocks, keep.tolist(), strict=True) if k and b.paragraph and b.home}
+    return keep | np.array([b.home in homes and b.ok and (w > 0 or b.paragraph) for b, w in zip(blocks, weight.tolist(), strict=True)], bool)
+
+
 def main_text(page: str | None) -> str:
     """Article text of a page."""
     blocks = lines(page or "")
-    return " ".join(b[0] for b, k in zip(blocks, between(weights(blocks)).tolist(), strict=True) if k)
+    weight = weights(blocks)
+    return " ".join(b.text for b, k in zip(blocks, beside(blocks, weight, between(weight)).tolist(), strict=True) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:

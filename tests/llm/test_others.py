@@ -273,6 +273,14 @@ Q = "Some words of the article that go on for a while."
         (f"<div>{P}</div><div class='site-footer'>Imprint and all</div><div class='cookie-notice'>We use them</div><ul><li><a href='x'>Elsewhere</a></li></ul>", Q),
         (f"<article>{P}<article class='comment' id='comment-5'>Nice post</article></article>", Q),
         (f"<article>{P}</article><div class='comment-list'><article>Nice post</article></div>", Q),
+        (f"<article>{P}<div id='search'>{P}</div><div class='discussion'>{P}</div><section class='social'>{P}</section></article>", " ".join([Q] * 4)),
+        (f"<article>{P}<div class='share'><a href='x'>Post it</a></div><section class='related'><ul><li><a href='x'>More</a></li></ul></section></article>", Q),
+        (f"<article>{P}<div class='site-sidebar-list-widget-area-box-left-inner-wrap-container-top-9'>Elsewhere</div></article>", Q),
+        (f"<article>{P}<div class='{'top-' * 40}sidebar'>Elsewhere</div><div class='{'top-' * 40}'>Here</div></article>", f"{Q} Here"),
+        (f"<article>{P}<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds</p></article>", f"{Q} So x=1 holds"),
+        (f"<div class='content'>{P * 5}<p><a href='x'>A paragraph that is one link</a></p>{P}</div><ul><li><a href='x'>Elsewhere</a></li></ul>", " ".join([Q] * 5 + ["A paragraph that is one link", Q])),
+        (f"<div class='content'><p>{Q * 20}</p><div class='ad'><p>Buy</p><p>this</p><p>now</p></div><p>The end.</p></div><p>Imprint</p>", f"{Q * 20} The end."),
+        (f"<div class='content'><h1>Title</h1><div class='share'><p>a</p><p>b</p><p>c</p></div>{P * 5}</div>", " ".join(["Title"] + [Q] * 5)),
         (f"<div class='content'>{P}</div><div role='search dialog'>Find</div><div role='form'>Name</div>", Q),
     ],
 )

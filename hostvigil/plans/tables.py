@@ -11,6 +11,7 @@ from hostvigil.catalogue import MODELLED, NAMES, feature_dim
 from hostvigil.functions.privacy import hash_identifier, hash_to_number, redact
 from hostvigil.operators.frames import SPARSE
 from hostvigil.operators.incidents import _INCIDENTS_SQL, incidents_of
+from hostvigil.operators.models import _DRIFT_ROWS, dense_drift
 from hostvigil.registry import query, sql_query
 from hostvigil.sources import store
 from hostvigil.sources.fixtures import fixture
@@ -43,10 +44,18 @@ def stored(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+#: What drifted, by check. Retention keeps it for good.
+_DRIFT = f"SELECT host_id, ts FROM {_DRIFT_ROWS} WHERE drifted"
+
+
+def drift_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dense_drift(spark, sf_dir).filter("drifted")
+
+
 def write_bundle(spark: SparkSession, sf_dir: str, root: str) -> dict[str, str]:
     """Each table's rows of the window as JSON under its own folder, probe texts redacted, the schema beside; name -> folder."""
-    tables = stored(spark, sf_dir)
-    since = {"labels": "start_ts", "incidents": "started_at", "samples": "ts", "scores": "ts", "rollups": "ts"}
+    tables = stored(spark, sf_dir) | {"drift": drift_events(spark, sf_dir)}
+    since = {"labels": "start_ts", "incidents": "started_at", "samples": "ts", "scores": "ts", "rollups": "ts", "drift": "ts"}
     parts = {name: rows.filter(F.col(since[name]) >= SINCE) if name in since else rows for name, rows in tables.items()}
     parts["probes"] = parts["probes"].withColumn("detail", F.substring(redact(F.coalesce("detail", F.lit(""))), 1, 200))
     for name, rows in parts.items():  # in ranges of hosts, whatever the size of the fleet
@@ -57,8 +66,8 @@ def write_bundle(spark: SparkSession, sf_dir: str, root: str) -> dict[str, str]:
 
 
 @query(
-    " UNION ALL ".join(f"SELECT '{name}' AS part, count(*) AS n, count(DISTINCT host_id) AS hosts, min(ts) AS oldest, max(ts) AS newest FROM ({sql})" for name, sql in _STORED.items()) + " UNION ALL SELECT 'schema', 39, 0, NULL, NULL UNION ALL SELECT 'config', 6, 0, NULL, NULL",
-    "samples_sparse score_series probe_log bad_windows",
+    " UNION ALL ".join(f"SELECT '{name}' AS part, count(*) AS n, count(DISTINCT host_id) AS hosts, min(ts) AS oldest, max(ts) AS newest FROM ({sql})" for name, sql in (_STORED | {"drift": f"{_DRIFT} AND ts >= {SINCE}"}).items()) + " UNION ALL SELECT 'schema', 39, 0, NULL, NULL UNION ALL SELECT 'config', 6, 0, NULL, NULL",
+    "samples_sparse samples_dense score_series probe_log bad_windows",
 )
 def export_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of a written bundle: rows, hosts and span of each part, counted from its files."""
@@ -124,10 +133,10 @@ _ALL = {name: sql.rsplit(" WHERE", 1)[0] for name, sql in _STORED.items() if nam
 _NEEDED = "samples_sparse score_series probe_log bad_windows"
 
 
-@query(" UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n, min(ts) AS oldest, max(ts) AS newest FROM ({sql})" for name, sql in _ALL.items()), _NEEDED)
+@query(" UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n, min(ts) AS oldest, max(ts) AS newest FROM ({sql})" for name, sql in (_ALL | {"drift": _DRIFT}).items()), f"{_NEEDED} samples_dense")
 def table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and span of every table."""
-    each = [rows.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.min("ts").alias("oldest"), F.max("ts").alias("newest")) for name, rows in stored(spark, sf_dir).items()]
+    each = [rows.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.min("ts").alias("oldest"), F.max("ts").alias("newest")) for name, rows in (stored(spark, sf_dir) | {"drift": drift_events(spark, sf_dir)}).items()]
     return functools.reduce(DataFrame.unionByName, each)
 
 

@@ -21,6 +21,8 @@ from hostvigil.llm.common import only, partitions_for, tidied
 
 #: Text of a part; a task needs about thirty times as much memory.
 PART_BYTES = 8 << 20
+#: Points a part, on average, of which bounds are quantiles; and what a row weighs beside its text.
+POINTS, ROW_BYTES = 2048, 32
 #: Parts of one rank: a part's number is its rank times this, and more.
 SAME_RANK = 1 << 20
 MESSAGE = "part long, bucket int, kind int, body binary"
@@ -30,7 +32,8 @@ _MESSAGE = pa.schema([("part", pa.int64()), ("bucket", pa.int32()), ("kind", pa.
 def parted(docs: DataFrame, part_bytes: int = PART_BYTES, keep: bool = False) -> tuple[DataFrame, int]:
     """part, doc_id, text, with `keep` also `kept` (a struct of all columns but the text, named c0, c1 and so on), and the number of parts.
 
-    The rank of a part (its number over SAME_RANK) is that of a range of doc_ids; null ids come first. An id with more
+    The rank of a part (its number over SAME_RANK) is that of a range of doc_ids; null ids come first. Ranges are cut by
+    bytes: a row stands for as many points as it has text, POINTS for each part, and bounds are quantiles of points. An id with more
     text than a part is a range of its own, dealt to several parts of one rank. The ranges' bounds, 8 bytes for each
     PART_BYTES of text, come to the driver.
     """
@@ -38,7 +41,12 @@ def parted(docs: DataFrame, part_bytes: int = PART_BYTES, keep: bool = False) ->
     n = partitions_for(rows, "text", part_bytes)
     lowest = -(1 << 63)
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest))
-    cuts = (rows.select(F.percentile_approx(id_, [i / n for i in range(1, n)] or [0.5], 10_000).alias("c")).first()["c"] or []) if n > 1 else []
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES
+    step = max(1, (rows.agg(F.sum(size).alias("b")).first()["b"] or 0) // (n * POINTS))
+    points = F.floor((size + F.pmod(F.xxhash64("doc_id", size), F.lit(step))) / step)
+    weighed = rows.select(id_.alias("i"), points.cast("int").alias("p")).filter("p > 0").select("i", F.explode(F.sequence(F.lit(1), "p")))
+    accuracy = min(max(10_000, 20 * n), (1 << 31) - 1)
+    cuts = (weighed.select(F.percentile_approx("i", [i / n for i in range(1, n)] or [0.5], accuracy).alias("c")).first()["c"] or []) if n > 1 else []
     hot = {r["i"]: -(-r["b"] // part_bytes) for r in rows.groupBy(id_.alias("i")).agg(F.sum(F.octet_length("text")).alias("b")).filter(F.col("b") > part_bytes).collect()}
     edges = np.unique(np.array([*cuts, *hot, *(i - 1 for i in hot if i > lowest)], np.int64))
     alone, salts = np.array(sorted(hot), np.int64), np.array([hot[i] for i in sorted(hot)], np.int64)

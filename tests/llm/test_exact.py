@@ -15,7 +15,7 @@ import xxhash
 
 from pyspark.sql import functions as F
 
-from hostvigil.llm import bpe, graph, quality, sharding, simhash, suffix_dedup, suffix_tree_lm
+from hostvigil.llm import bpe, exchange, graph, quality, sharding, simhash, suffix_dedup, suffix_tree_lm
 from tests.llm.conftest import EDGE
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -381,6 +381,15 @@ def test_substring_dedup_with_a_hot_id(make):
     assert got == slow_dedup(docs)
 
 
+def test_parts_are_even_in_bytes(make):
+    """Short rows and rows a thousand times as long in one table: no part has over twice its size."""
+    docs = make([(k, "x" * 100) for k in range(20_000)] + [(20_000 + k, f"{k}" * 20 + "y" * 100_000) for k in range(100)])
+    parts, n = exchange.parted(docs, part_bytes=1 << 20)
+    size = {r["part"]: r["b"] for r in parts.groupBy("part").agg(F.sum(F.octet_length("text")).alias("b")).collect()}
+    assert n >= 12 and max(size.values()) < 2 << 20
+    assert exchange.parted(make([(k, None) for k in range(100)]), part_bytes=1 << 20)[0].select("part").distinct().count() > 1
+
+
 def test_substring_dedup_edges(make):
     docs = [(d, t) for d, t in EDGE if d != 7]
     assert sorted((tuple(r) for r in suffix_dedup.dedup(make(docs)).collect()), key=str) == slow_dedup(docs)

@@ -205,3 +205,33 @@ def test_all_stages(spark):
     assert [t for (h, t), r in got.items() if h == 1 and r.opened] == [205] and [t for (h, t), r in got.items() if h == 1 and r.closed]
     assert got[1, 230].health < 20 < got[1, 329].health and got[1, 10].warming_up and not got[1, 150].warming_up
     assert all(r.coverage == 0 and r.severity == "info" and not r.opened for (h, _), r in got.items() if h == 2)
+
+
+def test_drift_takes_frames_in_blocks_as_one_by_one():
+    """Blocks up to a check leave the windows that single frames leave, with gaps, full rings and paused frames."""
+    ts, x = history(1300, 3)
+    learn = np.random.default_rng(1).random(1300) < 0.9
+    whole, single = L.Ladder(FEATURES, stages=("drift",)), L.Ladder(FEATURES, stages=("drift",))
+    blocks = []
+    take = whole.drift.frames_of
+    whole.drift.frames_of = lambda rows, t: blocks.append(len(rows)) or take(rows, t)
+    got = whole.frames(ts, x, learn)
+    want = [single.frames(ts[i : i + 1], x[i : i + 1], learn[i : i + 1]) for i in range(1300)]
+    assert got[7] == [w[7][0] for w in want] and got[6] == [w[6][0] for w in want]
+    assert len(blocks) <= 1300 * 0.95 / L.DRIFT_EVERY + 2 and max(blocks) == L.DRIFT_EVERY
+    assert np.array_equal(whole.drift.reference.values, single.drift.reference.values)
+
+
+def test_nets_without_their_inputs_cost_nothing(monkeypatch):
+    ts, x = history(200)
+    calls, step = [], L.Net.frame
+    monkeypatch.setattr(L.Net, "frame", lambda self, inputs, learn=True: calls.append(len(inputs)) or step(self, inputs, learn))
+    L.Ladder(FEATURES, stages=("l2",)).frames(ts, x)
+    full = int((~np.isnan(x[:, :3]).any(1)).sum())
+    assert sorted(calls) == [3] * full + [6] * 200  # of six layers only the gateway is measured; the last is the joint net
+
+
+def test_few_hosts_share_no_partition(spark):
+    for kind in ("int", "bigint"):
+        frames = L.by_host(spark.range(16).selectExpr(f"CAST(id AS {kind}) AS host_id"))
+        assert frames.rdd.glom().map(len).filter(lambda n: n > 1).isEmpty()

@@ -1,71 +1,74 @@
-"""Count-based windows of a feature as data: at every check the last values, and those before them.
+"""Count-based windows of a feature: at every check the last values, and those before them, and how far the two part.
 
-Values are put into blocks of BLOCK by their number; a check fetches the few blocks that its windows reach into and cuts
-them to size, so a value is copied once for each check that sees it and no task holds more of a host than that. The
-population stability index of the two windows is a column expression.
+A host's frames are read once in order of time by a task that holds the two windows of each feature (see `ladder.scan`), so
+no value is copied for the checks that see it, and what a check tells leaves the task instead of its windows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from hostvigil.operators import ladder as L
 from hostvigil.operators.frames import OFF_TIES, limit_of
 from hostvigil.operators.ladder import DRIFT_EVERY, DRIFT_MIN, RECENT_SIZE, REFERENCE_SIZE
-from hostvigil.operators.models import LEARNED, _lanes_sql
+from hostvigil.operators.models import LEARNED, _lanes_sql, learned_frames
+from hostvigil.operators.trailing import Trailing
 from hostvigil.registry import query
 from hostvigil.sources.fixtures import fixture
 
-BLOCK = 60
-
-
-def check_windows(values: DataFrame, every: int = DRIFT_EVERY, recent: int = RECENT_SIZE, reference: int = REFERENCE_SIZE) -> DataFrame:
-    """host_id, feature, ts, `recent` and `reference` (arrays, oldest first) at every `every`-th frame of a host, from a row
-    a frame and feature (host_id, feature, ts, x); frames without a value count as frames only."""
-    by = Window.partitionBy("host_id", "feature").orderBy("ts")
-    both = recent + reference
-    rows = values.select("host_id", "feature", "ts", "x", F.row_number().over(by).alias("i"), F.count("x").over(by).alias("k"))
-    blocks = rows.filter("x IS NOT NULL").groupBy("host_id", "feature", F.floor((F.col("k") - 1) / BLOCK).alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda v: v["x"]).alias("part"))
-    oldest = F.greatest(F.lit(0), F.floor((F.col("k") - both) / BLOCK)).cast("long")
-    checks = rows.filter((F.col("i") % every == 0) & (F.col("k") > 0)).select("host_id", "feature", "ts", "k", oldest.alias("oldest"))
-    each = checks.withColumn("block", F.explode(F.sequence("oldest", F.floor((F.col("k") - 1) / BLOCK))))
-    met = each.join(blocks, ["host_id", "feature", "block"]).groupBy("host_id", "feature", "ts", "k", "oldest").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "part"))), lambda b: b["part"])).alias("all"))
-    cut = lambda low, high: F.slice("all", (F.greatest(low, F.lit(0)) - F.col("oldest") * BLOCK + 1).cast("int"), (F.greatest(high, F.lit(0)) - F.greatest(low, F.lit(0))).cast("int"))  # noqa: E731  values low + 1 to high
-    k = F.col("k")
-    return met.select("host_id", "feature", "ts", cut(k - recent, k).alias("recent"), cut(k - both, k - recent).alias("reference"))
-
-
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """`then` of a value that is worked out once, however often it is used."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
-def psi(reference: Column, recent: Column) -> Column:
-    """Population stability index over the reference's decile edges; 0 where a window has fewer than two values."""
-    n = F.size(reference)
-
-    def edge(ordered: Column, q: Column) -> Column:
-        place = q * (n - 1) / 10
-        low = F.floor(place)
-        at = lambda i: F.get(ordered, i.cast("int"))
-        return at(low) * (1 - (place - low)) + at(F.least(low + 1, n - 1)) * (place - low)
-
-    def share(values: Column, low: Column, high: Column) -> Column:
-        inside = F.filter(values, lambda v: (low.isNull() | (v > low)) & (high.isNull() | (v <= high)))
-        return F.greatest(F.size(inside) / F.size(values), F.lit(1e-4))
-
-    def term(low: Column, high: Column) -> Column:
-        return _let(share(recent, low, high), lambda a: _let(share(reference, low, high), lambda e: (a - e) * F.log(a / e)))
-
-    def over(edges: Column) -> Column:
-        none = F.array(F.lit(None).cast("double"))
-        bins = F.zip_with(F.concat(none, edges), F.concat(edges, none), term)
-        return F.aggregate(bins, F.lit(0.0), lambda s, x: s + x)
-
-    edges = lambda ordered: F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda q: edge(ordered, q))))
-    return F.when((n >= 2) & (F.size(recent) >= 2), _let(F.array_sort(reference), lambda ordered: _let(edges(ordered), over))).otherwise(0.0)
+_CHECK = [("feature", T.StringType(), pa.string()), ("nr", T.LongType(), pa.int64()), ("nf", T.LongType(), pa.int64()), *[(n, T.DoubleType(), pa.float64()) for n in ("recent_mean", "reference_mean", "psi")]]
+_ADDED = [T.StructField("checks", T.ArrayType(T.StructType([T.StructField(n, t) for n, t, _ in _CHECK])))]
+_ARROW = pa.list_(pa.struct([(n, t) for n, _, t in _CHECK]))
+
+
+class Windows:
+    """The two windows of each feature of a host; a column a feature."""
+
+    def __init__(self, features: list[str], every: int, recent: int, reference: int, least: int):
+        self.features, self.every, self.least, self.frames = features, every, least, 0
+        self.recent, self.reference = L.Rings(recent, len(features)), L.Rings(reference, len(features))
+
+    def step(self, x: np.ndarray) -> dict[int, list[dict]]:
+        """By the number of the frame in x what its check tells of the features that have enough values."""
+        out, a = {}, 0
+        while a < len(x):
+            b = min(len(x), a + self.every - self.frames % self.every, a + len(self.recent.values), a + len(self.reference.values))
+            self.reference.push(self.recent.push(x[a:b]))
+            self.frames += b - a
+            a = b
+            if self.frames % self.every == 0:
+                out[b - 1] = self.check()
+        return out
+
+    def check(self) -> list[dict]:
+        sizes = np.stack((self.recent.count, self.reference.count), 1)
+        told = {}
+        for n, m in {tuple(v) for v in sizes.tolist() if min(v) >= self.least}:  # features of windows of the same sizes at once
+            at = np.flatnonzero((sizes == (n, m)).all(1))
+            recent, reference = self.recent.values[:n, at], self.reference.values[:m, at]
+            values = zip(recent.mean(0).tolist(), reference.mean(0).tolist(), L.psi(reference, recent).tolist())
+            told |= {k: (self.features[k], n, m, *v) for k, v in zip(at.tolist(), values)}
+        return [dict(zip((c for c, _, _ in _CHECK), told[k])) for k in sorted(told)]
+
+
+def check_windows(frames: DataFrame, features: list[str], limits: list[float] | None = None, every: int = DRIFT_EVERY, recent: int = RECENT_SIZE, reference: int = REFERENCE_SIZE, least: int = DRIFT_MIN) -> DataFrame:
+    """host_id, feature, ts, sizes (nr, nf) and means of the two windows and their PSI at every `every`-th frame of a host, where
+    both have `least` values or more; from the double columns `features`, whose missing values count as frames only. With
+    `limits` each feature's last value counts again while it is no older than its limit."""
+
+    def step(state: tuple[Trailing, Windows], rows: pa.RecordBatch) -> list[pa.Array]:
+        trailing, windows = state
+        x = np.stack([rows.column(f).to_numpy(zero_copy_only=False).astype(float) for f in features], 1)
+        x = x if limits is None else trailing.carry(rows.column("ts").to_numpy(), x)
+        checks = windows.step(x)
+        return [pa.array([checks.get(i) for i in range(len(x))], _ARROW)]
+
+    scanned = L.scan(frames, lambda: (Trailing(limits or [], 0, ()), Windows(features, every, recent, reference, least)), step, _ADDED, keep=["host_id", "ts"])
+    return scanned.filter("checks IS NOT NULL").select("host_id", "ts", F.explode("checks").alias("c")).select("host_id", "c.feature", "ts", "c.nr", "c.nf", "c.recent_mean", "c.reference_mean", "c.psi")
 
 
 def _psi_sql(recent: str, reference: str) -> str:
@@ -85,10 +88,5 @@ _WINDOWS = f"""(WITH r AS MATERIALIZED (SELECT * FROM {_lanes_sql()}), xs AS (SE
 @query(f"SELECT * FROM {_WINDOWS}", "samples_dense")
 def drift_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The windows of every feature at every check, and how far they part, as long as no drift starts them anew."""
-    rows = fixture(spark, sf_dir, "samples_dense").select("host_id", "ts", *[F.col(f).cast("double").alias(f) for f in LEARNED])
-    until_now = Window.partitionBy("host_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    alive = {f: F.when(F.col("ts") - F.last(F.when(F.col(f).isNotNull(), F.col("ts")), ignorenulls=True).over(until_now) <= limit_of(f), F.last(f, ignorenulls=True).over(until_now)) for f in LEARNED}
-    values = rows.select("host_id", "ts", *[x.alias(f) for f, x in alive.items()]).unpivot(["host_id", "ts"], LEARNED, "feature", "x")
-    w = check_windows(values).filter((F.size("recent") >= DRIFT_MIN) & (F.size("reference") >= DRIFT_MIN))
-    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x) / F.size(c)
-    return w.select("host_id", "feature", "ts", F.size("recent").cast("long").alias("nr"), F.size("reference").cast("long").alias("nf"), F.round(mean("recent") + OFF_TIES, 6).alias("recent_mean"), F.round(mean("reference") + OFF_TIES, 6).alias("reference_mean"), F.round(psi(F.col("reference"), F.col("recent")) + OFF_TIES, 6).alias("psi"))
+    w = check_windows(learned_frames(fixture(spark, sf_dir, "samples_dense")), LEARNED, [limit_of(f) for f in LEARNED])
+    return w.select("host_id", "feature", "ts", "nr", "nf", *[F.round(F.col(c) + OFF_TIES, 6).alias(c) for c in ("recent_mean", "reference_mean", "psi")])

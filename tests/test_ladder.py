@@ -235,3 +235,23 @@ def test_few_hosts_share_no_partition(spark):
     for kind in ("int", "bigint"):
         frames = L.by_host(spark.range(16).selectExpr(f"CAST(id AS {kind}) AS host_id"))
         assert frames.rdd.glom().map(len).filter(lambda n: n > 1).isEmpty()
+
+
+def test_windows_are_those_of_a_slice_and_need_one_shuffle(spark):
+    """Checks against plain slices of the values; no value is copied: the plan has one exchange and no join."""
+    from hostvigil.operators.windows import check_windows
+
+    ts, x = history(400, 5)
+    rows = [(1, float(t), *(None if math.isnan(v) else float(v) for v in r)) for t, r in zip(ts, x[:, :2])]
+    out = check_windows(spark.createDataFrame(rows, "host_id long, ts double, a double, b double"), ["a", "b"], None, 7, 30, 50, 20)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Window" not in plan
+    want = {}
+    for k, f in enumerate("ab"):
+        for i in range(6, 400, 7):
+            seen = [v for v in x[: i + 1, k].tolist() if not math.isnan(v)]
+            recent, reference = seen[-30:], seen[-80:-30]
+            if min(len(recent), len(reference)) >= 20:
+                want[f, ts[i]] = (len(recent), len(reference), np.mean(recent), np.mean(reference), float(L.psi(np.array(reference), np.array(recent))))
+    got = {(r.feature, r.ts): tuple(r)[3:] for r in out.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-12) for k in want)

@@ -9,7 +9,8 @@ distinct fingerprints.
 For 64-bit fingerprints at few bits (`near_duplicates`) the groups are exact: two at `radius` or fewer differing bits
 agree wholly on two of radius + 2 blocks, so each goes to one group for each pair of blocks. Whole near copies at a
 similarity of 0.8 (`keep_one`) differ in more bits than blocks can be exact for: there fingerprints have 128 bits and
-go to groups by sets of bits (`Bands`) whose width follows the size of the corpus.
+go to groups by sets of bits (`Bands`) whose width follows the size of the corpus. These propose most pairs, and
+`prefix_join` all that they leave out, so no pair is lost.
 
 Null text counts as empty (fingerprint zero), as long texts are taken whole. Rows with a null doc_id take part; their
 component is the smallest doc_id reached, or null. Repeated rows share a fingerprint. Extra columns may have any name.
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 
 from hostvigil.llm.common import bounded, materialize, only, read_table, text_batches, tidied, unused
 from hostvigil.llm.graph import components, stars
+from hostvigil.llm.prefix_join import prefix_links
 
 SEED = 42
 #: Bits of the fingerprints of `keep_one`, unlike codes in a group, and the share of pairs at the similarity asked for that meet.
@@ -384,7 +386,7 @@ def _heads(similarity: float):
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, block: int = 1 << 20) -> DataFrame:
     """The rows of `docs`, with all their columns, less near copies: one row of each group of copies stays.
 
-    Fingerprints only propose; a document goes if its text equals an earlier one's or if the Jaccard similarity of its
+    Fingerprints and shared rare shingles (`prefix_links`, which leaves no pair of `similarity` out) only propose; a document goes if its text equals an earlier one's or if the Jaccard similarity of its
     shingles with an earlier document of its component that stays is `similarity` or more (order: doc_id, hash; null
     doc_ids last). Components run side by side. One of more than `block` shingles is judged block by block: its first
     open documents among themselves in one task, then the others against those that stay, in parts of about `block`
@@ -399,7 +401,11 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, block: int
     code = keys.select("doc_id", "hash", wide_fingerprint_column(F.col("text"), size).alias("code"))
     marked = materialize(code.select("doc_id", "hash", "code.hi", "code.lo", F.xxhash64("code.hi", "code.lo").alias("node")))
     first = materialize(marked.groupBy("node", "hi", "lo", "hash").agg(F.min("doc_id").alias("doc_id")))  # equal texts are one
-    found = components(likely_links(materialize(first.select("node", "hi", "lo").distinct()), similarity))
+    texts = keys.join(bounded(first), ["doc_id", "hash"]).select(F.col("hash").alias("id"), "text")
+    met = prefix_links(texts, lambda t: shingle_hashes(t, size), similarity)
+    node_of = first.select("hash", "node")
+    met = met.join(node_of.toDF("a", "x"), "a").join(node_of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    found = components(likely_links(materialize(first.select("node", "hi", "lo").distinct()), similarity).unionByName(met))
     twins = first.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node", F.col("node").alias("label"))
     named = found.union(twins.join(found, "node", "left_anti"))  # a code of several texts is a component too
     open_ = materialize(first.join(bounded(materialize(named)), "node").select("doc_id", "hash", "label"))

@@ -15,7 +15,7 @@ import xxhash
 
 from pyspark.sql import functions as F
 
-from hostvigil.llm import bpe, exchange, graph, quality, sharding, simhash, suffix_dedup, suffix_tree_lm
+from hostvigil.llm import bpe, exchange, graph, prefix_join, quality, sharding, simhash, suffix_dedup, suffix_tree_lm
 from tests.llm.conftest import EDGE
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -176,6 +176,31 @@ def test_keep_one(make):
     assert simhash.keep_one(make([])).count() == 0
 
 
+def test_keep_one_leaves_no_pair_out(make):
+    rng = random.Random(9)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(600)]
+    short = [t[:49] for t in texts]  # 45 of 56 shingles: 0.8036
+    apart = [t[:48] for t in texts[:50]]  # 44 of 56 are too few, 44 of 45 are not
+    rows = [(3 * i, " ".join(t)) for i, t in enumerate(texts)] + [(3 * i + 1, " ".join(t)) for i, t in enumerate(short)]
+    alone = [(10_000 + i, " ".join(rng.sample(t[:48], 48))) for i, t in enumerate(apart)]
+    got = {r.doc_id for r in simhash.keep_one(make(rows + alone)).select("doc_id").collect()}
+    assert got == {3 * i for i in range(600)} | {d for d, _ in alone}
+    apart_rows = [(3 * i, " ".join(t)) for i, t in enumerate(texts[:50])] + [(3 * i + 1, " ".join(t)) for i, t in enumerate(apart)]
+    assert simhash.keep_one(make(apart_rows)).count() == 100
+
+
+def test_prefix_links_connect_what_is_similar_and_little_else(spark):
+    rng = random.Random(4)
+    line = [f"c{i}" for i in range(30)]  # a passage that all share
+    texts = [(i, " ".join(line + [f"w{rng.randrange(10**6)}" for _ in range(30)])) for i in range(200)]
+    texts += [(1000 + i, " ".join(texts[i][1].split()[:-11])) for i in range(100)]
+    found = prefix_join.prefix_links(spark.createDataFrame(texts, "id long, text string"), lambda t: simhash.shingle_hashes(t, 5), 0.8)
+    label = {}
+    for a, b in ((r.a, r.b) for r in found.collect()):
+        label.setdefault(b, {b}).add(a)
+    assert sorted(sorted(x) for x in label.values()) == [[i, 1000 + i] for i in range(100)]
+
+
 def test_keep_one_removes_only_near_copies(table, rows):
     left = {r.doc_id for r in simhash.keep_one(table).select("doc_id").collect()}
     texts = {d: t for d, t, *_ in rows}

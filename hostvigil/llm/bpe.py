@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from hostvigil.llm.common import only, read_table, row_chunks, tidied
+from hostvigil.llm.common import KEPT, only, read_table, row_chunks, tidied
 
 #: Entries in each of the two generations of a task's caches: when the young one is full it becomes the old one.
 CACHE_PIECES, CACHE_WORDS = 30_000, 80_000
@@ -284,6 +284,7 @@ def glued(parts: list[tuple[int, str, str]]) -> tuple[int, str, str]:
 
 
 _encoders: dict[tuple, TrieEncoder] = {}
+KEPT["bpe"] = _encoders.clear
 
 
 def encoder(path: str, *show: Callable) -> TrieEncoder:
@@ -309,7 +310,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             got = enc.encode_batch([t or "" for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([[i for p in t for i in p] for t in got], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return only(docs, doc_id="long", text="string").mapInArrow(tidied(run), "doc_id long, ids array<int>")
+    return only(docs, doc_id="long", text="string").mapInArrow(tidied(run, "bpe"), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -321,7 +322,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([enc.decode(t or []) for t in b.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(tidied(run), "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidied(run, "bpe"), "doc_id long, text string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -340,7 +341,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         enc.release()
 
-    return only(docs, doc_id="long", text="string").mapInArrow(tidied(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return only(docs, doc_id="long", text="string").mapInArrow(tidied(run, "bpe"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

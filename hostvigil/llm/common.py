@@ -66,6 +66,17 @@ def row_chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int
             yield batch.slice(start)
 
 
+#: By operator, how to drop what a worker process keeps for the next task of the same operator.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def forget(but: str = "") -> None:
+    """Drop what other operators than `but` keep in this worker process: Spark hands its workers round."""
+    for name, drop in KEPT.items():
+        if name != but:
+            drop()
+
+
 def tidy() -> None:
     """Give freed memory back to the system: Spark keeps idle Python workers for later tasks."""
     gc.collect()
@@ -75,22 +86,26 @@ def tidy() -> None:
         trim(0)
 
 
-def tidied(f: Callable) -> Callable:
-    """`f`, a function of a batch, a group or two groups, or a generator over batches, followed by `tidy`."""
+def tidied(f: Callable, keeps: str = "") -> Callable:
+    """`f`, a function of a batch, a group or two groups, or a generator over batches, followed by `tidy`; what other
+    operators than `keeps` left in the worker is dropped first."""
 
     def stream(batches):
+        forget(keeps)
         try:
             yield from f(batches)
         finally:
             tidy()
 
     def one(x):
+        forget(keeps)
         try:
             return f(x)
         finally:
             tidy()
 
     def two(x, y):
+        forget(keeps)
         try:
             return f(x, y)
         finally:

@@ -62,7 +62,8 @@ def _glue(a: np.ndarray, b: np.ndarray, at: int, size: int) -> np.ndarray:
 class Parse:
     """Phrases of a part: for each, the first and last start of its stretches, its document, trigger and phrase hash."""
 
-    def __init__(self, docs: pa.Table):
+    def __init__(self, docs: pa.Table, strings: bool = True):
+        """Without `strings` the hashes of all LENGTH bytes, eight times the text, are not kept."""
         ids = docs.column("doc_id").combine_chunks()
         # null first, then by id; repeated ids in the order of their texts, so that every attempt sees the same order
         rows = [(i is not None, i or 0, (t or "").encode("utf-8", "surrogatepass"), k) for k, (i, t) in enumerate(zip(ids.to_pylist(), docs.column("text").to_pylist(), strict=True))]
@@ -75,13 +76,13 @@ class Parse:
         self.rank = np.cumsum(np.array(new, np.int64))  # equal for equal ids
         size = np.array([len(t) for t in self.texts], np.int64)
         self.begin = np.concatenate(([0], np.cumsum(size)))
-        self.hash = np.zeros(int(self.begin[-1]), np.uint64)  # of the LENGTH bytes from here
+        self.hash = np.zeros(int(self.begin[-1]), np.uint64) if strings else None  # of the LENGTH bytes from here
+        del rows
         got = [self._block(a, b) for a, b in self._blocks(size)]
-        first, last, trigger = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.uint64 if k == 2 else np.int64) for k in range(3))
+        first, last, trigger, self.phrase = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.uint64 if k >= 2 else np.int64) for k in range(4))
+        del got
         self.first, self.last, self.trigger = first, last, trigger
         self.doc = np.searchsorted(self.begin, first, side="right") - 1
-        width = (last - first).astype(np.uint64)
-        self.phrase = _mix(self.hash[first] * _U(0xC2B2AE3D27D4EB4F) + self.hash[last] * _U(0x165667B19E3779F9) + width)
         # the part's dictionary, in the order in which it is sent
         self.key, self.code = trigger & _40, self.phrase & _40
         self.bucket_hash = trigger >> _U(40)
@@ -96,13 +97,13 @@ class Parse:
         if held:
             yield a, len(size)
 
-    def _block(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _block(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Phrases of documents a to b - 1."""
         offset = int(self.begin[a])
         text = np.frombuffer(b"".join(self.texts[a:b]), np.uint8)
         empty = np.zeros(0, np.int64)
         if len(text) < LENGTH:
-            return empty, empty, np.zeros(0, np.uint64)
+            return empty, empty, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         h1 = _TABLE[text]
         h2 = _glue(h1, h1, 1, 1)
         h4 = _glue(h2, h2, 2, 2)
@@ -117,18 +118,21 @@ class Parse:
         step = LENGTH - TRIGGER + 1 - 16
         v = np.minimum(v[:-step], v[step:])
         owner = (v & _LOW).astype(np.int64)
-        self.hash[offset : offset + len(whole)] = whole
+        if self.hash is not None:
+            self.hash[offset : offset + len(whole)] = whole
         inside = np.zeros(len(text), bool)  # starts of stretches that don't leave their document
         for s, e in zip((self.begin[a:b] - offset).tolist(), (self.begin[a + 1 : b + 1] - offset).tolist(), strict=True):
             if e - s >= LENGTH:
                 inside[s : e - LENGTH + 1] = True
         p = np.flatnonzero(inside)
         if not len(p):
-            return empty, empty, np.zeros(0, np.uint64)
+            return empty, empty, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         o = owner[p]
         cut = np.flatnonzero(np.diff(o)) + 1
         first, last = np.concatenate(([0], cut)), np.concatenate((cut - 1, [len(p) - 1]))
-        return p[first] + offset, p[last] + offset, gram[o[first]]
+        first, last, trigger = p[first], p[last], gram[o[first]]
+        phrase = _mix(whole[first] * _U(0xC2B2AE3D27D4EB4F) + whole[last] * _U(0x165667B19E3779F9) + (last - first).astype(np.uint64))
+        return first + offset, last + offset, trigger, phrase
 
     def dictionary(self, n: int) -> None:
         """Sort the phrases: `order` by (bucket, trigger, phrase, document), `entry` of each phrase, `head` of each entry."""
@@ -140,6 +144,7 @@ class Parse:
         self.head = self.order[new]
         self.entry = np.empty(len(k), np.int64)
         self.entry[self.order] = np.cumsum(new) - 1
+        del self.order
 
     def suffixes(self, entries: np.ndarray, n: int) -> None:
         """Sort the suffixes of LENGTH bytes and more of these entries' phrases, each phrase taken where it comes first."""
@@ -186,8 +191,8 @@ def _slices(bucket: np.ndarray):
 
 def _send_phrases(n: int):
     def emit(docs: pa.Table) -> list[tuple[int, int, int, bytes]]:
-        p = Parse(docs)
-        del p.hash, p.texts
+        p = Parse(docs, strings=False)
+        del p.texts
         p.dictionary(n)
         return [(p.part, q, PHRASES, _five(p.key[p.head[a:b]]) + _five(p.code[p.head[a:b]])) for q, a, b in _slices(p.bucket[p.head])]
 

@@ -15,7 +15,7 @@ import xxhash
 
 from pyspark.sql import functions as F
 
-from hostvigil.llm import bpe, exchange, graph, prefix_join, quality, sharding, simhash, suffix_dedup, suffix_tree_lm
+from hostvigil.llm import bpe, common, exchange, graph, prefix_join, quality, sharding, simhash, suffix_dedup, suffix_tree_lm
 from tests.llm.conftest import EDGE
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -573,3 +573,20 @@ def test_stages_keep_columns_of_any_name(make, stage):
     rows = got.collect()
     assert {r["doc_id"] for r in rows} >= set(range(12))
     assert all([r[c] for c in names] == list(range(len(names))) for r in rows)
+
+
+def test_phrases_need_no_hashes_of_all_strings(table, rows):
+    import pyarrow as pa
+
+    docs = pa.table({"part": pa.array([0] * len(rows), pa.int64()), "doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows]})
+    bare, full = suffix_dedup.Parse(docs, strings=False), suffix_dedup.Parse(docs)
+    assert bare.hash is None and len(full.hash) == full.begin[-1]
+    assert all(np.array_equal(getattr(bare, c), getattr(full, c)) for c in ("first", "last", "trigger", "phrase", "doc"))
+
+
+def test_a_task_of_another_operator_drops_the_encoder():
+    bpe.encoder(bpe.default_tokenizer())
+    list(common.tidied(lambda batches: (yield from batches), "bpe")([1]))
+    assert bpe._encoders
+    list(common.tidied(lambda batches: (yield from batches))([1]))
+    assert not bpe._encoders

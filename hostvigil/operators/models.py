@@ -71,9 +71,12 @@ def drift_rows(climbed: DataFrame) -> DataFrame:
 
 def combine(values: Column) -> Column:
     """Anomaly of an array of contributions: the largest, and a share of the next three."""
-    s = F.reverse(F.array_sort(F.filter(values, lambda x: x > 0.01)))
-    rest = sum((F.coalesce(F.get(s, k), F.lit(0.0)) for k in (1, 2, 3)), F.lit(0.0))
-    return F.when(F.size(s) == 0, 0.0).otherwise(F.least(F.lit(1.0), (F.get(s, 0) + 0.35 * rest / 3) / 3))
+    def of(s: Column) -> Column:
+        rest = sum((F.coalesce(F.get(s, k), F.lit(0.0)) for k in (1, 2, 3)), F.lit(0.0))
+        return F.when(F.size(s) == 0, 0.0).otherwise(F.least(F.lit(1.0), (F.get(s, 0) + 0.35 * rest / 3) / 3))
+
+    # as a variable, the sorted array is made once and not for each of its places
+    return F.get(F.transform(F.array(F.sort_array(F.filter(values, lambda x: x > 0.01), asc=False)), of), 0)
 
 
 _SMOOTHED = [T.StructField(n, T.DoubleType()) for n in ("risk", "smoothed", "health")]

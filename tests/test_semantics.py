@@ -41,3 +41,14 @@ def test_privacy(spark):
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(redact(F.col("t")).alias("r"), hash_identifier(F.col("t"), salt).alias("h"), hash_to_number(F.col("t"), salt).alias("n")).collect()
     assert [r.r for r in got] == ["from <mac> to <ip>", "token=<redacted> x", "SSID=<redacted> next", None]
     assert got[0].h == hmac.new(salt, texts[0].encode(), hashlib.sha256).hexdigest()[:12] and got[0].n == float(int(got[0].h, 16)) and got[3].h is None and got[3].n == 0.0
+
+
+def test_contributions_are_sorted_once(spark):
+    from pyspark.sql import functions as F
+
+    from hostvigil.operators.models import combine
+
+    values = spark.createDataFrame([([3.0, None, 0.3, 0.005, 0.6, 0.9, 0.1],), ([0.01, None],), ([],)], "v array<double>")
+    got = values.select(combine(F.col("v")).alias("a"))
+    assert [round(r.a, 9) for r in got.collect()] == [1.0, 0.0, 0.0]
+    assert str(combine(F.col("v"))).count("0.01") == 1

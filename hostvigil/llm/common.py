@@ -47,9 +47,12 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def partitions_for(df: DataFrame, column: str, target_bytes: int) -> int:
     """Number of parts that keeps each near target_bytes of `column`, and at least the session's shuffle partitions."""
-    spark = df.sparkSession
-    total = df.agg(F.sum(F.octet_length(column)).alias("b")).first()["b"] or 0
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // target_bytes), 1)
+    return parts_for(df.sparkSession, df.agg(F.sum(F.octet_length(column)).alias("b")).first()["b"], target_bytes)
+
+
+def parts_for(spark: SparkSession, total: int | None, target_bytes: int) -> int:
+    """`partitions_for` of a column of `total` bytes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // target_bytes), 1)
 
 
 def row_chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:

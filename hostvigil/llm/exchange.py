@@ -14,41 +14,50 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostvigil.llm.common import only, partitions_for, tidied
+from hostvigil.llm.common import materialize, only, partitions_for, parts_for, tidied
 
 #: Text of a part; a task needs about thirty times as much memory.
 PART_BYTES = 8 << 20
-#: Points a part, on average, of which bounds are quantiles; and what a row weighs beside its text.
-POINTS, ROW_BYTES = 2048, 32
+#: What a row weighs beside its text.
+ROW_BYTES = 32
 #: Parts of one rank: a part's number is its rank times this, and more.
 SAME_RANK = 1 << 20
 MESSAGE = "part long, bucket int, kind int, body binary"
 _MESSAGE = pa.schema([("part", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("body", pa.binary())])
 
 
+def _cuts(sizes: DataFrame, n: int) -> list[int]:
+    """The last ids of n ranges near equal in size, from a row an id: sorted by ranges, summed in each, and shifted by the sums before it."""
+    ranged = materialize(sizes.select("i", "size").repartitionByRange("i").withColumn("r", F.spark_partition_id()))
+    sums = sorted((r["r"], r["s"]) for r in ranged.groupBy("r").agg(F.sum("size").alias("s")).collect())  # a row a task
+    if n < 2 or not sums:
+        return []
+    before = np.cumsum([0, *(s for _, s in sums)]).tolist()
+    shifts = sizes.sparkSession.createDataFrame([(r, b) for (r, _), b in zip(sums, before)], "r int, before long").hint("broadcast")
+    upto = F.col("before") + F.sum("size").over(Window.partitionBy("r").orderBy("i"))
+    nth = lambda at: F.floor(at / (before[-1] / n))
+    ends = ranged.join(shifts, "r").select("i", "size", upto.alias("upto")).filter(nth(F.col("upto")) > nth(F.col("upto") - F.col("size")))
+    return [r["i"] for r in ends.collect()]
+
+
 def parted(docs: DataFrame, part_bytes: int = PART_BYTES, keep: bool = False) -> tuple[DataFrame, int]:
     """part, doc_id, text, with `keep` also `kept` (a struct of all columns but the text, named c0, c1 and so on), and the number of parts.
 
     The rank of a part (its number over SAME_RANK) is that of a range of doc_ids; null ids come first. Ranges are cut by
-    bytes: a row stands for as many points as it has text, POINTS for each part, and bounds are quantiles of points. An id with more
-    text than a part is a range of its own, dealt to several parts of one rank. The ranges' bounds, 8 bytes for each
-    PART_BYTES of text, come to the driver.
+    bytes, where the running sum of the ids' sizes reaches a part's share. An id with more text than a part is a range of
+    its own, dealt to several parts of one rank. The ranges' bounds, 8 bytes for each PART_BYTES of text, come to the driver.
     """
     rows = only(docs, doc_id="long", text="string")
-    n = partitions_for(rows, "text", part_bytes)
     lowest = -(1 << 63)
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest))
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES
-    step = max(1, (rows.agg(F.sum(size).alias("b")).first()["b"] or 0) // (n * POINTS))
-    points = F.floor((size + F.pmod(F.xxhash64("doc_id", size), F.lit(step))) / step)
-    weighed = rows.select(id_.alias("i"), points.cast("int").alias("p")).filter("p > 0").select("i", F.explode(F.sequence(F.lit(1), "p")))
-    accuracy = min(max(10_000, 20 * n), (1 << 31) - 1)
-    cuts = (weighed.select(F.percentile_approx("i", [i / n for i in range(1, n)] or [0.5], accuracy).alias("c")).first()["c"] or []) if n > 1 else []
-    hot = {r["i"]: -(-r["b"] // part_bytes) for r in rows.groupBy(id_.alias("i")).agg(F.sum(F.octet_length("text")).alias("b")).filter(F.col("b") > part_bytes).collect()}
-    edges = np.unique(np.array([*cuts, *hot, *(i - 1 for i in hot if i > lowest)], np.int64))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    sizes = materialize(rows.groupBy(id_.alias("i")).agg(F.sum(size).alias("text"), F.sum(size + ROW_BYTES).alias("size")))
+    n = parts_for(docs.sparkSession, sizes.agg(F.sum("text").alias("b")).first()["b"], part_bytes)
+    hot = {r["i"]: -(-r["text"] // part_bytes) for r in sizes.filter(F.col("text") > part_bytes).collect()}
+    edges = np.unique(np.array([*_cuts(sizes, n), *hot, *(i - 1 for i in hot if i > lowest)], np.int64))
     alone, salts = np.array(sorted(hot), np.int64), np.array([hot[i] for i in sorted(hot)], np.int64)
 
     def number(ids: pd.Series, hashes: pd.Series) -> pd.Series:

@@ -325,9 +325,9 @@ def dedup(docs: DataFrame, keep: bool = False, part_bytes: int | None = None) ->
     With `keep`: the kept text instead of its hash, and `kept`, a struct of the row's other columns (c0, c1 and so on; text is null). The kept text leaves out bytes of characters that were cut in two.
     """
     parts, n = parted(docs, part_bytes or PART_BYTES, keep)
-    bare = parts.select("part", "doc_id", "text")
-    phrases = answer(send(bare, _send_phrases(n)), _answer_phrases)
-    strings = answer(meet(bare, phrases, _send_suffixes(n), MESSAGE), _answer_suffixes)
+    # all three passes read the same columns, so that the texts are shuffled once
+    phrases = answer(send(parts, _send_phrases(n)), _answer_phrases)
+    strings = answer(meet(parts, phrases, _send_suffixes(n), MESSAGE), _answer_suffixes)
     fields = [T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")]
     fields += [T.StructField("text", T.StringType()), parts.schema["kept"]] if keep else [T.StructField("kept_sha256", T.StringType())]
     return meet(parts, phrases.unionByName(strings), _digest(n, keep), T.StructType(fields))

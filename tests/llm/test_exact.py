@@ -415,6 +415,24 @@ def test_parts_are_even_in_bytes(make):
     assert exchange.parted(make([(k, None) for k in range(100)]), part_bytes=1 << 20)[0].select("part").distinct().count() > 1
 
 
+def test_parts_make_no_rows(make, monkeypatch):
+    """Bounds of parts come from a row an id, however many parts there are."""
+    monkeypatch.setattr(F, "explode", None)
+    docs = make([(k, "x" * (1 + k % 700)) for k in range(3000)] + [(None, "y")] * 5)
+    parts, n = exchange.parted(docs, part_bytes=20_000)
+    size = {r["part"]: r["b"] for r in parts.groupBy("part").agg(F.sum(F.octet_length("text") + exchange.ROW_BYTES).alias("b")).collect()}
+    assert len(size) == n and max(size.values()) - min(size.values()) <= 2 * (700 + exchange.ROW_BYTES)
+
+
+def test_repeats_shuffle_their_texts_once(spark, table, tmp_path):
+    """All passes of the substring dedup read one exchange of the texts, with their other columns in it."""
+    table.limit(300).write.parquet(f"{tmp_path}/docs")
+    kept = suffix_dedup.remove_repeats(spark.read.parquet(f"{tmp_path}/docs"))
+    kept.collect()
+    plan = kept._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") == 1
+
+
 def test_substring_dedup_edges(make):
     docs = [(d, t) for d, t in EDGE if d != 7]
     assert sorted((tuple(r) for r in suffix_dedup.dedup(make(docs)).collect()), key=str) == slow_dedup(docs)

@@ -241,16 +241,20 @@ def psi(reference: np.ndarray, recent: np.ndarray) -> np.ndarray:
     """Population stability index over the reference's decile edges, a column a feature."""
     if len(reference) < 2 or len(recent) < 2:
         return np.zeros(reference.shape[1:])
-    ordered = np.sort(reference, 0)
-    place = _PLACES * (len(ordered) - 1) / 10
+    ordered, other = (np.sort(np.ascontiguousarray(v.reshape(len(v), -1).T), 1) for v in (reference, recent))  # a row a feature
+    n = len(reference)
+    place = _PLACES * (n - 1) / 10
     low = np.floor(place).astype(int)[:, 0]
-    part = (place - low[:, None]).reshape(-1, *[1] * (ordered.ndim - 1))
-    edges = ordered[low] * (1 - part) + ordered[np.minimum(low + 1, len(ordered) - 1)] * part
+    part = place - low[:, None]
+    edges = ordered.T[low] * (1 - part) + ordered.T[np.minimum(low + 1, n - 1)] * part
     shares = []
-    for values in (reference, recent):  # a bin holds what is over its lower edge, up to the upper one; of equal edges none
-        upto = np.stack([np.zeros(values.shape[1:]), *[np.count_nonzero(values <= e, 0) for e in edges], np.full(values.shape[1:], len(values))])
-        shares.append(np.maximum(np.diff(upto, axis=0) / len(values), 1e-4))
-    return np.sum((shares[1] - shares[0]) * np.log(shares[1] / shares[0]), 0)
+    for values in (ordered, other):  # a bin holds what is over its lower edge, up to the upper one; of equal edges none
+        upto = np.zeros((len(edges) + 2, len(values)))
+        upto[-1] = values.shape[1]
+        for k, (row, at) in enumerate(zip(values, edges.T)):
+            upto[1:-1, k] = row.searchsorted(at, "right")
+        shares.append(np.maximum(np.diff(upto, axis=0) / values.shape[1], 1e-4))
+    return np.sum((shares[1] - shares[0]) * np.log(shares[1] / shares[0]), 0).reshape(reference.shape[1:])
 
 
 class Rings:
@@ -262,6 +266,14 @@ class Rings:
     def push(self, x: np.ndarray) -> np.ndarray:
         """Add up to `size` rows (NaN: no value). Gives what falls out, where and as long as something does."""
         size, here = len(self.values), ~np.isnan(x)
+        if here.all() and len(self.at) and (self.at == self.at[0]).all() and (self.count == self.count[0]).all():  # whole rows
+            n, seen, first = len(x), int(self.count[0]), int(self.at[0])
+            at = (first + np.arange(n)) % size
+            out = self.values[at]
+            out[: max(0, size - seen)] = np.nan
+            self.values[at] = x
+            self.at[:], self.count[:] = (first + n) % size, min(seen + n, size)
+            return out
         row, col = np.nonzero(here)
         rank = (np.cumsum(here, 0) - 1)[row, col]
         at = (self.at[col] + rank) % size

@@ -255,3 +255,32 @@ def test_windows_are_those_of_a_slice_and_need_one_shuffle(spark):
                 want[f, ts[i]] = (len(recent), len(reference), np.mean(recent), np.mean(reference), float(L.psi(np.array(reference), np.array(recent))))
     got = {(r.feature, r.ts): tuple(r)[3:] for r in out.collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-12) for k in want)
+
+
+def test_drift_reads_sorted_windows(monkeypatch):
+    """Shares of bins are places in sorted windows, of which the values aren't compared with every edge; they are the plain counts."""
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(0, 12, (480, 3)) / 10, rng.integers(0, 15, (240, 3)) / 10
+    a[:, 2] = 1.0
+    want = []
+    for x, y in zip(a.T, b.T):
+        edges = np.quantile(x, np.arange(1, 10) / 10)
+        share = lambda v: np.maximum(np.diff([0, *[(v <= e).sum() for e in edges], len(v)]) / len(v), 1e-4)
+        want.append(float(np.sum((share(y) - share(x)) * np.log(share(y) / share(x)))))
+    monkeypatch.setattr(np, "count_nonzero", None)
+    assert np.allclose(L.psi(a, b), want, rtol=0, atol=1e-9)
+
+
+def test_rings_take_whole_rows(monkeypatch):
+    """Rows without gaps go in whole, and give what single values give."""
+    rng = np.random.default_rng(9)
+    blocks = [rng.normal(size=(n, 4)) for n in (3, 5, 7, 1, 7, 4)]
+    whole, single = L.Rings(7, 4), [L.Rings(7, 1) for _ in range(4)]
+    want = []
+    for x in blocks:
+        gap = [np.insert(x[:, k : k + 1], len(x), np.nan, 0) for k in range(4)]  # a frame without a value
+        want.append(np.concatenate([r.push(g)[: len(x)] for r, g in zip(single, gap)], 1))
+    monkeypatch.setattr(np, "nonzero", None)
+    for x, w in zip(blocks, want):
+        assert np.array_equal(whole.push(x), w, equal_nan=True)
+    assert all(np.array_equal(whole.of(k), single[k].of(0)) for k in range(4))

@@ -209,37 +209,55 @@ def wifi_fields(logs: DataFrame, salt: bytes = _SALT) -> DataFrame:
     def pick(*patterns: str) -> Column:
         return F.coalesce(*[F.get(F.regexp_extract_all("output", F.lit(p), F.lit(1)), 0) for p in patterns])
 
-    number = lambda *p: pick(*p).try_cast("double")
+    def number(*patterns: str) -> Column:  # a pattern that isn't found gives an empty text, which is no number
+        return (pick(*patterns) if patterns[1:] else F.regexp_extract("output", patterns[0], 1)).try_cast("double")
+
     key = lambda k: rf"(?im)^\s*{k}\s*:\s*(-?[0-9.]+)"
     mac = "([0-9a-fA-F:]{17})"
     percent = F.greatest(F.lit(-100.0), F.least(F.lit(-50.0), number(key("signal")) / 2 - 100))
-    mhz, packets = number(r"freq:\s*([0-9]+)"), number(r"tx packets:\s*([0-9]+)")
-    of_mhz = F.when(mhz == 2484, 14).when(mhz.between(2412, 2472), (mhz - 2407) / 5).when(mhz.between(5160, 5885), (mhz - 5000) / 5).when(mhz.between(5955, 7115), (mhz - 5950) / 5).otherwise(0)
-    of_tool = {  # signal, link, noise, channel, band, access point
-        "netsh": (F.coalesce(number(key("rssi")), percent), number(key(r"receive rate \(mbps\)"), key(r"transmit rate \(mbps\)")), F.lit(None), number(key("channel")), number(key("band")), pick(rf"(?im)^\s*(?:ap )?bssid\s*:\s*{mac}")),
-        "airport": (number(key("agrCtlRSSI")), number(key("lastTxRate")), number(key("agrCtlNoise")), number(key("channel")), F.lit(None), pick(rf"(?im)^\s*bssid\s*:\s*{mac}")),
-        "iw": (number(r"signal:\s*(-?[0-9]+)\s*dBm"), number(r"tx bitrate:\s*([0-9.]+)\s*MBit/s"), F.lit(None), F.when(mhz.isNotNull(), F.floor(of_mhz)), F.when(mhz < 3000, 2.4).when(mhz < 5960, 5.0).when(mhz.isNotNull(), 6.0), pick(rf"Connected to {mac}")),
+    read = {
+        "netsh": {
+            "rssi": F.coalesce(number(key("rssi")), percent),
+            "link": number(key(r"receive rate \(mbps\)"), key(r"transmit rate \(mbps\)")),
+            "channel": number(key("channel")),
+            "band": number(key("band")),
+            "ap": pick(rf"(?im)^\s*(?:ap )?bssid\s*:\s*{mac}"),
+        },
+        "airport": {"rssi": number(key("agrCtlRSSI")), "link": number(key("lastTxRate")), "noise": number(key("agrCtlNoise")), "channel": number(key("channel")), "ap": pick(rf"(?im)^\s*bssid\s*:\s*{mac}")},
+        "iw": {
+            "rssi": number(r"signal:\s*(-?[0-9]+)\s*dBm"),
+            "link": number(r"tx bitrate:\s*([0-9.]+)\s*MBit/s"),
+            "ap": pick(rf"Connected to {mac}"),
+            "mhz": number(r"freq:\s*([0-9]+)"),
+            "packets": number(r"tx packets:\s*([0-9]+)"),
+            "retries": number(r"tx retries:\s*([0-9]+)"),
+            "failed": number(r"tx failed:\s*([0-9]+)"),
+        },
     }
-    up = F.when(F.col("tool") == "netsh", F.lower(pick(r"(?im)^\s*state\s*:\s*(\w+)")).isin("connected", "associated")).otherwise(~F.contains("output", F.lit("Not connected")))
-
-    def by_tool(k: int, type_: str) -> Column:
-        out = F.lit(None)
-        for tool, fields in of_tool.items():
-            out = F.when((F.col("tool") == tool) & up, fields[k].cast(type_)).otherwise(out)
-        return out.cast(type_)
-
-    channel = by_tool(3, "double")
+    names = list(dict.fromkeys(n for fields in read.values() for n in fields))
+    up = {"netsh": F.lower(pick(r"(?im)^\s*state\s*:\s*(\w+)")).isin("connected", "associated")}
+    # what a tool's text tells is read once into a struct, and columns are worked out from its fields
+    told = F
+    for tool, fields in read.items():
+        values = F.struct(*[fields.get(n, F.lit(None)).cast("string" if n == "ap" else "double").alias(n) for n in names])
+        told = told.when((F.col("tool") == tool) & up.get(tool, ~F.contains("output", F.lit("Not connected"))), values)
+    rows = logs.select(F.struct("*").alias("log"), told.alias("told"))
+    of = {n: F.col(f"told.{n}") for n in names}
+    mhz, packets = of["mhz"], of["packets"]
+    of_mhz = F.when(mhz == 2484, 14).when(mhz.between(2412, 2472), (mhz - 2407) / 5).when(mhz.between(5160, 5885), (mhz - 5000) / 5).when(mhz.between(5955, 7115), (mhz - 5950) / 5).otherwise(0)
+    channel = F.coalesce(of["channel"], F.when(mhz.isNotNull(), F.floor(of_mhz)).cast("double"))
+    band = F.coalesce(of["band"], F.when(mhz < 3000, 2.4).when(mhz < 5960, 5.0).when(mhz.isNotNull(), 6.0))
     of_channel = F.when(channel.between(1, 14), 2.4).when(channel.between(32, 177), 5.0).when(channel.isNotNull(), 6.0)
-    retries = F.least(F.lit(1.0), (number(r"tx retries:\s*([0-9]+)") + F.coalesce(number(r"tx failed:\s*([0-9]+)"), F.lit(0.0))) / packets)
-    return logs.select(
-        "*",
-        by_tool(0, "double").alias("rssi_dbm"),
-        by_tool(1, "double").alias("link_mbps"),
-        by_tool(2, "double").alias("noise_dbm"),
+    retries = F.least(F.lit(1.0), (of["retries"] + F.coalesce(of["failed"], F.lit(0.0))) / packets)
+    return rows.select(
+        "log.*",
+        of["rssi"].alias("rssi_dbm"),
+        of["link"].alias("link_mbps"),
+        of["noise"].alias("noise_dbm"),
         channel.alias("channel"),
-        F.coalesce(by_tool(4, "double"), of_channel).alias("band_ghz"),
-        F.when((F.col("tool") == "iw") & up & (packets > 0), retries).alias("retry_rate"),
-        F.when(by_tool(5, "string").isNotNull(), hash_to_number(by_tool(5, "string"), salt)).alias("ap"),
+        F.coalesce(band, of_channel).alias("band_ghz"),
+        F.when(packets > 0, retries).alias("retry_rate"),
+        F.when(of["ap"].isNotNull(), hash_to_number(of["ap"], salt)).alias("ap"),
     )
 
 

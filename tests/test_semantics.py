@@ -52,3 +52,14 @@ def test_contributions_are_sorted_once(spark):
     got = values.select(combine(F.col("v")).alias("a"))
     assert [round(r.a, 9) for r in got.collect()] == [1.0, 0.0, 0.0]
     assert str(combine(F.col("v"))).count("0.01") == 1
+
+
+def test_wifi_texts_are_read_once(spark):
+    """Each pattern of a tool stands once in the plan, however many columns are worked out from what it finds."""
+    from hostvigil.plans.probes import wifi_fields
+
+    logs = spark.range(1).selectExpr("CASE WHEN id < 5 THEN 'iw' END AS tool", "concat('Connected to aa:bb:cc:dd:ee:ff freq: 2437 signal: -50 dBm tx packets: 8 tx retries: 2 #', id) AS output")
+    fields = wifi_fields(logs)
+    row = fields.first()
+    assert (row.rssi_dbm, row.channel, row.band_ghz, row.retry_rate, row.noise_dbm) == (-50.0, 6.0, 2.4, 0.25, None)
+    assert fields._jdf.queryExecution().optimizedPlan().toString().count(r"freq:\s") == 1

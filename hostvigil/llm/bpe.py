@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hostvigil.llm.common import KEPT, only, read_table, row_chunks, tidied
 
-#: Entries in each of the two generations of a task's caches: when the young one is full it becomes the old one.
-CACHE_PIECES, CACHE_WORDS = 30_000, 80_000
+#: Entries in each of the two generations of a task's caches, beside those of one stretch of text: when the young one is
+#: full it becomes the old one.
+CACHE_PIECES, CACHE_WORDS = 20_000, 30_000
 #: Pairs of tokens of which a worker remembers, from task to task, whether they stay apart.
 CACHE_PAIRS = 200_000
-#: Text encoded at a time, in characters: the more words stand in one trie, the more prefixes they share.
-TRIE_CHARS = 3 << 20
+#: Text encoded at a time, in characters: the more words stand in one trie, the more prefixes they share, and the more of
+#: them are held at once, in each worker.
+TRIE_CHARS = 1 << 19
 #: Letters of Unicode versions after 16.0, which the library's pattern doesn't know as letters.
 NEWER_LETTERS = (
     (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D),

@@ -7,9 +7,11 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -353,6 +355,21 @@ def test_bpe_on_random_words(library):
     assert [[i for p in t for i in p] for t in enc.encode_batch(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_bpe_holds_few_words():
+    """A worker's memory is bounded where every word of a batch is new."""
+    r = random.Random(6)
+    texts = [" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(3000)) for _ in range(100)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    enc = bpe.TrieEncoder(bpe.default_tokenizer(), bpe.counted, bpe.glued)
+    tracemalloc.start()
+    try:
+        for b in common.row_chunks([batch], limit=bpe.TRIE_CHARS):
+            enc.encode_batch(b.column("text").to_pylist())
+        assert tracemalloc.get_traced_memory()[1] < 128 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_bpe_on_every_code_point(library):
     enc = bpe.encoder(bpe.default_tokenizer())
     texts = [f"a{chr(c)}b1" for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x20000 or c % 7 == 0 or 0x32300 < c < 0x33500)]

@@ -20,8 +20,11 @@ def by_host() -> WindowSpec:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return published(fixture(spark, sf_dir, "score_series"))
+
+
+def published(s: DataFrame) -> DataFrame:
     """Score rows with published risk, severity rank and a blind flag."""
-    s = fixture(spark, sf_dir, "score_series")
     blind = F.col("coverage") < BLIND_BELOW
     floor, raw = F.col("risk_floor").cast("double"), F.col("risk_raw").cast("double")
     return s.withColumn("risk", F.when(blind, floor).otherwise(F.greatest(floor, raw))).withColumns({"blind": blind, "rank": band_rank(F.col("risk"))})
@@ -65,7 +68,11 @@ def rollup(states: DataFrame) -> DataFrame:
 
 
 def incidents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup(hysteresis(alert_runs(scored(spark, sf_dir)), F.lit(True)))
+    return incidents_in(fixture(spark, sf_dir, "score_series"))
+
+
+def incidents_in(scores: DataFrame) -> DataFrame:
+    return rollup(hysteresis(alert_runs(published(scores)), F.lit(True)))
 
 
 # ---- oracle text -------------------------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FIXTURES: dict[str, str] = {
     "samples_sparse": """
@@ -104,10 +105,31 @@ FROM lineitem JOIN orders ON o_orderkey = l_orderkey
 TABLES = {"samples_sparse": ["events"], "samples_dense": ["lineitem"], "bad_windows": ["events"], "score_series": ["events"], "probe_log": ["events", "documents"], "counters": ["lineitem"], "traces": ["lineitem", "orders"]}
 
 
-def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The view as a DataFrame."""
+#: Bytes of text that may be broadcast.
+FEW_BYTES = 32 << 20
+
+
+def probe_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that probes tell: they go to every task unless their texts are long."""
+    few = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id > -200 AND doc_id < 200").select("doc_id", "text")  # what a remainder by 200 can be
+    size = few.agg(F.sum(F.octet_length("text") + F.lit(16))).first()[0] or 0
+    return F.broadcast(few) if size <= FEW_BYTES else few
+
+
+def fixture(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> DataFrame:
+    """The view as a DataFrame; tables that are `given` aren't read."""
     text = FIXTURES[name]
     for t in TABLES[name]:
         for word in ("FROM", "JOIN"):
             text = text.replace(f"{word} {t} ", f"{word} {{{t}}} ").replace(f"{word} {t}\n", f"{word} {{{t}}}\n").replace(f"{word} {t})", f"{word} {{{t}}})")
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES[name]})
+    if name == "probe_log" and "documents" not in given:
+        given["documents"] = probe_texts(spark, sf_dir)
+    return spark.sql(text, **{t: given[t] if t in given else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES[name]})
+
+
+def probes_and_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """`probe_log` in two parts, to deal its rows before they get their texts: without `detail`, and `_key` with detail,
+    which stands beside the rows whose probe_id has this remainder by 200."""
+    texts = probe_texts(spark, sf_dir)
+    bare = fixture(spark, sf_dir, "probe_log", documents=spark.createDataFrame([], texts.schema)).drop("detail")
+    return bare, texts.select(F.col("doc_id").alias("_key"), F.col("text").alias("detail"))

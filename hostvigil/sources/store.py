@@ -8,6 +8,7 @@ deleted as folders. A run that is repeated after a failure leaves the same rows.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,11 +83,12 @@ def put(rows: DataFrame, path: str, keys: list[str], arrival: str) -> None:
     _write(merged, path)
 
 
-def add(rows: DataFrame, path: str) -> None:
-    """Append rows that are new."""
+def add(rows: DataFrame, path: str, widened: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
+    """Append rows that are new. `widened` puts long columns beside rows that are dealt and sorted already, by a join with a
+    small table, so that they are neither moved nor sorted."""
     if not exists(rows.sparkSession, f"{path}/_schema"):
-        _keep_schema(rows, path)
-    placed(rows).repartition(*PLACE).write.mode("append").partitionBy(*PLACE).parquet(path)
+        _keep_schema(widened(rows), path)
+    widened(placed(rows).repartition(*PLACE).sortWithinPartitions(*PLACE)).write.mode("append").partitionBy(*PLACE).parquet(path)
 
 
 def erase(spark: SparkSession, path: str, gone: DataFrame) -> None:

@@ -118,3 +118,25 @@ def test_a_bundle_computes_each_table_once(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(tables, "drift_events", lambda *_: rows)
     paths = tables.write_bundle(spark, "", str(tmp_path))
     assert seen.value == 200 and spark.read.json(paths["samples"]).count() == spark.read.json(paths["drift"]).count() == 100
+
+
+def test_probes_get_texts_where_they_lie(spark, sf_dir):
+    """The texts of probes are moved by no shuffle, and a stored probe is that of the view."""
+    from hostvigil.plans.tables import kept_store
+    from hostvigil.sources.fixtures import FIXTURES, fixture
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        view = fixture(spark, sf_dir, "probe_log")
+        assert "Exchange hashpartitioning" not in view._jdf.queryExecution().executedPlan().toString()
+        for t in ("events", "documents"):
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        plain = spark.sql(FIXTURES["probe_log"]).withColumn("ts", F.unix_seconds(F.col("ts").cast("timestamp")).cast("double"))
+        kept = store.read(spark, kept_store(spark, sf_dir)["probes"]).select(*plain.columns)
+        assert kept.count() and plain.exceptAll(kept).count() == kept.exceptAll(plain).count() == 0
+    finally:
+        spark.conf.set(key, before)
+        for t in ("events", "documents"):
+            spark.catalog.dropTempView(t)

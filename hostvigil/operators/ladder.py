@@ -20,8 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from hostvigil.catalogue import BUNDLES, LAYER_OF, WORSE_UP
-from hostvigil.operators import saved
-from hostvigil.operators.trailing import Trailing
+from hostvigil.operators import native, saved
 
 # Rates and limits of the models.
 RATE_LEAST, RATE_MOST = 0.002, 0.05
@@ -126,8 +125,32 @@ class Baselines:
         return self.high >= CUSUM_SHIFT
 
 
+#: fdlibm's exponential, as java.lang.StrictMath has it (see `native`): the same bits on every machine.
+_LN2_HI, _LN2_LO, _PER_LN2 = 6.93147180369123816490e-01, 1.90821492927058770002e-10, 1.44269504088896338700e00
+_P1, _P2, _P3, _P4, _P5 = 1.66666666666666019037e-01, -2.77777777770155933842e-03, 6.61375632143793436117e-05, -1.65339022054652515390e-06, 4.13813679705723846039e-08
+_HALF_LN2, _MORE_LN2 = (float.fromhex(v) for v in ("0x1.62e43p-2", "0x1.0a2b2p+0"))
+_POWERS = {k: math.ldexp(1.0, k) for k in range(-64, 65)}
+
+
+def _exp(x: float) -> float:
+    """Of an x from -30 to 30."""
+    size = -x if x < 0.0 else x
+    if size < _HALF_LN2:
+        if size < 2.0**-28:
+            return 1.0 + x
+        t = x * x
+        c = x - t * (_P1 + t * (_P2 + t * (_P3 + t * (_P4 + t * _P5))))
+        return 1.0 - ((x * c) / (c - 2.0) - x)
+    k = (1 if x > 0.0 else -1) if size < _MORE_LN2 else int(_PER_LN2 * x + (0.5 if x > 0.0 else -0.5))
+    hi, lo = x - k * _LN2_HI, k * _LN2_LO
+    x = hi - lo
+    t = x * x
+    c = x - t * (_P1 + t * (_P2 + t * (_P3 + t * (_P4 + t * _P5))))
+    return (1.0 - ((lo - (x * c) / (2.0 - c)) - hi)) * _POWERS[k]
+
+
 def _squash(x: float) -> float:
-    return 1 / (1 + math.exp(30 if x < -30 else -30 if x > 30 else -x))
+    return 1 / (1 + _exp(30.0 if x < -30 else -30.0 if x > 30 else -x))
 
 
 class Net:
@@ -439,9 +462,10 @@ def host_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, p
             start = end
 
 
-def scan(frames: DataFrame, start: Callable[[], object], step: Callable[[object, pa.RecordBatch], list[pa.Array]], added: list[T.StructField], dealt: bool = False, keep: list[str] | None = None, state: str | None = None) -> DataFrame:
+def scan(frames: DataFrame, start: Callable[[], object], step: Callable[[object, pa.RecordBatch], list[pa.Array]], added: list[T.StructField], dealt: bool = False, keep: list[str] | None = None, state: str | None = None, ordered: bool = False) -> DataFrame:
     """`frames` (or their columns `keep`) with columns that depend on a host's earlier frames: `step` gets the host's state
-    and its next frames. `dealt`: a host's frames are in one partition already.
+    and its next frames. `dealt`: a host's frames are in one partition already; `ordered`: they also come in order of time, as
+    another scan left them, and aren't sorted once more (frames out of order are an error).
 
     `state` names a binary column for scans that go on from a saved state. A row without ts holds a host's state in it, which
     `load` reads before the host's first frame; frames up to the last one that the state has `seen` are left out. What a host
@@ -450,17 +474,23 @@ def scan(frames: DataFrame, start: Callable[[], object], step: Callable[[object,
     out = T.StructType([*[f for f in frames.schema.fields if keep is None or f.name in keep], *added])
     kept, types = [f.name for f in out.fields][: len(out.fields) - len(added)], [to_arrow_type(f.dataType) for f in out.fields]
 
-    def left(host: int, found: object, row: dict) -> pa.RecordBatch:
+    def left(host: int, found: object, row: dict, came: pa.Schema) -> pa.RecordBatch:
         values = row | {"host_id": host, "ts": None, state: found.dump()}
-        return pa.RecordBatch.from_arrays([pa.array([values.get(n)], t) for n, t in zip(out.names, types)], out.names)
+        # in the types that came: what may be null inside of them can be less than the schema tells
+        return pa.RecordBatch.from_arrays([pa.array([values.get(n)], came.field(n).type if n in kept else t) for n, t in zip(out.names, types)], out.names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, found, row = object(), None, {}
+        at, found, row, newest = object(), None, {}, -math.inf
         for host, rows in host_runs(batches):
             if found is None or host != at:
                 if state and found is not None:
-                    yield left(at, found, row)
-                at, found, row = host, start(), {}
+                    yield left(at, found, row, rows.schema)
+                at, found, row, newest = host, start(), {}, -math.inf
+            if ordered and not state:
+                ts = rows.column("ts").to_numpy()
+                if ts[0] < newest or (np.diff(ts) < 0).any():
+                    raise ValueError(f"the frames of host {host} are out of order")
+                newest = ts[-1]
             if state:
                 while len(rows) and rows.column("ts")[0].as_py() is None:
                     row = {n: rows.column(n)[0].as_py() for n in kept}
@@ -472,20 +502,16 @@ def scan(frames: DataFrame, start: Callable[[], object], step: Callable[[object,
             if len(rows):
                 yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in kept], *step(found, rows)], out.names)
         if state and found is not None:
-            yield left(at, found, row)
+            yield left(at, found, row, rows.schema)
 
-    return (frames if dealt else by_host(frames)).sortWithinPartitions("host_id", F.asc_nulls_first("ts")).mapInArrow(run, out)
+    rows = frames if dealt else by_host(frames)
+    return (rows if ordered else rows.sortWithinPartitions("host_id", F.asc_nulls_first("ts"))).mapInArrow(run, out)
 
 
-def climb(frames: DataFrame, features: list[str], adapt: bool = True, stages: tuple[str, ...] = ("l1", "l2", "drift"), learn: str | None = None, dealt: bool = False, limits: list[float] | None = None, keep: list[str] | None = None) -> DataFrame:
+def climb(frames: DataFrame, features: list[str], adapt: bool = True, stages: tuple[str, ...] = ("l1", "l2", "drift"), learn: str | None = None, dealt: bool = False, limits: list[float] | None = None, keep: list[str] | None = None, wanted: set[str] | None = None, packed: list[str] | None = None) -> DataFrame:
     """`frames` (or their columns `keep`) with the columns of ADDED, from the double columns `features`; `learn` names a column
-    that pauses learning where false. With `limits` the stages see each feature's last value while it is no older than its limit."""
-
-    def step(state: tuple[Trailing, Ladder], rows: pa.RecordBatch) -> list[pa.Array]:
-        trailing, ladder = state
-        x = np.stack([rows.column(f).to_numpy(zero_copy_only=False).astype(float) for f in features], 1)
-        x = x if limits is None else trailing.carry(rows.column("ts").to_numpy(), x)
-        lessons = None if learn is None else rows.column(learn).to_numpy(zero_copy_only=False)
-        return ladder.columns(rows.column("ts").to_numpy(), x, lessons)
-
-    return scan(frames, lambda: (Trailing(limits or [], 0, ()), Ladder(features, adapt, stages)), step, ADDED, dealt, keep)
+    that pauses learning where false. With `limits` the stages see each feature's last value while it is no older than its limit.
+    Columns of ADDED that aren't `wanted` are null; the double columns `packed` come as one array of that name. The recurrences run in the JVM (see `native`)."""
+    kept = [n for n in frames.columns if keep is None or n in keep]
+    rows = (frames if dealt else by_host(frames)).sortWithinPartitions("host_id", F.asc_nulls_first("ts"))
+    return native.climbed(rows, Ladder(features, adapt, stages), learn, limits, kept, ADDED, {f.name for f in ADDED} if wanted is None else wanted, packed or [])

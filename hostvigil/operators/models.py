@@ -384,9 +384,9 @@ def attribute_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- the learned stages ---------------------------------------------------------------------------------------------
-def _climbed(spark: SparkSession, sf_dir: str, stages: tuple[str, ...], adapt: bool = False) -> DataFrame:
-    """The learned stages over the carried values of the dense view."""
-    return L.climb(learned_frames(fixture(spark, sf_dir, "samples_dense")), LEARNED, adapt, stages, limits=[limit_of(f) for f in LEARNED], keep=["host_id", "tick", "ts"])
+def _climbed(spark: SparkSession, sf_dir: str, stages: tuple[str, ...], adapt: bool = False, wanted: tuple[str, ...] = ()) -> DataFrame:
+    """The learned stages over the carried values of the dense view; of what they add, the `wanted` columns."""
+    return L.climb(learned_frames(fixture(spark, sf_dir, "samples_dense")), LEARNED, adapt, stages, limits=[limit_of(f) for f in LEARNED], keep=["host_id", "tick", "ts"], wanted=set(wanted))
 
 
 def _lanes_sql() -> str:
@@ -438,25 +438,25 @@ _DRIFT_ROWS = f"""(SELECT host_id, feature, ts, CAST(i AS INT) AS frame, round(p
 
 @query(_l1_oracle(), "samples_dense")
 def l1_observe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = l1_rows(_climbed(spark, sf_dir, ("l1",)))
+    rows = l1_rows(_climbed(spark, sf_dir, ("l1",), wanted=("l1", "cusum_high")))
     return rows.select("host_id", "tick", "ts", "feature", *[F.round(F.col(c) + OFF_TIES, 6).alias(c) for c in ("contribution", "cusum_high")], "shifted")
 
 
 @query()
 def l2_observe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return l2_rows(_climbed(spark, sf_dir, ("l2",)))
+    return l2_rows(_climbed(spark, sf_dir, ("l2",), wanted=("l2_rmse", "l2_score", "l2_relative")))
 
 
 @query()
 def l2_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strongest of the layers' scores and of the net over the layers' relative errors."""
-    return _climbed(spark, sf_dir, ("l2",)).select("host_id", "tick", "ts", "l2_anomaly", *[F.get("l2_score", F.lit(k)).alias(f"l2_{x}") for k, x in enumerate(L.ORDER)])
+    return _climbed(spark, sf_dir, ("l2",), wanted=("l2_score", "l2_anomaly")).select("host_id", "tick", "ts", "l2_anomaly", *[F.get("l2_score", F.lit(k)).alias(f"l2_{x}") for k, x in enumerate(L.ORDER)])
 
 
 @query(f"SELECT * FROM {_DRIFT_ROWS}", "samples_dense", name="drift_monitor")
 def dense_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every check of every feature of the dense view."""
-    return drift_rows(_climbed(spark, sf_dir, ("drift",))).withColumn("psi", F.round(F.col("psi") + OFF_TIES, 6))
+    return drift_rows(_climbed(spark, sf_dir, ("drift",), wanted=("drift_frame", "drift"))).withColumn("psi", F.round(F.col("psi") + OFF_TIES, 6))
 
 
 @query(f"SELECT * FROM (SELECT host_id, feature, arg_max(psi, frame) AS psi, arg_max(n_reference, frame) AS n_reference, arg_max(n_recent, frame) AS n_recent, arg_max(ready, frame) AS ready, count(*) FILTER (WHERE drifted) AS events FROM {_DRIFT_ROWS} GROUP BY 1, 2) WHERE psi > 1e-6 OR ready", "samples_dense")
@@ -475,7 +475,7 @@ def recent_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def drift_adaptation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contributions and layer errors where what drifts is learned anew from the next frame on; `drifted` names it."""
-    climbed = _climbed(spark, sf_dir, ("l1", "l2", "drift"), True)
+    climbed = _climbed(spark, sf_dir, ("l1", "l2", "drift"), True, ("drift", "l1", "l2_rmse", "l2_anomaly"))
     return climbed.select("host_id", "tick", "ts", F.transform(F.filter("drift", lambda d: d["drifted"]), lambda d: d["feature"]).alias("drifted"), "l1", "l2_rmse", "l2_anomaly")
 
 

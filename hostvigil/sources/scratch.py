@@ -24,3 +24,8 @@ def materialize(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "t")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def driver_path(name: str) -> str:
+    """A new folder of the driver's own."""
+    return tempfile.mkdtemp(prefix=f"spark-{name}-")

@@ -284,3 +284,34 @@ def test_rings_take_whole_rows(monkeypatch):
     for x, w in zip(blocks, want):
         assert np.array_equal(whole.push(x), w, equal_nan=True)
     assert all(np.array_equal(whole.of(k), single[k].of(0)) for k in range(4))
+
+
+def test_the_jvm_takes_the_steps_of_the_plain_numbers(spark):
+    """Frames pass no Python, and what they learn is what a ladder learns, to the last bit, with gaps, pauses and limits."""
+    learn = np.random.default_rng(2).random(1500) < 0.95
+    rows, want = [], {}
+    for h in (1, 2):
+        ts, x = history(1500, h)
+        rows += [(h, i, float(t), bool(b), *(None if math.isnan(v) else float(v) for v in r)) for i, (t, b, r) in enumerate(zip(ts, learn, x))]
+        want[h] = L.Ladder(FEATURES).frames(ts, x, learn)
+    frames = spark.createDataFrame(rows, f"host_id long, tick long, ts double, learn boolean, {', '.join(f'{f} double' for f in FEATURES)}")
+    out = L.climb(frames, FEATURES, learn="learn", keep=["host_id", "tick", "ts"], packed=FEATURES[:2])
+    assert "Python" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "Arrow" not in plan
+    got = {(r.host_id, r.tick): r for r in out.collect()}
+    assert len(got) == 3000 and any(d["drifted"] for checks in want[1][7] if checks for d in checks)
+    for h in (1, 2):
+        for i, f in enumerate(L.ADDED[:7]):
+            assert [got[h, k][f.name] for k in range(1500)] == want[h][i], f.name
+        for k, checks in enumerate(want[h][7]):
+            mine = got[h, k]["drift"]
+            assert (mine is None) == (checks is None)
+            for a, b in zip(mine or [], checks or []):
+                assert a["psi"] == pytest.approx(b["psi"], abs=1e-12) and {**a.asDict(), "psi": 0} == {**b, "psi": 0}
+    assert all(got[r[0], r[1]]["packed"] == list(r[4:6]) for r in rows)
+    near = {(r.host_id, r.tick): r.l1 for r in L.climb(frames, FEATURES, limits=[30.0] * 5, wanted={"l1"}).collect()}
+    assert all((near[h, k][0] is None) == all(rows[(h - 1) * 1500 + j][4] is None for j in range(max(0, k - 2), k + 1)) for h in (1, 2) for k in range(1500))
+
+
+@pytest.mark.parametrize("x", [0.0, 1e-9, 0.3, -0.3465, 0.34657, 0.5, -1.0397, 1.04, 7.7, -29.99, 30.0])
+def test_the_exponential_is_that_of_the_jvm(spark, x):
+    assert L._exp(x) == spark._jvm.StrictMath.exp(x) and abs(L._exp(x) / math.exp(x) - 1) < 1e-15

@@ -16,10 +16,10 @@ _TOLD = ["title", "template_id", "summary", "remediation"]
 
 def told(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores with the card and the evidence of each frame."""
-    f = with_rules(frames_of(spark, sf_dir)).withColumn("pulls", F.array(*[F.expr(x) for x in _PULL.values()]))
+    f = with_rules(frames_of(spark, sf_dir))
     s = scored(spark, sf_dir).select("host_id", "tick", "risk", "rank", "blind", "primary_layer", F.lit(None).cast("string").alias("secondary_layer"))
     f = f.join(s, ["host_id", "tick"])
-    f = f.withColumn("evidence", evidence(F.col("primary_layer"), F.col("hits"), list(_PULL), F.col("pulls")))
+    f = f.withColumn("evidence", evidence(F.col("primary_layer"), F.col("hits"), list(_PULL), [F.expr(x) for x in _PULL.values()]))
     return cards(f, "primary_layer")
 
 

@@ -151,3 +151,25 @@ def test_rolling_statistics_in_any_slices(cut):
                 slope = np.polyfit(t, v, 1)[0] if len(k) >= 3 and t.var() * len(k) > 1e-9 else 0.0
                 z = (alive - mean) / max(std, 1e-6, 0.02 * abs(mean)) if len(k) >= 4 else 0.0
                 np.testing.assert_allclose([mine[n] for n in ("n", "mean", "std", "slope", "z")], [len(k), mean, std, slope, z], rtol=1e-7, atol=1e-7 if 500 not in k else 10.0)
+
+
+def test_frames_are_sorted_once_and_out_of_order_is_an_error(spark, samples):
+    """A scan over what another scan left sorts nothing; frames that aren't in order are refused."""
+    from hostvigil.operators.ladder import scan
+
+    plan = score_frames(samples, HAVE)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1
+    rows = spark.createDataFrame([(1, 2.0), (1, 1.0)], "host_id long, ts double").coalesce(1)
+    with pytest.raises(Exception, match="out of order"):
+        scan(rows, list, lambda state, batch: [], [], True, ordered=True).count()
+
+
+def test_anomalies_of_columns_are_those_of_the_array(spark):
+    from hostvigil.operators.models import combine, combine_all
+
+    rng = np.random.default_rng(4)
+    rows = [tuple(float(v) for v in np.round(rng.random(6) * 3, 2) * (rng.random(6) < 0.5)) for _ in range(200)]
+    frame = spark.createDataFrame([*rows, (0.01, 0.01, 0.0, 0.0, 0.0, 0.0)], ", ".join(f"c{k} double" for k in range(6)))
+    columns = [F.col(c) for c in frame.columns]
+    for n in (1, 2, 4, 6):
+        assert frame.filter(combine(F.array(*columns[:n])) != combine_all(columns[:n])).isEmpty()

@@ -173,3 +173,28 @@ def test_anomalies_of_columns_are_those_of_the_array(spark):
     columns = [F.col(c) for c in frame.columns]
     for n in (1, 2, 4, 6):
         assert frame.filter(combine(F.array(*columns[:n])) != combine_all(columns[:n])).isEmpty()
+
+
+def test_a_batch_and_what_a_host_puts_out_are_bounded(spark, samples, tmp_path, monkeypatch):
+    from hostvigil.operators import hosts
+    from hostvigil.streaming import scoring
+
+    scoring.write_slices(samples, f"file://{tmp_path}/slices", 3, 200)
+    files = sorted((tmp_path / "slices").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    spans = [spark.read.parquet(f"file://{f}").agg(F.count("*"), F.min("ts"), F.max("ts")).first() for f in files]
+    assert sum(s[0] for s in spans) == 2100 and max(s[0] for s in spans) <= 250
+    assert all(a[2] < b[1] for a, b in zip(spans, spans[1:]))  # a file is a slice of time, in order
+
+    class Nothing:
+        exists = staticmethod(lambda: False)
+        update = clear = staticmethod(lambda *v: None)
+
+    class Mark:
+        getCurrentWatermarkInMs = staticmethod(lambda: 1 << 60)
+
+    monkeypatch.setattr(scoring, "CHUNK", 100)
+    watch = scoring.Watch(["gw_rtt_ms"], lambda: hosts.Watched(["gw_rtt_ms"], ["gw_rtt_ms"], [], [60.0]))
+    watch.watched = watch.waiting = Nothing()
+    got = list(watch._upto((1,), [(k, START + 15.0 * k, float(k % 7)) for k in range(450)], Mark()))
+    assert [len(g) for g in got] == [100, 100, 100, 100, 50]
+    assert [t for g in got for t in g["tick"]] == list(range(450))
